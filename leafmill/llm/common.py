@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket4(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 4; 2 marks held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import documents
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import suffixes
+
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import simhash
 
