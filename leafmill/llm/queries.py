@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import documents
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import exactdup
+
+    return exactdup.exact_duplicates(documents(spark, sf_dir)).drop("locator")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import suffixes
 
@@ -42,4 +48,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from leafmill.llm import exactdup
+
+    return {"op5_exact_dedup": exactdup.ORACLE_SQL}
