@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import documents
+from leafmill.llm.common import bucket4, documents
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality.score_documents(docs, model, ["doc_id"])
+    return found.select("doc_id", (bucket4(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """A public tokenizer file; the path is a parameter of the operators."""
     import public_tokenizers
@@ -43,6 +52,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import langid
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", (bucket4(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
