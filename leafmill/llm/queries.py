@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import bucket4, documents
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import decontam
+
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import exactdup
 
