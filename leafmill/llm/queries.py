@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import bucket4, documents
 
 
+def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import unigram
+
+    return unigram.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import chat
+
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
+    turns = chat.formatted_turns(rows)
+    return chat.read_back(turns, chat.expand(turns))
+
+
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import decontam
 
