@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import bucket4, documents
 
 
+def op1_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import licenses
+
+    return licenses.license_finds(documents(spark, sf_dir))
+
+
 def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import unigram
 
