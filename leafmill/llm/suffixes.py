@@ -222,6 +222,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of suffixes, from rows (doc_id, tie, text, list of seeds)."""
+    column = np.arange(WIDTH)
     for batch in batches:
         for r in range(batch.num_rows):
             data = np.frombuffer(batch.column(2)[r].as_py().encode(), np.uint8)
@@ -230,13 +231,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos = at.field("pos").to_numpy()
             for a in range(0, len(pos), 20_000):
                 p = pos[a : a + 20_000]
+                low, high = (at.field(c).slice(a, len(p)) for c in ("low", "high"))
                 rows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[p]
-                flat = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+                # bytes that no window of the anchor reaches are blanked, which compresses well
+                reach = (column >= LEFT - high.to_numpy().astype(int)[:, None]) & (column < WIDTH - low.to_numpy().astype(int)[:, None])
+                flat = pa.py_buffer(np.where(reach, rows, np.uint8(0)).tobytes())
                 ctx = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(p), [None, flat]).cast(pa.binary())
-                lead = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GRAM), len(p), [None, pa.py_buffer(np.ascontiguousarray(rows[:, LEFT : LEFT + GRAM]).tobytes())]).cast(pa.binary())
                 ids = pa.array([batch.column(0)[r].as_py()] * len(p), pa.int64())
                 ties = pa.array(np.full(len(p), batch.column(1)[r].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([lead, ids, ties, pa.array(p), at.field("low").slice(a, len(p)), at.field("high").slice(a, len(p)), ctx], ["lead", "doc_id", "tie", "pos", "low", "high", "ctx"])
+                yield pa.RecordBatch.from_arrays([ids, ties, pa.array(p), low, high, ctx], ["doc_id", "tie", "pos", "low", "high", "ctx"])
 
 
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,11 +354,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     released(spark)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "low", "high")).alias("at"))
     joined = docs.alias("d").join(per_doc.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.tie") == F.col("s.tie"))).select("d.doc_id", "d.tie", "d.text", "s.at")
-    suffixes = written(joined.mapInArrow(_contexts, "lead binary, doc_id bigint, tie int, pos bigint, low tinyint, high tinyint, ctx binary"), "suffixes")
+    suffixes = written(joined.mapInArrow(_contexts, "doc_id bigint, tie int, pos bigint, low tinyint, high tinyint, ctx binary"), "suffixes")
     dropped(found)
     released(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
-    marks = written(suffixes.repartitionByRange(n, "lead", "doc_id", "tie", "pos").drop("lead").mapInArrow(_sort_bucket, "doc_id bigint, tie int, start bigint, end bigint, window binary"), "marks")
+    marks = written(suffixes.repartitionByRange(n, F.substring("ctx", LEFT + 1, GRAM), "doc_id", "tie", "pos").mapInArrow(_sort_bucket, "doc_id bigint, tie int, start bigint, end bigint, window binary"), "marks")
     dropped(suffixes)
     released(spark)
     edge = marks.where("window IS NOT NULL")
