@@ -43,7 +43,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...]
 
 def _block(rows: DataFrame, queries: DataFrame, k: int, scope: str) -> DataFrame:
     key = [f for f in queries.columns if f not in ("query_id", "vector")]
-    held = queries.collect()  # at most BLOCK rows, by construction
+    held = queries.collect()  # about BLOCK rows, however many there are in all
+    if not held:
+        return rows.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), F.lit(0.0).alias("score"))
     spark = rows.sparkSession
     q = np.array([r.vector for r in held], np.float64).reshape(len(held), -1)
     norms = np.sqrt((q * q).sum(1))
