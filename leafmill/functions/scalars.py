@@ -68,7 +68,7 @@ def title_key(c: Column) -> Column:
 
 
 def without_contd(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?i)\(\s*cont'?d\.?\s*\)", ""))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s*\(cont'?d\)\s*", " "))
 
 
 def drawing_family(c: Column) -> Column:
@@ -118,7 +118,7 @@ def item_code(c: Column) -> Column:
 
 def whole_cells(markdown: Column) -> Column:
     cells = F.transform(F.split(F.coalesce(markdown, F.lit("")), r"[|\n]"), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(cells, lambda x: (x != "") & ~x.rlike(r"^:?-{3,}:?$")))
+    return F.array_distinct(F.filter(cells, lambda x: (x != "") & (x != "---")))
 
 
 def without_reasoning(c: Column) -> Column:

@@ -56,20 +56,20 @@ def markdown(header: Column, rows: Column) -> Column:
     """A grid as markdown: header(array<string>), rows(array<array<string>>); pipes are
     escaped in the body, short rows padded, long ones cut."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    flat = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\n\s*", " "))
+    flat = lambda x: F.replace(F.trim(F.coalesce(x, F.lit(""))), F.lit("\n"), F.lit(" "))
     names = F.transform(header, lambda h, i: F.coalesce(F.nullif(flat(h), F.lit("")), F.concat(F.lit("Col "), (i + 1).cast("string"))))
     fitted = lambda r: F.transform(header, lambda h, i: F.replace(flat(F.get(r, i)), F.lit("|"), F.lit("\\|")))
     return F.array_join(F.concat(F.array(line(names), line(F.transform(header, lambda h: F.lit("---")))), F.transform(rows, lambda r: line(fitted(r)))), "\n")
 
 
 def header_value_text(header: Column, rows: Column, caption: Column) -> Column:
-    """``Header: value | ...`` lines; raw values when no header is real; empty rows are left out."""
-    labelled = F.exists(header, lambda h: ~F.trim(F.coalesce(h, F.lit(""))).rlike(PLACEHOLDER) & (F.trim(F.coalesce(h, F.lit(""))) != ""))
+    """``Header: value | ...`` lines without blank and ``Col ...`` headers; a row without any
+    labelled value gives its raw values; empty rows are left out."""
 
     def one(r: Column) -> Column:
         both = F.filter(F.zip_with(header, r, lambda h, v: F.struct(F.trim(F.coalesce(h, F.lit(""))).alias("h"), F.trim(F.coalesce(v, F.lit(""))).alias("v"))), lambda x: x["v"] != "")
-        real = F.filter(both, lambda x: (x["h"] != "") & ~x["h"].rlike(PLACEHOLDER))
-        return F.when(labelled, F.array_join(F.transform(real, lambda x: F.concat(x["h"], F.lit(": "), x["v"])), " | ")).otherwise(F.array_join(F.transform(both, lambda x: x["v"]), " | "))
+        real = F.filter(both, lambda x: (x["h"] != "") & ~F.lower(x["h"]).startswith("col "))
+        return F.when(F.size(real) > 0, F.array_join(F.transform(real, lambda x: F.concat(x["h"], F.lit(": "), x["v"])), " | ")).otherwise(F.array_join(F.transform(both, lambda x: x["v"]), " | "))
 
     lines = F.filter(F.transform(rows, one), lambda x: x != "")
     return F.array_join(F.concat(F.filter(F.array(caption), lambda c: F.coalesce(c, F.lit("")) != ""), lines), "\n")

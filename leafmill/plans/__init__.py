@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("retrieval", "records", "texts", "grids", "lists")
+_MODULES = ("retrieval", "records", "texts", "grids", "lists", "pages")
 
 
 def _load():

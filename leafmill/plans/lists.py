@@ -49,8 +49,8 @@ def best_item_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderkey % 60 + 1 AS INT) AS n FROM orders),
-s AS (SELECT o_orderkey, n, unnest(range(0, n, 5)) AS start FROM d),
-b AS (SELECT o_orderkey, start, least(start + 10, n) AS stop FROM s UNION SELECT o_orderkey, 0, least(5, n) FROM d UNION SELECT o_orderkey, greatest(n - 5, 0), n FROM d)
+s AS (SELECT * FROM (SELECT o_orderkey, n, unnest(range(1, n + 1, 5)) AS start FROM d) WHERE start = 1 OR start + 5 < n),
+b AS (SELECT o_orderkey, start, least(start + 10, n) AS stop FROM s UNION SELECT o_orderkey, 1, least(6, n) FROM d UNION SELECT o_orderkey, greatest(n - 5, 1), n FROM d)
 SELECT o_orderkey, CAST(count(*) AS INT) AS n_bands, CAST(sum(stop - start) AS BIGINT) AS n_reads FROM b GROUP BY 1""")
 def band_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", P.bands((F.col("o_orderkey") % 60 + 1).cast("int")).alias("b"))
@@ -152,6 +152,13 @@ def asof_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.column_of(words, columns).select("event_id", "column")
 
 
+@query(with_views("v_parts", _GROUPED + """, l AS (SELECT list_id, grp, CASE WHEN max(ref) <> '' THEN max(ref) ELSE '-' END AS ref, list({'d': description, 'p': part_number, 'q': qty} ORDER BY seq) AS r FROM g GROUP BY 1, 2),
+s AS (SELECT list_id, grp, 'Ref ' || ref || ': ' || r[1].d || ' — part ' || r[1].p || ' (qty ' || r[1].q || ')' || array_to_string(list_transform(r[2:], lambda a: '; alternative ' || a.p || ' ' || a.d || ' (qty ' || a.q || ')'), '') AS line FROM l)
+SELECT list_id, 'Parts list — parts list' || chr(10) || string_agg(line, chr(10) ORDER BY grp) AS content FROM s GROUP BY 1"""))
+def parts_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.list_text(view(spark, sf_dir, "v_parts").withColumn("title", F.lit("")))
+
+
 @query("""WITH m AS (SELECT p_brand, quantile_cont(p_size::DOUBLE, 0.5) AS med FROM part GROUP BY 1)
 SELECT p_partkey, p.p_brand, p_size FROM part p JOIN m ON p.p_brand = m.p_brand WHERE abs(p_size - med) <= med * 0.35::DOUBLE""")
 def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
