@@ -8,7 +8,7 @@ score is the winner's share of exp(-loss), and a small lead over the second lang
 flags the row as ambiguous.
 
 Training reads text and lang of at most MAX_ROWS rows of each language (least hash of
-doc_id), never of rows whose crc32(doc_id as text) mod 4 is 2.
+doc_id) and about MAX_TOTAL in all, never of rows whose crc32(doc_id as text) mod 4 is 2.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; with
 no language to learn every row is ``und``; with one language each text with a letter
@@ -29,7 +29,7 @@ from leafmill.llm import ngrams
 from leafmill.llm.common import bucket4
 from leafmill.llm.quality import dense, sparse_counts
 
-MAX_ROWS, RIDGE, LEAD = 512, 1.0, 0.1
+MAX_ROWS, MAX_TOTAL, RIDGE, LEAD = 512, 4096, 1.0, 0.1
 
 
 def codewords(n: int) -> np.ndarray:
@@ -76,6 +76,7 @@ class Model:
 def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """df(doc_id, text, lang)."""
     train = df.where((bucket4(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    max_rows = max(4, min(max_rows, MAX_TOTAL // max(1, train.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = train.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select("doc_id", F.col("lang").alias("__lang")).distinct()
     texts = train.join(chosen, (train.doc_id == chosen.doc_id) & (train.lang == chosen["__lang"]), "left_semi")
@@ -91,8 +92,8 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     y = code[of].astype(np.float64)
     # each language counts the same, however many rows it has
     weight = np.sqrt(len(rows) / len(langs) / np.bincount(of))[of][:, None]
-    xw = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) * weight
-    gram = xw.astype(np.float64) @ xw.T
+    xw = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) * weight.astype(np.float32)
+    gram = (xw @ xw.T).astype(np.float64)
     planes = xw.T @ np.linalg.solve(gram + RIDGE * np.eye(len(rows)), y * weight)
     right = ((x @ planes[:-1] + planes[-1]) * y > 0).mean(0)
     reliable = np.clip(np.log(np.maximum(right, 0.51) / np.maximum(1 - right, 1e-3)), 0.05, None)

@@ -92,10 +92,13 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", max_labelled:
     y = np.array([r.label for r in rows], np.float64)
     if not len(rows):
         return Model(np.ones(ngrams.N_ALL, np.float32), np.zeros((ngrams.N_ALL, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    seen = (counts > 0).sum(0)
+    seen = np.count_nonzero(counts, axis=0)
     weights = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
-    x = np.sqrt(counts) * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    del rows
+    # in place: the driver holds the sample once
+    x = np.sqrt(counts, out=counts)
+    x *= weights
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     # randomised subspace iteration for the leading right singular vectors
     width = min(dimensions + 16, *x.shape)
     basis = np.random.RandomState(11).standard_normal((x.shape[1], width)).astype(np.float32)
@@ -103,9 +106,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", max_labelled:
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     _, _, vt = np.linalg.svd(x @ basis, full_matrices=False)
     axes = (basis @ vt[:dimensions].T).astype(np.float32)
-    model = Model(weights, axes, np.zeros((0, 1), np.float32), y)
-    model.vectors = model.latent(counts).astype(np.float32)
-    return model
+    v = x @ axes
+    return Model(weights, axes, (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32), y)
 
 
 def score_documents(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
