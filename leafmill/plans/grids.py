@@ -72,21 +72,21 @@ def table_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.split_table(tables, limit=150)
 
 
-_GRID = """+g AS (SELECT list_id, min(page) AS page, 'SELECT' AS x, list_distinct(list(ref) FILTER (WHERE ref <> '') || list(part_number)) AS cells, list_sort(list(DISTINCT ref) FILTER (WHERE ref <> '')) AS codes FROM v_parts GROUP BY 1),
-f AS (SELECT list_id AS figure_id, page, codes FROM g WHERE list_id % 8 = 0 AND codes IS NOT NULL),
-t AS (SELECT list_id AS table_id, page, list_id % 10 = 1 AS titled, cells FROM g WHERE list_id % 8 = 1),
+_GRID = """+f AS (SELECT list_id - list_id % 2 AS figure_id, CAST(list_id // 10 AS INT) AS page, list(DISTINCT part_number) AS codes FROM v_parts WHERE list_id % 2 = 0 GROUP BY 1, 2),
+t AS (SELECT list_id + 1 - list_id % 2 AS table_id, CAST((list_id + 1 - list_id % 2) // 10 AS INT) AS page, list_id // 2 % 5 = 1 AS titled, list(DISTINCT part_number) AS cells FROM v_parts GROUP BY 1, 2, 3),
 fc AS (SELECT figure_id, page AS fp, unnest(codes) AS code FROM f), tc AS (SELECT table_id, page AS tp, unnest(cells) AS code FROM t)
 """
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every eighth list plays a figure with its refs as codes, the next one a table with its cells."""
+    """Lists in pairs: the even one is a figure with its part numbers as codes, both together are
+    a table with their part numbers as cells; ten lists are a page."""
     parts = view(spark, sf_dir, "v_parts")
-    ref = F.when(F.col("ref") != "", F.col("ref"))
-    g = parts.groupBy("list_id").agg(F.min("page").alias("page"), F.array_sort(F.collect_set(ref)).alias("codes"), F.collect_set("part_number").alias("numbers"))
-    title = F.when(F.col("list_id") % 10 == 1, "Key to Fig. 1").otherwise("Values")
-    figures = g.where("list_id % 8 = 0 AND size(codes) > 0").select(F.col("list_id").alias("figure_id"), "page", "codes")
-    grids = g.where("list_id % 8 = 1").select(F.col("list_id").alias("table_id"), "page", title.alias("content"), F.array_union("codes", "numbers").alias("cells"))
+    odd = F.col("list_id") + 1 - F.col("list_id") % 2
+    title = F.when(F.floor(F.col("table_id") / 2) % 5 == 1, "Key to Fig. 1").otherwise("Values")
+    page = lambda c: F.floor(c / 10).cast("int").alias("page")
+    figures = parts.where("list_id % 2 = 0").groupBy(F.col("list_id").alias("figure_id")).agg(F.collect_set("part_number").alias("codes")).select("figure_id", page(F.col("figure_id")), "codes")
+    grids = parts.groupBy(odd.alias("table_id")).agg(F.collect_set("part_number").alias("cells")).select("table_id", page(F.col("table_id")), title.alias("content"), "cells")
     return figures, grids
 
 

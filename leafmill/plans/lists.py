@@ -65,19 +65,20 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.longest_run(d, "source")
 
 
-_FIGS = """+l AS (SELECT list_id, min(page) AS page, list_sort(list(DISTINCT ref) FILTER (WHERE ref <> '')) AS refs, min(description) AS title FROM v_parts GROUP BY 1 HAVING count(*) FILTER (WHERE ref <> '') > 0),
-f AS (SELECT list_id AS figure_id, page, refs AS callouts, 'Drawing of ' || title AS page_text FROM l WHERE list_id % 16 = 0),
-k AS (SELECT list_id, page, title, refs FROM l WHERE list_id % 16 = 1),
+_FIGS = """+l AS (SELECT list_id, CAST(list_id // 10 AS INT) AS page, list_sort(list(DISTINCT ref) FILTER (WHERE ref <> '')) AS refs, min(description) AS title FROM v_parts GROUP BY 1 HAVING count(*) FILTER (WHERE ref <> '') > 0),
+f AS (SELECT list_id AS figure_id, page, refs AS callouts, 'Drawing of ' || title AS page_text FROM l WHERE list_id % 2 = 0),
+k AS (SELECT list_id, page, title, refs FROM l WHERE list_id % 2 = 1),
 c AS (SELECT f.*, k.list_id, k.page AS lp, title, refs, CASE k.page - f.page WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN -1 THEN 3 ELSE 4 END AS turn FROM f JOIN k ON abs(f.page - k.page) <= 2)
 """
 
 
 def _figures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Even lists play figures with their refs as callouts, odd ones the lists; ten lists are a page."""
     ref = F.when(F.col("ref") != "", F.col("ref"))
-    l = view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.min("page").alias("page"), F.array_sort(F.collect_set(ref)).alias("refs"), F.min("description").alias("title")).where("size(refs) > 0")
+    l = view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.array_sort(F.collect_set(ref)).alias("refs"), F.min("description").alias("title")).where("size(refs) > 0").withColumn("page", F.floor(F.col("list_id") / 10).cast("int"))
     none = F.lit(None).cast("string").alias("family")
-    figures = l.where("list_id % 16 = 0").select(F.col("list_id").alias("figure_id"), "page", F.col("refs").alias("callouts"), F.concat(F.lit("Drawing of "), "title").alias("page_text"), none)
-    return figures, l.where("list_id % 16 = 1").select("list_id", "page", "title", "refs", none)
+    figures = l.where("list_id % 2 = 0").select(F.col("list_id").alias("figure_id"), "page", F.col("refs").alias("callouts"), F.concat(F.lit("Drawing of "), "title").alias("page_text"), none)
+    return figures, l.where("list_id % 2 = 1").select("list_id", "page", "title", "refs", none)
 
 
 @query(with_views("v_parts", _FIGS + """, e AS (SELECT *, len(list_intersect(callouts, refs))::DOUBLE / len(callouts) AS coverage, contains(trim(regexp_replace(lower(page_text), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))) AS titled FROM c),
@@ -115,9 +116,9 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SECOND = """SELECT CAST(p_size AS BIGINT) AS list_id, CAST(p_partkey AS INT) AS seq, CAST(p_partkey AS VARCHAR) AS ref, CASE WHEN p_partkey % 10 = 0 THEN '1OC-' || CAST(p_partkey AS VARCHAR) ELSE '10C-' || CAST(p_partkey AS VARCHAR) END AS part_number,
-  CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_name END AS description, CASE p_partkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '3' WHEN 2 THEN 'many' ELSE 'A/R' END AS qty FROM part WHERE p_partkey % 9 <> 0"""
+  CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE p_name END AS description, CASE p_partkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '3' WHEN 2 THEN 'many' ELSE 'A/R' END AS qty FROM part WHERE p_brand <> 'Brand#11'"""
 _FIRST = """SELECT CAST(p_size AS BIGINT) AS list_id, CAST(p_partkey AS INT) AS seq, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS ref, '10C' || CAST(p_partkey AS VARCHAR) AS part_number, p_name AS description,
-  CASE p_partkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '' END AS qty FROM part WHERE p_partkey % 13 <> 0"""
+  CASE p_partkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '' END AS qty FROM part WHERE p_brand <> 'Brand#12'"""
 
 
 @query(f"""WITH o0 AS ({_FIRST}), v0 AS ({_SECOND}), o AS (SELECT *, translate(regexp_replace(upper(part_number), '[^A-Z0-9]', '', 'g'), 'OI', '01') AS key FROM o0),
