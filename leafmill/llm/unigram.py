@@ -23,12 +23,13 @@ from __future__ import annotations
 import base64
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RANK_OFFSET, MAX_NODES = 10, 1_500_000
+RANK_OFFSET, MAX_NODES = 10, 500_000
 PRE_TOKEN = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+?(?= [^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 
 
@@ -49,10 +50,10 @@ class Trie:
 
     def empty(self) -> None:
         self.step: dict[int, int] = {}
-        self.forward, self.pieces = [0.0], [0]
-        #: terminal node of a pre-token, and how often the pre-token came
+        #: by node: best score, its pieces, and how often a pre-token ended here
+        self.forward, self.pieces, self.came = array("d", [0.0]), array("l", [0]), array("l", [0])
+        #: terminal node of a pre-token
         self.terminal: dict[bytes, int] = {}
-        self.came: dict[int, int] = {}
 
     def insert(self, token: bytes) -> int:
         """The terminal node; only nodes that are new are scored."""
@@ -70,6 +71,7 @@ class Trie:
                         best, count = s, pieces[path[start]] + 1
                 forward.append(best)
                 pieces.append(count)
+                self.came.append(0)
             node = child
             path.append(node)
         self.terminal[token] = node
@@ -79,16 +81,16 @@ class Trie:
         """Pre-tokens, pieces and the sum of scores of a text."""
         if len(self.forward) > MAX_NODES:
             self.empty()
-        terminal, came, n, total, score = self.terminal, self.came, 0, 0, 0.0
+        terminal, came, pieces, forward, n, total, score = self.terminal, self.came, self.pieces, self.forward, 0, 0, 0.0
         for m in PRE_TOKEN.finditer(text) if len(text) > 1 << 22 else PRE_TOKEN.findall(text):
             token = m if isinstance(m, bytes) else m.group()
             node = terminal.get(token)
             if node is None:
                 node = self.insert(token)
-            came[node] = came.get(node, 0) + 1
+            came[node] += 1
             n += 1
-            total += self.pieces[node]
-            score += self.forward[node]
+            total += pieces[node]
+            score += forward[node]
         return n, total, score
 
 
