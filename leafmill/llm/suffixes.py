@@ -119,6 +119,10 @@ def slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 _SEED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("pos", pa.int64()), ("low", pa.int8()), ("high", pa.int8())])
 
 
+#: Columns of a blob: hash, doc_id, whether it is null, tie, position, came again, least and largest offset.
+_KINDS = ("<u8", "<i8", "u1", "<i4", "<i8", "u1", "i1", "i1")
+
+
 def tie(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
@@ -144,6 +148,9 @@ def _deal(n: int):
             if not found:
                 continue
             h, doc, pos, low, high = (np.concatenate(x) for x in zip(*found))
+            # anchors have the least hashes of their windows: mixed again, they fill all buckets
+            h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
             order = np.argsort(h, kind="stable")
             hs = h[order]
             new = np.ones(len(hs), bool)
@@ -152,7 +159,13 @@ def _deal(n: int):
             many[:-1] = new[:-1] & ~new[1:]
             again, head = order[~new], order[new]
             blobs, where = [], []
-            bucket = ((h[head] >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)  # ordered as the hashes
+
+            def packed(k: np.ndarray, flag: np.ndarray) -> bytes:
+                d = doc[k]
+                columns = zip((h[k], ids[d], absent[d], ties[d], pos[k], flag, low[k], high[k]), _KINDS)
+                return np.int64(len(k)).tobytes() + b"".join(c.astype(kind).tobytes() for c, kind in columns)
+
+            bucket = ((h[head] >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(n + 1))
             flags = many[new]
             for b in range(n):
@@ -160,14 +173,12 @@ def _deal(n: int):
                 if x < y:
                     k = head[x:y]
                     by_doc = np.lexsort((pos[k], doc[k]))
-                    k = k[by_doc]
-                    d = doc[k]
-                    blobs.append(b"".join([np.int64(y - x).tobytes(), h[k].tobytes(), ids[d].astype("<i8").tobytes(), absent[d].astype("u1").tobytes(), ties[d].astype("<i4").tobytes(), pos[k].astype("<i8").tobytes(), flags[x:y][by_doc].astype("u1").tobytes(), low[k].astype("i1").tobytes(), high[k].astype("i1").tobytes()]))
+                    blobs.append(packed(k[by_doc], flags[x:y][by_doc]))
                     where.append(b)
-            if len(again):
-                d = doc[again]
-                blobs.append(b"".join([np.int64(len(again)).tobytes(), h[again].tobytes(), ids[d].astype("<i8").tobytes(), absent[d].astype("u1").tobytes(), ties[d].astype("<i4").tobytes(), pos[again].astype("<i8").tobytes(), np.ones(len(again), "u1").tobytes(), low[again].astype("i1").tobytes(), high[again].astype("i1").tobytes()]))
-                where.append(-1 - int(hs[0] % _U(n)))  # any bucket: these are seeds already
+            for a in range(0, len(again), 4096):  # seeds already: dealt evenly, no bucket needs them
+                k = again[a : a + 4096]
+                blobs.append(packed(k, np.ones(len(k))))
+                where.append(-1 - (int(ids[0]) + a // 4096 * 61) % n)
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -176,7 +187,7 @@ def _deal(n: int):
 def _columns(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     out, at = [], 8
-    for kind in ("<u8", "<i8", "u1", "<i4", "<i8", "u1", "i1", "i1"):
+    for kind in _KINDS:
         out.append(np.frombuffer(blob, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return tuple(out)
