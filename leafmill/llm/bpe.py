@@ -40,7 +40,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WS = "\t-\r \x85\xa0  -     　"
 
 #: A worker forgets its encoded pieces beyond this many.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 
 #: So many characters of text are turned into arrays at once.
 SLICE_CHARS = 1_000_000
