@@ -76,10 +76,17 @@ class Model:
 def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """df(doc_id, text, lang)."""
     train = df.where((bucket4(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    max_rows = max(4, min(max_rows, MAX_TOTAL // max(1, train.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select("doc_id", F.col("lang").alias("__lang")).distinct()
-    texts = train.join(chosen, (train.doc_id == chosen.doc_id) & (train.lang == chosen["__lang"]), "left_semi")
+    sizes = train.groupBy("lang").agg(F.count("*").alias("size"))
+    n_langs = sizes.count()
+    max_rows = max(4, min(max_rows, MAX_TOTAL // max(1, n_langs)))
+    # only hashes low enough to be among the least reach the window, however many tasks there are
+    rows = train.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).join(sizes, "lang")
+    rows = rows.where(F.col("h").cast("double") * F.col("size") <= F.lit(float(1 << 40)) * (3 * max_rows + 50))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    if n_langs * max_rows <= MAX_TOTAL:  # else very many languages: joined by a shuffle
+        chosen = F.broadcast(chosen)
+    texts = train.join(chosen, (train.doc_id == F.col("__id")) & (train.lang == F.col("__lang")), "left_semi")
     rows = sparse_counts(texts, ngrams.letter_pairs, ["doc_id", "lang"], "doc_id bigint, lang string").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.terms, r["values"]))
     langs = sorted({r.lang for r in rows})
