@@ -25,7 +25,9 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -51,9 +53,16 @@ class Trie:
     def empty(self) -> None:
         self.step: dict[int, int] = {}
         #: by node: best score, its pieces, and how often a pre-token ended here
-        self.forward, self.pieces, self.came = array("d", [0.0]), array("l", [0]), array("l", [0])
-        #: terminal node of a pre-token
-        self.terminal: dict[bytes, int] = {}
+        self.forward, self.pieces, self.came = array("d", [0.0]), array("q", [0]), array("q", [0])
+        trie = self
+
+        class Terminals(dict):
+            """Pre-token -> its terminal node; a new pre-token is inserted when first looked up."""
+
+            def __missing__(self, token: bytes) -> int:
+                return trie.insert(token)
+
+        self.terminal = Terminals()
 
     def insert(self, token: bytes) -> int:
         """The terminal node; only nodes that are new are scored."""
@@ -81,16 +90,13 @@ class Trie:
         """Pre-tokens, pieces and the sum of scores of a text."""
         if len(self.forward) > MAX_NODES:
             self.empty()
-        terminal, came, pieces, forward, n, total, score = self.terminal, self.came, self.pieces, self.forward, 0, 0, 0.0
-        for m in PRE_TOKEN.finditer(text) if len(text) > 1 << 22 else PRE_TOKEN.findall(text):
-            token = m if isinstance(m, bytes) else m.group()
-            node = terminal.get(token)
-            if node is None:
-                node = self.insert(token)
-            came[node] += 1
-            n += 1
-            total += pieces[node]
-            score += forward[node]
+        n, total, score = 0, 0, 0.0
+        for tokens in [PRE_TOKEN.findall(text)] if len(text) < 1 << 22 else batched((m.group() for m in PRE_TOKEN.finditer(text)), 1 << 18):
+            nodes = np.fromiter(map(self.terminal.__getitem__, tokens), np.int64, len(tokens))
+            n += len(nodes)
+            total += int(np.frombuffer(self.pieces, np.int64)[nodes].sum())
+            score += float(np.frombuffer(self.forward)[nodes].sum())
+            np.add.at(np.frombuffer(self.came, np.int64), nodes, 1)
         return n, total, score
 
 
