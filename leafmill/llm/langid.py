@@ -80,7 +80,9 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     n_langs = sizes.count()
     max_rows = max(4, min(max_rows, MAX_TOTAL // max(1, n_langs)))
     # only hashes low enough to be among the least reach the window, however many tasks there are
-    rows = train.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).join(sizes, "lang")
+    rows = train.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    # a count for each language: broadcast while there are few, so no row moves before the filter
+    rows = rows.join(F.broadcast(sizes) if n_langs <= 10_000 else sizes, "lang")
     rows = rows.where(F.col("h").cast("double") * F.col("size") <= F.lit(float(1 << 40)) * (3 * max_rows + 50))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
