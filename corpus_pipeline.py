@@ -1,4 +1,4 @@
-"""From raw documents to token ids: five stages, each one operator of ``leafmill.llm``.
+"""From raw documents to token ids: five stages of ``leafmill.llm``.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the
 documents that go on, with all their columns; the last one returns the encoded rows.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontam, exactdup, quality, simhash
+from leafmill.llm import bpe, decontam, exactdup, nearcopies, quality
 from leafmill.llm.common import documents, written
 from leafmill.llm.queries import vocabulary
 
@@ -34,8 +34,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the least doc_id stays."""
-    stay = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
+    """Of each class of similar texts the document with the least doc_id stays."""
+    stay = nearcopies.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
 
 
@@ -52,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", classify_quality),
     ("exact dedup", drop_exact_copies),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("bpe encoding", encode),
 ]
