@@ -17,15 +17,12 @@ from leafmill.llm import bpe, decontam, exactdup, nearcopies, quality
 from leafmill.llm.common import documents, written
 from leafmill.llm.queries import vocabulary
 
-#: A document goes only where most of the similarity-weighted votes are against it.
-REJECT_BELOW = 0.5
-
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score_documents(docs, model)
-    return scored.where(F.col(scored.columns[-1]) >= REJECT_BELOW).select(docs.columns)
+    return scored.where(F.col(scored.columns[-1]) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ def test_clean_documents_stay(spark):
     assert left.join(good, "doc_id").count() >= 0.98 * docs.join(good, "doc_id").count()
 
 
+def test_rejected_documents_go(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    op8 = next(f for n, f in queries().items() if n.startswith("op8_"))
+    wanted = sorted(r.doc_id for r in op8(spark, data).where("predicted = 1").collect())
+    left = P.classify_quality(spark, spark.read.parquet(f"{data}/documents.parquet"), data)
+    assert sorted(r.doc_id for r in left.collect()) == wanted
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     odd = docs.limit(30).unionByName(spark.createDataFrame([(900_000, None, None, None, None), (None, "", "en", "s", 0), (900_001, "", None, None, None)], docs.schema))
