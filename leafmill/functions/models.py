@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import fallback_summary, needs_translation, tail, without_manual_flag, without_reasoning
+
 
 class Provider(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
@@ -87,39 +91,31 @@ def relevant(rows: DataFrame, verdicts: DataFrame, keys: list[str], least: int =
     return both.withColumn("n", F.row_number().over(w)).where(F.col("keep") | (F.col("n") <= least)).drop("keep", "n")
 
 
-def without_fences(text: str) -> str:
-    t = text.strip()
-    if t.startswith("```"):
-        t = t.partition("\n")[2] if "\n" in t else t
-        t = t.removesuffix("```").strip()
-        t = t[4:].strip() if t.startswith("json") else t
-    return t
+_FENCED = re.compile(r"\s*```(?:json)?\s*(.*?)\s*(?:```\s*)?", re.DOTALL)
+#: A whole string, the beginning of one that was cut, a bracket or a comma.
+_MARK = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z|\\\Z)|[\[\]{},]', re.DOTALL)
+_CLOSER = {"[": "]", "{": "}"}
+
+
+def _owed(owed: str, mark: str) -> str:
+    """The closing brackets owed after a mark, innermost first."""
+    return _CLOSER[mark] + owed if mark in _CLOSER else owed[1:] if mark in ("]", "}") else owed
 
 
 def tolerant_json(text: str | None, default=None):
-    """Strict JSON, else the longest beginning that is whole up to a comma or a closing
-    bracket, with the open brackets closed; tried from the end backwards."""
-    t = without_fences(text or "")
-    try:
-        return json.loads(t)
-    except ValueError:
-        pass
-    cuts, owed, quoted, skip = [], [], False, False
-    for i, c in enumerate(t):
-        if quoted:
-            quoted, skip = (c != '"' or skip), (c == "\\" and not skip)
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            owed.append("}" if c == "{" else "]")
-        elif c in "}]":
-            owed[-1:] = []
-            cuts.append((i + 1, "".join(reversed(owed))))
-        elif c == ",":
-            cuts.append((i, "".join(reversed(owed))))
-    for end, closers in reversed(cuts):
+    """Strict JSON, without a fence around it; else what can be read of JSON that was cut short.
+
+    The marks of the text say at each comma and after each closing bracket which brackets are
+    owed there; the last place where the text and these brackets are whole counts."""
+    text = text or ""
+    fenced = _FENCED.fullmatch(text)
+    body = fenced[1] if fenced else text.strip()
+    marks = list(_MARK.finditer(body))
+    owed = list(accumulate((m[0] for m in marks), _owed, initial=""))[1:]
+    ends = [body, *(body[: m.start() if m[0] == "," else m.end()] + o for m, o in zip(reversed(marks), reversed(owed)) if m[0] in ",]}")]
+    for candidate in ends:
         try:
-            return json.loads(t[:end] + closers)
+            return json.loads(candidate)
         except ValueError:
             continue
     return default
@@ -134,3 +130,47 @@ def tolerant_json_column(text: Column) -> Column:
         return pd.Series([None if v is None else json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in found], dtype=object)
 
     return run(text)
+
+
+def chat_json(prompt: Column, schema: str, provider: Callable[[], Provider] = Offline) -> Column:
+    """A model's answer as a struct of ``schema``; NULL where it can't be read."""
+    return F.from_json(tolerant_json_column(chat_column(prompt, provider)), schema)
+
+
+def translated(rows: DataFrame, provider: Callable[[], Provider] = Offline) -> DataFrame:
+    """rows(description, ...): Chinese names get an English one behind them, marked as such.
+
+    Every distinct name is translated once; a name without a translation, or with one that is not
+    English, stays as it is."""
+    names = rows.where(needs_translation(F.col("description"))).select("description").distinct()
+    found = names.withColumn("english", F.trim(chat_column(F.concat(F.lit("Translate this machine part name into English:\n"), "description"), provider)))
+    found = found.where((F.col("english") != "") & ~needs_translation(F.col("english")))
+    said = F.concat("description", F.lit(" (machine translation: "), "english", F.lit(")"))
+    return rows.join(found, "description", "left").withColumn("description", F.coalesce(said, "description")).drop("english").select(rows.columns)
+
+
+def named_codes(snippets: DataFrame, provider: Callable[[], Provider] = Offline) -> DataFrame:
+    """manual_id, code, name: what the texts around a manual's callouts say that they are, asked once a manual.
+
+    snippets(manual_id, code, nth, snippet) as of ``callouts.evidence``: a code without evidence gets no name,
+    whatever the model says, and neither does one that the model leaves blank."""
+    line = F.struct("code", "nth", F.concat(F.col("code"), F.lit(": "), F.col("snippet")).alias("line"))
+    asked = snippets.groupBy("manual_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
+    said = asked.select("manual_id", F.explode(F.from_json(tolerant_json_column(chat_column(F.col("prompt"), provider)), "map<string,string>")).alias("code", "name"))
+    return said.where(F.trim(F.coalesce("name", F.lit(""))) != "").join(snippets.select("manual_id", "code").distinct(), ["manual_id", "code"], "left_semi").select("manual_id", "code", F.trim("name").alias("name"))
+
+
+def incident_summary(history: Column, symptom: Column, cause: Column, actions: Column, parts: Column, provider: Callable[[], Provider] | None = None) -> Column:
+    """A summary of a fix for the archive: the model's, from the end of the conversation, else its fields in a line."""
+    plain = fallback_summary(symptom, cause, actions, parts)
+    if provider is None:
+        return plain
+    return F.coalesce(F.nullif(without_reasoning(chat_column(F.concat_ws("\n", plain, tail(history, 6000)), provider)), F.lit("")), plain)
+
+
+def answers(contexts: DataFrame, provider: Callable[[], Provider] = Offline) -> DataFrame:
+    """query_id, answer: one call a question over its context; contexts(query_id, query, context).
+
+    The question is asked without its marks; reasoning is taken out; no answer is NULL."""
+    prompt = F.concat_ws("\n\n", "context", F.concat(F.lit("QUESTION: "), without_manual_flag(F.col("query"))))
+    return contexts.select("query_id", without_reasoning(chat_column(prompt, provider)).alias("answer"))

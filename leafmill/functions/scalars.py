@@ -112,7 +112,7 @@ def item_code(c: Column) -> Column:
     """Letters O, I, L after the prefix are digits that were misread; NULL if it is no item code."""
     up = F.upper(F.trim(c))
     head = F.regexp_extract(up, r"^([A-Z]{1,2}?)(?=[0-9OIL]{1,3}-)", 1)
-    fixed = F.concat(head, F.translate(F.substring(up, F.length(head) + 1, F.lit(100)), "OIL", "011"))
+    fixed = F.concat(head, F.translate(F.substring(up, F.length(head) + 1, F.length(up)), "OIL", "011"))
     return F.when(fixed.rlike(ITEM_CODE), fixed)
 
 
@@ -166,7 +166,7 @@ def questions(answer: Column) -> Column:
 
     def one(body: Column) -> Column:
         parts = F.transform(F.split(body, r"\|"), lambda x: F.trim(x))
-        options = F.transform(F.slice(parts, 2, 1000), lambda o: F.trim(F.substring(F.regexp_replace(o, r"^[ .]+|[ .]+$", ""), 1, 60)))
+        options = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda o: F.trim(F.substring(F.regexp_replace(o, r"^[ .]+|[ .]+$", ""), 1, 60)))
         options = F.filter(options, lambda o: o != "")
         lower = F.transform(options, F.lower)
         options = F.filter(options, lambda o, i: F.array_position(lower, F.lower(o)) == i + 1)
@@ -177,3 +177,75 @@ def questions(answer: Column) -> Column:
 
 def without_questions(answer: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(answer, ASK_TAG, ""), r"\n{3,}", "\n\n"))
+
+
+#: Fixed value: the flag that a question about a machine without a manual carries.
+NO_MANUAL = "[DISCLAIMER_REQUIRED: MISSING_MANUAL]"
+CJK = "[㐀-鿿]"
+
+
+def without_manual_flag(query: Column) -> Column:
+    """The question as it is searched with."""
+    return trimmed(F.replace(query, F.lit(NO_MANUAL), F.lit("")))
+
+
+def with_manual_flag(query: Column, n_chunks: Column) -> Column:
+    """The question, marked when the manual has no chunks to answer it from."""
+    return F.when(F.coalesce(n_chunks, F.lit(0)) > 0, query).otherwise(F.concat(F.lit(NO_MANUAL + " "), query))
+
+
+def tail(c: Column, n: int) -> Column:
+    """The last n characters."""
+    return F.when(F.char_length(c) > n, F.right(c, F.lit(n))).otherwise(c)
+
+
+def memory_text(symptom: Column, cause: Column, fix: Column, summary: Column) -> Column:
+    """What a past fix is embedded by: its lines that are not blank."""
+    return F.concat_ws("\n", *map(blank_to_null, (symptom, cause, fix, summary)))
+
+
+def json_list(c: Column, kind: str = "array<string>") -> Column:
+    """A stored JSON list; nothing stored, or nothing that can be read, is an empty one."""
+    return F.coalesce(F.from_json(c, kind), F.array().cast(kind))
+
+
+def json_or_null(c: Column) -> Column:
+    """A list as it is stored: an empty one is NULL."""
+    return F.when(F.size(c) > 0, F.to_json(c))
+
+
+def timestamp_text(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def needs_translation(c: Column) -> Column:
+    return F.coalesce(c.rlike(CJK), F.lit(False))
+
+
+def shown_answer(answer: Column) -> Column:
+    """An answer as it is shown, {phase, body}: suggestion and question tags go, a phase tag at its beginning is named apart."""
+    plain = trimmed(F.regexp_replace(answer, r"(?i)\[SUGGESTION:[^\]]*\]|\[ASK:[^\]]*\]", ""))
+    tag = r"(?i)^\s*\[PHASE:\s*([^\]]+)\]\s*"
+    return F.struct(F.when(plain.rlike(tag), F.trim(F.regexp_extract(plain, tag, 1))).alias("phase"), F.regexp_replace(plain, tag, "").alias("body"))
+
+
+def solves(option: Column) -> Column:
+    """Whether choosing this answer says that the fault is gone."""
+    return F.coalesce(option.rlike("(?i)^problem solved"), F.lit(False))
+
+
+def chosen_answer(question: Column, option: Column) -> Column:
+    """What is sent when an option is chosen."""
+    return F.concat(question, F.lit(" — "), option)
+
+
+def diagnosis_queries(report: Column, symptoms: Column, components: Column, codes: Column) -> Column:
+    """The questions that a fault report is looked up with: itself, then up to four symptoms, four components
+    and three fault codes that were read from it, each once whatever its case.  A NULL list has none."""
+    some = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), trimmed), lambda x: F.coalesce(x, F.lit("")) != ""), 1, n)
+    asked = F.concat(
+        F.array(report), F.transform(some(symptoms, 4), lambda x: F.concat(x, F.lit(" cause troubleshooting"))), some(components, 4),
+        F.transform(some(codes, 3), lambda x: F.concat(F.lit("fault code "), x)),
+    )
+    lower = F.transform(asked, F.lower)
+    return F.filter(asked, lambda q, i: F.array_position(lower, F.lower(q)) == i + 1)

@@ -37,17 +37,65 @@ def table_title(caption: Column, legend: Column, header: Column, section: Column
 
 
 def caption_head(component: Column, kind: Column, page: Column, drawing: Column, section: Column) -> Column:
+    """``### component (Kind) — page N — drawing D (section: S)``; what is unknown is left out."""
     pretty = F.initcap(F.replace(F.coalesce(kind, F.lit("diagram")), F.lit("_"), F.lit(" ")))
-    tail = F.when(section.isNotNull(), F.concat(F.lit(" (section: "), section, F.lit(")"))).otherwise(F.lit(""))
-    return F.concat(F.lit("### "), component, F.lit(" ("), pretty, F.lit(")"), F.concat_ws("", F.concat(F.lit(" - page "), page.cast("string")), F.concat(F.lit(" - drawing "), drawing)), tail)
+    said = lambda before, c, after="": F.coalesce(F.concat(F.lit(before), F.nullif(c.cast("string"), F.lit("")), F.lit(after)), F.lit(""))
+    known = F.when(section != "Unknown Section", section)
+    return F.concat(F.lit("### "), component, F.lit(" ("), pretty, F.lit(")"), said(" — page ", page), said(" — drawing ", drawing), said(" (section: ", known, ")"))
 
 
-def parts_line(groups: Column, limit: int | None = None) -> Column:
-    """groups: array of {ref, names array, numbers array} -> ``Parts shown in this diagram: ref = names (numbers); ...``."""
-    shown = groups if limit is None else F.slice(groups, 1, limit)
-    name = lambda g: F.replace(F.array_join(F.array_distinct(g["names"]), " / "), F.lit(";"), F.lit(","))
-    one = lambda g: F.concat(g["ref"], F.lit(" = "), name(g), F.when(F.size(g["numbers"]) > 0, F.concat(F.lit(" ("), F.array_join(g["numbers"], ", "), F.lit(")"))).otherwise(F.lit("")))
-    return F.concat(F.lit("Parts shown in this diagram: "), F.array_join(F.transform(shown, one), "; "))
+def _names(g: Column) -> Column:
+    return F.array_join(F.array_distinct(F.filter(g["names"], lambda n: F.coalesce(n, F.lit("")) != "")), " / ")
+
+
+def parts_line(groups: Column, verified: Column = None, missing: Column = None) -> Column:
+    """groups: array of {ref, names array, numbers array} -> ``Parts shown in this diagram: ref = names (numbers); ....``
+
+    Groups without a ref are left out.  A list that was read from a scan is marked, and callouts that it does
+    not hold follow on a line of their own."""
+    shown = F.filter(groups, lambda g: F.coalesce(g["ref"], F.lit("")) != "")
+    name = lambda g: F.coalesce(F.nullif(_names(g), F.lit("")), F.lit("part"))
+    one = lambda g: F.replace(F.concat(g["ref"], F.lit(" = "), name(g), F.lit(" ("), F.array_join(g["numbers"], ", "), F.lit(")")), F.lit(";"), F.lit(","))
+    line = F.concat(F.lit("Parts shown in this diagram: "), F.array_join(F.transform(shown, one), "; "), F.lit("."))
+    if verified is not None:
+        line = F.concat(line, F.when(verified, "").otherwise(" (Parts list read by vision from a scanned page - unverified.)"))
+    if missing is not None:
+        line = F.concat(line, F.when(F.size(missing) > 0, F.concat(F.lit("\nCallouts with no entry in the parts list: "), F.array_join(missing, ", "), F.lit("."))).otherwise(""))
+    return line
+
+
+def listing(groups: Column, limit: int = 80) -> Column:
+    """The first ``limit`` refs with their names, a line each: what a caption is asked to be true to."""
+    shown = F.slice(F.filter(groups, lambda g: F.coalesce(g["ref"], F.lit("")) != ""), 1, limit)
+    return F.array_join(F.transform(shown, lambda g: F.concat(F.lit("  "), g["ref"], F.lit(": "), _names(g))), "\n")
+
+
+def fallback_caption(groups: Column, heading: Column) -> Column:
+    """A caption that needs no model: every listed part by name."""
+    shown = F.filter(groups, lambda g: F.coalesce(g["ref"], F.lit("")) != "")
+    names = F.array_join(F.transform(shown, lambda g: F.concat(_names(g), F.lit(" ("), g["ref"], F.lit(")"))), ", ")
+    return F.concat(F.lit("Exploded parts view of "), heading, F.lit(". The drawing shows: "), names, F.lit("."))
+
+
+def figure_caption(head: Column, body: Column, groups: Column, verified: Column, missing: Column, codes: Column, labels: Column) -> Column:
+    """A figure's whole caption: head, body, then its parts or, without a list, its callouts, and its labels."""
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    listed = F.coalesce(F.size(groups) > 0, F.lit(False))
+    lines = [
+        F.when(listed, F.concat(F.lit("\n"), parts_line(groups, verified, missing))),
+        F.when(~listed & some(codes), F.concat(F.lit("\nCallout codes shown: "), F.array_join(codes, ", "))),
+        F.when(some(labels), F.concat(F.lit("\nLeader-line labels: "), F.array_join(labels, ", "))),
+    ]
+    return F.concat(head, F.lit("\n\n"), body, *(F.coalesce(x, F.lit("")) for x in lines))
+
+
+def view_chunks(figures: DataFrame) -> DataFrame:
+    """A composite figure as chunks: the full view, then each of its views as a part of it.
+
+    figures(manual_id, page, path, views ARRAY<STRING>) -> manual_id, page, path, figure_role, parent_path, nth."""
+    full = figures.select("manual_id", "page", "path", F.lit("full").alias("figure_role"), F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("nth"))
+    views = figures.select("manual_id", "page", F.col("path").alias("parent_path"), F.posexplode("views").alias("nth", "path"))
+    return full.unionByName(views.select("manual_id", "page", "path", F.lit("part").alias("figure_role"), "parent_path", (F.col("nth") + 1).alias("nth")))
 
 
 def callout_codes(read: Column, modelled: Column, labels: Column) -> Column:
@@ -56,9 +104,11 @@ def callout_codes(read: Column, modelled: Column, labels: Column) -> Column:
     return F.array_distinct(F.concat(base, F.coalesce(labels, F.array().cast("array<string>"))))
 
 
-def enriched_table(content: Column, context: Column, summary: Column, is_parts_list: Column) -> Column:
-    """A head, the summary (never for parts lists) and the original rows."""
-    return F.concat_ws("\n", F.concat(F.lit("### Table - "), context), F.when(~is_parts_list, summary), content)
+def enriched_table(content: Column, title: Column, section: Column, summary: Column, is_parts_list: Column) -> Column:
+    """A head, the summary (never for parts lists) and the original rows.  A parts list without a title is
+    called just that, another table by its section."""
+    named = F.coalesce(F.nullif(title, F.lit("")), F.when(is_parts_list, "Parts list").otherwise(F.coalesce(F.nullif(section, F.lit("")), F.lit("Technical Data"))))
+    return F.concat_ws("\n\n", F.concat(F.lit("### Table — "), named), F.when(~is_parts_list, summary), content)
 
 
 def retrieval_mode(mode: Column, intent: Column, pending: Column) -> Column:
@@ -86,11 +136,15 @@ def attachments(figures: DataFrame, tables: DataFrame) -> DataFrame:
     return tag(figures.where("path IS NOT NULL"), "IMAGE").unionByName(tag(once, "TABLE"))
 
 
-def attached_legends(pairs: DataFrame) -> DataFrame:
-    """Greedy: figures of a query in order, each with its best table that no earlier figure took.
+def attached_legends(pairs: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Greedy: full figures of a query in order, each with its best table that is not shown already and that no
+    earlier figure took.
 
-    pairs(query_id, figure_pos, figure_id, table_id, score).  A query's few figures and
-    candidates fold in one row, inside the JVM."""
+    pairs(query_id, figure_pos, figure_id, table_id, score): candidates of full figures, as of
+    ``tables.legend_pairs``; shown(query_id, table_id).  A query's few figures and candidates fold in one row,
+    inside the JVM."""
+    if shown is not None:
+        pairs = pairs.join(shown.select("query_id", "table_id"), ["query_id", "table_id"], "left_anti")
     per_figure = pairs.groupBy("query_id", "figure_pos", "figure_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "table_id"))).alias("t"))
     rows = per_figure.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("figure_pos", "figure_id", "t"))).alias("figures"))
     nothing = F.array().cast("array<struct<figure_id:bigint,table_id:bigint>>")

@@ -5,7 +5,7 @@ A change reads tables and gives new ones; ``sources.store`` writes them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Identifiers that stand for nothing.
@@ -44,13 +44,34 @@ def usable_id(c: Column) -> Column:
     return c.isNotNull() & ~F.lower(F.trim(c)).isin(*PLACEHOLDERS)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key; columns may be missing on either side."""
+def last_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row for each key: the one with the greatest ``order``; without an order, and between equal
+    orders, the greatest by all columns, so that a repeated run gives the same rows."""
+    rank = F.struct(*([order] if order else []), *[c for c in rows.columns if c not in (key, order)])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same key; columns may be missing on either side.
+
+    A key that comes several times in ``new`` leaves its last row (see ``last_of``)."""
+    new = last_of(new, key, order)
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_machines(machines: DataFrame, payload: DataFrame) -> DataFrame:
-    return upsert(machines, payload.where(usable_id(F.col("machine_id")) & usable_id(F.col("manual_id"))), "machine_id")
+def upsert_machines(machines: DataFrame, payload: DataFrame, order: str | None = None) -> DataFrame:
+    """Inserts or overwrites machines; ids are stored trimmed, placeholders are refused."""
+    clean = payload.withColumns({c: F.trim(c) for c in ("machine_id", "manual_id")})
+    usable = clean.where(usable_id(F.col("machine_id")) & usable_id(F.col("manual_id")))
+    rows = last_of(usable, "machine_id", order)
+    return upsert(machines, rows.drop(order) if order and order not in machines.columns else rows, "machine_id")
+
+
+def delete_machine(machines: DataFrame, machine_id: str) -> DataFrame:
+    """The machines without this one; an unknown id is an error."""
+    if machines.where(F.col("machine_id") == machine_id).isEmpty():
+        raise LookupError(f"404: {machine_id}")
+    return machines.where(~F.col("machine_id").eqNullSafe(machine_id))
 
 
 def rename_manual(tables: dict[str, DataFrame], old: str, new: str) -> dict[str, DataFrame]:
@@ -70,12 +91,22 @@ def rename_manual(tables: dict[str, DataFrame], old: str, new: str) -> dict[str,
 
 
 def delete_manual(tables: dict[str, DataFrame], manual_id: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables without the manual and its chunks, and the machines that it leaves behind."""
+    """Tables without the manual and its chunks, and the machines that it leaves behind.
+
+    An id that neither table knows is an error."""
     gone = F.col("manual_id").eqNullSafe(manual_id)
+    if tables["manuals"].where(gone).isEmpty() and tables["chunks"].where(gone).isEmpty():
+        raise LookupError(f"404: {manual_id}")
     left = {n: tables[n].where(~gone) for n in ("chunks", "manuals")}
     return tables | left, tables["machines"].where(gone)
 
 
+def sessions_by_update(sessions: DataFrame) -> DataFrame:
+    """Sessions of each machine, the one changed last first; ``place`` keeps the order through shuffles."""
+    newest = Window.partitionBy("machine_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("id"))
+    return sessions.withColumn("place", F.row_number().over(newest))
+
+
 def delete_sessions(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """memory, messages and sessions without those of ``ids(session_id)``."""
     drop = lambda df, c: df.join(ids.select(F.col("session_id").alias(c)), c, "left_anti")

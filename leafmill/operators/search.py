@@ -1,8 +1,9 @@
 """Vector search and the retrieval rules built on it, for whole tables of queries.
 
 ``search`` never pairs all rows with all queries in a shuffle: queries go out in
-blocks of a checked size, each task scores its rows against a block as one matrix
-product and keeps its own k best of each query, and only these meet in a window.
+blocks of a checked size, each task scores its rows against a block as matrix
+products (a manual's rows only against that manual's queries, where the scope says
+so) and keeps its own k best of each query, and only these meet in a window.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import part_numbers
+
 #: Gates of the retrieval rules; parameters everywhere.
 MIN_FIGURE, MIN_OTHER_MANUAL, MIN_MEMORY = 0.38, 0.55, 0.47
 #: Queries in one broadcast block.
@@ -24,11 +28,14 @@ def search(index: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...]
     """query_id, id, score, rank (1 is best) of the k nearest rows by cosine.
 
     index(id, embedding, type, <key>); queries(query_id, vector, <key>).  types:
-    empty means all.  scope: rows with the query's key (``same``), without it
-    (``other``; a NULL key is other) or all rows (``any``).  Ties go to the lower id.
+    empty means all.  scope: rows with the query's key (``same``; a NULL key has no
+    rows), without it (``other``; a NULL key is other) or all rows (``any``).  Ties go
+    to the lower id.  Rows and queries without a vector, with a NULL or NaN in it or of
+    another length are left out; a vector of length zero is like nothing: score 0.
     """
     rows = index.where(F.col("type").isin(*types)) if types else index
     rows = rows.select("id", "embedding", F.col(key).alias("k"))
+    queries = queries.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x))")
     total = queries.count()
     parts = []
     for number in range(max(1, -(-total // BLOCK))):
@@ -41,38 +48,85 @@ def search(index: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...]
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+#: A task thins out its hits when it holds so many.
+HELD = 1 << 18
+
+
+def _thinned(hits: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, score, id) the k best of each query: best score, then lower id."""
+    q, s, i = (np.concatenate(c) for c in zip(*hits))
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+    return q[place < k], s[place < k], i[place < k]
+
+
 def _block(rows: DataFrame, queries: DataFrame, k: int, scope: str) -> DataFrame:
     key = [f for f in queries.columns if f not in ("query_id", "vector")]
     held = queries.collect()  # about BLOCK rows, however many there are in all
     if not held:
         return rows.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), F.lit(0.0).alias("score"))
-    spark = rows.sparkSession
+    width = len(held[0].vector)
+    held = [r for r in held if len(r.vector) == width]
     q = np.array([r.vector for r in held], np.float64).reshape(len(held), -1)
-    norms = np.sqrt((q * q).sum(1))
-    shared = spark.sparkContext.broadcast(([r.query_id for r in held], np.array([r[key[0]] if key else None for r in held], object), q, norms))
+    norms = np.sqrt((q * q).sum(1, keepdims=True))
+    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
+    by_key: dict = {}
+    for n, r in enumerate(held):
+        by_key.setdefault(r[key[0]] if key else None, []).append(n)
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in held], np.int64), {x: np.array(n) for x, n in by_key.items()}, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, keys, vectors, lengths = shared.value
-        best: list[list] = [[] for _ in query_ids]
+        query_ids, of_key, vectors = shared.value
+        hits: list[tuple[np.ndarray, ...]] = []
+        n_held = 0
+
+        def scored(wanted: np.ndarray, at: np.ndarray, v: np.ndarray, ids: np.ndarray) -> int:
+            """Adds the k best rows ``at`` of each query ``wanted``, with all that tie with the last of them."""
+            if not len(at):
+                return 0
+            s = np.round(vectors[wanted] @ v[at].T, 12)  # so that ties don't hang on the order of sums
+            if len(at) > k:
+                least = np.partition(s, len(at) - k, axis=1)[:, len(at) - k, None]
+                x, y = np.nonzero(s >= least)
+            else:
+                x, y = (c.ravel() for c in np.indices(s.shape))
+            hits.append((wanted[x], s[x, y], ids[at[y]]))
+            return len(x)
+
         for batch in batches:
-            if not batch.num_rows or not len(query_ids):
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), width)) if batch.num_rows else batch
+            if not batch.num_rows:
                 continue
-            ids = np.array(batch.column(0).to_pylist())
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            owner = np.array(batch.column(2).to_pylist(), object)
-            score = (vectors @ v.T) / (lengths[:, None] * np.sqrt((v * v).sum(1))[None, :])
-            for i in range(len(query_ids)):
-                fits = np.ones(len(ids), bool) if scope == "any" else (owner == keys[i]) == (scope == "same")
-                at = np.flatnonzero(fits)
-                if len(at) > k:
-                    s = score[i, at]
-                    at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                best[i] = sorted(best[i] + [(-score[i, j], ids[j]) for j in at])[:k]
-        out = [(query_ids[i], int(r), -float(s)) for i, b in enumerate(best) for s, r in b]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "id", "score"])
-
-    return rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+            v = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
+            length = np.sqrt((v * v).sum(1, keepdims=True))
+            fine = np.isfinite(length[:, 0])
+            v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            everyone, everything = np.arange(len(query_ids)), np.flatnonzero(fine)
+            if scope == "any":
+                n_held += scored(everyone, everything, v, ids)
+            else:
+                owner = batch.column(2).dictionary_encode()
+                of = owner.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                names = owner.dictionary.to_pylist()
+                if scope == "same":  # only the queries of a manual meet its rows
+                    for n, name in enumerate(names):
+                        if name is not None and name in of_key:
+                            n_held += scored(of_key[name], np.flatnonzero((of == n) & fine), v, ids)
+                else:
+                    for name, wanted in of_key.items():
+                        own = names.index(name) if name is not None and name in names else -2
+                        n_held += scored(wanted, np.flatnonzero((of != own) & fine), v, ids)
+            if n_held > HELD:
+                hits = [_thinned(hits, k)]
+                n_held = 0
+        if hits:
+            x, s, i = _thinned(hits, k)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[x]), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "id", "score"])
+
+    return rows.where(F.col("embedding").isNotNull()).mapInArrow(run, "query_id bigint, id bigint, score double")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -81,9 +135,11 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def top(df: DataFrame, keys: list[str], k: int, order: list | None = None, rank: str = "rank") -> DataFrame:
+def top(df: DataFrame, keys: list[str], k: int | None, order: list | None = None, rank: str = "rank") -> DataFrame:
+    """The k first rows of each key with their rank; without k all of them."""
     w = Window.partitionBy(*keys).orderBy(*(order or [F.desc("score"), F.col("id")]))
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def text_hits(index: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -145,8 +201,70 @@ def best_of_many(hits: DataFrame, k: int) -> DataFrame:
 
 
 def exact_first(exact: DataFrame, near: DataFrame, key: str = "id") -> DataFrame:
-    """Exact hits (score 1), then the near ones whose key is not among them; ``pos`` orders both."""
+    """Exact hits (score 1), then the near ones whose key is not among them; ``pos`` orders both.
+
+    exact(query_id, pos, id, score, <key>), near(query_id, pos, id, score, <key>): pos is the order of either."""
+    columns = list(dict.fromkeys(["query_id", "id", key, "score", "pos"]))
     rest = near.join(exact.select("query_id", key).distinct(), ["query_id", key], "left_anti")
-    both = exact.select("query_id", "id", "score", F.lit(0).alias("late")).unionByName(rest.select("query_id", "id", "score", F.lit(1).alias("late")))
-    order = Window.partitionBy("query_id").orderBy("late", F.desc("score"), "id")
+    both = exact.select(*columns, F.lit(0).alias("late")).unionByName(rest.select(*columns, F.lit(1).alias("late")))
+    order = Window.partitionBy("query_id").orderBy("late", "pos", "id")
     return both.withColumn("pos", F.row_number().over(order)).drop("late")
+
+
+def code_hits(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Rows of the query's manual that list a code its text names: query_id, pos, id, type, path, score 1; k a query.
+
+    index(id, manual_id, type, path, part_numbers ARRAY), queries(query_id, manual_id, text).  Codes are
+    compared as they are stored, and a question's codes are capitals."""
+    asked = queries.select("query_id", "manual_id", F.explode(part_numbers(F.col("text"))).alias("code"))
+    listed = index.select("id", "manual_id", "type", "path", F.explode(F.array_distinct("part_numbers")).alias("code"))
+    found = asked.join(listed, ["manual_id", "code"]).select("query_id", "id", "type", "path").distinct()
+    return top(found, ["query_id"], k, [F.col("id")], "pos").withColumn("score", F.lit(1.0))
+
+
+def matched_figure(index: DataFrame, queries: DataFrame, confident: float = 0.55, possible: float = MIN_FIGURE, fetch: int = 5) -> DataFrame:
+    """The figure of the manual that an uploaded picture's description is most like: query_id, id, path, page,
+    band (``confident`` or ``possible``), score; no row below ``possible``.  Figures without a path don't count."""
+    near = search(index, queries, fetch, ("image",)).drop("rank").join(index.where("path IS NOT NULL").select("id", "path", "page"), "id")
+    band = F.when(F.col("score") >= confident, "confident").otherwise("possible")
+    return top(near.where(F.col("score") >= possible), ["query_id"], 1).withColumn("band", band).drop("rank")
+
+
+def retrieve(index: DataFrame, memory: DataFrame, queries: DataFrame, gate: float = MIN_FIGURE, other_gate: float = MIN_OTHER_MANUAL, memory_gate: float = MIN_MEMORY) -> DataFrame:
+    """All that answers a question, in five slots: query_id, slot, pos, id, score.
+
+    ``text``: exact code hits, then the nearest texts; ``image``: exact figures, then near ones with
+    the full views of parts that were hit and the figures of part entries among the texts, full views
+    first; ``table``; ``memory``: past fixes of the query's machine; ``other``: the other manuals.
+
+    index as in ``search`` with page, path, figure_role, parent_path, render_markdown, part_numbers;
+    memory(id, embedding, machine_id); queries(query_id, vector, manual_id, machine_id, text).
+    """
+    asked = queries.select("query_id", "vector", "manual_id")
+    ranked = lambda df: df.withColumnRenamed("rank", "pos")
+    exact = code_hits(index, queries)
+    near = text_hits(index, asked)
+    text = exact_first(exact.where("type <> 'image'"), ranked(near))
+
+    columns = ["query_id", "id", "path", "parent_path", "figure_role", "score"]
+    late = lambda df, n: df.select(*columns, F.lit(n).alias("late"))
+    place = lambda df: top(df, ["query_id"], None, [F.col("late"), F.desc("score"), F.col("id")], "pos")
+    hits = figure_hits(index, asked, gate)
+    figures = full_before_parts(place(late(hits, 0).unionByName(late(parents(hits, index), 1))))
+    pulled = part_figures(text, figures, index)
+    n = figures.groupBy("query_id").agg(F.max("position").alias("n"))  # what is pulled in comes after all others
+    after = pulled.select(*columns).join(n, "query_id", "left").withColumn("late", F.coalesce("n", F.lit(0)) + 1).drop("n")
+    again = figures.withColumn("late", F.col("position")).select(*columns, "late").unionByName(after)
+    ordered = full_before_parts(place(again)).drop("pos").withColumnRenamed("position", "pos")
+    image = exact_first(exact.where("type = 'image'"), ordered, "path")
+
+    table = ranked(table_hits(index, asked, gate))
+    fixes = search(memory.withColumn("type", F.lit("memory")), queries.select("query_id", "vector", "machine_id"), 3, key="machine_id")
+    fixes = ranked(fixes.where(F.col("score") >= memory_gate))
+    other = ranked(other_manual_hits(index, asked, other_gate))
+    slots = {"text": text, "image": image, "table": table, "memory": fixes, "other": other}
+    found = [df.select("query_id", F.lit(slot).alias("slot"), "pos", "id", "score") for slot, df in slots.items()]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out

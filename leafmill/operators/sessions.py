@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import tail
+
 
 def first_and_last(messages: DataFrame) -> DataFrame:
     """The first user message (the topic) and the latest agent message of each session, by id."""
@@ -43,11 +45,46 @@ def anchored_query(topic: Column, query: Column, wizard: Column) -> Column:
     return F.when(wizard & topic.isNotNull() & (F.trim(topic) != F.trim(query)), F.concat(F.trim(topic), F.lit(". "), query)).otherwise(query)
 
 
+#: What a record of a fix must have.
+REQUIRED = ("engineer", "root_cause", "actions", "method")
+
+
 def fix_record(df: DataFrame) -> DataFrame:
-    """Trimmed fields; actions fall back to the operator's fix; rows without any are dropped."""
-    clean = {c: F.trim(c) for c in ("symptom", "root_cause", "actions", "operator_fix")}
-    out = df.withColumns(clean)
-    return out.withColumn("actions", F.coalesce(F.nullif("actions", F.lit("")), F.nullif("operator_fix", F.lit("")))).where("actions IS NOT NULL")
+    """Trimmed fields, actions falling back to the operator's fix, and ``errors``: the required fields that are
+    blank.  No row is dropped; a record without actions can't be stored."""
+    clean = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("symptom", "engineer", "root_cause", "actions", "operator_fix", "method", "parts_replaced") if c in df.columns}
+    out = df.withColumns(clean).withColumn("actions", F.coalesce(F.nullif("actions", F.lit("")), F.nullif("operator_fix", F.lit(""))))
+    missing = [F.when(F.coalesce(c, F.lit("")) == "", F.lit(c)) for c in REQUIRED if c in df.columns]
+    return out.withColumn("errors", F.array_compact(F.array(*missing)))
+
+
+def conversation_text(messages: DataFrame, most: int | None = None) -> DataFrame:
+    """session_id, conversation: all messages as ``ROLE: content`` lines, or the last ``most`` characters of them."""
+    text = history_text(messages).withColumnRenamed("history", "conversation")
+    return text if most is None else text.withColumn("conversation", tail(F.col("conversation"), most))
+
+
+def can_record_fix(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """session_id, can_record: a session on a machine that isn't for learning and that has been answered."""
+    answered = messages.where("role = 'agent'").select(F.col("session_id").alias("id")).distinct().withColumn("answered", F.lit(True))
+    ok = (F.coalesce("machine_id", F.lit("")) != "") & (F.coalesce("intent", F.lit("")) != "learn") & F.coalesce("answered", F.lit(False))
+    return sessions.join(answered, "id", "left").select(F.col("id").alias("session_id"), ok.alias("can_record"))
+
+
+def first_incident(incidents: DataFrame) -> DataFrame:
+    """Of the past fixes shown with an answer, the best: incidents(answer_id, pos, ...)."""
+    w = Window.partitionBy("answer_id").orderBy("pos")
+    return incidents.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def as_attachments(images: Column) -> Column:
+    """Images of an older message as attachments: {tag, title, url}."""
+    return F.transform(images, lambda u, i: F.struct(F.concat(F.lit("IMAGE_"), i.cast("string")).alias("tag"), F.concat(F.lit("Figure "), (i + 1).cast("string")).alias("title"), u.alias("url")))
+
+
+def cited_pages(hits: DataFrame) -> DataFrame:
+    """query_id, pages: the distinct pages of an answer's hits, ascending; unknown ones don't count."""
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
 
 
 def segments(answers: DataFrame) -> DataFrame:
@@ -64,6 +101,6 @@ def segments(answers: DataFrame) -> DataFrame:
     rows = rows.where("(is_tag AND known) OR (NOT is_tag AND value <> '')")
     once = Window.partitionBy("answer_id", "is_tag", F.when(F.col("is_tag"), F.col("value")).otherwise(F.col("pos").cast("string"))).orderBy("pos")
     rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1").select("answer_id", "pos", F.when(F.col("is_tag"), "asset").otherwise("text").alias("kind"), "value")
-    tail = answers.select("answer_id", F.posexplode("tags").alias("pos", "value")).join(rows.where("kind = 'asset'").select("answer_id", "value"), ["answer_id", "value"], "left_anti")
-    both = rows.unionByName(tail.select("answer_id", (F.col("pos") + 1_000_000).alias("pos"), F.lit("asset").alias("kind"), "value"))
-    return both.withColumn("seq", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos"))).drop("pos")
+    unnamed = answers.select("answer_id", F.posexplode("tags").alias("pos", "value")).join(rows.where("kind = 'asset'").select("answer_id", "value"), ["answer_id", "value"], "left_anti")
+    both = rows.withColumn("late", F.lit(0)).unionByName(unnamed.select("answer_id", "pos", F.lit("asset").alias("kind"), "value", F.lit(1).alias("late")))
+    return both.withColumn("seq", F.row_number().over(Window.partitionBy("answer_id").orderBy("late", "pos"))).drop("pos", "late")

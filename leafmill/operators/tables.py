@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.scalars import PLACEHOLDER
+from leafmill.functions.scalars import PLACEHOLDER, whole_cells
 
 MAX_TABLE_CHARS = 2500
 
@@ -49,7 +49,7 @@ def usable_markdown(c: Column) -> Column:
         cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
         return F.size(F.filter(cells, lambda x: (x != "") & ~x.rlike(PLACEHOLDER)))
 
-    body = F.slice(lines, 3, 100_000)
+    body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
     return (F.size(lines) >= 3) & (real(F.get(lines, F.lit(0))) >= 2) & F.exists(body, lambda r: real(r) >= 2)
 
 
@@ -89,51 +89,95 @@ def row_groups(rows: Column, limit: int = MAX_TABLE_CHARS) -> Column:
 
 
 def split_table(df: DataFrame, limit: int = MAX_TABLE_CHARS) -> DataFrame:
-    """df(table_id, head, rows ARRAY<STRING>) -> table_id, part, n_parts, content.
+    """df(table_id, head, rows ARRAY<STRING>, markdown) -> table_id, part, n_parts, content, render_markdown.
 
-    Parts repeat the head; with several parts a note tells which one it is.
+    Parts repeat the head; with several parts a note tells which one it is.  The grid is cut at the same
+    rows, below its own two head lines, if it has as many rows; else it stays whole with the first part.
     """
-    groups = df.withColumn("g", row_groups(F.col("rows"), limit))
-    flat = groups.select("table_id", "head", F.posexplode(F.arrays_zip("rows", "g")).alias("pos", "r")).select("table_id", "head", "pos", F.col("r.rows").alias("row"), F.col("r.g").alias("part"))
-    parts = flat.groupBy("table_id", "head", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]), "\n").alias("body"))
+    grid = F.split(F.coalesce("markdown", F.lit("")), "\n")
+    body = F.when(F.size(grid) > 2, F.slice(grid, 3, F.greatest(F.size(grid) - 2, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    groups = df.withColumns({"g": row_groups(F.col("rows"), limit), "top": F.slice(grid, 1, 2), "grid": body})
+    groups = groups.withColumn("even", (F.size("grid") == F.size("rows")) & (F.size("grid") > 0))
+    groups = groups.withColumn("grid", F.when(F.col("even"), F.col("grid")).otherwise(F.transform("rows", lambda r: F.lit(None).cast("string"))))
+    keys = ["table_id", "head", "top", "even", "markdown"]
+    flat = groups.select(*keys, F.posexplode(F.arrays_zip("rows", "g", "grid")).alias("pos", "r")).select(*keys, "pos", F.col("r.rows").alias("row"), F.col("r.grid").alias("line"), F.col("r.g").alias("part"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "row", "line")))
+    parts = flat.groupBy(*keys, "part").agg(rows.alias("r"))
     n = F.count("*").over(Window.partitionBy("table_id"))
     note = F.when(F.col("n_parts") > 1, F.format_string("(part %d of %d)", F.col("part") + 1, F.col("n_parts")))
-    return parts.withColumn("n_parts", n).select("table_id", (F.col("part") + 1).alias("part"), F.col("n_parts").cast("int").alias("n_parts"), F.concat_ws("\n", "head", note, "body").alias("content"))
+    lines = lambda f: F.array_join(F.transform("r", lambda x: x[f]), "\n")
+    shown = F.when(F.col("even"), F.concat_ws("\n", F.array_join("top", "\n"), lines("line"))).when(F.col("part") == 0, F.col("markdown"))
+    return parts.withColumn("n_parts", n).select(
+        "table_id", (F.col("part") + 1).alias("part"), F.col("n_parts").cast("int").alias("n_parts"), F.concat_ws("\n", "head", note, lines("row")).alias("content"), shown.alias("render_markdown")
+    )
 
 
-def legend_scores(figures: DataFrame, grids: DataFrame, band: int | None = 2) -> DataFrame:
-    """figure_id, table_id, hits: codes of a figure that are whole cells of a table.
+def table_chunks(df: DataFrame, limit: int = MAX_TABLE_CHARS) -> DataFrame:
+    """df(table_id, content, markdown, caption_line) -> table_id, part, n_parts, content, render_markdown.
 
-    figures(figure_id, page, codes ARRAY), grids(table_id, page, content, cells ARRAY): an
-    equi join on the code, within ``band`` pages if given; every listed code counts, also
-    when it is listed twice.
-    """
-    codes = figures.select("figure_id", F.col("page").alias("fp"), F.explode("codes").alias("code"))
-    cells = grids.select("table_id", F.col("page").alias("tp"), F.explode(F.array_distinct("cells")).alias("code"))
-    both = codes.join(cells, "code")
+    A table of up to ``limit`` characters stays whole; a longer one is split at its rows, its first line
+    repeated in every part if it is a caption line."""
+    text = F.coalesce("content", F.lit(""))
+    whole = df.where(F.length(text) <= limit).select("table_id", F.lit(1).alias("part"), F.lit(1).alias("n_parts"), text.alias("content"), F.col("markdown").alias("render_markdown"))
+    lines = F.split(text, "\n")
+    first = F.col("caption_line") & (F.size(lines) > 0)
+    long = df.where(F.length(text) > limit).select("table_id", F.when(first, lines[0]).alias("head"), F.when(first, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines).alias("rows"), "markdown")
+    return whole.unionByName(split_table(long, limit))
+
+
+def chosen_tables(found: DataFrame) -> DataFrame:
+    """found(page, flavor, table_id, valid): of each page the valid tables of the first flavor, lattice before stream, that has one."""
+    rank = F.when(F.col("flavor") == "lattice", 0).otherwise(1)
+    best = Window.partitionBy("page")
+    good = found.where("valid").withColumn("rank", rank)
+    return good.withColumn("best", F.min("rank").over(best)).where("rank = best").drop("rank", "best", "valid")
+
+
+def legend_scores(figures: DataFrame, grids: DataFrame, band: int | None = 2) -> DataFrame:
+    """figure_id, table_id, hits: codes of a figure that are whole cells of a table of its manual.
+
+    figures(figure_id, manual_id, page, codes ARRAY), grids(table_id, manual_id, page, cells ARRAY): an equi
+    join on manual and code, and on the pages of the band if there is one, so a common code only meets
+    the tables near it; every listed code counts, also when it is listed twice."""
+    codes = figures.select("figure_id", "manual_id", "page", F.explode("codes").alias("code"))
+    cells = grids.select("table_id", "manual_id", "page", F.explode(F.array_distinct("cells")).alias("code"))
+    keys = ["manual_id", "code"]
     if band is not None:
-        both = both.where(F.abs(F.col("fp") - F.col("tp")) <= band)
-    return both.groupBy("figure_id", "table_id").agg(F.count("*").alias("hits"))
+        near = F.filter(F.sequence(F.col("page") - band, F.col("page") + band), lambda p: p > 0)
+        codes, keys = codes.withColumn("page", F.explode(near)), [*keys, "page"]
+    return codes.join(cells.drop(*{"page"} - set(keys)), keys).groupBy("figure_id", "table_id").agg(F.count("*").alias("hits"))
 
 
-def legend_pairs(figures: DataFrame, grids: DataFrame, band: int = 2) -> DataFrame:
-    """The best table near each figure: one point a code, two for a legend title; least score 2.
+def legend_pairs(figures: DataFrame, grids: DataFrame, band: int = 2, best: bool = True) -> DataFrame:
+    """The best table near each figure (or all, with their scores): one point a code, two for a legend title; least score 2.
 
-    A titled table needs no code to reach the least score, so titled tables of the band come too.
+    grids with content (its first line is the title).  A titled table needs no code to reach the least
+    score, so titled tables of the band come too.  Pages count from 1.
     """
     titled = F.lower(F.split(F.coalesce("content", F.lit("")), "\n")[0]).rlike(r"key to fig|legend|parts? list")
-    named = grids.where(titled).select("table_id", F.col("page").alias("tp"))
-    near = figures.select("figure_id", F.explode(F.sequence(F.col("page") - band, F.col("page") + band)).alias("tp")).join(named, "tp").select("figure_id", "table_id", F.lit(2).cast("bigint").alias("points"))
+    named = grids.where(titled).select("table_id", "manual_id", "page")
+    near = F.filter(F.sequence(F.col("page") - band, F.col("page") + band), lambda p: p > 0)
+    near = figures.where(F.size("codes") > 0).select("figure_id", "manual_id", F.explode(near).alias("page")).join(named, ["manual_id", "page"]).select("figure_id", "table_id", F.lit(2).cast("bigint").alias("points"))
     points = legend_scores(figures, grids, band).select("figure_id", "table_id", F.col("hits").alias("points")).unionByName(near)
     scored = points.groupBy("figure_id", "table_id").agg(F.sum("points").alias("score")).where("score >= 2")
     w = Window.partitionBy("figure_id").orderBy(F.desc("score"), "table_id")
-    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return scored.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n") if best else scored
 
 
 def legend_sweep(figures: DataFrame, grids: DataFrame, share: float = 0.6, least: int = 4) -> DataFrame:
-    """Over all tables: figures of four codes or more, most hits, at least max(4, int(share * codes))."""
+    """Over all tables of the manual: figures of four codes or more, most hits, at least max(4, int(share * codes))."""
     enough = figures.where(F.size("codes") >= least)
     hits = legend_scores(enough, grids, None).join(enough.select("figure_id", F.size("codes").alias("n_codes")), "figure_id")
     good = hits.where(F.col("hits") >= F.greatest(F.lit(least), F.floor(F.col("n_codes") * F.lit(share))))
     w = Window.partitionBy("figure_id").orderBy(F.desc("hits"), "table_id")
     return good.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "n_codes")
+
+
+def legends(figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """The legend of each figure: the best table near it, else the best of the manual: figure_id, table_id, near.
+
+    tables(table_id, manual_id, page, content, render_markdown); those without a grid are no candidates."""
+    grids = tables.where("render_markdown IS NOT NULL").withColumn("cells", whole_cells(F.col("render_markdown")))
+    near = legend_pairs(figures, grids).select("figure_id", "table_id", F.lit(True).alias("near"))
+    rest = figures.join(near.select("figure_id"), "figure_id", "left_anti")
+    return near.unionByName(legend_sweep(rest, grids).select("figure_id", "table_id", F.lit(False).alias("near")))

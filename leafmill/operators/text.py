@@ -112,17 +112,37 @@ def split_text(text: str, size: int = 800, overlap: int = 100, separators: tuple
     return out
 
 
-def chunked(items: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """items(manual_id, page, doc_id, content) -> one row a chunk; one Arrow pass, no shuffle."""
+def chunked(items: DataFrame, size: int = 800, overlap: int = 100, keep: tuple[str, ...] = ("manual_id", "page", "doc_id")) -> DataFrame:
+    """items(<keep>, content) -> the columns ``keep``, chunk_no and content, one row a chunk; one Arrow pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for m, p, d, c in zip(*(col.to_pylist() for col in b.columns)):
-                for n, chunk in enumerate(split_text(c or "", size, overlap)):
-                    for col, v in zip(cols, (m, p, d, n, chunk)):
-                        col.append(v)
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["manual_id", "page", "doc_id", "chunk_no", "content"])
-
-    return items.select("manual_id", "page", "doc_id", "content").mapInArrow(run, "manual_id string, page int, doc_id bigint, chunk_no int, content string")
+            parts = [split_text(c or "", size, overlap) for c in b.column(len(keep)).to_pylist()]
+            row = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            columns = [b.column(k).take(row) for k in range(len(keep))]
+            columns += [pa.array([n for p in parts for n in range(len(p))], pa.int32()), pa.array([c for p in parts for c in p], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "chunk_no", "content"])
+
+    schema = items.select(*keep).schema.add("chunk_no", "integer").add("content", "string")
+    return items.select(*keep, "content").mapInArrow(run, schema)
+
+
+def chunk_rows(items: DataFrame) -> DataFrame:
+    """Parts and images pass as they are, one chunk each: an image without a caption has an empty one, and
+    counts as a full view unless it says otherwise.  items(type, content, figure_role, ...)."""
+    image = F.col("type") == "image"
+    return items.where(F.col("type").isin("part", "image")).withColumns({
+        "content": F.when(image, F.coalesce("content", F.lit(""))).otherwise(F.col("content")),
+        "figure_role": F.when(image, F.coalesce("figure_role", F.lit("full"))).otherwise(F.col("figure_role")),
+    })
+
+
+def raw_corpus(chunks: DataFrame) -> DataFrame:
+    """What callouts are looked up in: texts and tables with content, as they were before enrichment."""
+    return chunks.where(F.col("type").isin("text", "table") & (F.coalesce("content", F.lit("")) != "")).select("chunk_id", "manual_id", "page", "type", "content")
+
+
+def to_embed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks with content, and how many of each manual have none: (rows, manual_id + empty)."""
+    filled = F.coalesce(F.length("content"), F.lit(0)) > 0
+    return chunks.where(filled), chunks.groupBy("manual_id").agg(F.count_if(~filled).alias("empty"))

@@ -62,36 +62,71 @@ def header_value_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("v_parts", """+r AS (SELECT list_id, CAST(seq AS INT) AS seq, 'Ref: ' || ref || ' | ' || part_number || ' | ' || description || ' | Qty: ' || qty AS row, max(seq) OVER (PARTITION BY list_id) AS n FROM v_parts),
 g AS (WITH RECURSIVE f AS (SELECT list_id, seq, row, 0 AS g, length(row) + 1 AS size FROM r WHERE seq = 1
   UNION ALL SELECT r.list_id, r.seq, r.row, CASE WHEN f.size + length(r.row) > 150 THEN f.g + 1 ELSE f.g END, CASE WHEN f.size + length(r.row) > 150 THEN length(r.row) + 1 ELSE f.size + length(r.row) + 1 END FROM f JOIN r ON r.list_id = f.list_id AND r.seq = f.seq + 1) SELECT * FROM f),
-p AS (SELECT list_id, g, string_agg(row, chr(10) ORDER BY seq) AS body FROM g GROUP BY 1, 2),
+p AS (SELECT list_id, g, string_agg(row, chr(10) ORDER BY seq) AS body, string_agg('| ' || seq || ' |', chr(10) ORDER BY seq) AS grid FROM g GROUP BY 1, 2),
+w AS (SELECT list_id, string_agg('| ' || seq || ' |', chr(10) ORDER BY seq) AS grid FROM r GROUP BY 1),
 q AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS n FROM p)
-SELECT list_id AS table_id, CAST(g + 1 AS INT) AS part, CAST(n AS INT) AS n_parts, 'List ' || CAST(list_id AS VARCHAR) || chr(10) || CASE WHEN n > 1 THEN '(part ' || CAST(g + 1 AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ')' || chr(10) ELSE '' END || body AS content FROM q"""))
+SELECT q.list_id AS table_id, CAST(g + 1 AS INT) AS part, CAST(n AS INT) AS n_parts, 'List ' || CAST(q.list_id AS VARCHAR) || chr(10) || CASE WHEN n > 1 THEN '(part ' || CAST(g + 1 AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ')' || chr(10) ELSE '' END || body AS content,
+  CASE WHEN q.list_id % 3 <> 0 THEN '| No |' || chr(10) || '| --- |' || chr(10) || q.grid WHEN g = 0 THEN '| No |' || chr(10) || '| --- |' || chr(10) || '| x |' || chr(10) || w.grid END AS render_markdown FROM q JOIN w ON q.list_id = w.list_id"""))
 def table_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists cut at their rows with their grids; every third grid has a row too many and stays whole."""
     line = F.concat(F.lit("Ref: "), "ref", F.lit(" | "), "part_number", F.lit(" | "), "description", F.lit(" | Qty: "), "qty")
     per = view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("row")))).alias("r"))
-    tables = per.select(F.col("list_id").alias("table_id"), F.concat(F.lit("List "), F.col("list_id").cast("string")).alias("head"), F.transform("r", lambda x: x["row"]).alias("rows"))
+    grid = F.transform("r", lambda x: F.concat(F.lit("| "), x["seq"].cast("string"), F.lit(" |")))
+    grid = F.when(F.col("list_id") % 3 == 0, F.concat(F.array(F.lit("| x |")), grid)).otherwise(grid)
+    markdown = F.array_join(F.concat(F.array(F.lit("| No |"), F.lit("| --- |")), grid), "\n")
+    tables = per.select(F.col("list_id").alias("table_id"), F.concat(F.lit("List "), F.col("list_id").cast("string")).alias("head"), F.transform("r", lambda x: x["row"]).alias("rows"), markdown.alias("markdown"))
     return G.split_table(tables, limit=150)
 
 
-_GRID = """+f AS (SELECT list_id - list_id % 2 AS figure_id, CAST(list_id // 10 AS INT) AS page, list(DISTINCT part_number) AS codes FROM v_parts WHERE list_id % 2 = 0 GROUP BY 1, 2),
-t AS (SELECT list_id + 1 - list_id % 2 AS table_id, CAST((list_id + 1 - list_id % 2) // 10 AS INT) AS page, list_id // 2 % 5 = 1 AS titled, list(DISTINCT part_number) AS cells FROM v_parts GROUP BY 1, 2, 3),
-fc AS (SELECT figure_id, page AS fp, unnest(codes) AS code FROM f), tc AS (SELECT table_id, page AS tp, unnest(cells) AS code FROM t)
+@query(with_views("v_parts", """+c AS (SELECT list_id, 'Rows of ' || CAST(list_id AS VARCHAR) || chr(10) || string_agg(part_number || ' ' || description, chr(10) ORDER BY seq) AS content FROM v_parts GROUP BY 1),
+w AS (SELECT list_id AS table_id, 1 AS part, content FROM c WHERE length(content) <= 120),
+r AS (SELECT v.list_id, CAST(seq AS INT) AS seq, part_number || ' ' || description AS row FROM v_parts v JOIN c ON c.list_id = v.list_id WHERE length(content) > 120),
+g AS (WITH RECURSIVE f AS (SELECT list_id, seq, row, 0 AS g, length(row) + 1 AS size FROM r WHERE seq = 1
+  UNION ALL SELECT r.list_id, r.seq, r.row, CASE WHEN f.size + length(r.row) > 120 THEN f.g + 1 ELSE f.g END, CASE WHEN f.size + length(r.row) > 120 THEN length(r.row) + 1 ELSE f.size + length(r.row) + 1 END FROM f JOIN r ON r.list_id = f.list_id AND r.seq = f.seq + 1) SELECT * FROM f),
+p AS (SELECT list_id, g, string_agg(row, chr(10) ORDER BY seq) AS body, count(*) OVER (PARTITION BY list_id) AS n FROM g GROUP BY 1, 2)
+SELECT table_id, part, 1 AS n_parts, content FROM w UNION ALL
+SELECT list_id, CAST(g + 1 AS INT), CAST(n AS INT), 'Rows of ' || CAST(list_id AS VARCHAR) || chr(10) || CASE WHEN n > 1 THEN '(part ' || CAST(g + 1 AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ')' || chr(10) ELSE '' END || body FROM p"""))
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short tables stay whole, long ones are cut."""
+    row = F.concat("part_number", F.lit(" "), "description")
+    per = view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+    content = F.concat(F.lit("Rows of "), F.col("list_id").cast("string"), F.lit("\n"), "body")
+    tables = per.select(F.col("list_id").alias("table_id"), content.alias("content"), F.lit(None).cast("string").alias("markdown"), F.lit(True).alias("caption_line"))
+    return G.table_chunks(tables, limit=120).drop("render_markdown")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS page, CASE l_linenumber % 2 WHEN 0 THEN 'lattice' ELSE 'stream' END AS flavor, l_partkey AS table_id, bool_or(l_suppkey % 3 <> 0) AS valid FROM lineitem GROUP BY ALL),
+v AS (SELECT *, min(CASE flavor WHEN 'lattice' THEN 0 ELSE 1 END) OVER (PARTITION BY page) AS best FROM f WHERE valid)
+SELECT page, flavor, table_id FROM v WHERE best = CASE flavor WHEN 'lattice' THEN 0 ELSE 1 END""")
+def flavor_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page the valid tables of the first reader that found one."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    flavor = F.when(F.col("l_linenumber") % 2 == 0, "lattice").otherwise("stream")
+    found = l.groupBy(F.col("l_orderkey").alias("page"), flavor.alias("flavor"), F.col("l_partkey").alias("table_id")).agg(F.bool_or(F.col("l_suppkey") % 3 != 0).alias("valid"))
+    return G.chosen_tables(found)
+
+
+_GRID = """+f AS (SELECT list_id - list_id % 2 AS figure_id, CAST(list_id // 10 AS INT) AS page, CAST(list_id // 2 % 4 AS VARCHAR) AS manual_id, list(DISTINCT part_number) AS codes FROM v_parts WHERE list_id % 2 = 0 GROUP BY 1, 2, 3),
+t AS (SELECT list_id + 1 - list_id % 2 AS table_id, CAST((list_id + 1 - list_id % 2) // 10 AS INT) AS page, list_id // 2 % 5 = 1 AS titled, CAST(list_id // 2 % 4 AS VARCHAR) AS manual_id, list(DISTINCT part_number) AS cells FROM v_parts GROUP BY 1, 2, 3, 4),
+fc AS (SELECT figure_id, manual_id, page AS fp, unnest(codes) AS code FROM f), tc AS (SELECT table_id, manual_id, page AS tp, unnest(cells) AS code FROM t)
 """
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lists in pairs: the even one is a figure with its part numbers as codes, both together are
-    a table with their part numbers as cells; ten lists are a page."""
+    a table with their part numbers as cells; ten lists are a page, and four manuals share the pages."""
     parts = view(spark, sf_dir, "v_parts")
     odd = F.col("list_id") + 1 - F.col("list_id") % 2
     title = F.when(F.floor(F.col("table_id") / 2) % 5 == 1, "Key to Fig. 1").otherwise("Values")
     page = lambda c: F.floor(c / 10).cast("int").alias("page")
-    figures = parts.where("list_id % 2 = 0").groupBy(F.col("list_id").alias("figure_id")).agg(F.collect_set("part_number").alias("codes")).select("figure_id", page(F.col("figure_id")), "codes")
-    grids = parts.groupBy(odd.alias("table_id")).agg(F.collect_set("part_number").alias("cells")).select("table_id", page(F.col("table_id")), title.alias("content"), "cells")
+    manual = lambda c: (F.floor(c / 2) % 4).cast("string").alias("manual_id")
+    figures = parts.where("list_id % 2 = 0").groupBy(F.col("list_id").alias("figure_id")).agg(F.collect_set("part_number").alias("codes")).select("figure_id", manual(F.col("figure_id")), page(F.col("figure_id")), "codes")
+    grids = parts.groupBy(odd.alias("table_id")).agg(F.collect_set("part_number").alias("cells")).select("table_id", manual(F.col("table_id")), page(F.col("table_id")), title.alias("content"), "cells")
     return figures, grids
 
 
-@query(with_views("v_parts", _GRID + """, hits AS (SELECT figure_id, table_id, count(*) AS points FROM fc JOIN tc USING (code) WHERE abs(fp - tp) <= 2 GROUP BY 1, 2),
-tit AS (SELECT figure_id, table_id, 2 AS points FROM f JOIN t ON titled AND abs(f.page - t.page) <= 2),
+@query(with_views("v_parts", _GRID + """, hits AS (SELECT figure_id, table_id, count(*) AS points FROM fc JOIN tc USING (manual_id, code) WHERE abs(fp - tp) <= 2 AND tp > 0 GROUP BY 1, 2),
+tit AS (SELECT figure_id, table_id, 2 AS points FROM f JOIN t ON titled AND f.manual_id = t.manual_id AND abs(f.page - t.page) <= 2 AND t.page > 0),
 s AS (SELECT figure_id, table_id, sum(points) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM tit) GROUP BY 1, 2 HAVING sum(points) >= 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY score DESC, table_id) AS n FROM s)
 SELECT figure_id, table_id, CAST(score AS BIGINT) AS score FROM n WHERE n = 1"""))
@@ -99,16 +134,21 @@ def legend_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.legend_pairs(*_grids(spark, sf_dir))
 
 
-@query(with_views("v_parts", _GRID + """, hits AS (SELECT figure_id, table_id, count(*) AS hits FROM fc JOIN tc USING (code) GROUP BY 1, 2),
+@query(with_views("v_parts", _GRID + """, hits AS (SELECT figure_id, table_id, count(*) AS hits FROM fc JOIN tc USING (manual_id, code) GROUP BY 1, 2),
 n AS (SELECT h.*, row_number() OVER (PARTITION BY h.figure_id ORDER BY hits DESC, table_id) AS n FROM hits h JOIN f USING (figure_id) WHERE len(codes) >= 4 AND hits >= greatest(4, floor(len(codes) * 0.6::DOUBLE)))
 SELECT figure_id, table_id, hits FROM n WHERE n = 1"""))
 def legend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.legend_sweep(*_grids(spark, sf_dir))
 
 
-@query("""SELECT p_partkey, p_partkey % 3 <> 0 AS usable FROM part""")
+_GRIDS = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '| Col 1 | Column 2 | n/a |' ELSE '| Ref | Name | - |' END || chr(10) || '| --- | --- | --- |' || chr(10) || '| '
+  || CASE WHEN p_partkey % 5 = 0 THEN 'N/A' ELSE CAST(p_partkey AS VARCHAR) END || ' | ' || CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_name END || ' | - |' AS markdown FROM {part}"""
+
+
+@query("WITH m AS (" + _GRIDS.replace("{part}", "part") + """), l AS (SELECT p_partkey, list_filter(string_split(markdown, chr(10)), lambda x: trim(x) <> '') AS lines FROM m),
+c AS (SELECT p_partkey, list_transform(lines, lambda x: len(list_filter(string_split(regexp_replace(trim(x), '^\\||\\|$', '', 'g'), '|'), lambda y: trim(y) <> '' AND NOT regexp_matches(trim(y), '(?i)^(col(umn)?\\s*\\d+|-|n/?a)$')))) AS n FROM l)
+SELECT p_partkey, len(n) >= 3 AND n[1] >= 2 AND len(list_filter(n[3:], lambda x: x >= 2)) > 0 AS usable FROM c""")
 def markdown_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    head = F.when(F.col("p_partkey") % 3 == 0, "| Col 1 | Column 2 | n/a |").otherwise("| Ref | Name | - |")
-    text = F.concat(head, F.lit("\n| --- | --- | --- |\n| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.lit(" | - |"))
-    return part.select("p_partkey", G.usable_markdown(text).alias("usable"))
+    """Grids with placeholder headers, blank cells and rows that say nothing."""
+    part = spark.sql(_GRIDS.replace("VARCHAR", "STRING").replace("chr(10)", "'\\n'"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return part.select("p_partkey", G.usable_markdown(F.col("markdown")).alias("usable"))

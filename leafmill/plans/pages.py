@@ -65,12 +65,12 @@ def attachment_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_views("v_index v_query", _HITS + """t AS (SELECT query_id, id, manual_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits WHERE type IN ('text', 'table', 'part'))
-SELECT query_id, string_agg('[' || CAST(r AS VARCHAR) || '] Chunk ' || CAST(t.id AS VARCHAR) || chr(10) || CASE WHEN r = 3 THEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 500) ELSE text END, chr(10) || chr(10) ORDER BY r) AS context FROM t JOIN documents d ON d.doc_id = t.id % 200 WHERE r <= 3 GROUP BY 1"""))
+SELECT query_id, string_agg('[' || CAST(r AS VARCHAR) || '] Chunk ' || CAST(t.id AS VARCHAR) || chr(10) || CASE WHEN r = 3 THEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 500) ELSE text END, chr(10) || chr(10) ORDER BY r) AS context FROM t JOIN documents d ON d.doc_id = t.id WHERE r <= 3 GROUP BY 1"""))
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of each query from its text hits; documents stand for the chunks' texts."""
+    """Context of each query from its text hits; the document of the same id is a chunk's text."""
     hits = S.text_hits(view(spark, sf_dir, "v_index"), view(spark, sf_dir, "v_query"))
     texts = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = hits.withColumn("doc_id", F.col("id") % 200).join(texts, "doc_id")
+    rows = hits.withColumn("doc_id", F.col("id")).join(texts, "doc_id")
     return C.context_blocks(rows.select("query_id", "rank", F.concat(F.lit("Chunk "), F.col("id").cast("string")).alias("title"), F.col("text").alias("content"), (F.col("rank") == 3).alias("other")))
 
 
@@ -84,12 +84,16 @@ def mode_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", C.retrieval_mode(F.when(wizard, "wizard").otherwise("answer"), intent, F.col("event_id") % 5 == 0).alias("mode"))
 
 
-@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Key to Fig. 1' WHEN 1 THEN 'Table 7' WHEN 2 THEN '' ELSE 'Legend' END AS caption, p_partkey % 8 < 4 AS legend FROM part)
-SELECT part.p_partkey, CASE WHEN caption = 'Table 7' OR (caption <> '' AND legend) THEN caption WHEN part.p_partkey % 3 = 0 THEN p_brand || ' / ' || p_type ELSE 'Section' END AS title FROM part JOIN p ON part.p_partkey = p.p_partkey""")
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Key to Fig. 1' WHEN 1 THEN 'Table 7' WHEN 2 THEN '' ELSE 'Legend' END AS caption, p_partkey % 8 < 4 AS legend,
+  CASE WHEN p_partkey % 3 = 0 THEN [p_brand, p_type, '12', lower(p_brand)] ELSE [p_brand, ' '] END AS header FROM part),
+h AS (SELECT *, list_filter(list_transform(header, lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$')) AS cells FROM p),
+d AS (SELECT *, list_filter(cells, lambda x, i: list_position(list_transform(cells, lambda y: lower(y)), lower(x)) = i) AS names FROM h)
+SELECT p_partkey, CASE WHEN caption <> '' AND NOT (regexp_matches(caption, '(?i)^(key to fig|legend|parts?\\s*list)') AND NOT legend) THEN caption
+  WHEN len(names) >= 2 THEN left(array_to_string(names[1:4], ' / '), 80) ELSE 'Section' END AS title FROM d""")
 def table_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("p_partkey") % 4
     caption = F.when(m == 0, "Key to Fig. 1").when(m == 1, "Table 7").when(m == 2, "").otherwise("Legend")
-    header = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand", "p_type", F.lit("12"), "p_brand")).otherwise(F.array("p_brand", F.lit("")))
+    header = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand", "p_type", F.lit("12"), F.lower("p_brand"))).otherwise(F.array("p_brand", F.lit(" ")))
     return _table(spark, sf_dir, "part").select("p_partkey", C.table_title(caption, F.col("p_partkey") % 8 < 4, header, F.lit("Section")).alias("title"))
 
 

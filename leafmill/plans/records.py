@@ -70,15 +70,17 @@ def rename_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-_PAYLOAD = "SELECT CASE c_custkey % 5 WHEN 0 THEN ' None ' ELSE 'S' || CAST(c_custkey AS STRING) END AS machine_id, c_name AS name, CASE c_custkey % 7 WHEN 0 THEN 'nan' ELSE 'N' || CAST(c_nationkey AS STRING) END AS manual_id FROM {customer}"
+_PAYLOAD = "SELECT CASE c_custkey % 5 WHEN 0 THEN ' None ' ELSE ' S' || CAST(c_custkey % 400 AS STRING) || ' ' END AS machine_id, c_name AS name, CASE c_custkey % 7 WHEN 0 THEN 'nan' ELSE 'N' || CAST(c_nationkey AS STRING) || ' ' END AS manual_id, c_custkey AS seq FROM {customer}"
 
 
 @query(with_views("v_machine", "+p AS (" + _PAYLOAD.replace("{customer}", "customer") + """),
-u AS (SELECT * FROM p WHERE lower(trim(machine_id)) NOT IN ('', 'null', 'undefined', 'none', 'nan') AND lower(trim(manual_id)) NOT IN ('', 'null', 'undefined', 'none', 'nan'))
+t AS (SELECT trim(machine_id) AS machine_id, name, trim(manual_id) AS manual_id, seq FROM p WHERE lower(trim(machine_id)) NOT IN ('', 'null', 'undefined', 'none', 'nan') AND lower(trim(manual_id)) NOT IN ('', 'null', 'undefined', 'none', 'nan')),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY seq DESC) AS n FROM t) WHERE n = 1)
 SELECT machine_id, name, manual_id FROM v_machine m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.machine_id = m.machine_id) UNION ALL SELECT machine_id, name, manual_id FROM u"""))
 def upsert_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with padded ids, placeholders and machines that come several times: the last one counts."""
     payload = spark.sql(_PAYLOAD, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return R.upsert_machines(view(spark, sf_dir, "v_machine"), payload)
+    return R.upsert_machines(view(spark, sf_dir, "v_machine"), payload, "seq")
 
 
 @query(with_views("v_message", """SELECT session_id, arg_min(content, id) FILTER (WHERE role = 'user') AS topic, arg_max(content, id) FILTER (WHERE role = 'agent') AS latest FROM v_message GROUP BY 1"""))
@@ -166,3 +168,69 @@ def answer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = view(spark, sf_dir, "v_message").where("role = 'agent'")
     text = F.concat("content", F.lit(" [IMAGE_0] and [IMAGE_0] [TABLE_9]"))
     return C.segments(m.select(F.col("id").alias("answer_id"), text.alias("answer"), F.array(F.lit("IMAGE_0"), F.lit("TABLE_1")).alias("tags")))
+
+
+_UPDATES = "SELECT 'J' || CAST(user_id AS STRING) AS manual_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN event_type END AS status, CASE WHEN event_id % 5 = 0 THEN event_id END AS chunks FROM {events}"
+
+
+@query("WITH u AS (" + _UPDATES.replace("{events}", "events") + """)
+SELECT manual_id, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status, arg_max(chunks, seq) FILTER (WHERE chunks IS NOT NULL) AS chunks, max(seq) AS updated FROM u GROUP BY 1""")
+def job_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates that set some fields, merged field by field."""
+    return I.job_state(spark.sql(_UPDATES, events=spark.read.parquet(f"{sf_dir}/events.parquet")), ("status", "chunks"))
+
+
+@query("WITH u AS (" + _UPDATES.replace("{events}", "events") + """), j AS (SELECT manual_id, arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status FROM u GROUP BY 1),
+a AS (SELECT DISTINCT 'J' || CAST(c_custkey % 300 AS VARCHAR) AS manual_id FROM customer)
+SELECT a.manual_id, coalesce(status, 'unknown') AS status FROM a LEFT JOIN j ON a.manual_id = j.manual_id""")
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of jobs that are asked for, known or not."""
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("J"), (F.col("c_custkey") % 300).cast("string")).alias("manual_id"))
+    return I.status_of(asked, job_fields(spark, sf_dir)).select("manual_id", "status")
+
+
+@query(with_views("v_message", """+f AS (SELECT id, session_id, content, CASE session_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' worn ' END AS root_cause, CASE session_id % 2 WHEN 0 THEN '  ' ELSE ' replaced ' END AS actions, CASE session_id % 4 WHEN 0 THEN 'turned' ELSE NULL END AS operator_fix FROM v_message WHERE role = 'user'),
+c AS (SELECT id, trim(coalesce(root_cause, '')) AS root_cause, coalesce(nullif(trim(actions), ''), nullif(trim(coalesce(operator_fix, '')), '')) AS actions FROM f)
+SELECT id, actions, array_to_string(list_filter([CASE WHEN root_cause = '' THEN 'root_cause' END, CASE WHEN actions IS NULL THEN 'actions' END], lambda x: x IS NOT NULL), ',') AS errors FROM c"""))
+def fix_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of fixes with what they lack."""
+    m, k = view(spark, sf_dir, "v_message").where("role = 'user'"), F.col("session_id")
+    rows = m.select("id", F.col("content").alias("symptom"), F.when(k % 3 == 0, "").when(k % 3 == 1, " worn ").alias("root_cause"), F.when(k % 2 == 0, "  ").otherwise(" replaced ").alias("actions"), F.when(k % 4 == 0, "turned").alias("operator_fix"))
+    return C.fix_record(rows).select("id", "actions", F.array_join("errors", ",").alias("errors"))
+
+
+@query(with_views("v_message", """SELECT session_id, right(string_agg(upper(role) || ': ' || content, chr(10) ORDER BY id), 300) AS conversation FROM v_message GROUP BY 1"""))
+def conversation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last characters of each conversation, for a summary."""
+    return C.conversation_text(view(spark, sf_dir, "v_message"), 300)
+
+
+@query("""WITH s AS (SELECT doc_id, text, ['Stops', ' ', 'stops ', 'leak'] AS sy, CASE WHEN doc_id % 2 = 0 THEN ['pump', 'Leak cause troubleshooting'] END AS co, ['E' || CAST(doc_id % 7 AS VARCHAR), 'E1', 'E2', 'E3'] AS fa FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, list_concat([left(text, 50)], list_transform(list_filter(list_transform(sy, lambda x: trim(x)), lambda x: x <> ''), lambda x: x || ' cause troubleshooting'), coalesce(co, []), list_transform(fa[1:3], lambda x: 'fault code ' || x)) AS q FROM s)
+SELECT doc_id, array_to_string(list_filter(q, lambda x, i: list_position(list_transform(q, lambda y: lower(y)), lower(x)) = i), '; ') AS queries FROM q""")
+def report_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report is looked up with, from symptoms, components and codes that were read from it."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    said = lambda *c: F.array(*map(F.lit, c))
+    codes = F.array(F.concat(F.lit("E"), (F.col("doc_id") % 7).cast("string")), F.lit("E1"), F.lit("E2"), F.lit("E3"))
+    asked = X.diagnosis_queries(F.left("text", F.lit(50)), said("Stops", " ", "stops ", "leak"), F.when(F.col("doc_id") % 2 == 0, said("pump", "Leak cause troubleshooting")), codes)
+    return d.select("doc_id", F.array_join(asked, "; ").alias("queries"))
+
+
+@query(with_views("v_message", """SELECT id, CASE WHEN id % 3 = 0 THEN 'Safety' END AS phase, trim(content || ' end') AS body FROM v_message WHERE role = 'agent' AND content = trim(content) AND content <> ''"""))
+def shown_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with phase, suggestion and question tags, as they are shown."""
+    m = view(spark, sf_dir, "v_message").where("role = 'agent' AND content = trim(content) AND content <> ''")
+    raw = F.concat(F.when(F.col("id") % 3 == 0, " [phase:  Safety ] ").otherwise(""), "content", F.lit(" end[SUGGESTION: steps?] [ASK: q | a]"))
+    shown = X.shown_answer(raw)
+    return m.select("id", shown["phase"].alias("phase"), shown["body"].alias("body"))
+
+
+@query(with_views("v_message v_machine", """+s AS (SELECT DISTINCT session_id AS id, CASE WHEN session_id % 3 <> 0 THEN 'S1' END AS machine_id, CASE session_id % 4 WHEN 0 THEN 'learn' WHEN 1 THEN 'troubleshoot' END AS intent FROM v_message)
+SELECT id AS session_id, machine_id IS NOT NULL AND coalesce(intent, '') <> 'learn' AND EXISTS (SELECT 1 FROM v_message m WHERE m.session_id = s.id AND m.role = 'agent') AS can_record FROM s"""))
+def recordable_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = view(spark, sf_dir, "v_message")
+    k = F.col("id")
+    s = m.select(F.col("session_id").alias("id")).distinct()
+    s = s.select("id", F.when(k % 3 != 0, "S1").alias("machine_id"), F.when(k % 4 == 0, "learn").when(k % 4 == 1, "troubleshoot").alias("intent"))
+    return C.can_record_fix(s, m)

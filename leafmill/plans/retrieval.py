@@ -14,7 +14,7 @@ from leafmill.plans.views import view, with_views
 GATE, OTHER_GATE, MEMORY_GATE = 0.15, 0.2, 0.2
 
 # hits of all queries against their own manual, best first
-_COS = "list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[]))"
+_COS = "round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 12)"
 _HITS = f"""+hits AS (SELECT query_id, q.manual_id AS q_manual, i.*, {_COS} AS score
   FROM v_query q JOIN v_index i ON q.manual_id = i.manual_id),
 """
@@ -69,9 +69,11 @@ pulled AS (SELECT w.query_id, i.id, i.manual_id, w.path, i.figure_role, i.parent
 """
 
 
-@query(_sql(_PARENTS + "SELECT query_id, id, path, round(score, 6) AS score FROM pulled", True))
+@query(_sql(_PARENTS + "SELECT query_id, id, path, round(score, 6) AS score FROM pulled", True).replace("rank <= 3", "rank <= 12").replace("score >= 0.15)", "score >= -1)"))
 def parent_pull_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, hits = _figures(spark, sf_dir)
+    """Without a gate and with all that was fetched, so that many parts are hit."""
+    index, queries = _both(spark, sf_dir)
+    hits = S.figure_hits(index, queries, gate=-1.0, k=12)
     return _out(S.parents(hits, index), "query_id", "id", "path")
 
 
@@ -85,7 +87,7 @@ def full_before_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, hits = _figures(spark, sf_dir)
     columns = ["query_id", "id", "path", "parent_path", "figure_role", "score"]
     both = hits.select(*columns, F.lit(0).alias("late")).unionByName(S.parents(hits, index).select(*columns, F.lit(1).alias("late")))
-    placed = S.top(both, ["query_id"], 1_000_000, [F.col("late"), F.desc("score"), F.col("id")], "pos")
+    placed = S.top(both, ["query_id"], None, [F.col("late"), F.desc("score"), F.col("id")], "pos")
     return _out(S.full_before_parts(placed), "query_id", "id", "position")
 
 
@@ -101,14 +103,10 @@ def multi_query_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("""t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits WHERE type = 'image'),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r2 FROM t WHERE r <= 5 AND path IS NOT NULL)
-SELECT query_id, id, CASE WHEN score >= 0.25 THEN 'confident' WHEN score >= 0.15 THEN 'possible' ELSE 'none' END AS band, round(score, 6) AS score FROM b WHERE r2 = 1"""))
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r2 FROM t WHERE r <= 5 AND path IS NOT NULL AND score >= 0.15)
+SELECT query_id, id, CASE WHEN score >= 0.25 THEN 'confident' ELSE 'possible' END AS band, round(score, 6) AS score FROM b WHERE r2 = 1"""))
 def figure_match_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _both(spark, sf_dir)
-    near = S.search(index, queries, 5, ("image",)).drop("rank").join(index.where("path IS NOT NULL").select("id"), "id")
-    best = S.top(near, ["query_id"], 1)
-    band = F.when(F.col("score") >= 0.25, "confident").when(F.col("score") >= 0.15, "possible").otherwise("none")
-    return _out(best.withColumn("band", band), "query_id", "id", "band")
+    return _out(S.matched_figure(*_both(spark, sf_dir), confident=0.25, possible=GATE), "query_id", "id", "band")
 
 
 @query(_sql(f"""t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits)
@@ -150,8 +148,53 @@ def table_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(S.table_hits(index, queries, gate=GATE), "query_id", "id", "rank")
 
 
-@query(_sql(_PARENTS.replace(", want", ", tx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits WHERE type IN ('text', 'table', 'part')) WHERE r <= 3), want", 1).replace("FROM figs WHERE figure_role = 'part' AND", "FROM tx WHERE type = 'part' AND") + "SELECT query_id, id, path, round(score, 6) AS score FROM pulled", True))
+@query(_sql(_PARENTS.replace(", want", ", tx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits WHERE type IN ('text', 'table', 'part')) WHERE r <= 12), want", 1).replace("FROM figs WHERE figure_role = 'part' AND", "FROM tx WHERE type = 'part' AND") + "SELECT query_id, id, path, round(score, 6) AS score FROM pulled", True))
 def part_figure_pull_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the part entries among the text hits."""
     index, queries = _both(spark, sf_dir)
-    return _out(S.part_figures(S.text_hits(index, queries), S.figure_hits(index, queries, gate=GATE), index), "query_id", "id", "path")
+    return _out(S.part_figures(S.text_hits(index, queries, 12), S.figure_hits(index, queries, gate=GATE), index), "query_id", "id", "path")
+
+
+def _ordered(name: str, source: str) -> str:
+    """SQL: the rows of ``source`` (with pos) as ``name``, full views before their parts."""
+    return f"""{name}_g AS (SELECT a.*, coalesce(figure_role, 'full') = 'part' AS is_part,
+  CASE WHEN coalesce(figure_role, 'full') = 'part' AND EXISTS (SELECT 1 FROM {source} b WHERE b.query_id = a.query_id AND b.path = a.parent_path) THEN parent_path ELSE path END AS grp FROM {source} a),
+{name}_h AS (SELECT *, max(score) OVER (PARTITION BY query_id, grp) AS best, min(pos) OVER (PARTITION BY query_id, grp) AS first FROM {name}_g),
+{name} AS (SELECT query_id, id, path, parent_path, figure_role, score, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first, is_part, CASE WHEN is_part THEN -score END NULLS FIRST, pos) AS pos FROM {name}_h)"""
+
+
+@query(_sql(_PARENTS + """, allf AS (SELECT query_id, id, path, parent_path, figure_role, score, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, id) AS pos FROM (
+  SELECT query_id, id, path, parent_path, figure_role, score, 0 AS late FROM figs UNION ALL SELECT query_id, id, path, parent_path, figure_role, score, 1 FROM pulled)),
+""" + _ordered("one", "allf") + """,
+ex AS (SELECT * FROM (SELECT q.query_id, i.id, i.type, i.path, row_number() OVER (PARTITION BY q.query_id ORDER BY i.id) AS pos FROM v_query q JOIN v_index i ON i.manual_id = q.manual_id AND i.code = 'P-' || CAST((q.query_id // 50) % 61 AS VARCHAR)) WHERE pos <= 10),
+tn AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM hits WHERE type IN ('text', 'table', 'part')),
+tx AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY late, pos, id) AS pos FROM (
+  SELECT query_id, id, 1.0::DOUBLE AS score, pos, 0 AS late FROM ex WHERE type <> 'image' UNION ALL SELECT query_id, id, score, pos, 1 FROM tn WHERE pos <= 3 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = tn.query_id AND ex.id = tn.id AND ex.type <> 'image'))),
+pf AS (SELECT t.query_id, i.manual_id, i.parent_path AS path, max(t.score) AS score FROM tx t JOIN v_index i ON i.id = t.id WHERE i.type = 'part' AND i.parent_path IS NOT NULL GROUP BY ALL),
+pp AS (SELECT w.query_id, i.id, w.path, i.parent_path, i.figure_role, w.score FROM pf w JOIN v_index i ON i.manual_id = w.manual_id AND i.path = w.path AND i.type = 'image' WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.query_id = w.query_id AND o.path = w.path)),
+u2 AS (SELECT query_id, id, path, parent_path, figure_role, score, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, id) AS pos FROM (
+  SELECT query_id, id, path, parent_path, figure_role, score, pos AS late FROM one UNION ALL SELECT query_id, id, path, parent_path, figure_role, score, 1000000 FROM pp)),
+""" + _ordered("two", "u2") + f""",
+im AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY late, pos, id) AS pos FROM (
+  SELECT query_id, id, 1.0::DOUBLE AS score, pos, 0 AS late FROM ex WHERE type = 'image' UNION ALL SELECT query_id, id, score, pos, 1 FROM two WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = two.query_id AND ex.path = two.path AND ex.type = 'image'))),
+tb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hits WHERE type = 'table'),
+tc AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM tb WHERE r <= 4 AND render_markdown IS NOT NULL AND score >= {GATE}),
+me AS (SELECT query_id, i.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, i.id) AS pos FROM v_query q JOIN v_index i ON i.id % 3 = 0 AND i.manual_id = q.manual_id WHERE q.query_id % 100 = 0),
+ot AS (SELECT query_id, i.id, i.manual_id, i.page, {_COS} AS score FROM v_query q JOIN v_index i ON q.manual_id <> i.manual_id),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ot),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, manual_id, page ORDER BY score DESC, id) AS r2 FROM o1 WHERE r <= 9 AND score >= {OTHER_GATE}),
+o3 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM o2 WHERE r2 = 1)
+SELECT query_id, slot, CAST(pos AS INT) AS pos, id, round(score, 6) AS score FROM (
+  SELECT query_id, 'text' AS slot, pos, id, score FROM tx UNION ALL SELECT query_id, 'image', pos, id, score FROM im UNION ALL SELECT query_id, 'table', pos, id, score FROM tc WHERE pos <= 2
+  UNION ALL SELECT query_id, 'memory', pos, id, score FROM me WHERE pos <= 3 AND score >= {MEMORY_GATE} UNION ALL SELECT query_id, 'other', pos, id, score FROM o3 WHERE pos <= 3)""", True))
+def composite_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five slots of a question.  Figures and part entries list one code each; every third row plays a past
+    fix, and every second query has a machine, named like its manual."""
+    index, queries = _both(spark, sf_dir)
+    index = index.withColumn("part_numbers", F.when(F.col("code").isNotNull(), F.array("code")))
+    asked = queries.withColumns({
+        "text": F.concat(F.lit("Where is P-"), (F.floor(F.col("query_id") / 50) % 61).cast("string"), F.lit(" shown?")),
+        "machine_id": F.when(F.col("query_id") % 100 == 0, F.col("manual_id")),
+    })
+    memory = index.where("id % 3 = 0").select("id", "embedding", F.col("manual_id").alias("machine_id"))
+    return _out(S.retrieve(index, memory, asked, GATE, OTHER_GATE, MEMORY_GATE), "query_id", "slot", "pos", "id")

@@ -13,7 +13,8 @@ SQL = {
   CASE WHEN vec_id % 4 = 2 THEN 'fig/' || CAST({_ID4} % 50 AS STRING) END AS path,
   CASE WHEN vec_id % 4 = 2 AND {_ID4} % 3 = 2 THEN 'part' WHEN vec_id % 4 = 2 AND {_ID4} % 3 = 1 THEN 'full' END AS figure_role,
   CASE WHEN (vec_id % 4 = 2 AND {_ID4} % 3 = 2) OR vec_id % 4 = 3 THEN 'fig/' || CAST(({_ID4} + 49) % 50 AS STRING) END AS parent_path,
-  CASE WHEN vec_id % 8 = 1 THEN '| A | B |' END AS render_markdown
+  CASE WHEN vec_id % 8 = 1 THEN '| A | B |' END AS render_markdown,
+  CASE WHEN vec_id % 4 >= 2 THEN 'P-' || CAST(vec_id % 61 AS STRING) END AS code
 FROM embeddings""",
     "v_page": "SELECT source AS manual_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page, doc_id, text AS content FROM documents",
     "v_parts": """SELECT l_orderkey AS list_id,

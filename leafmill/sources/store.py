@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,11 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str, suffix: str = ".pdf", most_bytes: int | None = None) -> DataFrame:
-    """Files of one suffix with their bytes; empty and oversized ones are left out."""
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").endswith(suffix) & (F.col("length") > 0))
+    """Files of one suffix with their bytes and their manual_id, the name of the folder they lie in;
+    empty and oversized files and folders with a blank name are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").endswith(suffix) & (F.col("length") > 0))
+    folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
+    files = files.withColumn("manual_id", F.trim(F.regexp_replace(folder, "%20", " "))).where("manual_id <> ''")
     return files if most_bytes is None else files.where(F.col("length") <= most_bytes)
 
 
@@ -51,9 +56,22 @@ class Table:
         df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.root}/v{number:08d}-{uuid.uuid4().hex[:8]}")
 
     def upsert(self, rows: DataFrame) -> None:
+        """Rows with a key that is there replace it; of rows with one key the last by all columns stays.
+
+        Without the key column every row is new."""
         if self.key not in rows.columns:
-            rows = rows.withColumn(self.key, F.expr("uuid()"))
-        self.write(registry.upsert(self.read(), rows, self.key))
+            self.write(self.read().unionByName(rows.withColumn(self.key, F.expr("uuid()")), allowMissingColumns=True))
+        else:
+            self.write(registry.upsert(self.read(), rows, self.key))
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes versions that are older than the last ``keep``; gives how many there were."""
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v"))
+        done = [n for n in names if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS"))]
+        old = [n for n in names if done[-keep:] and n < done[-keep:][0]]
+        for n in old:
+            self._fs.delete(self._path(f"{self.root}/{n}"), True)
+        return len(old)
 
     def delete(self, condition) -> int:
         """Rows for which the condition holds go; gives how many there were."""
@@ -66,14 +84,57 @@ class Table:
         return (self.read() if condition is None else self.read().where(condition)).count()
 
 
-def conditions(must: dict | None = None, must_not: dict | None = None):
-    """One Column from payload conditions: a value must be equal, a list must hold it; empty
-    arguments set no condition; a missing field passes ``must_not``."""
+def conditions(must: dict | None = None, must_not: dict | None = None, arrays: tuple[str, ...] = ()):
+    """One Column from payload conditions: a value must be equal, a list must hold it; a field named in
+    ``arrays`` holds a list itself and must overlap.  Empty arguments set no condition; a missing field
+    passes ``must_not``."""
     out = F.lit(True)
     for wanted, fields in ((True, must or {}), (False, must_not or {})):
         for name, value in fields.items():
             if value in (None, "", [], ()):
                 continue
-            c = F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name) == value
+            several = list(value) if isinstance(value, (list, tuple)) else [value]
+            c = F.arrays_overlap(name, F.array(*map(F.lit, several))) if name in arrays else F.col(name).isin(*several)
             out &= F.coalesce(c, F.lit(False)) if wanted else ~F.coalesce(c, F.lit(False))
     return out
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """The fields of a hit: all that are declared, NULL where an older row lacks one, no part numbers as an empty list."""
+    kinds = {f.name: f.dataType for f in schema.struct(schema.CHUNKS) if f.name != "embedding"}
+    have = [F.col(n).cast(t).alias(n) if n in chunks.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
+    return chunks.select(*have).withColumn("part_numbers", F.coalesce("part_numbers", F.array().cast("array<string>")))
+
+
+def paged(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """A relational table, read in ``parts`` ranges of its numeric key at once instead of page after page."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.options(**options).load()
+
+
+def flushed(items: DataFrame, store: Callable[[list[dict]], None], size: int = 32) -> DataFrame:
+    """Sends items(page, type, ...) to ``store`` in batches of ``size`` from every task; a batch that fails is
+    tried again item by item.  Gives one row an item: page, type, reason (NULL: stored).
+
+    ``store`` is called on the executors and must be idempotent: a task that is run again sends its items again.
+    The result must be written once before anything else reads it."""
+    schema_ = items.select("page", "type").schema.add("reason", "string")
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for at in range(0, len(rows), size):
+                part = rows[at : at + size]
+                reasons: list[str | None] = [None] * len(part)
+                try:
+                    store(part)
+                except Exception:  # noqa: BLE001  a single bad item must not take the others with it
+                    for i, row in enumerate(part):
+                        try:
+                            store([row])
+                        except Exception as e:  # noqa: BLE001
+                            reasons[i] = str(e)[:200]
+                kept = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([kept.column("page"), kept.column("type"), pa.array(reasons, pa.string())], ["page", "type", "reason"])
+
+    return items.mapInArrow(run, schema_)

@@ -13,22 +13,46 @@ def arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int
 
 
 def ingest(source: DataFrame, target: str, checkpoint: str):
-    """Chunks every arriving batch of pages(manual_id, page, doc_id, content) and replaces the
-    stored chunks of the manuals in it: one folder for each manual, overwritten as a whole.
-    A repeated batch replaces itself."""
+    """Chunks every arriving batch of pages(manual_id, upload_id, page, doc_id, content) and appends it to
+    ``target``, a folder for each batch: a repeated batch replaces itself and nothing else.  Which upload of
+    a manual counts is decided when the chunks are read (``stored``), so the files of one upload may come in
+    any number of batches."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        chunks = chunked(batch)
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("manual_id").parquet(target)
+        chunks = chunked(batch, keep=("manual_id", "upload_id", "page", "doc_id"))
+        chunks.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
+STORED = "manual_id string, upload_id bigint, page int, doc_id bigint, chunk_no int, content string, batch bigint"
+
+
+def stored(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks that count: of each manual those of its latest upload, from all its batches."""
+    rows = spark.read.schema(STORED).parquet(target)
+    latest = rows.groupBy("manual_id").agg(F.max("upload_id").alias("upload_id"))
+    return rows.join(latest, ["manual_id", "upload_id"], "left_semi").drop("batch")
+
+
 def latest_status(updates: DataFrame) -> DataFrame:
     """The last status of each job by sequence number, not by arrival; batch or streaming (update mode)."""
     return updates.groupBy("manual_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
+def job_state(updates: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """A shallow merge of partial updates(manual_id, seq, <fields>): of each field the last value that an
+    update set (NULL sets nothing), and the last sequence number.  Batch or streaming (update mode)."""
+    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields]
+    return updates.groupBy("manual_id").agg(*last, F.max("seq").alias("updated"))
+
+
+def status_of(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """asked(manual_id) with what is known of the job; a job that nobody has heard of is ``unknown``."""
+    found = asked.select("manual_id").distinct().join(jobs, "manual_id", "left")
+    return found.withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
 def summary(updates: DataFrame) -> DataFrame:
     """Counts of stored, failed and empty items and the state of each manual, with up to five failed items."""
     n = lambda s: F.count_if(F.col("status") == s)

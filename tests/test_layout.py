@@ -53,17 +53,33 @@ def test_captions(spark):
     assert one(C.guessed_caption(F.lit("x\n Key to Figure 1.1 \ny"))) == "Key to Figure 1.1"
     assert one(C.looks_like_legend(F.array(*map(F.lit, ("1", "2", "3", "x"))))) and not one(C.looks_like_legend(F.array(*map(F.lit, ("1", "200", "0")))))
     group = F.struct(F.lit("1").alias("ref"), F.array(F.lit("Bar; long"), F.lit("Bar; long")).alias("names"), F.array(F.lit("A1")).alias("numbers"))
-    assert one(C.parts_line(F.array(group))) == "Parts shown in this diagram: 1 = Bar, long (A1)"
+    assert one(C.parts_line(F.array(group))) == "Parts shown in this diagram: 1 = Bar, long (A1)."
     empty = F.array().cast("array<string>")
     assert one(C.callout_codes(empty, F.array(F.lit("2")), F.array(F.lit("L"), F.lit("2")))) == ["2", "L"]
-    assert one(C.caption_head(F.lit("Pump"), F.lit("exploded_view"), F.lit(3), F.lit(None).cast("string"), F.lit("Oil"))) == "### Pump (Exploded View) - page 3 (section: Oil)"
+    assert one(C.caption_head(F.lit("Pump"), F.lit("exploded_view"), F.lit(3), F.lit(None).cast("string"), F.lit("Oil"))) == "### Pump (Exploded View) — page 3 (section: Oil)"
+    groups = F.array(group, F.struct(F.lit("").alias("ref"), F.array(F.lit("x")).alias("names"), F.array(F.lit("B")).alias("numbers")), F.struct(F.lit("2").alias("ref"), empty.alias("names"), empty.alias("numbers")))
+    line = "Parts shown in this diagram: 1 = Bar, long (A1); 2 = part (). (Parts list read by vision from a scanned page - unverified.)\nCallouts with no entry in the parts list: 7, 9."
+    assert one(C.parts_line(groups, F.lit(False), F.array(F.lit("7"), F.lit("9")))) == line
+    assert one(C.fallback_caption(F.array(group), F.lit("PUMP"))) == "Exploded parts view of PUMP. The drawing shows: Bar; long (1)."
+    assert one(C.listing(groups, 1)) == "  1: Bar; long"
+    codes = F.array(F.lit("7"))
+    assert one(C.figure_caption(F.lit("H"), F.lit("b"), groups, F.lit(True), empty, codes, empty)) == "H\n\nb\nParts shown in this diagram: 1 = Bar, long (A1); 2 = part ()."
+    assert one(C.figure_caption(F.lit("H"), F.lit("b"), F.lit(None).cast("array<struct<ref:string,names:array<string>,numbers:array<string>>>"), F.lit(True), empty, codes, F.array(F.lit("oil")))) == "H\n\nb\nCallout codes shown: 7\nLeader-line labels: oil"
+    assert one(C.enriched_table(F.lit("rows"), F.lit(""), F.lit(None).cast("string"), F.lit("sum"), F.lit(False))) == "### Table — Technical Data\n\nsum\n\nrows"
+    assert one(C.enriched_table(F.lit("rows"), F.lit("T"), F.lit("s"), F.lit("sum"), F.lit(True))) == "### Table — T\n\nrows"
+
+
+def test_views_become_parts(spark):
+    figures = spark.createDataFrame([("m", 3, "f", ["a", "b"]), ("m", 4, "g", [])], "manual_id string, page int, path string, views array<string>")
+    got = [(r.path, r.figure_role, r.parent_path) for r in C.view_chunks(figures).orderBy("page", "nth").collect()]
+    assert got == [("f", "full", None), ("a", "part", "f"), ("b", "part", "f"), ("g", "full", None)]
 
 
 def test_first_column_lines(spark):
-    words = spark.createDataFrame([(1, 5.0, 0.0, 6.0, 2.0, "b"), (1, 0.0, 2.5, 1.0, 4.5, "a"), (1, 0.0, 5.0, 1.0, 7.0, "c")], "page int, x0 double, y0 double, x1 double, y1 double, text string")
-    assert {r.text: r.line_no for r in P.text_lines(words).collect()} == {"b": 0, "a": 0, "c": 1}
+    words = spark.createDataFrame([("m", 1, 5.0, 0.0, 6.0, 2.0, "b"), ("m", 1, 0.0, 2.5, 1.0, 4.5, "a"), ("m", 1, 0.0, 5.0, 1.0, 7.0, "c"), ("n", 1, 0.0, 9.0, 1.0, 11.0, "d")], "manual_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert {r.text: r.line_no for r in P.text_lines(words).collect()} == {"b": 0, "a": 0, "c": 1, "d": 0}
 
 
 def test_fix_records(spark):
     df = spark.createDataFrame([("s", None, " ", " did it "), ("s", "c", "", "")], "symptom string, root_cause string, actions string, operator_fix string")
-    assert [r.actions for r in S.fix_record(df).collect()] == ["did it"]
+    assert [(r.actions, r.errors) for r in S.fix_record(df).collect()] == [("did it", ["root_cause"]), (None, ["actions"])]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import models as M
 from leafmill.operators import callouts as K
 from leafmill.operators import parts as P
+from leafmill.operators import readers as D
 from leafmill.operators import registry as R
 from leafmill.operators import search as S
 from leafmill.operators import tables as G
@@ -19,21 +20,25 @@ def test_code_evidence():
 
 
 def test_evidence_join(spark):
-    codes = spark.createDataFrame([("7",), ("AB-1",)], "code string")
-    chunks = spark.createDataFrame([(1, "item7 and 1700 rpm"), (2, "the AB-1 valve (7)"), (3, None)], "chunk_id bigint, content string")
-    got = {(r.code, r.chunk_id) for r in K.evidence(codes, chunks).collect()}
-    assert got == {("7", 1), ("7", 2), ("AB-1", 2)}
+    codes = spark.createDataFrame([("m", "7"), ("m", "AB-1"), ("n", "7"), ("m", "AB-9")], "manual_id string, code string")
+    rows = [("m", 1, "item7 and 1700 rpm"), ("m", 2, "the AB-1 valve (7)"), ("m", 3, None), ("n", 4, "AB-1 at (7)"), ("m", 5, "ab ab ab")]
+    chunks = spark.createDataFrame(rows, "manual_id string, chunk_id bigint, content string")
+    got = {(r.manual_id, r.code, r.chunk_id) for r in K.evidence(codes, chunks).collect()}
+    assert got == {("m", "7", 1), ("m", "7", 2), ("m", "AB-1", 2), ("n", "7", 4)}
 
 
-def test_citations():
-    names = {"5": ["STATOR ASSY."], "7": ["PISTON"]}
-    assert len(K.citation_problems("the caliper mount (5)", names)) == 1
-    assert K.citation_problems("the stator assembly (5) and piston (7)", names) == []
-    assert K.citation_problems("a bolt (9)", names) == ["(9) is not a part in the list - remove it."]
-    assert K.correct_sentences("The piston (7) moves. The cup (5) leaks. It stops.", names) == "The piston (7) moves. It stops."
+def test_citations(spark):
+    parts = [("5", "STATOR ASSY."), ("7", "PISTON"), ("8", None), ("5", "STATOR ASSY.")]
+    texts = ["the caliper mount (5)", "the stator assembly (5) and piston (7)", "a bolt (9)", "The cap [8, 9] via the pistons (7)", "The piston (7) moves. The cup (5) leaks. It stops.", None, "The piston (7) moves. The cup (5) leaks."]
+    df = spark.createDataFrame([(i, t, parts) for i, t in enumerate(texts)], "id int, caption string, refs array<struct<ref:string,description:string>>")
+    got = {r.id: r for r in K.checked_captions(df).collect()}
+    said = lambda i: [tuple(p) for p in got[i].problems]
+    assert said(0) == [("misnamed", "5", "the caliper mount", "STATOR ASSY")]
+    assert said(1) == [] and said(2) == [("unlisted", "9", None, None)] == said(3)
+    assert got[4].kept == "The piston (7) moves. It stops." and got[5].kept == "" == got[6].kept
 
 
-@pytest.mark.parametrize(("text", "wanted"), [('{"a":[1,2,{"b":"c', {"a": [1, 2]}), ('```json\n{"a": 1}\n```', {"a": 1}), ("nothing", None), ("", None), ('[1, "x,y", 3', [1, "x,y"])])
+@pytest.mark.parametrize(("text", "wanted"), [('{"a":[1,2,{"b":"c', {"a": [1, 2]}), ('```json\n{"a": 1}\n```', {"a": 1}), ("nothing", None), ("", None), ('[1, "x,y", 3', [1, "x,y"]), ('{"a": {"b": [1, {"c": "d\\\\"}, 2', {"a": {"b": [1, {"c": "d\\"}]}}), ('{"a": "x]", "b": "y', {"a": "x]"}), ("```\n[1]", [1])])
 def test_tolerant_json(text, wanted):
     assert M.tolerant_json(text) == wanted
 
@@ -54,14 +59,36 @@ def test_chunks_are_short_and_keep_all_words(text, size):
     assert set(text.split()) <= set(" ".join(chunks).split()) or any(len(w) >= size for w in text.split()) or set("".join(text.split())) == set("".join("".join(chunks).split()))
 
 
+REPAIRS = [([7, 2, 3], [1, 2, 3]), ([1, 2, 9, 4], [1, 2, 3, 4]), ([1, 1, 2], [None, 1, 2]), ([3, 5], [3, 5]), ([1, 3, 2, 3], [1, None, 2, 3]), ([5], [5]), ([2, 1], [None, 1])]
+
+
 def test_refs_are_repaired(spark):
-    assert P.repaired_refs([7, 2, 3]) == [1, 2, 3]
-    assert P.repaired_refs([1, 2, 9, 4]) == [1, 2, 3, 4]
-    assert P.repaired_refs([1, 1, 2]) == [None, 1, 2]
-    rows = [(k, i, n) for k, l in enumerate(([7, 2, 3], [1, 2, 9, 4], [1, 1, 2], [3, 5])) for i, n in enumerate(l)]
-    got = P.with_repaired_refs(spark.createDataFrame(rows, "list_id bigint, seq int, no int")).collect()
-    for k, l in enumerate(([7, 2, 3], [1, 2, 9, 4], [1, 1, 2], [3, 5])):
-        assert [r.fixed for r in sorted(got, key=lambda r: r.seq) if r.list_id == k] == P.repaired_refs(l)
+    rows = [(k, i, n, 0.5 if n == 5 else 0.9) for k, (l, _) in enumerate(REPAIRS) for i, n in enumerate(l)]
+    got = D.with_repaired_refs(spark.createDataFrame(rows, "list_id bigint, seq int, no int, conf double")).collect()
+    for k, (_, wanted) in enumerate(REPAIRS):
+        mine = sorted((r for r in got if r.list_id == k), key=lambda r: r.seq)
+        assert [r.fixed for r in mine] == wanted
+        assert all(r.sure == (r.fixed is not None and (r.fixed != r.no or r.no != 5)) for r in mine)
+
+
+def test_filled_refs(spark):
+    rows = [("1", "1"), ("", "2"), ("", ""), ("", "2"), ("", "9"), ("4", "4"), ("", None), ("", "6"), ("", "5"), ("", "7")]
+    got = D.filled_refs(spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "list_id int, seq int, ref string, second string")).orderBy("seq").collect()
+    assert [r.filled for r in got] == ["1", "2", "", "", "", "4", "", "6", "", "7"]
+    assert [r.fill for r in got] == [None, "second reader", "alternative", "alternative", "no ref", None, "no ref", "second reader", "no ref", "second reader"]
+
+
+def test_scanned_list(spark):
+    ocr = [(1, 0, "1", "10C-1", "BOLT", "2", 0.9), (1, 1, "", "20C-O", "NUT", "x", 0.9), (1, 2, "3", "30C-3", "", "[", 0.9), (1, 3, "", "77", "CAP", "1", 0.9)]
+    vision = [(1, 0, "4", "99X", "RING", "1"), (1, 1, "1", "10C1", "Bolt", "2"), (1, 2, "2", "20C-0", "nut m6", "3"), (1, 3, "3", "30C-3", "PIN", "4"), (1, 4, "2", "55X", "odd", "many")]
+    o = spark.createDataFrame(ocr, "list_id int, seq int, ref string, part_number string, description string, qty string, conf double")
+    v = spark.createDataFrame(vision, "list_id int, seq int, ref string, part_number string, description string, qty string")
+    got = D.scanned_list(o, v).orderBy("place").collect()
+    assert [(r.ref, r.part_number, r.qty, r.status) for r in got] == [
+        ("1", "10C1", "2", "confirmed"), ("2", "20C-0", "x", "part confirmed"), ("3", "30C-3", "4", "part confirmed"),
+        ("", "77", "1", "unconfirmed"), ("4", "99X", "1", "unconfirmed"), ("", "55X", "", "unconfirmed"),
+    ]
+    assert got[2].description == "PIN" and got[4].notes == ["second reader only"]
 
 
 def test_grouping(spark):
@@ -72,8 +99,9 @@ def test_grouping(spark):
 def test_lookalikes(spark):
     tie = [(1, "A3-606Z")] * 2 + [(1, "A3-6062")] * 2
     clear = [(2, "A3-606Z")] + [(2, "A3-6062")] * 3
-    got = P.lookalikes(spark.createDataFrame(tie + clear, "list_id int, part_number string")).collect()
-    assert {(r.list_id, r.spelling) for r in got} == {(1, "A3-606Z"), (1, "A3-6062"), (2, "A3-606Z")}
+    rows = [(l, i, str(i), c) for i, (l, c) in enumerate(tie + clear)]
+    got = P.lookalikes(spark.createDataFrame(rows, "list_id int, seq int, ref string, part_number string")).collect()
+    assert {(r.list_id, r.spelling, *r.items) for r in got} == {(1, "A3-606Z", "2", "3"), (1, "A3-6062", "0", "1"), (2, "A3-606Z", "5", "6", "7")}
 
 
 def test_window_and_runs(spark):
@@ -97,11 +125,32 @@ def test_split_groups(spark):
 
 
 def test_legend_title_alone_is_enough(spark):
-    figures = spark.createDataFrame([(1, 5, ["9"])], "figure_id int, page int, codes array<string>")
-    grids = spark.createDataFrame([(7, 6, "Key to Fig. 2", ["1"]), (8, 9, "legend", ["9"])], "table_id int, page int, content string, cells array<string>")
+    figures = spark.createDataFrame([(1, "m", 5, ["9"]), (2, "m", 5, [])], "figure_id int, manual_id string, page int, codes array<string>")
+    rows = [(7, "m", 6, "Key to Fig. 2", ["1"]), (8, "m", 9, "legend", ["9"]), (9, "n", 5, "legend", ["9"])]
+    grids = spark.createDataFrame(rows, "table_id int, manual_id string, page int, content string, cells array<string>")
     assert [tuple(r) for r in G.legend_pairs(figures, grids).collect()] == [(1, 7, 2)]
 
 
+def test_legends_near_then_anywhere(spark):
+    figures = spark.createDataFrame([(1, "m", 5, ["1", "2"]), (2, "m", 50, ["1", "2", "3", "4"]), (3, "n", 5, ["1", "2", "3", "4"])], "figure_id int, manual_id string, page int, codes array<string>")
+    rows = [(7, "m", 6, "x", "| 1 | a |\n| --- |\n| 2 | 3 | 4 |"), (8, "m", 4, "y", "| 1 |"), (9, "m", 5, "legend", None)]
+    tables = spark.createDataFrame(rows, "table_id int, manual_id string, page int, content string, render_markdown string")
+    assert {tuple(r) for r in G.legends(figures, tables).collect()} == {(1, 7, True), (2, 7, False)}
+
+
+def test_figures_meet_lists_of_their_manual(spark):
+    f = "figure_id int, manual_id string, page int, page_text string, callouts array<string>, families array<string>, layout string"
+    figures = spark.createDataFrame([(1, "m", 5, "x", ["1", "2"], ["CA3"], "single"), (2, "m", 5, "The BRAKE, (front)", [], [], "exploded_parts"), (3, "m", 5, "brake", [], [], "single"), (4, "n", 5, "x", ["1"], [], "single")], f)
+    l = "list_id int, manual_id string, page int, title string, subtitle string, refs array<string>, families array<string>"
+    lists = spark.createDataFrame([(10, "m", 90, "A", "", ["1", "2"], ["CA3"]), (11, "m", 90, "B", "", ["1", "2"], []), (12, "m", 7, "Other", "(Front)", ["8"], []), (13, "o", 5, "x", "", ["1"], [])], l)
+    assert {(r.figure_id, r.list_id, r.score) for r in P.figure_matches(figures, lists).collect()} == {(1, 10, 1.8), (2, 12, 1.2)}
+
+
+def test_shown_groups(spark):
+    df = spark.sql("SELECT array(struct('' AS ref), struct('1' AS ref), struct('9' AS ref)) AS g, array('1', '2', '3') AS c UNION ALL SELECT array(struct('9' AS ref)), array('1')")
+    assert sorted(len(r[0]) for r in df.select(P.shown_groups(F.col("g"), F.col("c"))).collect()) == [1, 2]
+
+
 def test_search_ties_and_empty(spark):
     index = spark.createDataFrame([(i, [1.0, 0.0], "m", "text") for i in (5, 3, 9)], "id bigint, embedding array<float>, manual_id string, type string")
     queries = spark.createDataFrame([(1, [2.0, 0.0], "m")], "query_id bigint, vector array<float>, manual_id string")
@@ -111,6 +160,35 @@ def test_search_ties_and_empty(spark):
     assert S.search(index, queries, 2, scope="other").count() == 0
 
 
+def test_search_without_usable_vectors(spark):
+    rows = [(1, None, "m"), (2, [0.0, 0.0], "m"), (3, [1.0, None], "m"), (4, [1.0], "m"), (5, [float("nan"), 1.0], "m"), (6, [-1.0, 0.0], "m"), (7, [1.0, 1.0], None)]
+    index = spark.createDataFrame([(*r, "text") for r in rows], "id bigint, embedding array<float>, manual_id string, type string")
+    queries = spark.createDataFrame([(1, [2.0, 0.0], "m"), (2, None, "m"), (3, [0.0, 0.0], "m"), (4, [1.0, 0.0], None)], "query_id bigint, vector array<float>, manual_id string")
+    got = {(r.query_id, r.id): round(r.score, 6) for r in S.search(index, queries, 5).collect()}
+    assert got == {(1, 2): 0.0, (1, 6): -1.0, (3, 2): 0.0, (3, 6): 0.0}
+    assert {(r.query_id, r.id) for r in S.search(index, queries, 5, scope="other").collect()} == {(1, 7), (3, 7), (4, 2), (4, 6), (4, 7)}
+
+
+def test_search_equals_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.RandomState(3)
+    v, q = rnd.randint(-2, 3, (300, 4)).astype(float), rnd.randint(-2, 3, (20, 4)).astype(float)
+    index = spark.createDataFrame([(i, [float(x) for x in r], f"m{i % 3}", "text") for i, r in enumerate(v)], "id bigint, embedding array<float>, manual_id string, type string").repartition(5)
+    queries = spark.createDataFrame([(i, [float(x) for x in r], f"m{i % 4}") for i, r in enumerate(q)], "query_id bigint, vector array<float>, manual_id string")
+
+    def cosine(a, b):
+        n = np.sqrt((a * a).sum() * (b * b).sum())
+        return round(float(a @ b / n), 9) if n else 0.0
+
+    for scope, fits in (("same", lambda i, j: i % 3 == j % 4), ("other", lambda i, j: i % 3 != j % 4), ("any", lambda i, j: True)):
+        wanted = {j: [i for _, i in sorted((-cosine(v[i], q[j]), i) for i in range(300) if fits(i, j))[:7]] for j in range(20)}
+        got: dict = {j: [] for j in range(20)}
+        for r in S.search(index, queries, 7, scope=scope).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.id)
+        assert got == wanted
+
+
 def test_changes(spark):
     t = {n: spark.createDataFrame([("a", 1), ("b", 2)], "manual_id string, x int") for n in ("chunks", "machines", "manuals")}
     assert R.rename_manual(t, "a", "c")["chunks"].where("manual_id = 'c'").count() == 1
@@ -121,6 +199,23 @@ def test_changes(spark):
         R.rename_manual(t, "z", "y")
     left, orphans = R.delete_manual(t, "a")
     assert left["chunks"].count() == 1 and orphans.count() == 1
+    with pytest.raises(LookupError):
+        R.delete_manual(t, "z")
+    machines = spark.createDataFrame([("m", 1)], "machine_id string, x int")
+    assert R.delete_machine(machines, "m").count() == 0
+    with pytest.raises(LookupError):
+        R.delete_machine(machines, "z")
+
+
+def test_upserts_keep_one_row_a_key(spark):
+    machines = spark.createDataFrame([("A", "old", "m")], "machine_id string, name string, manual_id string")
+    rows = [(" A ", "first", "m1", 1), ("A", "second", " m2 ", 2), (" None ", "x", "m", 3), ("B", "x", "", 4), ("C", "c", "m", 5)]
+    got = R.upsert_machines(machines, spark.createDataFrame(rows, "machine_id string, name string, manual_id string, seq int"), "seq")
+    assert {tuple(r) for r in got.collect()} == {("A", "second", "m2"), ("C", "c", "m")}
+    twice = spark.createDataFrame([("A", 1), ("A", 2)], "k string, v int")
+    assert [tuple(r) for r in R.upsert(twice.limit(0), twice, "k").collect()] == [("A", 2)]
+    sessions = spark.createDataFrame([(1, "m", "2024-01-02"), (2, "m", None), (3, "m", "2024-02-01")], "id int, machine_id string, updated_at string")
+    assert [r.id for r in R.sessions_by_update(sessions).orderBy("place").collect()] == [3, 1, 2]
 
 
 def test_boxes(spark):
@@ -128,3 +223,20 @@ def test_boxes(spark):
     assert spark.range(1).select(F.size(K.kept_boxes(F.expr(box)))).first()[0] == 2
     circles = "array(struct(5D AS r, 0D AS x, 0D AS y), struct(4D AS r, 1D AS x, 0D AS y), struct(2D AS r, 9D AS x, 0D AS y))"
     assert spark.range(1).select(F.size(K.kept_circles(F.expr(circles)))).first()[0] == 2
+
+
+def test_chunks_by_type(spark):
+    rows = [(1, "m", 1, "text", "t", None), (2, "m", 1, "table", None, None), (3, "m", 1, "image", None, None), (4, "m", 1, "part", "p", None), (5, "m", 1, "image", "c", "part")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, manual_id string, page int, type string, content string, figure_role string")
+    assert {(r.chunk_id, r.content, r.figure_role) for r in T.chunk_rows(chunks).collect()} == {(3, "", "full"), (4, "p", None), (5, "c", "part")}
+    assert [r.chunk_id for r in T.raw_corpus(chunks).collect()] == [1]
+    filled, empty = T.to_embed(chunks)
+    assert filled.count() == 3 and empty.first().empty == 2
+
+
+def test_resolved_figures(spark):
+    rows = [(1, "m", "x", ["2", "1", "9"], False), (2, "m", "Parts shown in this diagram: 1 = a.", ["1"], False), (3, "m", "s", ["1"], True), (4, "n", "x", ["1"], None)]
+    figures = spark.createDataFrame(rows, "figure_id int, manual_id string, content string, codes array<string>, scanned boolean")
+    names = spark.createDataFrame([("m", "1", "cap"), ("m", "2", "nut")], "manual_id string, code string, name string")
+    got = {r.figure_id: r.content for r in K.resolved(figures, names).collect()}
+    assert got == {1: "x\n\nParts shown in this diagram: 2 = nut; 1 = cap.", 2: rows[1][2], 3: "s", 4: "x"}
