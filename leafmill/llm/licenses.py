@@ -4,12 +4,15 @@ A template's words are aligned with a stretch of a document: words that occur on
 both are anchors, their longest increasing subsequence is kept, and the gaps between
 anchors are aligned the same way; a gap without such words keeps the equal words at
 its two ends.  Coverage is the share of the template's words that were aligned.  A
-license is found where coverage is at least ``COVERAGE`` and the words that name it
-are aligned; of overlapping finds the one with the most aligned words stays.
+license is found where coverage is at least ``COVERAGE``, the words that name it are
+aligned, no word that names another license (``TELLING``) stands in or next to the
+stretch, and it is not denied by the word before it (``DENIALS``).  Of overlapping
+finds the one with the most aligned words stays; of equal ones the one with the better
+coverage, then the first name, then the earlier place.
 
-A template can only be covered where at least one of its ``triggers`` stands: words
-that together make up more than 1 - COVERAGE of it.  Documents without any trigger are
-left out before Python is entered, and only stretches around triggers are aligned.
+A template can only be covered where at least one of its ``triggers`` stands: words of
+which more occurrences make up the template than may be missing.  Texts without any
+trigger end there, and only stretches around triggers are aligned.
 
 Defined cases: null or empty texts hold no license; very long texts are scanned whole;
 a notice that stands twice is found twice; repeated rows give repeated finds; an empty
@@ -26,26 +29,49 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 COVERAGE = 0.8
 
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+_WORK = "This work is licensed under the GNU {0}General Public License, version {1}."
+
 #: Fixed values: (identifier, words that name the license, public notice text).
 TEMPLATES = (
     ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0-notice", "apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("MIT", "mit", "Released under the MIT License."),
+    ("MIT-line", "mit", "Licensed under the MIT License."),
     ("MIT-text", "", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("GPL-3.0", "gnu 3", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "gnu 2", "This work is licensed under the GNU General Public License, version 2."),
-    ("BSD-3-Clause", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("GPL-3.0", "gnu 3", _WORK.format("", 3)),
+    ("GPL-2.0", "gnu 2", _WORK.format("", 2)),
+    ("LGPL-3.0", "gnu lesser 3", _WORK.format("Lesser ", 3)),
+    ("LGPL-2.1", "gnu lesser 2 1", _WORK.format("Lesser ", 2.1)),
+    ("AGPL-3.0", "gnu affero 3", _WORK.format("Affero ", 3)),
+    ("GPL-3.0-notice", "gnu 3", _GNU.format("", 3)),
+    ("GPL-2.0-notice", "gnu 2", _GNU.format("", 2)),
+    ("LGPL-3.0-notice", "gnu lesser 3", _GNU.format("Lesser ", 3)),
+    ("LGPL-2.1-notice", "gnu lesser 2 1", _GNU.format("Lesser ", 2.1)),
+    ("AGPL-3.0-notice", "gnu affero 3", _GNU.format("Affero ", 3)),
+    ("BSD-2-Clause", "", _BSD_HEAD),
+    ("BSD-3-Clause", "endorse", _BSD_HEAD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "eclipse", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC-BY-NC-4.0", "cc by nc", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "cc by sa", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "cc by nd", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "cc by nc sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "cc by nc nd", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-4.0", "cc by", "Licensed under CC BY 4.0."),
     ("All-rights-reserved", "rights reserved", "All rights reserved."),
+    *((f"{i}-SPDX", " ".join(re.findall("[a-z0-9]+", i.lower())), f"SPDX-License-Identifier: {i}") for i in ("MIT", "Apache-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")),
 )
+#: Words that tell licenses apart; one that a template lacks must not stand in or next to its stretch.
+TELLING = frozenset("apache mit gnu lesser affero mozilla eclipse nc nd sa isc endorse noncommercial noderivatives sharealike".split())
+#: A notice right behind one of these words says the opposite.
+DENIALS = frozenset("not no never without isn aren wasn".split())
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
@@ -93,15 +119,22 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def needed(n: int) -> int:
+    """Words of n that COVERAGE asks for, in whole numbers."""
+    return -(-n * round(COVERAGE * 100) // 100)
+
+
 @cache
 def prepared() -> tuple[tuple[str, list[str], frozenset[str], dict[str, list[int]]], ...]:
-    """identifier, words, naming words, and the places of each trigger in the template."""
+    """identifier, words, naming words, and the places of each trigger in the template.
+
+    Triggers are the longest words; without all of them fewer words than needed are left."""
     out = []
     for name, names, text in TEMPLATES:
         words = _WORD.findall(text.lower())
         counts, triggers, share = Counter(words), [], 0
         for w in sorted(counts, key=lambda w: (-len(w), w)):
-            if share > (1 - COVERAGE) * len(words):
+            if len(words) - share < needed(len(words)):
                 break
             triggers.append(w)
             share += counts[w]
@@ -109,12 +142,23 @@ def prepared() -> tuple[tuple[str, list[str], frozenset[str], dict[str, list[int
     return tuple(out)
 
 
-def trigger_pattern() -> str:
-    return "(?i)(" + "|".join(sorted({w for *_, t in prepared() for w in t})) + ")"
+@cache
+def triggers() -> tuple[str, ...]:
+    """All triggers, without those that hold another one."""
+    found = {w for *_, t in prepared() for w in t}
+    return tuple(sorted(w for w in found if not any(v != w and v in w for v in found)))
+
+
+def denied(text: str, marks: list[re.Match], first: int) -> bool:
+    """Whether the word right before, with nothing but white space between, takes the notice back."""
+    return first > 0 and marks[first - 1].group().lower() in DENIALS and text[marks[first - 1].end() : marks[first].start()].isspace()
 
 
 def scan(text: str) -> list[tuple[str, float, int, int, int, int]]:
     """(identifier, coverage, aligned words, template words, first and last character) of each find."""
+    low = text.lower()
+    if not any(w in low for w in triggers()):
+        return []
     marks = list(_WORD.finditer(text))
     words = [m.group().lower() for m in marks]
     where: dict[str, list[int]] = {}
@@ -122,25 +166,34 @@ def scan(text: str) -> list[tuple[str, float, int, int, int, int]]:
     for i, w in enumerate(words):
         if w in wanted:
             where.setdefault(w, []).append(i)
+    known = set(words)
     finds = []
-    for name, template, names, triggers in prepared():
-        slack = len(template) // 4 + 1
-        starts = sorted({p - k for w, places in triggers.items() for p in where.get(w, ()) for k in places})
-        tried = -1
+    for name, template, names, mine in prepared():
+        if not names <= known:
+            continue
+        size, own = len(template), frozenset(template)
+        slack = size // 4 + 1
+        starts = sorted({p - k for w, places in mine.items() for p in where.get(w, ()) for k in places})
+        tried = None
         for s in starts:
-            if s - tried < slack and tried >= 0:
+            if tried is not None and s - tried < slack:
                 continue
             tried = s
             # a notice that follows itself has no unique words in the wider stretches
             lo, pairs = 0, []
             for left, right in ((slack, 2 * slack), (0, slack), (0, 0)):
                 begin = max(0, s - left)
-                if len(found := align(template, words[begin : s + len(template) + right])) > len(pairs):
+                if len(found := align(template, words[begin : max(0, s + size + right)])) > len(pairs):
                     lo, pairs = begin, found
-                if len(pairs) == len(template):
+                if len(pairs) == size:
                     break
-            if len(pairs) >= COVERAGE * len(template) and names <= {template[i] for i, _ in pairs}:
-                finds.append((name, len(pairs) / len(template), len(pairs), len(template), marks[lo + pairs[0][1]].start(), marks[lo + pairs[-1][1]].end()))
+            if len(pairs) < needed(size) or not names <= {template[i] for i, _ in pairs}:
+                continue
+            first, last = lo + pairs[0][1], lo + pairs[-1][1]
+            around = words[max(0, first - 1) : last + 2]
+            if any(w in TELLING and w not in own for w in around) or denied(text, marks, first):
+                continue
+            finds.append((name, len(pairs) / size, len(pairs), size, marks[first].start(), marks[last].end()))
     finds.sort(key=lambda f: (-f[2], -f[1], f[0], f[4]))
     kept: list = []
     for f in finds:
@@ -156,9 +209,8 @@ def license_finds(df: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         names = ["doc_id", "license_id", "coverage", "aligned_words", "template_words", "start", "end", "found_text"]
         for batch in batches:
-            rows = [(i, *f, t[f[4] : f[5]]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in scan(t)]
+            rows = [(i, *f, t[f[4] : f[5]]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for f in scan(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    rows = df.select("doc_id", "text").where(F.col("text").rlike(trigger_pattern()))
-    return rows.mapInArrow(run, "doc_id bigint, license_id string, coverage double, aligned_words bigint, template_words bigint, start bigint, end bigint, found_text string")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, license_id string, coverage double, aligned_words bigint, template_words bigint, start bigint, end bigint, found_text string")
