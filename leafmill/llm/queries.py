@@ -28,8 +28,7 @@ def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
-    turns = chat.formatted_turns(rows)
-    return chat.read_back(turns, chat.expand(turns))
+    return chat.read_back(chat.expand(rows))
 
 
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
