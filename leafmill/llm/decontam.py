@@ -12,16 +12,17 @@ give (document, item, shift); the shift is then verified word by word.
 
 Words that occur in no item cannot be part of a hit, so a document's other words are
 dropped before anything is hashed or joined; the list of the items' words is used for
-that only while it has at most ``MAX_VOCABULARY`` words.  The table of item seeds is
-broadcast only while it has at most ``MAX_BROADCAST`` rows, and joined by a shuffle
-beyond that.
+that only while it has at most ``MAX_VOCABULARY`` words.  The table of item seeds, of a
+fixed width, is broadcast only while it has at most ``MAX_BROADCAST`` rows, that of the
+items' words while they have at most ``MAX_BYTES``; beyond that both are joined by a shuffle.
 
 Words are runs of letters and digits in lower case.  Items of fewer than MIN_WORDS
 words are no evidence of anything and match nothing.
 
 Defined cases: null or empty texts have no words and match nothing; repeated documents
-or items give one row for each distinct pair of ids; very long texts are used whole;
-an empty table on either side gives an empty result; other columns are ignored.
+or items give one row for each distinct pair of ids, a null id being one of them; of shifts
+with equally many words the least counts; very long texts are used whole; an empty table on
+either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import dropped, written
 
 WINDOW, SHARE, MIN_WORDS = 20, 0.8, 5
 #: Positions that a mask looks at; the first word always counts.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
-MAX_VOCABULARY, MAX_BROADCAST = 100_000, 500_000
+MAX_VOCABULARY, MAX_BROADCAST, MAX_BYTES = 100_000, 500_000, 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -87,41 +88,41 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     distinct = tests.select(F.explode("words").alias("w")).distinct()
     found = [r.w for r in distinct.limit(MAX_VOCABULARY + 1).collect()]
     if not found:
+        dropped(tests)
         return empty
     vocabulary = sorted(found) if len(found) <= MAX_VOCABULARY else None
 
-    marks = _seeds(tests.select("item_id", "numbers"), ["item_id"]).distinct()
-    marks = written(marks.groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("at"))).alias("places")), "item-seeds")
+    seeds = _seeds(tests.select("item_id", F.size("words").alias("n"), "numbers"), ["item_id", "n"]).distinct()
+    marks = stored = written(seeds.withColumnRenamed("pos", "at"), "item-seeds")
     if marks.count() <= MAX_BROADCAST:
         marks = F.broadcast(marks)
     numbered = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", _numbers(vocabulary).alias("numbers"))
-    hits = _seeds(numbered, ["doc_id"]).join(marks, "seed").select("doc_id", "pos", F.explode("places").alias("p"))
-    pairs = written(hits.select("doc_id", "p.item_id", (F.col("pos") - F.col("p.at")).alias("shift")).distinct(), "candidates")
+    hits = _seeds(numbered, ["doc_id"]).join(marks, "seed")
+    pairs = written(hits.select("doc_id", "item_id", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "candidates")
 
-    per_doc = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "shift")).alias("at"))
+    per_doc = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("at"))
     texts = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("have"), "at")
-    # only the stretch of each shift goes on to the join with the item's words
-    longest = tests.agg(F.max(F.size("numbers"))).first()[0]
-    stretch = texts.select("doc_id", F.explode("at").alias("a"), "have").select(
-        "doc_id", "a.item_id", "a.shift",
-        F.slice("have", F.greatest(F.col("a.shift"), F.lit(0)) + 1, F.lit(longest)).alias("have"),
+    # only the stretch of each shift goes on to the join with the item's words, which are compared as words
+    stretch = texts.select("doc_id", words(F.col("text")).alias("have"), F.explode("at").alias("a")).select(
+        "doc_id", "a.item_id", "a.n", "a.shift", F.slice("have", F.greatest(F.col("a.shift"), F.lit(0)) + 1, F.col("a.n")).alias("have")
     )
-    wanted = tests.select("item_id", F.col("numbers").alias("want"))
-    if tests.count() * longest <= MAX_BROADCAST:
+    wanted = tests.select(F.col("item_id").alias("item"), F.size("words").alias("size"), F.col("words").alias("want"))
+    if (tests.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0) <= MAX_BYTES:
         wanted = F.broadcast(wanted)
-    both = stretch.join(wanted, "item_id")
+    both = stretch.join(wanted, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("n") == F.col("size"))).drop("item", "size")
     skip = F.greatest(-F.col("shift"), F.lit(0))  # item words before the document's first
     both = both.withColumn("holds", F.transform("want", lambda x, i: F.coalesce(F.get("have", i - skip) == x, F.lit(False)).cast("int")))
-    both = both.withColumns({"n": F.size("want"), "matched": F.aggregate("holds", F.lit(0), lambda a, x: a + x)})
+    both = both.withColumn("matched", F.aggregate("holds", F.lit(0), lambda a, x: a + x))
     both = both.withColumn("size", F.least("n", F.lit(WINDOW)))
     both = both.withColumn("need", F.ceil(F.col("size") * int(SHARE * 100) / F.lit(100.0)).cast("int")).where("matched >= need")
     good = F.exists(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda s: F.aggregate(F.slice("holds", s + 1, F.col("size")), F.lit(0), lambda a, x: a + x) >= F.col("need"))
     best = both.where(good).groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("shift")).alias("less"), "n")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n").alias("item_words"), F.col("b.matched").alias("matched_words"), (-F.col("b.less")).alias("shift"))
+    result = written(best.select("doc_id", "item_id", F.col("b.n").alias("item_words"), F.col("b.matched").alias("matched_words"), (-F.col("b.less")).alias("shift")), "contaminated")
+    dropped(tests, stored, pairs)
+    return result
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = written(contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
