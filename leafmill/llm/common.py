@@ -47,14 +47,38 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        removed(df.sparkSession, *(file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]))
+
+
+def evenly_joined(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has each key once, when a key may hold much of ``many``.
+
+    A key with more than a share of 1 / (4 * shuffle partitions) of the rows is met by broadcast.  There are
+    fewer than 4 * partitions such keys, whatever the data; the others meet by a shuffle.
+    sizes(<key>, count) of ``many``, if they are known."""
+    spark = many.sparkSession
+    sizes = many.groupBy(key).count() if sizes is None else sizes
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = [r[key] for r in sizes.where(F.col("count") * most > total).select(key).collect()]
+    if not hot:
+        return many.join(one, key)
+    names = spark.createDataFrame([(k,) for k in hot], many.select(key).schema)
+    rows = one.join(F.broadcast(names), key, "left_semi").collect()
+    known = spark.createDataFrame(rows, one.schema)
+    few = many.join(F.broadcast(names), key, "left_anti").join(one, key)
+    return many.join(F.broadcast(known), key).unionByName(few)
 
 
 def released(spark: SparkSession) -> None:
