@@ -20,8 +20,9 @@ alternating star contraction; every round is written to the shared folder.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and links like any other; fewer words than a shingle give one shingle of the
-whole sequence; repeated rows stay rows, with equal results; an empty table gives
-an empty result; other columns are not read.
+whole sequence; repeated rows stay rows, with equal results; null doc_ids count as
+greater than all others, and a class of them alone has a null component_id; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, written
+from leafmill.llm.common import dropped, evenly_joined, written
 
 WORDS, BITS, SEED = 4, 4, 42
 SEGMENTS, WIDTH, CHAIN = 16, 4, 7
@@ -144,15 +145,19 @@ def link_edges(fps: DataFrame, bits: int = BITS) -> DataFrame:
             e = np.array(edges, np.uint64).view(np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-        held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        open_: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key, which may go on in the next batch
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            v = np.concatenate([held_v, batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            held_k, held_v = k[last:], v[last:]  # the last key may go on in the next batch
-            if edges := edges_of(k[:last], v[:last]) if last else []:
-                yield batch_of(edges)
-        if len(held_k) > 1 and (edges := edges_of(held_k, held_v)):
+            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(k):
+                continue
+            last = int(np.searchsorted(k, k[-1]))
+            if last or (open_ and open_[0][0][0] != k[0]):
+                done = [*open_, (k[:last], v[:last])]
+                open_ = []
+                if edges := edges_of(*(np.concatenate(c) for c in zip(*done))):
+                    yield batch_of(edges)
+            open_.append((k[last:], v[last:]))
+        if open_ and (edges := edges_of(*(np.concatenate(c) for c in zip(*open_)))):
             yield batch_of(edges)
 
     dealt = ring_keys(fps).select("key", "fp").repartition("key").sortWithinPartitions("key")
@@ -203,11 +208,12 @@ def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS) -> Data
     if not 0 <= bits <= BITS:
         raise ValueError(f"the segment budgets hold for at most {BITS} bits")
     fps = written(fingerprints(df, words), "fingerprints")
-    of_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(link_edges(fps.select("fp").distinct(), bits))
-    # nodes: distinct fingerprints; a class of many nodes is summed before it is joined
-    grouped = of_fp.join(roots, of_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_fp = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "nodes")
+    roots = components(link_edges(of_fp.select("fp"), bits))
+    # a frequent fingerprint, or a class of many, meets its label by broadcast
+    grouped = of_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "count", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, "classes")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = grouped.join(least, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = evenly_joined(grouped.select("fp", "root"), grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    out = written(evenly_joined(fps, label.select("fp", "component_id"), "fp", of_fp.select("fp", "count")).select("doc_id", "fp", "component_id"), "near-duplicates")
+    dropped(fps, of_fp, grouped, roots)
+    return out
