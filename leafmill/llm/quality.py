@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 8).
 
-A bounded sample of labelled rows (``MAX_LABELLED``, those with the least hash of
-their doc_id) gives term weights and a truncated singular value decomposition of its
+A bounded sample of labelled texts (``MAX_LABELLED``, those with the least hash of
+their doc_id; every text of a repeated doc_id counts) gives term weights and a truncated singular value decomposition of its
 weighted n-gram counts.  The sample's latent vectors and labels are broadcast; their
 size depends on MAX_LABELLED and DIMENSIONS only.  Every document is projected and
 compared with all of them in exact blocked cosine products; the NEIGHBOURS most
@@ -12,8 +12,10 @@ is 2 are never read.
 
 Defined cases: null text counts as empty; an empty text still has a length term, so
 it is scored like the shortest labelled texts; ties between neighbours go to the one
-that comes first in the sample; without any usable label the score is 0.5; repeated
-rows get equal scores; other columns of the documents are passed on or ignored.
+that comes first in the sample, which is ordered by doc_id and text; of conflicting labels
+of a doc_id the greatest counts; rows repeated with one doc_id and text are one labelled
+text; labels without a doc_id are not read; without any usable label the score is 0.5;
+repeated rows get equal scores; other columns of the documents are passed on or ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +51,21 @@ class Model:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         alike = self.latent(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, alike.shape[1])
-        near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
+        near = nearest(alike, min(NEIGHBOURS, alike.shape[1]))
         weight = np.maximum(np.take_along_axis(alike, near, 1), 1e-3).astype(np.float64) ** POWER
         return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0.0, 1.0)
 
 
+def nearest(alike: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest values of each row; of equal ones the first."""
+    near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(alike, near, 1).min(1)
+    tied = np.flatnonzero((alike >= least[:, None]).sum(1) > k)
+    if len(tied):
+        near[tied] = np.argsort(-alike[tied], axis=1, kind="stable")[:, :k]
+    return near
+
+
 def sparse_counts(rows: DataFrame, counts, columns: list[str], schema: str) -> DataFrame:
     """Term counts of a bounded sample, as (columns, terms, values) for the driver."""
 
@@ -84,10 +95,13 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", max_labelled:
     """df(doc_id, text); labels(doc_id, <label>)."""
     usable = labels.where((bucket4(F.col("doc_id")) != 2) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one doc_id may have many rows: their distinct texts are chosen by narrow keys, so the bound holds for texts
+    keyed = df.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    keys = keyed.join(F.broadcast(chosen), "doc_id").select("doc_id", "mark", "label").distinct()
+    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(max_labelled)
+    texts = keyed.join(F.broadcast(keys), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     rows = sparse_counts(texts, ngrams.all_counts, ["doc_id", "label"], "doc_id bigint, label int").collect()
     rows.sort(key=lambda r: (r.doc_id, r.terms, r["values"]))
-    rows = rows[: 2 * max_labelled]
     counts = dense(rows, ngrams.N_ALL)
     y = np.array([r.label for r in rows], np.float64)
     if not len(rows):
