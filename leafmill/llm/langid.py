@@ -7,12 +7,14 @@ weighted by how reliable the bit was on the training rows; the least loss wins.
 score is the winner's share of exp(-loss), and a small lead over the second language
 flags the row as ambiguous.
 
-Training reads text and lang of at most MAX_ROWS rows of each language (least hash of
-doc_id) and about MAX_TOTAL in all, never of rows whose crc32(doc_id as text) mod 4 is 2.
+Training reads at most MAX_ROWS texts of each language (least hash of doc_id; every text of
+a repeated doc_id counts) and MAX_TOTAL in all, never rows whose crc32(doc_id as text) mod 4
+is 2.  More than MAX_LANGUAGES languages are an error: no language is left out silently.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; with
 no language to learn every row is ``und``; with one language each text with a letter
-gets it, with score 1; repeated rows give equal results; other columns are ignored.
+gets it, with score 1; repeated rows give equal results and are one text in training; a
+column that is kept and has the name of an output is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from leafmill.llm import ngrams
 from leafmill.llm.common import bucket4
 from leafmill.llm.quality import dense, sparse_counts
 
-MAX_ROWS, MAX_TOTAL, RIDGE, LEAD = 512, 4096, 1.0, 0.1
+MAX_ROWS, MAX_TOTAL, MAX_LANGUAGES, RIDGE, LEAD = 512, 4096, 1024, 1.0, 0.1
 
 
 def codewords(n: int) -> np.ndarray:
@@ -76,19 +78,20 @@ class Model:
 def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """df(doc_id, text, lang)."""
     train = df.where((bucket4(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = train.groupBy("lang").agg(F.count("*").alias("size"))
+    # distinct ids: a language whose rows repeat few ids keeps them all
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size"))
     n_langs = sizes.count()
-    max_rows = max(4, min(max_rows, MAX_TOTAL // max(1, n_langs)))
+    if n_langs > MAX_LANGUAGES:
+        raise ValueError(f"{n_langs} languages; at most {MAX_LANGUAGES} can be learned")
+    max_rows = max(1, min(max_rows, MAX_TOTAL // max(1, n_langs)))
+    keyed = train.select("doc_id", "lang", "text").withColumn("mark", F.xxhash64("text"))
     # only hashes low enough to be among the least reach the window, however many tasks there are
-    rows = train.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    # a count for each language: broadcast while there are few, so no row moves before the filter
-    rows = rows.join(F.broadcast(sizes) if n_langs <= 10_000 else sizes, "lang")
-    rows = rows.where(F.col("h").cast("double") * F.col("size") <= F.lit(float(1 << 40)) * (3 * max_rows + 50))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    if n_langs * max_rows <= MAX_TOTAL:  # else very many languages: joined by a shuffle
-        chosen = F.broadcast(chosen)
-    texts = train.join(chosen, (train.doc_id == F.col("__id")) & (train.lang == F.col("__lang")), "left_semi")
+    rows = keyed.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(F.broadcast(sizes), "lang")
+    rows = rows.where(F.col("h").cast("double") * F.col("size") <= F.lit(float(1 << 40)) * (4 * max_rows + 100))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "mark")
+    rows = rows.select("lang", "doc_id", "h", "mark").distinct()
+    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select("doc_id", "lang", "mark")
+    texts = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "mark"], "left_semi").dropDuplicates(["doc_id", "lang", "mark"])
     rows = sparse_counts(texts, ngrams.letter_pairs, ["doc_id", "lang"], "doc_id bigint, lang string").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.terms, r["values"]))
     langs = sorted({r.lang for r in rows})
@@ -111,6 +114,8 @@ def fit(df: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
 def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score, ambiguous; one pass, no shuffle."""
+    if clash := {"lang_pred", "score", "ambiguous"} & set(keep):
+        raise ValueError(f"rename {sorted(clash)}: outputs have these names")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

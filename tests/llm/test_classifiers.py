@@ -104,3 +104,73 @@ def test_repeated_rows_get_equal_scores(spark):
     docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id bigint, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id bigint, quality int")
     assert len({r.score for r in Q.score_documents(docs, Q.fit(docs, labels), ["doc_id"]).collect()}) == 1
+
+
+def test_neighbours_of_equal_likeness_are_the_first_ones():
+    rnd = np.random.RandomState(1)
+    alike = rnd.randint(0, 4, (200, 40)).astype(np.float32)
+    near = Q.nearest(alike, 7)
+    for row, got in zip(alike, near):
+        assert set(got) == set(sorted(range(40), key=lambda k: (-row[k], k))[:7])
+
+
+#: Two ids whose rows are learned from.
+ONE, TWO = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+
+
+def test_the_bound_holds_for_texts_of_one_doc_id(spark):
+    docs = spark.range(3000).select(F.lit(ONE).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(TWO, "other"), (None, "none")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(ONE, 0), (ONE, 1), (TWO, 0), (None, 1), (TWO, None)], "doc_id bigint, quality int")
+    model = Q.fit(docs, labels)
+    assert len(model.labels) == 51 and model.labels.sum() == 50  # of conflicting labels the greatest
+    assert len(Q.fit(docs, labels, max_labelled=2).labels) == 2
+
+
+def test_language_sample_is_bounded_and_loses_no_language(spark, monkeypatch):
+    many = spark.range(5000).select(F.lit(ONE).cast("bigint").alias("doc_id"), F.concat(F.lit("abc "), (F.col("id") % 30).cast("string")).alias("text"), F.lit("x").alias("lang"))
+    few = spark.createDataFrame([(TWO, "zz yy", "y"), (TWO, "zz yy", "y"), (None, "q", "y")], "doc_id bigint, text string, lang string")
+    model = L.fit(many.unionByName(few), max_rows=20)
+    assert model.langs == ["x", "y"]
+    with pytest.raises(ValueError):
+        L.identify(few, model, ("doc_id", "score"))
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        L.fit(many.unionByName(few))
+
+
+def test_languages_equal_plain_ridge_and_decoding(spark):
+    """The whole operator by hand: bigram features, one ridge solution a bit by normal equations, loss-weighted decoding."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs)
+    rows = [r for r in docs.collect()]
+    train = sorted((r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None), key=lambda r: r.lang)
+    assert len(train) < 512
+
+    def features(text):
+        x = np.zeros(N.N_LETTERS)
+        codes = N.LETTERS[np.frombuffer((text or "").encode(), np.uint8)]
+        for a, b in zip(codes[:-1], codes[1:]):
+            x[a * 64 + b] += 1
+        x = np.sqrt(x)
+        return np.append(x / max(np.linalg.norm(x), 1e-12), 1.0)
+
+    langs = sorted({r.lang for r in train})
+    code = L.codewords(len(langs))
+    x = np.array([features(r.text) for r in train])
+    n = {l: sum(r.lang == l for r in train) for l in langs}
+    w = np.array([len(train) / len(langs) / n[r.lang] for r in train])
+    y = np.array([code[langs.index(r.lang)] for r in train])
+    used = np.flatnonzero(x.any(0))
+    z = x[:, used]
+    planes = np.linalg.solve(z.T @ (w[:, None] * z) + L.RIDGE * np.eye(len(used)), z.T @ (w[:, None] * y))
+    reliable = np.log(np.maximum(((z @ planes) * y > 0).mean(0), 0.51) / np.maximum(1 - ((z @ planes) * y > 0).mean(0), 1e-3)).clip(0.05)
+    reliable /= reliable.mean()
+    agree = 0
+    got = {r.doc_id: r for r in L.identify(docs, model).collect()}
+    lettered = [r for r in rows if any(c.isalpha() for c in r.text or "")]
+    for r in lettered:
+        f = features(r.text)[used] @ planes
+        loss = [(np.log1p(np.exp(-4 * f * word)) * reliable).sum() for word in code]
+        agree += got[r.doc_id].lang_pred == langs[int(np.argmin(loss))]
+    assert agree == len(lettered)
