@@ -1,24 +1,32 @@
-"""Near copies by exact Jaccard similarity of word shingles (the pipeline's near-duplicate stage).
-
-Two texts link where the sets of their five-word shingles (bytes with A-Z folded,
-hashed with XXH64) have a Jaccard similarity of 0.8 or more; a class is a connected
-component of links.  No link is lost, whatever the length of the texts.
-
-Candidates: the shingles of all texts are put into one order.  Similar sets share
-8/10 of either one, so they share one of the first n - ceil(0.8 n) + 1 of each (prefix
-filtering).  Every text sends these to their groups; a pair of a group stays when
-its sizes and its places in the order still allow the similarity, which holds for
-similar pairs at the first shingle they share.  The order has shingles that are
-frequent in a sample last: that makes groups small and never changes a result.
-
-Groups of up to ``SMALL`` texts give their pairs at once; larger ones first give a few
-pairs a text, and after these have been checked and joined to components only pairs
-of different components.  So a dense group of near copies costs about one pass.  Sketches
-turn most candidates down without a loss; the others are decided by their whole sets.
-
-Defined cases: null text counts as empty; texts without words link to each other only;
-fewer words than a shingle give one shingle of the whole sequence; repeated rows stay
-rows, with equal results; an empty table gives an empty result; other columns are not read.
+"""Texts with similar word shingles: SimHash near-duplicates with an exact decision (operator 7, wide bound).
+
+``simhash.near_duplicates`` takes this path when it is asked for a similarity instead of a number of
+bits: two texts link where the sets of their five-word shingles (bytes with A-Z folded, hashed with
+XXH64) have a Jaccard similarity of 0.8 or more; a class is a connected component of links.  Similar
+texts lie up to 13 of 64 bits apart, where keys made of bits are neither whole nor selective, so
+candidates come from shared shingles, and fingerprints prune them:
+
+1. Shared shingles.  Every text sends its shingles to their buckets; a shingle that no other text
+   has ends there.  A text that shares less than 8/10 of its shingles has no similar text and ends too.
+2. Keys.  The shingles of the others are put into one order, those that the fewest texts have first.
+   Similar sets share 8/10 of either one, so they share one of the first n - ceil(0.8 n) + 1 of each
+   (prefix filtering); the first of these are shingles that no other text has, so few keys are left.
+   Shingles that are frequent in a sample come last in the order and are sent to no bucket.
+3. Pigeonring filtering.  Rows of one key are searched breadth first: a text is compared only with
+   those that nothing has reached yet.  Sizes and places in the order must allow the similarity; of
+   two 512-bit SimHash fingerprints a ring of 16 segments must have a segment from which every chain
+   of l segments differs in at most l * ``LIMIT`` / 16 bits, then the full distance must be at most ``LIMIT``.
+4. Decision.  What is left is decided by the whole sets.  The first search gives a tree of close pairs
+   for each key, so a dense group of near copies costs about one pass; after these have been decided
+   and joined to components, only pairs of one key and two components are left, and all of them are
+   decided.
+
+Fingerprints of sets with a similarity of just 0.8 lie 78 bits apart with a deviation of 8 (measured for
+sets of 8 to 5,000 shingles), so LIMIT, five deviations more, loses about one such pair in ten million.
+
+Defined cases: null text counts as empty; texts without words link to each other only; fewer words than
+a shingle give one shingle of the whole sequence; repeated rows stay rows, with equal results; a null doc_id
+counts as greater than all others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,19 +36,26 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, written
+from leafmill.llm.common import dropped, evenly_joined, released, written
 from leafmill.llm.simhash import components
 
 WORDS, SEED = 5, 42
 #: Similarity as a fraction, so that all bounds are whole numbers.
 UP, DOWN = 4, 5
-SMALL, NEXT = 16, 4
-SAMPLED, LISTED, EMITTED = 4096, 1 << 18, 1 << 19
-PARITIES = 2048
+#: Documents in the sample that shows frequent shingles, and the most that it may list.
+SAMPLED, LISTED = 4096, 1 << 17
+#: Shingles that one bucket should hold, and rows of a batch that is given out.
+BUCKET, EMITTED = 2_000_000, 1 << 18
+#: Bits of a fingerprint by segments of the ring; the bound, and what counts as close in the first search.
+RING, SEGMENT, LIMIT, CLOSE = 16, 32, 120, 84
+#: Prefix sums of a chain are checked up to this length before the full distance.
+CHAIN = 8
+_U = np.uint64
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -63,29 +78,40 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DOWN * both >= UP * (len(a) + len(b) - both)
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """The parity of the number of shingles at each of ``PARITIES`` places."""
-    return np.packbits(np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+def shared_least(n: np.ndarray | int):
+    """Shingles that a set of n must share with a similar one."""
+    return -(-UP * n // DOWN)
 
 
-def set_ids(df: DataFrame) -> DataFrame:
-    """(doc_id, id, n, sketch, text): equal ids for equal sets.  One pass, no shuffle."""
+#: Odd factors that make the words of a fingerprint's hash out of a shingle's hash.
+_FACTORS = np.random.RandomState(97).randint(0, 1 << 63, RING * SEGMENT // 64, np.int64).astype(np.uint64) << _U(1) | _U(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, sketches = [], [], []
-            for t in batch.column(1).to_pylist():
-                found = shingles(t)
-                ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                sketches.append(sketch(found))
-            columns = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "sketch", "text"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, id bigint, n int, sketch binary, text string")
+def fingerprint(found: np.ndarray) -> bytes:
+    """The SimHash of a set of hashes, RING * SEGMENT bits."""
+    votes = np.zeros(RING * SEGMENT, np.int64)
+    for at in range(0, len(found), 1 << 14):  # bounded scratch memory for very long texts
+        h = found[at : at + (1 << 14), None] * _FACTORS[None, :]
+        h = (h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+        votes += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(found)).tobytes()
+
 
+def ring_filter(u: np.ndarray, others: np.ndarray, limit: int) -> np.ndarray:
+    """Which of the fingerprints (rows of RING words) are within ``limit`` bits of u."""
+    apart = np.bitwise_count(others ^ u).astype(np.int32)
+    sums = np.zeros((len(apart), RING + CHAIN), np.int32)
+    np.cumsum(np.concatenate([apart, apart[:, : CHAIN - 1]], axis=1), axis=1, out=sums[:, 1:])
+    fits = np.ones((len(apart), RING), bool)
+    for length in range(1, CHAIN + 1):
+        fits &= sums[:, length : length + RING] - sums[:, :RING] <= length * limit // RING
+    near = fits.any(1)
+    near[near] = apart[near].sum(1) <= limit
+    return near
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of three or more texts of a sample, ascending, and their counts; for the order only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,199 +119,320 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["h"])
 
-    share = min(1.0, SAMPLED / max(1, sets.count()))
-    some = sets.where(F.shiftrightunsigned(F.xxhash64("id"), 32) < int(share * (1 << 32))).select("text")
+    share = min(1.0, SAMPLED / max(1, n))
+    some = docs.where(F.shiftrightunsigned("mark", 32) < int(share * (1 << 32))).select("text")
     counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     rows = counts.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
-    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    h, count = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], count[order]
 
 
-def prefix(found: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles that a similar set must share one of, in the common order."""
-    n = len(found)
-    length = n - -(-UP * n // DOWN) + 1 if n else 0
-    if not len(listed):
-        return found[:length]
-    at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
-    rank = np.where(listed[at] == found, counts[at], 0)
-    return found[np.argsort(rank, kind="stable")[:length]]
+def listed_of(found: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts in the sample of each shingle, 0 for those that are not listed."""
+    h, count = known
+    if not len(h) or not len(found):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+    return np.where(h[at] == found, count[at], 0)
 
 
-def prefix_keys(sets: DataFrame) -> DataFrame:
-    """(key, id, size, place): the prefix of every text.  One pass, no shuffle."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+def set_ids(docs: DataFrame, known) -> DataFrame:
+    """(doc_id, mark, id, n, n_listed, listed): equal ids for equal sets; listed: the frequent shingles that may be keys,
+    in their order.  One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, counts = shared.value
-
-        def batch_of(parts: list[tuple]) -> pa.RecordBatch:
-            lengths = [len(p) for p, _, _ in parts]
-            columns = [
-                np.concatenate([p for p, _, _ in parts]).view(np.int64),
-                np.repeat(np.array([i for _, i, _ in parts], np.int64), lengths),
-                np.repeat(np.array([n for _, _, n in parts], np.int32), lengths),
-                np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "place"])
-
         for batch in batches:
-            parts, held = [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingles(text)
-                parts.append((prefix(found, listed, counts), i, len(found)))
-                held += len(parts[-1][0])
-                if held >= EMITTED:
-                    yield batch_of(parts)
-                    parts, held = [], 0
-            if held:
-                yield batch_of(parts)
-
-    return sets.select("id", "text").mapInArrow(run, "key bigint, id bigint, size int, place int")
-
-
-def possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sizes and places of the pairs (i, j) of a group allow the similarity."""
-    a, b = size[i].astype(np.int64), size[j].astype(np.int64)
-    most = np.minimum(a - place[i], b - place[j])
-    return (DOWN * np.minimum(a, b) >= UP * np.maximum(a, b)) & ((UP + DOWN) * most >= UP * (a + b))
+            ids, sizes, listed, blobs = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                found = shingles(t)
+                counts = listed_of(found, known.value)
+                some = np.flatnonzero(counts)
+                first = some[np.argsort(counts[some], kind="stable")][: len(found) - shared_least(len(found)) + 1]
+                ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                listed.append(len(some))
+                blobs.append(found[first].tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(listed, pa.int32()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "id", "n", "n_listed", "listed"])
 
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint, id bigint, n int, n_listed int, listed binary")
+
+
+def _packed(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ascending hashes with their documents: steps between hashes by byte planes, which compress."""
+    steps = np.diff(h, prepend=_U(0))
+    used, doc = np.unique(doc, return_inverse=True)
+    head = np.array([len(h), len(used)], np.int64).tobytes()
+    return head + ids[used].tobytes() + doc.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k = np.frombuffer(blob, np.int64, 2)
+    ids = np.frombuffer(blob, np.int64, k, 16)
+    kind = np.uint16 if k < 1 << 16 else np.uint32
+    at = 16 + 8 * int(k)
+    doc = np.frombuffer(blob, kind, n, at)
+    planes = np.frombuffer(blob, np.uint8, 8 * n, at + int(n) * np.dtype(kind).itemsize).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64), ids[doc]
+
+
+def _deal(known, buckets: int):
+    """Rows (bucket, blob): the shingles of a batch that are not listed, with the sets that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, seen = [], set()
+            for t in batch.column(0).to_pylist():
+                found = shingles(t)
+                i = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                if i not in seen:
+                    seen.add(i)
+                    sets.append((i, found[listed_of(found, known.value) == 0]))
+            if not sets:
+                continue
+            ids = np.array([i for i, _ in sets], np.uint64).view(np.int64)
+            h = np.concatenate([f for _, f in sets])
+            doc = np.repeat(np.arange(len(sets)), [len(f) for _, f in sets])
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order]
+            bucket = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            where = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            blobs = [_packed(h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in where]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, df): the shingles of a bucket that several sets have, and how many."""
+    held = [_unpacked(blob.as_py()) for batch in batches for blob in batch.column(1)]
+    if not held:
+        return
+    h, ids = (np.concatenate(c) for c in zip(*held))
+    del held
+    order = np.lexsort((ids, h))
+    h, ids = h[order], ids[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])  # one set may come in several batches
+    h, ids = h[new], ids[new]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    df = np.repeat(np.diff(np.concatenate([first, [len(h)]])), np.diff(np.concatenate([first, [len(h)]])))
+    many = df > 1
+    h, ids, df = h[many], ids[many], df[many]
+    by_id = np.argsort(ids, kind="stable")
+    h, ids, df = h[by_id], ids[by_id], df[by_id]
+    for a in range(0, len(h), EMITTED):
+        b = a + EMITTED
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(h[a:b].view(np.int64)), pa.array(df[a:b].astype(np.int32))], ["id", "h", "df"])
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int, int]]:
+    """(columns, from, to) for each key, in a stream sorted by its first column."""
+    open_: list[pa.RecordBatch] = []
+    last = None
+
+    def closed(parts: list[pa.RecordBatch]) -> Iterator[tuple[list, int, int]]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        columns = [c.combine_chunks() for c in table.columns]
+        keys = columns[0].to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield columns, int(a), int(b)
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int, int]]:
-    """(columns, from, to) for each key of two or more rows, in a stream sorted by its first column."""
-    held = None
     for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(now[0]):
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        at = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if open_ and (at or last != keys[0]):
+            yield from closed([*open_, batch.slice(0, at)])
+            open_ = []
+        elif at:
+            yield from closed([batch.slice(0, at)])
+        open_.append(batch.slice(at))
+        last = keys[-1]
+    if open_:
+        yield from closed(open_)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, size, place) from rows (id, h, df, n, n_listed, listed) sorted by id: those of the set with h NULL, those
+    of its shared shingles with n NULL."""
+    out: list[tuple[np.ndarray, int, int, int]] = []
+    held = 0
+
+    def batch_of() -> pa.RecordBatch:
+        lengths = [len(k) for k, *_ in out]
+        place = np.concatenate([np.arange(u, u + len(k)) for k, _, _, u in out]).astype(np.int32)
+        columns = [np.concatenate([k for k, *_ in out]).view(np.int64), np.repeat(np.array([i for _, i, _, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n, _ in out], np.int32), lengths), place]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "place"])
+
+    for (ids, h, df, n, n_listed, listed), at, to in groups(batches):
+        head = pc.index_in(pa.scalar(True), pc.is_valid(n.slice(at, to - at))).as_py()
+        if head is None:
+            continue
+        size, common = n[at + head].as_py(), n_listed[at + head].as_py()
+        mine = pc.is_valid(h.slice(at, to - at)).to_numpy(zero_copy_only=False)
+        keys = h.slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[mine]
+        count = df.slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False)[mine]
+        alone = size - common - len(keys)  # shingles that no other set has come first in the order
+        wanted = size - shared_least(size) + 1 - alone
+        if size == 0 or wanted <= 0:
             continue
-        held = [np.concatenate(c) for c in zip(held, now)] if held else now
-        cuts = np.flatnonzero(np.diff(held[0])) + 1
-        for a, b in zip(np.concatenate([[0], cuts[:-1]]), cuts):
-            if b - a > 1:
-                yield held, int(a), int(b)
-        held = [c[cuts[-1] if len(cuts) else 0 :] for c in held]  # the last key may go on in the next batch
-    if held and len(held[0]) > 1:
-        yield held, 0, len(held[0])
+        keys = keys[np.lexsort((keys, count))][:wanted]
+        if len(keys) < wanted:
+            keys = np.concatenate([keys, np.frombuffer(listed[at + head].as_py(), np.uint64)[: wanted - len(keys)]])
+        out.append((keys, ids[at].as_py(), size, alone))
+        held += len(keys)
+        if held >= EMITTED:
+            yield batch_of()
+            out, held = [], 0
+    if out:
+        yield batch_of()
+
+
+def prefix_keys(docs: DataFrame, sets: DataFrame, known) -> DataFrame:
+    """(key, id, size, place) of the sets that may have a similar one."""
+    spark = docs.sparkSession
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    dealt = docs.select("text").mapInArrow(_deal(known, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
+    shared = dealt.mapInArrow(_met, "id bigint, h bigint, df int")
+    none = {"n": F.lit(None).cast("int"), "n_listed": F.lit(None).cast("int"), "listed": F.lit(None).cast("binary")}
+    heads = sets.select("id", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("df"), "n", "n_listed", "listed")
+    rows = shared.withColumns(none).unionByName(heads)
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(_keys, "key bigint, id bigint, size int, place int")
+
+
+def whole_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, fp, hashes) of the sets that have keys, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "fp", "hashes"])
+
+    named = keys.select("id").distinct()
+    one = sets.join(named, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark"))
+    texts = docs.join(one, "mark").select("id", "text")
+    return texts.mapInArrow(run, "id bigint, fp binary, hashes binary").dropDuplicates(["id"])
+
+
+def possible(size: np.ndarray, place: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and places of the pairs (i, j) of a group allow the similarity.
+
+    It holds for similar pairs at the first shingle of the order that they share."""
+    a, b = int(size[i]), size[j].astype(np.int64)
+    most = np.minimum(a - int(place[i]), b - place[j])
+    return (DOWN * np.minimum(a, b) >= UP * np.maximum(a, b)) & ((UP + DOWN) * most >= UP * (a + b))
 
 
-def first_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b, key, size, place): pairs without a key, and the rows of groups that are not done without b."""
-    schema = "a bigint, b bigint, key bigint, size int, place int"
+def _pair_rows(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(c) for c in zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def tree_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): for rows (key, id, size, place, fp), close pairs that join each key's rows to trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for (key, ids, size, place), at, to in groups(batches):
-            i, first = np.unique(ids[at:to], return_index=True)
-            n = len(i)
-            if n < 2:
+        for columns, at, to in groups(batches):
+            if to - at < 2:
                 continue
-            s, p = size[at:to][first], place[at:to][first]
-            order = np.argsort(s, kind="stable")
-            i, s, p = i[order], s[order], p[order]
-            if n <= SMALL:
-                x, y = np.triu_indices(n, 1)
-            else:
-                x = np.repeat(np.arange(n), NEXT)
-                y = x + np.tile(np.arange(1, NEXT + 1), n)
-                x, y = x[y < n], y[y < n]
-            keep = possible(s, p, x, y)
-            x, y = i[x[keep]], i[y[keep]]
-            none = np.zeros(len(x), np.int64)
-            out.append((np.minimum(x, y), np.maximum(x, y), none, none, none, none == 0))
-            if n > SMALL:
-                out.append((i, np.zeros(n, np.int64), np.full(n, key[at]), s, p, np.zeros(n, bool)))
-            held += sum(len(c[0]) for c in out[-2:])
+            ids, size, place, fps = _group(columns, at, to)
+            rest = np.arange(len(ids))
+            while len(rest) > 1:
+                queue, rest = [rest[0]], rest[1:]
+                while queue and len(rest):
+                    u = queue.pop()
+                    near = possible(size, place, u, rest)
+                    near[near] = ring_filter(fps[u], fps[rest[near]], CLOSE)
+                    if near.any():
+                        found = rest[near]
+                        out.append((np.full(len(found), ids[u]), ids[found]))
+                        held += len(found)
+                        queue.extend(found)
+                        rest = rest[~near]
             if held >= EMITTED:
-                yield batch_of(out)
+                yield _pair_rows(out)
                 out, held = [], 0
         if out:
-            yield batch_of(out)
+            yield _pair_rows(out)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        a, b, key, size, place, pair = (np.concatenate(c) for c in zip(*out))
-        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=~pair), pa.array(key, pa.int64(), mask=pair)]
-        columns += [pa.array(size.astype(np.int32), mask=pair), pa.array(place.astype(np.int32), mask=pair)]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "size", "place"])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+def _group(columns: list, at: int, to: int) -> tuple[np.ndarray, ...]:
+    """Ids, sizes, places and fingerprints of a group, by id; so trees of groups with the same rows are alike."""
+    ids = columns[1].slice(at, to - at).to_numpy(zero_copy_only=False)
+    order = np.argsort(ids)
+    size, place = (columns[k].slice(at, to - at).to_numpy(zero_copy_only=False)[order] for k in (2, 3))
+    fps = np.frombuffer(b"".join(columns[4].slice(at, to - at).to_pylist()), np.uint32).reshape(to - at, RING)
+    return ids[order], size, place, fps[order]
 
 
 def other_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): for rows (key, id, size, place, root), the possible pairs of one key and two roots."""
+    """(a, b): for rows (key, id, size, place, fp, root), the possible pairs of one key and two roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, size, place, root), at, to in groups(batches):
-            i, s, p, r = ids[at:to], size[at:to], place[at:to], root[at:to]
-            if (r == r[0]).all():
-                continue
-            for x in range(len(i) - 1):
-                y = np.arange(x + 1, len(i))
-                y = y[r[y] != r[x]]
-                y = y[possible(s, p, np.full(len(y), x), y)]
+        for columns, at, to in groups(batches):
+            ids, size, place, fps = _group(columns, at, to)
+            root = columns[5].slice(at, to - at).to_numpy(zero_copy_only=False)[np.argsort(columns[1].slice(at, to - at).to_numpy(zero_copy_only=False))]
+            for x in range(len(ids) - 1):
+                y = np.arange(x + 1, len(ids))
+                y = y[root[y] != root[x]]
+                y = y[possible(size, place, x, y)]
+                y = y[ring_filter(fps[x], fps[y], LIMIT)] if len(y) else y
                 if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[x], i[y])), pa.array(np.maximum(i[x], i[y]))], ["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
-
-
-def close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sketches allow the similarity.  Sketches differ in at most as many
-    places as the sets have shingles that are not shared, so no similar pair is lost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
-            most = batch.column(4).to_numpy().astype(np.int64) * (DOWN - UP)
-            yield batch.select(["a", "b"]).filter(pa.array(apart * (UP + DOWN) <= most))
+                    yield _pair_rows([(np.full(len(y), ids[x]), ids[y])])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = sets.select("id", "sketch", "n").join(named, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(known.toDF("a", "sketch_a", "n_a"), "a").join(known.toDF("b", "sketch_b", "n_b"), "b")
-    both = both.select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).cast("bigint").alias("n"))
-    return written(both.mapInArrow(run, "a bigint, b bigint"), "close")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = [], None, None
-            for a, ta, tb in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if a != last:
-                    last, left = a, shingles(ta)
-                keep.append(similar(left, shingles(tb)))
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = close(pairs, sets)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(sets.select("id", "text").join(named, "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    found = written(both.mapInArrow(run, "a bigint, b bigint"), "similar")
-    dropped(texts, pairs)
-    return found
+    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    both = evenly_joined(evenly_joined(pairs, left, "a"), right, "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(run, "a bigint, b bigint"), "similar")
 
 
 def near_copies(df: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of ``df(doc_id, text)``; component_id is the
     least doc_id of the texts reachable over links, the own one included."""
-    sets = written(set_ids(df), "sets")
-    first = written(first_pairs(prefix_keys(sets)), "pairs")
-    links = checked(first.where("b is not null").select("a", "b").distinct(), sets)
+    spark = df.sparkSession
+    docs = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    known = spark.sparkContext.broadcast(frequent(docs, docs.count()))
+    sets = written(set_ids(docs, known), "sets")
+    heads = sets.dropDuplicates(["id"])
+    keys = written(prefix_keys(docs, heads, known), "keys")
+    released(spark)
+    wholes = written(whole_sets(docs, sets, keys), "whole-sets")
+    fps = wholes.select("id", "fp")
+    pairs = written(tree_pairs(keys.join(fps, "id").select("key", "id", "size", "place", "fp")), "pairs")
+    links = decided(pairs, wholes)
     roots = components(links)
-    rest = first.where("b is null").select("key", F.col("a").alias("id"), "size", "place")
-    rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"))
-    others = written(other_pairs(rest).distinct(), "pairs")
+    # keys whose rows are not all of one component yet
+    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = rooted.join(split, "key", "left_semi").join(fps, "id").select("key", "id", "size", "place", "fp", "root")
+    others = written(other_pairs(rest), "pairs")
     if not others.isEmpty():
-        roots = components(links.union(checked(others, sets)))
-    ids = written(sets.select("doc_id", "id"), "ids")
-    dropped(sets, first, others)
-    grouped = ids.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-    grouped = written(grouped.select("id", "least", F.coalesce("root", "id").alias("root")), "classes")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return ids.join(grouped.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+        more = decided(others, wholes)
+        dropped(roots)
+        roots = components(links.union(more))
+        dropped(more)
+    ids = written(sets.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")).join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "least", "count", F.coalesce("root", "id").alias("root")), "classes")
+    label = evenly_joined(ids.select("id", "root"), ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
+    out = written(evenly_joined(sets.select("doc_id", "id"), label, "id", ids.select("id", "count")).select("doc_id", "component_id"), "near-copies")
+    dropped(sets, keys, wholes, pairs, links, roots, others, ids)
+    released(spark)
+    return out

@@ -199,12 +199,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``df(doc_id, text)``.
 
     component_id is the least doc_id of the documents whose fingerprints are
     reachable over links, the own one included.
+
+    With a similarity texts link where the sets of their shingles are that similar; fingerprints then
+    only prune candidates (see ``nearcopies``, made for five words and 0.8), and there is no column fp.
     """
+    if similarity is not None:
+        from leafmill.llm import nearcopies
+
+        if (words, similarity) != (nearcopies.WORDS, nearcopies.UP / nearcopies.DOWN):
+            raise ValueError(f"a similarity means {nearcopies.WORDS} words and {nearcopies.UP / nearcopies.DOWN}")
+        return nearcopies.near_copies(df)
     if not 0 <= bits <= BITS:
         raise ValueError(f"the segment budgets hold for at most {BITS} bits")
     fps = written(fingerprints(df, words), "fingerprints")

@@ -59,16 +59,55 @@ def corpus():
 
 def test_classes_equal_brute_force(spark, monkeypatch):
     texts = corpus()
-    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string").repartition(3)
     wanted = classes(texts)
     assert {r.doc_id: r.component_id for r in N.near_copies(df).collect()} == wanted
-    # the order is free: without the sample, and with small groups only, classes are the same
-    monkeypatch.setattr(N, "frequent", lambda sets: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    monkeypatch.setattr(N, "SMALL", 2)
-    monkeypatch.setattr(N, "NEXT", 1)
+    # the order is free: without the sample, with tiny buckets and with no close pairs at all, classes are the same
+    monkeypatch.setattr(N, "frequent", lambda docs, n: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(N, "BUCKET", 5000)
+    monkeypatch.setattr(N, "CLOSE", 0)
     assert {r.doc_id: r.component_id for r in N.near_copies(df).collect()} == wanted
 
 
+def test_edges(spark):
+    rows = [(3, None), (2, ""), (None, " "), (7, "a"), (7, "a"), (5, "A"), (None, "alone here"), (9, "x " * 30_000), (8, "x " * 29_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, id int")
+    got = N.near_copies(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 2), (2, 2), (3, 2), (5, 5), (7, 5), (7, 5), (8, 8), (9, 8)]
+    assert N.near_copies(df.limit(0)).count() == 0
+
+
+def test_ring_filter_is_the_full_distance():
+    rnd = np.random.RandomState(4)
+    base = rnd.randint(0, 1 << 32, (1, N.RING), np.int64).astype(np.uint32)
+    bits = (rnd.rand(3000, N.RING * N.SEGMENT) < rnd.choice([0.05, 0.15, 0.2, 0.25, 0.3], 3000)[:, None]).astype(np.uint8)
+    rows = base ^ np.packbits(bits, axis=1).view(np.uint32)
+    for limit in (0, N.CLOSE, N.LIMIT):
+        assert (N.ring_filter(base[0], rows, limit) == (bits.sum(1) <= limit)).all()
+    assert (N.ring_filter(base[0], rows[:0], 5)).shape == (0,)
+
+
+def test_similar_sets_have_near_fingerprints():
+    rnd = np.random.RandomState(5)
+    for n in (8, 30, 100, 900):
+        for _ in range(60):
+            h = rnd.randint(0, 1 << 63, n + n // 4, np.int64).astype(np.uint64)
+            own = n // 9
+            a, b = h[: n - own], np.concatenate([h[own : n - own], h[n : n + own]])
+            if N.similar(np.unique(a), np.unique(b)):
+                x, y = (np.frombuffer(N.fingerprint(s), np.uint32) for s in (a, b))
+                assert N.ring_filter(x, y[None], N.LIMIT)[0]
+
+
+def test_blobs_keep_hashes_and_sets():
+    rnd = np.random.RandomState(6)
+    h = np.sort(rnd.randint(0, 1 << 63, 1000, np.int64).astype(np.uint64) * np.uint64(2))
+    doc, ids = rnd.randint(0, 9, 1000), rnd.randint(-1 << 62, 1 << 62, 20)
+    got = N._unpacked(N._packed(h, doc, ids))
+    assert (got[0] == h).all() and (got[1] == ids[doc]).all()
+
+
 def test_stage_drops_planted_copies(spark):
     rnd = random.Random(9)
     rows, copies = [], set()
