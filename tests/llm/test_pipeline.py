@@ -47,5 +47,26 @@ def test_nulls_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 60").first().text
+    base = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, item), (1, "a clean text of its own that nobody else has"), (2, base), (2, base + " more"), (3, base), (None, item), (None, "another clean text"), (4, "last")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", True, 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, kept boolean, n bigint")
+    left = P.drop_contaminated(spark, docs, DATA)
+    assert left.columns == docs.columns and item not in {r.text for r in left.collect()} and left.count() == 6
+    left = P.drop_near_copies(spark, docs, DATA)
+    texts = [r.text for r in left.collect()]
+    assert left.columns == docs.columns and sum(t.startswith("word0") for t in texts) in (1, 2) and len({t for t in texts if t.startswith("word0")}) == 1
+    assert {item, "a clean text of its own that nobody else has", "another clean text", "last"} <= set(texts)
+    left = P.drop_exact_copies(spark, docs, DATA)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted({t for _, t in rows})
+
+
+def test_of_similar_documents_the_least_doc_id_stays(spark):
+    base = [f"word{i}" for i in range(200)]
+    docs = spark.createDataFrame([(k, " ".join([*base[:150], f"x{k}", *base[151:]]), "en", "s", 1) for k in (9, 4, 6)] + [(5, "other", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, DATA).collect()) == [4, 5]
+
+
 def test_every_operator_is_registered():
     assert [sum(n.startswith(f"op{k}_") for n in queries()) for k in range(1, 11)] == [1] * 10
