@@ -4,8 +4,10 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 documents that go on, with all their columns; the last one returns the encoded rows.
 
 Defined cases: each stage treats nulls, empty texts, repeated rows and empty tables as
-its operator says; rows that share a doc_id count as one document for the near-duplicate
-and the decontamination stage; extra columns pass through all stages but the last.
+its operator says.  Rows that share a doc_id are documents of their own where their texts
+differ: the near-duplicate and the decontamination stage judge every text by itself; of
+similar texts the one with the least doc_id stays, and any one where doc_ids are repeated or
+missing.  Extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,10 +15,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontam, exactdup, nearcopies, quality
-from leafmill.llm.common import documents, written
+from leafmill.llm import bpe, decontam, exactdup, quality, simhash
+from leafmill.llm.common import documents, dropped, written
 from leafmill.llm.queries import vocabulary
 
+#: Of two texts of the near-duplicate stage: words of a shingle, least similarity.
+WORDS, SIMILARITY = 5, 0.8
+
+
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: doc_id where it names one row, else a hash of doc_id and text."""
+    unique = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+    return docs.withColumn("__row", F.col("doc_id").cast("bigint") if unique else F.xxhash64("doc_id", "text"))
+
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
@@ -31,14 +42,18 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar texts the document with the least doc_id stays."""
-    stay = nearcopies.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    """Of each class of similar texts one document stays, the one with the least doc_id."""
+    rows = with_row_ids(docs)
+    found = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words=WORDS, similarity=SIMILARITY)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = with_row_ids(docs)
+    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +64,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", classify_quality),
     ("exact dedup", drop_exact_copies),
-    ("near-dedup", drop_near_copies),
+    ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("bpe encoding", encode),
 ]
@@ -59,9 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = written(docs, f"stage{number}")
+            dropped(*before)  # the table of the stage before
+            before = [docs]
     return docs
