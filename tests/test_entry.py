@@ -21,7 +21,7 @@ def test_imports_without_the_subpackage(monkeypatch):
     class Absent:
         def find_spec(self, name, path=None, target=None):
             if name.startswith("leafmill.llm") or name == "corpus_pipeline":
-                raise ModuleNotFoundError(name)
+                raise ModuleNotFoundError(name, name=name)
 
     monkeypatch.setattr(sys, "meta_path", [Absent(), *sys.meta_path])
     parent = sys.modules.get("leafmill")
