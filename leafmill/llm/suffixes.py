@@ -12,19 +12,21 @@ doc_id, or earlier in the same document) is removed.
    windows need, with as many bytes before it.  Sampled splitters deal the suffixes
    by their leading bytes, then by place, so that one frequent beginning spreads
    over many buckets.
-3. Buckets.  A bucket sorts its suffixes by multikey quicksort (eight bytes a step,
-   only groups that are still equal go on) and its reversed left contexts likewise,
+3. Buckets.  A bucket sorts its suffixes by multikey quicksort (keys of eight bytes; what
+   equals the pivot goes on with the next key) and its reversed left contexts likewise,
    both with common-prefix lengths.  Two windows at the same offset from their
    anchors are equal if both lengths reach far enough; the earliest stays.
 4. Boundaries.  The first and last beginning of a bucket may go on in its
-   neighbours: the windows that stayed there are compared once more across buckets.
+   neighbours: the windows that stayed there are compared once more across buckets, by
+   160-bit digests.
 
-All compared strings are real bytes; hashes only choose candidates.
+Within a bucket all compared strings are real bytes; hashes only choose the anchors.
 
 Defined cases: null text counts as empty; documents shorter than SPAN lose nothing;
-rows with equal doc_id and equal text are one document (each row gets its result);
-equal doc_id with different texts are different documents, ordered by a hash of the
-text; other columns are not read; an empty table gives an empty result.
+rows with equal doc_id and equal text are one document, which is searched once (each row
+gets its result); equal doc_id with different texts are different documents, ordered by a
+hash of the text; a null doc_id comes before all others; other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ LEFT = SPAN - GRAM
 WIDTH = LEFT + SPAN
 #: Text is turned into arrays in slices of so many bytes; longer documents overlap.
 SLICE = 1 << 20
-#: Suffixes that one bucket should hold.
-BUCKET = 150_000
+#: Suffixes that one bucket should hold, and bytes of text whose anchors one bucket should hold.
+BUCKET, MEETING = 150_000, 64 << 20
+#: Groups of the sort up to this size are finished by comparisons.
+LEAF = 256
 _U = np.uint64
 
 
@@ -226,7 +230,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def seeds(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, pos, low, high): the anchors that came more than once."""
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, 2 * -(-total // (2 * MEETING))))
     dealt = docs.select("doc_id", "text", "tie").mapInArrow(_deal(n), "bucket int, blob binary").repartition(n // 2, "bucket")
     return dealt.mapInArrow(_meet, "doc_id bigint, tie int, pos bigint, low tinyint, high tinyint")
 
@@ -256,39 +261,40 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte strings of one width, and the common-prefix length of each with the one before.
 
-    Multikey quicksort over eight-byte keys, all groups at once: a step sorts every
-    group that is still equal by its next key and splits it; single strings are done.
+    Multikey quicksort over keys of eight bytes: a group is parted by a pivot into strings with a
+    smaller key, with the same one, which go on with their next key, and with a greater one; small
+    groups are finished by whole comparisons.  It is stable.
     """
     n, width = rows.shape
     steps = -(-width // 8)
     padded = np.zeros((n, steps * 8), np.uint8)
     padded[:, :width] = rows
     keys = padded.view(">u8").astype(np.uint64)
-    order, lcp = np.arange(n), np.full(n, width, np.int64)
-    if n:
-        lcp[0] = 0
-    group = np.zeros(n, np.int64)  # by place in the order
-    open_ = np.arange(n)  # places whose group has more than one string
-    for c in range(steps):
-        if not len(open_):
-            break
-        k = keys[order[open_], c]
-        g = group[open_]
-        by = np.lexsort((k, g))
-        order[open_] = order[open_][by]
-        k = k[by]
-        differs = np.zeros(len(k), bool)
-        differs[1:] = (k[1:] != k[:-1]) & (g[1:] == g[:-1])
-        where = np.flatnonzero(differs)
-        x = (k[where] ^ k[where - 1]).astype(">u8").view(np.uint8).reshape(-1, 8)
-        lcp[open_[where]] = np.minimum(width, 8 * c + (x != 0).argmax(1))
-        head = differs.copy()
-        head[1:] |= g[1:] != g[:-1]
-        head[:1] = True
-        number = np.cumsum(head)
-        sizes = np.bincount(number)
-        group[open_] = number + (group.max() + 1 if len(group) else 0)
-        open_ = open_[sizes[number] > 1]
+    whole = padded.view(f"S{steps * 8}")[:, 0]
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        a, b, c = todo.pop()
+        if b - a < 2 or c == steps:
+            continue
+        part = order[a:b]
+        if b - a <= LEAF:
+            order[a:b] = part[np.argsort(whole[part], kind="stable")]
+            continue
+        k = keys[part, c]
+        pivot = np.sort(k[:: max(1, (b - a) // 9)])[4]
+        less, same = k < pivot, k == pivot
+        x = a + np.count_nonzero(less)
+        y = x + np.count_nonzero(same)
+        order[a:b] = np.concatenate([part[less], part[same], part[~(less | same)]])
+        todo += [(a, x, c), (x, y, c + 1), (y, b, c)]
+    lcp = np.zeros(n, np.int64)
+    for at in range(1, n, 1 << 16):
+        here = order[at : at + (1 << 16)]
+        apart = keys[here] ^ keys[order[at - 1 : at - 1 + len(here)]]
+        first = (apart != 0).argmax(1)
+        key = np.take_along_axis(apart, first[:, None], 1).astype(">u8").view(np.uint8)
+        lcp[at : at + len(here)] = np.where(key.any(1), np.minimum(width, 8 * first + (key != 0).argmax(1)), width)
     return order, lcp
 
 
@@ -300,8 +306,6 @@ def repeated(ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     order, lcp = multikey_sort(ctx[:, LEFT:])
     back_order, back_lcp = multikey_sort(ctx[:, :LEFT][:, ::-1])
     bits = max(1, int(n - 1).bit_length())
-    if 3 * bits > 63:
-        raise ValueError("too many suffixes in a bucket")
     dup = np.zeros((n, PLACES), bool)
     right, left = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(PLACES):
@@ -310,9 +314,15 @@ def repeated(ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
             continue
         right[order] = np.cumsum(lcp < SPAN - o)
         left[back_order] = np.cumsum(back_lcp < o) if o else 0
-        v = np.sort((right[i] - 1) << (2 * bits) | np.maximum(left[i] - 1, 0) << bits | i)
-        same = (v[1:] >> bits) == (v[:-1] >> bits)
-        dup[v[1:][same] & ((1 << bits) - 1), o] = True
+        r, l = right[i] - 1, np.maximum(left[i] - 1, 0)
+        if 3 * bits <= 63:  # class and row in one number
+            v = np.sort(r << (2 * bits) | l << bits | i)
+            same = (v[1:] >> bits) == (v[:-1] >> bits)
+            dup[v[1:][same] & ((1 << bits) - 1), o] = True
+        else:
+            by = np.lexsort((i, l, r))
+            same = (r[by[1:]] == r[by[:-1]]) & (l[by[1:]] == l[by[:-1]])
+            dup[i[by[1:]][same], o] = True
     begins = np.empty(n, np.int64)
     begins[order] = np.cumsum(lcp < GRAM)
     return dup, (begins == 1) | (begins == begins.max()) if n else np.zeros(0, bool)
@@ -361,6 +371,8 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, start, end): byte ranges to remove; they may overlap."""
     spark = docs.sparkSession
+    if not docs.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "tie"])
     found = written(seeds(docs), "seeds")
     released(spark)
     per_doc = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "low", "high")).alias("at"))

@@ -46,16 +46,48 @@ def test_against_brute_force(spark, slice_bytes, monkeypatch):
         assert (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) == wanted[r.doc_id], r.doc_id
 
 
-def test_sort_and_prefix_lengths():
+@pytest.mark.parametrize(("n", "width", "symbols"), [(300, 21, 2), (4000, 21, 2), (3000, 40, 1), (2000, 9, 200), (1, 8, 2), (0, 8, 2)])
+def test_sort_and_prefix_lengths(n, width, symbols):
     rnd = np.random.RandomState(1)
-    rows = rnd.randint(0, 2, (300, 21)).astype(np.uint8)
-    rows[50:100] = rows[:50]
+    rows = rnd.randint(0, symbols, (n, width)).astype(np.uint8)
+    rows[n // 2 : n // 2 + n // 4] = rows[: n // 4]
     order, lcp = S.multikey_sort(rows)
     text = [rows[i].tobytes() for i in order]
-    assert text == sorted(text)
-    for k in range(1, 300):
-        same = next((i for i in range(21) if text[k][i] != text[k - 1][i]), 21)
-        assert lcp[k] == same
+    assert text == sorted(text) and sorted(order) == list(range(n))
+    assert all(a < b for a, b, x, y in zip(order, order[1:], text, text[1:]) if x == y)  # stable
+    for k in range(1, n):
+        assert lcp[k] == next((i for i in range(width) if text[k][i] != text[k - 1][i]), width)
+
+
+def test_classes_beyond_one_number(monkeypatch):
+    """With so many suffixes that class and row don't fit in one number the result is the same."""
+    rnd = np.random.RandomState(3)
+    ctx = rnd.randint(97, 99, (400, S.WIDTH)).astype(np.uint8)
+    ctx[200:] = ctx[:200]
+    low, high = np.zeros(400, np.int64), np.full(400, S.PLACES - 1, np.int64)
+    wanted = S.repeated(ctx, low, high)
+
+    class Many(int):
+        def bit_length(self):
+            return 22
+
+    monkeypatch.setattr(S, "int", Many, raising=False)
+    got = S.repeated(ctx, low, high)
+    assert (got[0] == wanted[0]).all() and (got[1] == wanted[1]).all() and wanted[0][200:].all() and not wanted[0][:200].any()
+
+
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choices("abcde", k=6)) for _ in range(80))
+    rows = [(1, text)] * 60 + [(None, text[:300])] * 30 + [(2, "other " + text)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    counts = []
+    plain = S.written
+    monkeypatch.setattr(S, "written", lambda d, name, *a: (t := plain(d, name, *a), counts.append((name, t.count())))[0])
+    out = S.remove_repeats(df).collect()
+    assert len(out) == 91 and dict(counts)["suffixes"] < 3 * len(text)
+    got = {(r.doc_id, r.n_removed) for r in out}
+    assert got == {(None, 0), (1, 300), (2, len(text))}
 
 
 def test_empty(spark):
