@@ -84,14 +84,76 @@ def merged_rules(rules: DataFrame, least: float = 8.0, share: float = 0.6) -> Da
     return gaps.join(limit, "table_id").where(F.col("gap").isNull() | (F.col("gap") >= F.col("limit"))).select("table_id", "at")
 
 
-def ink_bands(profile: DataFrame, least_gap: int = 8) -> DataFrame:
-    """Bands of rows with ink: blank runs of ``least_gap`` rows or more part them.
+def ink_bands(profile: DataFrame, least_gap: int = 8, keys: tuple[str, ...] = ("figure_id",), share: float = 0.0) -> DataFrame:
+    """Bands of rows with ink: blank runs of ``least_gap`` rows, or of ``share`` of the figure's size, part them.
 
-    profile(figure_id, row, ink) -> figure_id, band, first, last (islands over inked rows)."""
-    w = Window.partitionBy("figure_id").orderBy("row")
-    inked = profile.where("ink > 0").withColumn("new", F.when(F.col("row") - F.lag("row").over(w) - 1 < least_gap, 0).otherwise(1))
+    profile(<keys>, row, ink), with size for a share -> <keys>, band, first, last (islands over inked rows)."""
+    w = Window.partitionBy(*keys).orderBy("row")
+    gap = F.greatest(F.lit(least_gap), F.floor(F.col("size") * share)) if share else F.lit(least_gap)
+    inked = profile.where("ink > 0").withColumn("new", F.when(F.col("row") - F.lag("row").over(w) - 1 < gap, 0).otherwise(1))
     inked = inked.withColumn("band", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return inked.groupBy("figure_id", "band").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    return inked.groupBy(*keys, "band").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+
+
+def figure_views(profile: DataFrame, gap: float = 0.03, caption: float = 0.12, most: int = 6) -> DataFrame:
+    """The views that a composite figure falls into: figure_id, axis, view (from 1), first, last.
+
+    profile(figure_id, axis, row, ink, size): ink by row (axis 0) and by column (axis 1).  Blank gutters part
+    bands; a band shorter than ``caption`` of the figure is a caption and belongs to the view before it, the
+    first one to the view after it.  The first axis with two views counts; a figure of one view, or of
+    more than ``most``, stays whole and has no rows here."""
+    keys = ["figure_id", "axis"]
+    bands = ink_bands(profile, 8, tuple(keys), gap).join(profile.groupBy(*keys).agg(F.max("size").alias("size")), keys)
+    w = Window.partitionBy(*keys).orderBy("first")
+    short = F.col("last") - F.col("first") + 1 < F.col("size") * caption
+    bands = bands.withColumn("view", F.sum(F.when(short & (F.lag("first").over(w).isNotNull()), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    views = bands.groupBy(*keys, "size", "view").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    above = (F.col("view") == 1) & short
+    views = views.withColumn("view", F.when(above, 2).otherwise(F.col("view"))).groupBy(*keys, "view").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    views = views.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n >= 2")
+    views = views.withColumn("best", F.min("axis").over(Window.partitionBy("figure_id"))).where((F.col("axis") == F.col("best")) & (F.col("n") <= most))
+    return views.select("figure_id", "axis", F.row_number().over(w).alias("view"), "first", "last")
+
+
+def ink_extent(ink: DataFrame, least: float = 0.004, cut: float = 0.002, margin: int = 20) -> DataFrame:
+    """The box of a page's drawing: figure_id, x0, y0, x1, y1; pages with too little ink have none.
+
+    ink(figure_id, x, y, width, height): the inked pixels outside tables.  A share ``cut`` of them on each side
+    is speckle; both ends are exact percentiles, rounded down, with a margin inside the page."""
+    ends = F.array(F.lit(cut), F.lit(1 - cut))
+    per = ink.groupBy("figure_id", "width", "height").agg(F.count("*").alias("n"), F.percentile("x", ends).alias("xs"), F.percentile("y", ends).alias("ys"))
+    per = per.where(F.col("n") >= F.col("width") * F.col("height") * least)
+    low = lambda c: F.greatest(F.lit(0), F.floor(F.col(c)[0]) - margin).cast("int")
+    high = lambda c, size: F.least(F.col(size), F.floor(F.col(c)[1]) + margin).cast("int")
+    return per.select("figure_id", low("xs").alias("x0"), low("ys").alias("y0"), high("xs", "width").alias("x1"), high("ys", "height").alias("y1"))
+
+
+def all_callouts(circled: Column, codes: Column, kind: Column, least: int = 3) -> Column:
+    """Circled numbers of a drawing, and its letter-number codes where fewer than ``least`` were found."""
+    drawn = kind.isin("drawing", "parts_list_and_drawings", "table_and_drawing")
+    return F.when((F.size(circled) < least) & drawn, F.array_union(circled, codes)).otherwise(circled)
+
+
+def small_tables(tables: DataFrame, most: float = 0.35) -> DataFrame:
+    """tables(page, width, height, page_width, page_height) that don't fill the page: larger ones are read as pages."""
+    return tables.where(F.col("width") * F.col("height") <= F.col("page_width") * F.col("page_height") * most)
+
+
+def framed(box: Column, frames: Column, width: Column, height: Column, pad: float = 0.015, margin: int = 4) -> Column:
+    """A figure's box, grown to the smallest frame that holds nine tenths of it and is about its size, else by a pad.
+
+    box and frames: structs x0, y0, x1, y1; the result lies within the page."""
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    one = F.greatest(area(box), F.lit(1))
+    meets = lambda f: F.greatest(F.lit(0), F.least(box["x1"], f["x1"]) - F.greatest(box["x0"], f["x0"])) * F.greatest(F.lit(0), F.least(box["y1"], f["y1"]) - F.greatest(box["y0"], f["y0"]))
+    fits = F.filter(frames, lambda f: (meets(f) / one >= 0.9) & (area(f) / one).between(0.8, 1.6))
+    best = F.get(F.array_sort(F.transform(fits, lambda f: F.struct(area(f).alias("area"), f.alias("box")))), F.lit(0))["box"]
+    by_x, by_y = (width * pad).cast("int"), (height * pad).cast("int")
+
+    def within(b: Column, x, y) -> Column:
+        return F.struct(F.greatest(F.lit(0), b["x0"] - x).alias("x0"), F.greatest(F.lit(0), b["y0"] - y).alias("y0"), F.least(width, b["x1"] + x).alias("x1"), F.least(height, b["y1"] + y).alias("y1"))
+
+    return F.when(best.isNotNull(), within(best, F.lit(margin), F.lit(margin))).otherwise(within(box, by_x, by_y))
 
 
 def carried_names(rows: DataFrame) -> DataFrame:

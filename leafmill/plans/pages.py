@@ -103,3 +103,22 @@ def legend_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _table(spark, sf_dir, "lineitem")
     pairs = l.groupBy((F.col("l_orderkey") % 500).alias("query_id"), F.col("l_linenumber").cast("bigint").alias("figure_id"), (F.col("l_partkey") % 9).alias("table_id")).agg(F.count("*").alias("score"))
     return C.attached_legends(pairs.withColumn("figure_pos", F.col("figure_id")))
+
+
+_PROFILE = """SELECT * FROM (SELECT DISTINCT event_id % 50 AS figure_id, CAST(floor(event_id / 50.0) % 2 AS INT) AS axis, CAST(floor(event_id / 50.0) * 5 % 1000 AS INT) AS row, 1 AS ink, 1000 AS size FROM {0}) AS p
+  WHERE (row + figure_id * 13) % (150 + figure_id * 9) < 60 + figure_id * 6 AND (axis = 1 OR figure_id % 3 > 0)"""
+
+
+@query("WITH p AS (" + _PROFILE.format("events") + """),
+n AS (SELECT *, CASE WHEN row - lag(row) OVER w - 1 < 30 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY figure_id, axis ORDER BY row)),
+b AS (SELECT figure_id, axis, band, min(row) AS first, max(row) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY figure_id, axis ORDER BY row ROWS UNBOUNDED PRECEDING) AS band FROM n) GROUP BY 1, 2, 3),
+g AS (SELECT *, sum(CASE WHEN last - first + 1 < 120 AND before THEN 0 ELSE 1 END) OVER (PARTITION BY figure_id, axis ORDER BY first ROWS UNBOUNDED PRECEDING) AS view FROM (SELECT *, lag(first) OVER (PARTITION BY figure_id, axis ORDER BY first) IS NOT NULL AS before FROM b)),
+v AS (SELECT figure_id, axis, view, min(first) AS first, max(last) AS last FROM g GROUP BY 1, 2, 3),
+m AS (SELECT figure_id, axis, CASE WHEN view = 1 AND last - first + 1 < 120 THEN 2 ELSE view END AS view, min(first) AS first, max(last) AS last FROM v GROUP BY 1, 2, 3),
+c AS (SELECT *, count(*) OVER (PARTITION BY figure_id, axis) AS n FROM m),
+a AS (SELECT *, min(axis) OVER (PARTITION BY figure_id) AS best FROM c WHERE n >= 2)
+SELECT figure_id, axis, CAST(row_number() OVER (PARTITION BY figure_id, axis ORDER BY first) AS INT) AS view, first, last FROM a WHERE axis = best AND n <= 6""")
+def figure_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink profiles of two axes, parted into views."""
+    rows = spark.sql(_PROFILE.format("{e}"), e=_table(spark, sf_dir, "events"))
+    return L.figure_views(rows)

@@ -83,3 +83,33 @@ def test_first_column_lines(spark):
 def test_fix_records(spark):
     df = spark.createDataFrame([("s", None, " ", " did it "), ("s", "c", "", "")], "symptom string, root_cause string, actions string, operator_fix string")
     assert [(r.actions, r.errors) for r in S.fix_record(df).collect()] == [("did it", ["root_cause"]), (None, ["actions"])]
+
+
+def test_views_of_a_figure(spark):
+    def rows(figure, axis, *bands):
+        return [(figure, axis, r, 1, 400) for a, b in bands for r in range(a, b)]
+
+    ink = rows(1, 0, (0, 100), (130, 150), (200, 300)) + rows(1, 1, (0, 400))  # the short band is a caption of the first view
+    ink += rows(2, 0, (0, 20), (60, 200), (204, 300)) + rows(2, 1, (0, 100), (200, 300))  # a caption above, one view: side by side
+    ink += rows(3, 0, (0, 400)) + rows(3, 1, (0, 400)) + rows(4, 0, *((k * 56, k * 56 + 50) for k in range(7)))
+    got = {}
+    for r in L.figure_views(spark.createDataFrame(ink, "figure_id int, axis int, row int, ink int, size int")).collect():
+        got.setdefault((r.figure_id, r.axis), []).append((r.view, r["first"], r["last"]))
+    assert {k: sorted(v) for k, v in got.items()} == {(1, 0): [(1, 0, 149), (2, 200, 299)], (2, 1): [(1, 0, 99), (2, 200, 299)]}
+
+
+def test_drawing_rules(spark):
+    ink = [(1, x, y, 100, 100) for x in range(30, 60) for y in range(40, 70)] + [(2, 1, 1, 100, 100)]
+    got = L.ink_extent(spark.createDataFrame(ink, "figure_id int, x int, y int, width int, height int")).collect()
+    assert [tuple(r) for r in got] == [(1, 10, 20, 79, 89)]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    strings = lambda *v: F.array(*map(F.lit, v))
+    assert one(L.all_callouts(strings("1"), strings("A1-2", "1"), F.lit("drawing"))) == ["1", "A1-2"]
+    assert one(L.all_callouts(strings("1", "2", "3"), strings("A1-2"), F.lit("drawing"))) == ["1", "2", "3"]
+    assert one(L.all_callouts(strings("1"), strings("A1-2"), F.lit("text"))) == ["1"]
+    tables = spark.createDataFrame([(1, 10, 30, 100, 10), (2, 40, 10, 100, 10)], "page int, width int, height int, page_width int, page_height int")
+    assert [r.page for r in L.small_tables(tables).collect()] == [1]
+    box = lambda *v: F.struct(*(F.lit(x).alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), v)))
+    frames = F.array(box(0, 0, 1000, 1000), box(95, 95, 215, 215), box(98, 98, 204, 204))
+    assert tuple(one(L.framed(box(100, 100, 200, 200), frames, F.lit(1000), F.lit(1000)))) == (94, 94, 208, 208)
+    assert tuple(one(L.framed(box(5, 100, 200, 200), F.filter(frames, lambda f: F.lit(False)), F.lit(1000), F.lit(400)))) == (0, 94, 215, 206)
