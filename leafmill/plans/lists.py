@@ -286,12 +286,13 @@ def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.near_median(part, "p_brand", "p_size").select("p_partkey", "p_brand", "p_size")
 
 
-@query("""WITH RECURSIVE w AS (SELECT user_id, event_id, value + 1 AS yc, CAST(event_id % 500 AS DOUBLE) AS x0, row_number() OVER (PARTITION BY user_id ORDER BY value + 1, event_id % 500, event_id) AS n FROM events),
+@query("""WITH RECURSIVE w AS (SELECT user_id, event_id, event_id * 7919 % 4000 / 8.0 + 1 AS yc, CAST(event_id % 500 AS DOUBLE) AS x0, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 4000 / 8.0, event_id % 500, event_id) AS n FROM events),
 f AS (SELECT user_id, n, x0, yc, yc AS anchor, 0 AS line FROM w WHERE n = 1
   UNION ALL SELECT w.user_id, w.n, w.x0, w.yc, CASE WHEN w.yc - f.anchor > 3 THEN w.yc ELSE f.anchor END, CASE WHEN w.yc - f.anchor > 3 THEN f.line + 1 ELSE f.line END FROM f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1)
 SELECT CAST(user_id AS INT) AS page, line AS line_no, count(*) AS n_words, round(min(yc), 6) AS first FROM f GROUP BY 1, 2""")
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as positioned words of a user's page: lines anchored on their first word."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    words = e.select(F.lit("m").alias("manual_id"), F.col("user_id").cast("int").alias("page"), (F.col("event_id") % 500).cast("double").alias("x0"), F.col("value").alias("y0"), (F.col("event_id") % 500 + 20).cast("double").alias("x1"), (F.col("value") + 2).alias("y1"), F.col("event_type").alias("text"))
+    y = F.col("event_id") * 7919 % 4000 / 8.0
+    words = e.select(F.lit("m").alias("manual_id"), F.col("user_id").cast("int").alias("page"), (F.col("event_id") % 500).cast("double").alias("x0"), y.alias("y0"), (F.col("event_id") % 500 + 20).cast("double").alias("x1"), (y + 2).alias("y1"), F.col("event_type").alias("text"))
     return P.text_lines(words).groupBy("page", "line_no").agg(F.count("*").alias("n_words"), F.round(F.min((F.col("y0") + F.col("y1")) / 2), 6).alias("first"))
