@@ -1,4 +1,4 @@
-"""Reading documents and keeping tables: Parquet folders, replaced by key or by partition."""
+"""Reading documents and keeping tables: Parquet folders, changed by key."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill import schema
 from leafmill.operators import registry
@@ -30,59 +31,90 @@ def uploads(spark: SparkSession, path: str, suffix: str = ".pdf", most_bytes: in
 
 
 class Table:
-    """A keyed table in a folder; a change writes a new version beside the old one and then points to it."""
+    """A keyed table in a folder, merged when it is read.
 
-    def __init__(self, spark: SparkSession, root: str, ddl: str, key: str):
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema.struct(ddl), key
+    A change writes only its own rows, as a delta beside what is there: new rows, or the keys of deleted ones.
+    Reading takes the last whole version and, of each key, the last row of the deltas after it; after
+    ``most`` deltas a change is followed by a new whole version.  A version counts when it is complete."""
+
+    def __init__(self, spark: SparkSession, root: str, ddl: str, key: str, most: int = 16):
+        self.spark, self.root, self.schema, self.key, self.most = spark, root.rstrip("/"), schema.struct(ddl), key, most
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
+    def _names(self) -> list[str]:
         if not self._fs.exists(self._path(self.root)):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v"))
-        done = [n for n in names if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS"))]
-        return f"{self.root}/{done[-1]}" if done else None
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v"))
+
+    def _done(self) -> list[str]:
+        return [n for n in self._names() if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS"))]
+
+    def _live(self) -> list[str]:
+        """The last whole version, if there is one, and the deltas after it."""
+        done = self._done()
+        whole = max((k for k, n in enumerate(done) if "-whole-" in n), default=0)
+        return done[whole:]
 
     def read(self) -> DataFrame:
         """Columns that older rows lack are NULL."""
-        at = self._current()
-        return self.spark.read.schema(self.schema).parquet(at) if at else self.spark.createDataFrame([], self.schema)
+        live = self._live()
+        load = lambda n, s: self.spark.read.schema(s).parquet(f"{self.root}/{n}")
+        if not live:
+            return self.spark.createDataFrame([], self.schema)
+        if len(live) == 1 and "-whole-" in live[0]:
+            return load(live[0], self.schema)
+        wide = T.StructType([*self.schema.fields, T.StructField("__gone", T.BooleanType())])
+        rows = None
+        for number, name in enumerate(live):
+            part = load(name, wide).withColumn("__v", F.lit(number))
+            rows = part if rows is None else rows.unionByName(part)
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), "__v").alias("r")).select("r.*")
+        return last.where(~F.coalesce("__gone", F.lit(False))).select(self.schema.names)
+
+    def _write(self, df: DataFrame, kind: str) -> None:
+        done = self._names()
+        number = int(done[-1][1:].split("-")[0]) + 1 if done else 0
+        have = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        extra = ["__gone"] if "__gone" in df.columns else []
+        df.select(*have, *extra).write.parquet(f"{self.root}/v{number:08d}-{kind}-{uuid.uuid4().hex[:8]}")
 
     def write(self, df: DataFrame) -> None:
-        at = self._current()
-        number = int(at.rsplit("/v", 1)[1].split("-")[0]) + 1 if at else 0
-        df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.root}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+        """The whole table anew."""
+        self._write(df, "whole")
+
+    def _change(self, delta: DataFrame) -> None:
+        self._write(delta, "delta")
+        if len(self._live()) > self.most:
+            self.write(self.read())
 
     def upsert(self, rows: DataFrame) -> None:
         """Rows with a key that is there replace it; of rows with one key the last by all columns stays.
 
         Without the key column every row is new."""
-        if self.key not in rows.columns:
-            self.write(self.read().unionByName(rows.withColumn(self.key, F.expr("uuid()")), allowMissingColumns=True))
-        else:
-            self.write(registry.upsert(self.read(), rows, self.key))
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Deletes versions that are older than the last ``keep``; gives how many there were."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v"))
-        done = [n for n in names if self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS"))]
-        old = [n for n in names if done[-keep:] and n < done[-keep:][0]]
-        for n in old:
-            self._fs.delete(self._path(f"{self.root}/{n}"), True)
-        return len(old)
+        rows = registry.last_of(rows, self.key) if self.key in rows.columns else rows.withColumn(self.key, F.expr("uuid()"))
+        self._change(rows.withColumn("__gone", F.lit(False)))
 
     def delete(self, condition) -> int:
         """Rows for which the condition holds go; gives how many there were."""
-        old = self.read()
-        n = old.where(condition).count()
-        self.write(old.where(~F.coalesce(condition, F.lit(False))))
+        gone = self.read().where(condition).select(self.key)
+        n = gone.count()
+        if n:
+            self._change(gone.withColumn("__gone", F.lit(True)))
         return n
 
     def count(self, condition=None) -> int:
         return (self.read() if condition is None else self.read().where(condition)).count()
 
+    def vacuum(self) -> int:
+        """Deletes what lies before the last whole version; gives how many versions these were."""
+        live = self._live()
+        old = [n for n in self._names() if live and n < live[0]]
+        for n in old:
+            self._fs.delete(self._path(f"{self.root}/{n}"), True)
+        return len(old)
+
 
 def conditions(must: dict | None = None, must_not: dict | None = None, arrays: tuple[str, ...] = ()):
     """One Column from payload conditions: a value must be equal, a list must hold it; a field named in

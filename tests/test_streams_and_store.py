@@ -61,15 +61,17 @@ def test_latest_status_as_a_stream(spark, tmp_path):
 
 
 def test_keyed_table(spark, tmp_path):
-    t = Table(spark, f"file://{tmp_path}/t", "id string, manual_id string, content string, kind string", "id")
+    t = Table(spark, f"file://{tmp_path}/t", "id string, manual_id string, content string, kind string", "id", most=3)
     assert t.count() == 0
     t.upsert(spark.createDataFrame([("1", "m", "x"), ("2", "m", "y")], "id string, manual_id string, content string"))
     t.upsert(spark.createDataFrame([("2", "n", "z", "k")], "id string, manual_id string, content string, kind string"))
     assert {tuple(r) for r in t.read().collect()} == {("1", "m", "x", None), ("2", "n", "z", "k")}
-    assert t.delete(F.col("manual_id") == "m") == 1 and t.count() == 1
-    t.upsert(spark.createDataFrame([("9", "a"), ("9", "b")], "id string, content string"))
-    assert t.count(F.col("id") == "9") == 1
-    assert t.vacuum() == 2 and t.count() == 2
+    assert t.delete(F.col("manual_id") == "m") == 1 and t.count() == 1 and t.delete(F.col("manual_id") == "m") == 0
+    t.upsert(spark.createDataFrame([("9", "a"), ("9", "b")], "id string, content string"))  # the fourth change: a whole version follows
+    assert t.count(F.col("id") == "9") == 1 and t.count() == 2
+    t.upsert(spark.createDataFrame([("m", "c")], "manual_id string, content string"))
+    assert t.count() == 3 and t.count(F.col("id") == "1") == 0
+    assert t.vacuum() == 4 and t.count() == 3 and t.vacuum() == 0
 
 
 def test_conditions(spark):
