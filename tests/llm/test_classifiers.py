@@ -174,3 +174,11 @@ def test_languages_equal_plain_ridge_and_decoding(spark):
         loss = [(np.log1p(np.exp(-4 * f * word)) * reliable).sum() for word in code]
         agree += got[r.doc_id].lang_pred == langs[int(np.argmin(loss))]
     assert agree == len(lettered)
+
+
+def test_long_texts_count_whole():
+    text = ("the machine stops " * 200_000).encode()
+    short = N.letter_pairs([b"the machine stops " * 2])[0]
+    long = N.letter_pairs([text])[0]
+    assert long.sum() == len(text) - 1 and (np.flatnonzero(long) == np.flatnonzero(short)).all()
+    assert [len(p) for p in N.slices(["a" * (3 << 20), "b"])] == [1, 1]

@@ -70,3 +70,15 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id bigint, text string")
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_null_ids_long_texts_and_ties(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    long = "filler " * 30_000
+    docs = [(None, f"x {item} y"), (1, long + item + " " + long), (2, f"{item} and again {item}"), (3, None), (4, "")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, shift int")
+    items = spark.createDataFrame([(7, item), (None, item), (8, None)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.matched_words, r["shift"]) for r in D.contaminated(df, items).collect()}
+    wanted = {None: (8, 1), 1: (8, 30_000), 2: (8, 0)}  # of two equal places the first
+    assert got == {(d, i): v for d, v in wanted.items() for i in (7, None)}
+    assert sorted(r.doc_id for r in D.clean(df, items).collect()) == [3, 4]

@@ -39,3 +39,29 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         log.coalesce(1).write.mode("append").parquet(folder)
         state = D.run_stream(spark, folder, log.schema, mark, out)
     assert sorted((r.stays.doc_id, r.group_size) for r in state.collect()) == [(2, 3), (6, 1)]
+
+
+@pytest.mark.parametrize("bits", [4, 256])
+def test_one_doc_id_with_many_texts(spark, bits):
+    """Digests of four bits collide; rows of one doc_id, or of none, may have several texts in one digest."""
+    rows = [(1, f"text {i % 7}") for i in range(40)] + [(None, f"text {i % 5}") for i in range(20)] + [(2, "text 3")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = D.exact_duplicates(df, digest_bits=bits).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or 0, r[2])
+    assert sorted([(r.doc_id, r.keep_id, r.group_size) for r in got], key=order) == sorted(expected(rows), key=order)
+    assert sum(r.kept for r in got) == 7 and all(r.doc_id == r.keep_id == 1 for r in got if r.kept)
+    left = D.without_duplicates(df).collect()
+    assert sorted(r.text for r in left) == [f"text {i}" for i in range(7)] and {r.doc_id for r in left} == {1}
+
+
+def test_hits_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_HITS", 0)
+    test_groups(spark, 256, None)
+    test_groups(spark, 4, None)
+
+
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())
+    D.exact_duplicates(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")).count()
+    after = dict(spark.conf.getAll) if not callable(spark.conf.getAll) else dict(spark.conf.getAll())
+    assert before == after

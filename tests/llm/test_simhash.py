@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from leafmill.llm import simhash as S
@@ -77,3 +78,19 @@ def test_documents(spark):
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)], "a bigint, b bigint")
     assert {r.root for r in S.components(edges).collect()} == {0}
+
+
+def test_null_ids_and_hot_fingerprints(spark):
+    rows = [(None, "")] * 300 + [(7, " ")] + [(None, "alone for itself")] + [(i, f"w{i} a b c d e f") for i in range(20, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = S.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    assert {r.component_id for r in out if r.fp == 0} == {7}
+    wanted = classes({plain(t) for _, t in rows})
+    root = {i: wanted[plain(t)] for i, t in rows if i is not None}
+    got = {r.doc_id: r.component_id for r in out if r.doc_id is not None}
+    assert all((root[a] == root[b]) == (got[a] == got[b]) for a in got for b in got)
+    alone = [r.component_id for r in out if r.doc_id is None and r.fp != 0]
+    assert len(alone) == 1 and (alone[0] is None or wanted[plain("alone for itself")] in root.values())
+    with pytest.raises(ValueError):
+        S.near_duplicates(df, words=4, similarity=0.8)
