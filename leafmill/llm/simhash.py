@@ -9,7 +9,8 @@ consecutive segments differs in at most l * 4 / 16 bits.  So the first three
 segments of that chain agree, and the first seven differ in at most one bit, which
 lies in one of the segments four to seven.  A key is therefore (start, the segment
 left out, the other six of the seven segments): 64 keys of 24 bits a fingerprint, of
-which every linked pair shares one.  Rows of one key are then searched breadth
+which every linked pair shares one.  From ``MANY`` fingerprints on the chain of eleven is
+used alike, for keys of 36 bits.  Rows of one key are then searched breadth
 first: a fingerprint is compared only with those that nothing has reached yet,
 first by the chain budgets of longer chains, then by the full Hamming distance.
 So a dense group of near copies costs little more than one pass over it and gives
@@ -39,7 +40,9 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import dropped, evenly_joined, written
 
 WORDS, BITS, SEED = 4, 4, 42
-SEGMENTS, WIDTH, CHAIN = 16, 4, 7
+SEGMENTS, WIDTH, CHAIN, LONG_CHAIN = 16, 4, 7, 11
+#: From so many distinct fingerprints on (two a key of 24 bits) keys are longer.
+MANY = 1 << 25
 _ALL = (1 << 64) - 1
 
 
@@ -89,14 +92,27 @@ def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def ring_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): the 64 keys of each distinct fingerprint, made without Python."""
-    keys = []
+def left_out(long: bool) -> list[tuple[int, ...]]:
+    """Segments after the start that a key leaves out, as places in its chain.
+
+    Three segments agree, and a chain of seven differs in at most one bit: one of the places 3 to 6 is left
+    out.  A chain of eleven differs in at most two bits, at most one of them in its first seven segments."""
+    if not long:
+        return [(k,) for k in range(3, CHAIN)]
+    return [(a, b) for a in range(3, LONG_CHAIN) for b in range(max(a + 1, CHAIN), LONG_CHAIN)]
+
+
+def ring_keys(fps: DataFrame, long: bool = False) -> DataFrame:
+    """(key, fp): the keys of each distinct fingerprint, made without Python: 64 of 24 bits, or, where so many rows
+    share 24 bits that groups would be large, 352 of 36 bits.  Both meet all linked pairs."""
+    keys, number = [], 0
     for start in range(SEGMENTS):
-        for left_out in range(3, CHAIN):
-            mask = chain_mask(start, CHAIN) & ~chain_mask((start + left_out) % SEGMENTS, 1)
+        for places in left_out(long):
+            mask = chain_mask(start, LONG_CHAIN if long else CHAIN)
+            for k in places:
+                mask &= ~chain_mask((start + k) % SEGMENTS, 1)
             signed = mask - (1 << 64) if mask >> 63 else mask
-            number = start * CHAIN + left_out
+            number += 1
             # The masked bits and the number of the key, mixed to one long.  A chance
             # collision only adds a candidate that the distance check turns down.
             keys.append(F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed)), F.lit(number)).bitwiseAND(F.lit(~15)).bitwiseOR(F.lit(start)))
@@ -160,7 +176,7 @@ def link_edges(fps: DataFrame, bits: int = BITS) -> DataFrame:
         if open_ and (edges := edges_of(*(np.concatenate(c) for c in zip(*open_)))):
             yield batch_of(edges)
 
-    dealt = ring_keys(fps).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    dealt = ring_keys(fps, long=fps.count() >= MANY).select("key", "fp").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -40,7 +41,19 @@ def test_fingerprint():
         assert S.fingerprint(t) == plain(t), t
 
 
-def test_classes_of_planted_fingerprints(spark):
+def test_keys_of_both_lengths_meet_all_pairs():
+    """By the ring: of every way to spread up to four bits over the segments, some key leaves out all that differ."""
+    for long, chain in ((False, S.CHAIN), (True, S.LONG_CHAIN)):
+        outs = [set(p) for p in S.left_out(long)]
+        for spots in itertools.combinations_with_replacement(range(S.SEGMENTS), 4):
+            differ = set(spots)
+            ok = any({(s - start) % S.SEGMENTS for s in differ if (s - start) % S.SEGMENTS < chain} <= out for start in range(S.SEGMENTS) for out in outs)
+            assert ok, (long, spots)
+
+
+@pytest.mark.parametrize("many", [S.MANY, 1])
+def test_classes_of_planted_fingerprints(spark, monkeypatch, many):
+    monkeypatch.setattr(S, "MANY", many)
     rnd = random.Random(2)
     fps = []
     for _ in range(60):
