@@ -56,10 +56,12 @@ RING, SEGMENT, LIMIT, CLOSE = 16, 32, 120, 84
 #: Prefix sums of a chain are checked up to this length before the full distance.
 CHAIN = 8
 _U = np.uint64
+#: Bits of a hash that are not used: 48 tell the shingles of any two texts apart, and the rest would only be moved.
+_LOW = _U(16)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes, ascending; white space and case as in ``simhash.fingerprint``."""
+    """The distinct hashes, ascending, their upper 48 bits; white space and case as in ``simhash.fingerprint``."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
@@ -70,7 +72,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     else:
         ends = list(accumulate(map(len, found), lambda a, b: a + b + 1))
         grams = [line[a:b] for a, b in zip([0, *(e + 1 for e in ends[: n - 1])], ends[words - 1 :])]
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64))
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64)
+    return np.unique(h >> _LOW << _LOW)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -159,22 +162,27 @@ def set_ids(docs: DataFrame, known) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, mark bigint, id bigint, n int, n_listed int, listed binary")
 
 
-def _packed(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> bytes:
-    """Ascending hashes with their documents: steps between hashes by byte planes, which compress."""
-    steps = np.diff(h, prepend=_U(0))
+def _packed(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, df: np.ndarray) -> bytes:
+    """Hashes with the sets that have them and how many these are: steps between hashes by byte planes, which compress."""
+    steps = np.diff(h, prepend=_U(0)) >> _LOW
     used, doc = np.unique(doc, return_inverse=True)
-    head = np.array([len(h), len(used)], np.int64).tobytes()
-    return head + ids[used].tobytes() + doc.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    parts = [np.array([len(h), len(used)], np.int64), ids[used], doc.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), df.astype(np.uint8)]
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return b"".join(p.tobytes() for p in (*parts, planes))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, k = np.frombuffer(blob, np.int64, 2)
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, ids and counts."""
+    n, k = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     ids = np.frombuffer(blob, np.int64, k, 16)
     kind = np.uint16 if k < 1 << 16 else np.uint32
-    at = 16 + 8 * int(k)
+    at = 16 + 8 * k
     doc = np.frombuffer(blob, kind, n, at)
-    planes = np.frombuffer(blob, np.uint8, 8 * n, at + int(n) * np.dtype(kind).itemsize).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64), ids[doc]
+    at += n * np.dtype(kind).itemsize
+    df = np.frombuffer(blob, np.uint8, n, at)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at + n).reshape(6, -1).T
+    return np.cumsum(steps.view(np.uint64)[:, 0] << _LOW, dtype=np.uint64), ids[doc], df
 
 
 def _deal(known, buckets: int):
@@ -199,33 +207,43 @@ def _deal(known, buckets: int):
             bucket = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             where = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            blobs = [_packed(h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids) for b in where]
+            blobs = [_packed(h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], ids, np.zeros(cuts[b + 1] - cuts[b])) for b in where]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h, df): the shingles of a bucket that several sets have, and how many."""
-    held = [_unpacked(blob.as_py()) for batch in batches for blob in batch.column(1)]
-    if not held:
-        return
-    h, ids = (np.concatenate(c) for c in zip(*held))
-    del held
-    order = np.lexsort((ids, h))
-    h, ids = h[order], ids[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])  # one set may come in several batches
-    h, ids = h[new], ids[new]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    df = np.repeat(np.diff(np.concatenate([first, [len(h)]])), np.diff(np.concatenate([first, [len(h)]])))
-    many = df > 1
-    h, ids, df = h[many], ids[many], df[many]
-    by_id = np.argsort(ids, kind="stable")
-    h, ids, df = h[by_id], ids[by_id], df[by_id]
-    for a in range(0, len(h), EMITTED):
-        b = a + EMITTED
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(h[a:b].view(np.int64)), pa.array(df[a:b].astype(np.int32))], ["id", "h", "df"])
+def _met(parts: int):
+    """Rows (part, blob): the shingles of a bucket that several sets have, dealt by set, with how many these are (255: or more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpacked(blob.as_py())[:2] for batch in batches for blob in batch.column(1)]
+        if not held:
+            return
+        h, ids = (np.concatenate(c) for c in zip(*held))
+        del held
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])  # one set may come in several batches
+        h, ids = h[new], ids[new]
+        if not len(h):
+            return
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.concatenate([first, [len(h)]]))
+        df = np.minimum(np.repeat(sizes, sizes), 255)
+        many = df > 1
+        h, ids, df = h[many], ids[many], df[many]
+        part = ids % parts
+        order = np.argsort(part, kind="stable")  # hashes stay ascending within a part
+        h, ids, df, part = h[order], ids[order], df[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[p], cuts[p + 1]
+            used, doc = np.unique(ids[a:b], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(h[a:b], doc, used, df[a:b])], pa.binary())], ["part", "blob"])
+
+    return run
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int, int]]:
@@ -258,37 +276,43 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, int, int]]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, size, place) from rows (id, h, df, n, n_listed, listed) sorted by id: those of the set with h NULL, those
-    of its shared shingles with n NULL."""
+    """(key, id, size, place) from rows (part, blob, id, n, n_listed, listed): sets, and blobs of their shared shingles."""
+    heads: list[pa.RecordBatch] = []
+    held = []
+    for batch in batches:
+        is_head = pc.is_null(batch.column(1))
+        held += [_unpacked(b.as_py()) for b in batch.column(1).filter(pc.invert(is_head))]
+        heads.append(batch.filter(is_head).select(["id", "n", "n_listed", "listed"]))
+    heads = pa.Table.from_batches(heads).combine_chunks() if heads else None
+    if heads is None or not heads.num_rows:
+        return
+    h, ids, df = (np.concatenate(c) for c in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+    del held
+    order = np.lexsort((h, df, ids))
+    h, ids = h[order], ids[order]
+    mine, size, common = (heads[c].to_numpy() for c in ("id", "n", "n_listed"))
+    at, to = np.searchsorted(ids, mine), np.searchsorted(ids, mine, "right")
+    alone = size - common - (to - at)  # shingles that no other set has come first in the order
+    wanted = size - shared_least(size) + 1 - alone
     out: list[tuple[np.ndarray, int, int, int]] = []
-    held = 0
+    n = 0
 
     def batch_of() -> pa.RecordBatch:
         lengths = [len(k) for k, *_ in out]
         place = np.concatenate([np.arange(u, u + len(k)) for k, _, _, u in out]).astype(np.int32)
-        columns = [np.concatenate([k for k, *_ in out]).view(np.int64), np.repeat(np.array([i for _, i, _, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n, _ in out], np.int32), lengths), place]
+        columns = [np.concatenate([k for k, *_ in out]).view(np.int64), np.repeat(np.array([i for _, i, _, _ in out], np.int64), lengths), np.repeat(np.array([s for _, _, s, _ in out], np.int32), lengths), place]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "size", "place"])
 
-    for (ids, h, df, n, n_listed, listed), at, to in groups(batches):
-        head = pc.index_in(pa.scalar(True), pc.is_valid(n.slice(at, to - at))).as_py()
-        if head is None:
-            continue
-        size, common = n[at + head].as_py(), n_listed[at + head].as_py()
-        mine = pc.is_valid(h.slice(at, to - at)).to_numpy(zero_copy_only=False)
-        keys = h.slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[mine]
-        count = df.slice(at, to - at).fill_null(0).to_numpy(zero_copy_only=False)[mine]
-        alone = size - common - len(keys)  # shingles that no other set has come first in the order
-        wanted = size - shared_least(size) + 1 - alone
-        if size == 0 or wanted <= 0:
-            continue
-        keys = keys[np.lexsort((keys, count))][:wanted]
-        if len(keys) < wanted:
-            keys = np.concatenate([keys, np.frombuffer(listed[at + head].as_py(), np.uint64)[: wanted - len(keys)]])
-        out.append((keys, ids[at].as_py(), size, alone))
-        held += len(keys)
-        if held >= EMITTED:
+    for k in np.flatnonzero((size > 0) & (wanted > 0)):
+        keys = h[at[k] : to[k]][: wanted[k]]
+        if len(keys) < wanted[k]:
+            keys = np.concatenate([keys, np.frombuffer(heads["listed"][int(k)].as_py(), np.uint64)[: wanted[k] - len(keys)]])
+        if len(keys):
+            out.append((keys, mine[k], size[k], alone[k]))
+            n += len(keys)
+        if n >= EMITTED:
             yield batch_of()
-            out, held = [], 0
+            out, n = [], 0
     if out:
         yield batch_of()
 
@@ -299,11 +323,11 @@ def prefix_keys(docs: DataFrame, sets: DataFrame, known) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     dealt = docs.select("text").mapInArrow(_deal(known, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
-    shared = dealt.mapInArrow(_met, "id bigint, h bigint, df int")
-    none = {"n": F.lit(None).cast("int"), "n_listed": F.lit(None).cast("int"), "listed": F.lit(None).cast("binary")}
-    heads = sets.select("id", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("df"), "n", "n_listed", "listed")
+    shared = dealt.mapInArrow(_met(buckets), "part int, blob binary")
+    none = {"id": F.lit(None).cast("bigint"), "n": F.lit(None).cast("int"), "n_listed": F.lit(None).cast("int"), "listed": F.lit(None).cast("binary")}
+    heads = sets.select(F.pmod("id", F.lit(buckets)).cast("int").alias("part"), F.lit(None).cast("binary").alias("blob"), "id", "n", "n_listed", "listed")
     rows = shared.withColumns(none).unionByName(heads)
-    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(_keys, "key bigint, id bigint, size int, place int")
+    return rows.repartition(buckets, "part").mapInArrow(_keys, "key bigint, id bigint, size int, place int")
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:

@@ -102,10 +102,10 @@ def test_similar_sets_have_near_fingerprints():
 
 def test_blobs_keep_hashes_and_sets():
     rnd = np.random.RandomState(6)
-    h = np.sort(rnd.randint(0, 1 << 63, 1000, np.int64).astype(np.uint64) * np.uint64(2))
-    doc, ids = rnd.randint(0, 9, 1000), rnd.randint(-1 << 62, 1 << 62, 20)
-    got = N._unpacked(N._packed(h, doc, ids))
-    assert (got[0] == h).all() and (got[1] == ids[doc]).all()
+    h = np.sort(rnd.randint(0, 1 << 48, 1000, np.int64).astype(np.uint64) << np.uint64(16))
+    doc, ids, df = rnd.randint(0, 9, 1000), rnd.randint(-1 << 62, 1 << 62, 20), rnd.randint(0, 256, 1000)
+    got = N._unpacked(N._packed(h, doc, ids, df))
+    assert (got[0] == h).all() and (got[1] == ids[doc]).all() and (got[2] == df).all()
 
 
 def test_stage_drops_planted_copies(spark):
