@@ -15,8 +15,9 @@ in a worker; the memory of these pieces is bounded (``CACHE_PIECES``) and is sim
 emptied when full, so a result never depends on it.
 
 Defined cases: null text counts as empty; an empty text has no ids, and both
-digests are those of empty input; extra columns pass through; repeated rows give
-repeated results; a text of any length is handled whole.
+digests are those of empty input; columns in ``keep`` pass through, and one with the name of
+an output is an error; repeated rows give repeated results; a text of any length is handled
+whole, by itself if it is longer than ``SLICE_CHARS``.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from leafmill.llm.common import frugal
+
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Unicode white space, as a character class.
 WS = "\t-\r \x85\xa0  -     　"
 
-#: A worker forgets its encoded pieces beyond this many.
-CACHE_PIECES = 600_000
+#: A worker forgets its encoded pieces beyond this many, and after every task.
+CACHE_PIECES = 300_000
 
 #: So many characters of text are turned into arrays at once.
 SLICE_CHARS = 1_000_000
@@ -309,6 +312,8 @@ def encode_documents(df: DataFrame, vocabulary: str, outputs: tuple[str, ...] =
     (a few MB, independent of the data) is broadcast.  outputs: names of OUTPUTS,
     appended to the columns ``keep``; ``decoded`` comes from the ids alone.
     """
+    if clash := set(keep) & set(outputs):
+        raise ValueError(f"rename {sorted(clash)}: outputs have these names")
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(o, T._parse_datatype_string(OUTPUTS[o])) for o in outputs])
@@ -341,5 +346,6 @@ def encode_documents(df: DataFrame, vocabulary: str, outputs: tuple[str, ...] =
                 columns += [made[o] if isinstance(made[o], pa.Array) else pa.array(made[o], arrow.get(o, pa.string())) for o in outputs]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *outputs])
                 i = j
+        bpe.forget()  # workers live longer than tasks, next to those of other stages
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias("__text")).mapInArrow(frugal(run), schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,22 @@ def evenly_joined(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame |
     return many.join(F.broadcast(known), key).unionByName(few)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving the memory of a task back to the system when it is done.  A worker that waits for its
+    next task else keeps what Arrow and the allocator hold, next to the memory of the JVM."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return task
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now, not at some later collection."""
     gc.collect()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import ngrams
-from leafmill.llm.common import bucket4
+from leafmill.llm.common import bucket4, frugal
 
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, POWER, THRESHOLD = 4096, 64, 15, 8, 0.7
 
@@ -81,7 +81,7 @@ def sparse_counts(rows: DataFrame, counts, columns: list[str], schema: str) -> D
                 )
                 at += len(part)
 
-    return rows.select(*columns, "text").mapInArrow(run, f"{schema}, terms binary, values binary")
+    return rows.select(*columns, "text").mapInArrow(frugal(run), f"{schema}, terms binary, values binary")
 
 
 def dense(rows: list, width: int) -> np.ndarray:
@@ -140,4 +140,4 @@ def score_documents(df: DataFrame, model: Model, keep: list[str] | None = None)
             found = [m.score(ngrams.all_counts(part)) for part in ngrams.slices(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(np.concatenate(found) if found else np.zeros(0))], [*keep, name])
 
-    return df.select(*keep, df["text"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, df["text"].alias("__text")).mapInArrow(frugal(run), schema)

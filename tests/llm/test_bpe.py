@@ -47,3 +47,12 @@ def test_rows(spark):
     got = {(r.doc_id, r.ids): (r.n_tokens, r.decoded) for r in out.collect()}
     assert got == {(1, 7): (2, "hi there"), (2, 8): (0, ""), (None, 9): (0, "")} and out.count() == 4
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_long_texts_and_names(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "one two " * 3000), (2, "three"), (3, "one two " * 3000)], "doc_id bigint, text string").coalesce(1)
+    wanted = {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(df, PATH, outputs=("ids_sha256",)).collect()}
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 10)
+    assert {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(df, PATH, outputs=("ids_sha256",)).collect()} == wanted
+    with pytest.raises(ValueError):
+        bpe.encode_documents(df.withColumn("n_tokens", df.doc_id), PATH, keep=("doc_id", "n_tokens"))
