@@ -17,9 +17,11 @@ candidates come from shared shingles, and fingerprints prune them:
    two 512-bit SimHash fingerprints a ring of 16 segments must have a segment from which every chain
    of l segments differs in at most l * ``LIMIT`` / 16 bits, then the full distance must be at most ``LIMIT``.
 4. Decision.  What is left is decided by the whole sets.  The first search gives a tree of close pairs
-   for each key, so a dense group of near copies costs about one pass; after these have been decided
-   and joined to components, only pairs of one key and two components are left, and all of them are
-   decided.
+   for each key, so a dense group of near copies costs about one pass.  After these have been decided and
+   joined to components, keys with several of them are searched once more, up to LIMIT and with sketches of the
+   sets: parities differ in at most as many places as the sets have shingles that are not shared, so
+   a pair whose sketches differ too much is turned down for certain.  This search gives a tree of components
+   too; only where one of its pairs turns out not to be similar all pairs that are left are decided.
 
 Fingerprints of sets with a similarity of just 0.8 lie 78 bits apart with a deviation of 8 (measured for
 sets of 8 to 5,000 shingles), so LIMIT, five deviations more, loses about one such pair in ten million.
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, evenly_joined, released, written
+from leafmill.llm.common import dropped, evenly_joined, frugal, released, written
 from leafmill.llm.simhash import components
 
 WORDS, SEED = 5, 42
@@ -55,6 +57,8 @@ BUCKET, EMITTED = 2_000_000, 1 << 18
 RING, SEGMENT, LIMIT, CLOSE = 16, 32, 120, 84
 #: Prefix sums of a chain are checked up to this length before the full distance.
 CHAIN = 8
+#: Places of a sketch.
+PARITIES = 2048
 _U = np.uint64
 #: Bits of a hash that are not used: 48 tell the shingles of any two texts apart, and the rest would only be moved.
 _LOW = _U(16)
@@ -101,6 +105,11 @@ def fingerprint(found: np.ndarray) -> bytes:
     return np.packbits(votes * 2 > len(found)).tobytes()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """The parity of the number of hashes at each of PARITIES places."""
+    return np.packbits(np.bincount((found >> _LOW & _U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def ring_filter(u: np.ndarray, others: np.ndarray, limit: int) -> np.ndarray:
     """Which of the fingerprints (rows of RING words) are within ``limit`` bits of u."""
     apart = np.bitwise_count(others ^ u).astype(np.int32)
@@ -124,7 +133,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, SAMPLED / max(1, n))
     some = docs.where(F.shiftrightunsigned("mark", 32) < int(share * (1 << 32))).select("text")
-    counts = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    counts = some.mapInArrow(frugal(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     rows = counts.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     h, count = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(h)
@@ -159,7 +168,7 @@ def set_ids(docs: DataFrame, known) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(listed, pa.int32()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "id", "n", "n_listed", "listed"])
 
-    return docs.mapInArrow(run, "doc_id bigint, mark bigint, id bigint, n int, n_listed int, listed binary")
+    return docs.mapInArrow(frugal(run), "doc_id bigint, mark bigint, id bigint, n int, n_listed int, listed binary")
 
 
 def _packed(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, df: np.ndarray) -> bytes:
@@ -322,26 +331,27 @@ def prefix_keys(docs: DataFrame, sets: DataFrame, known) -> DataFrame:
     spark = docs.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    dealt = docs.select("text").mapInArrow(_deal(known, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
-    shared = dealt.mapInArrow(_met(buckets), "part int, blob binary")
+    dealt = docs.select("text").mapInArrow(frugal(_deal(known, buckets)), "bucket int, blob binary").repartition(buckets, "bucket")
+    shared = dealt.mapInArrow(frugal(_met(buckets)), "part int, blob binary")
     none = {"id": F.lit(None).cast("bigint"), "n": F.lit(None).cast("int"), "n_listed": F.lit(None).cast("int"), "listed": F.lit(None).cast("binary")}
     heads = sets.select(F.pmod("id", F.lit(buckets)).cast("int").alias("part"), F.lit(None).cast("binary").alias("blob"), "id", "n", "n_listed", "listed")
     rows = shared.withColumns(none).unionByName(heads)
-    return rows.repartition(buckets, "part").mapInArrow(_keys, "key bigint, id bigint, size int, place int")
+    return rows.repartition(buckets, "part").mapInArrow(frugal(_keys), "key bigint, id bigint, size int, place int")
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, fp, hashes) of the sets that have keys, each once."""
+    """(id, fp, sketch, hashes) of the sets that have keys, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(f) for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "fp", "hashes"])
+            columns = [pa.array([made(f) for f in found], pa.binary()) for made in (fingerprint, sketch, np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "fp", "sketch", "hashes"])
 
     named = keys.select("id").distinct()
     one = sets.join(named, "id", "left_semi").groupBy("id").agg(F.min("mark").alias("mark"))
     texts = docs.join(one, "mark").select("id", "text")
-    return texts.mapInArrow(run, "id bigint, fp binary, hashes binary").dropDuplicates(["id"])
+    return texts.mapInArrow(frugal(run), "id bigint, fp binary, sketch binary, hashes binary").dropDuplicates(["id"])
 
 
 def possible(size: np.ndarray, place: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
@@ -386,34 +396,58 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         if out:
             yield _pair_rows(out)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _group(columns: list, at: int, to: int) -> tuple[np.ndarray, ...]:
-    """Ids, sizes, places and fingerprints of a group, by id; so trees of groups with the same rows are alike."""
-    ids = columns[1].slice(at, to - at).to_numpy(zero_copy_only=False)
+    """Ids, sizes, places and fingerprints of a group, and then its roots and sketches if it has them, by id; so trees
+    of groups with the same rows are alike."""
+    part = [c.slice(at, to - at) for c in columns[1:]]
+    ids = part[0].to_numpy(zero_copy_only=False)
     order = np.argsort(ids)
-    size, place = (columns[k].slice(at, to - at).to_numpy(zero_copy_only=False)[order] for k in (2, 3))
-    fps = np.frombuffer(b"".join(columns[4].slice(at, to - at).to_pylist()), np.uint32).reshape(to - at, RING)
-    return ids[order], size, place, fps[order]
+    size, place, *root = (part[k].to_numpy(zero_copy_only=False)[order] for k in (1, 2, 4)[: 3 if len(part) > 4 else 2])
+    words = [np.frombuffer(b"".join(part[k].to_pylist()), np.uint32).reshape(to - at, -1)[order] for k in (3, 5)[: 2 if len(part) > 5 else 1]]
+    return ids[order], size, place, words[0], *root, *words[1:]
+
 
+def other_pairs(rows: DataFrame, tree: bool) -> DataFrame:
+    """(a, b): for rows (key, id, size, place, fp, root, sketch), pairs of one key and two roots that sizes, places,
+    fingerprints and sketches allow: all of them, or of each key a tree that joins its roots."""
 
-def other_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): for rows (key, id, size, place, fp, root), the possible pairs of one key and two roots."""
+    def fits(u: int, others: np.ndarray, size, place, fps, marks) -> np.ndarray:
+        near = others[possible(size, place, u, others)]
+        near = near[ring_filter(fps[u], fps[near], LIMIT)] if len(near) else near
+        apart = np.bitwise_count(marks[near] ^ marks[u]).sum(1, dtype=np.int64)
+        return near[(UP + DOWN) * apart <= (DOWN - UP) * (int(size[u]) + size[near].astype(np.int64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, at, to in groups(batches):
-            ids, size, place, fps = _group(columns, at, to)
-            root = columns[5].slice(at, to - at).to_numpy(zero_copy_only=False)[np.argsort(columns[1].slice(at, to - at).to_numpy(zero_copy_only=False))]
-            for x in range(len(ids) - 1):
-                y = np.arange(x + 1, len(ids))
-                y = y[root[y] != root[x]]
-                y = y[possible(size, place, x, y)]
-                y = y[ring_filter(fps[x], fps[y], LIMIT)] if len(y) else y
-                if len(y):
-                    yield _pair_rows([(np.full(len(y), ids[x]), ids[y])])
+            ids, size, place, fps, root, marks = _group(columns, at, to)
+            out = []
+            if not tree:
+                for x in range(len(ids) - 1):
+                    y = np.arange(x + 1, len(ids))
+                    y = fits(x, y[root[y] != root[x]], size, place, fps, marks)
+                    if len(y):
+                        out.append((np.full(len(y), ids[x]), ids[y]))
+            else:
+                rest = np.arange(len(ids))
+                while len(rest):
+                    own = root[rest] == root[rest[0]]
+                    queue, rest = list(rest[own]), rest[~own]
+                    while queue and len(rest):
+                        u = queue.pop()
+                        near = fits(u, rest, size, place, fps, marks)
+                        if len(near):
+                            reached, first = np.unique(root[near], return_index=True)  # one pair for each component
+                            out.append((np.full(len(first), ids[u]), ids[near[first]]))
+                            own = np.isin(root[rest], reached)
+                            queue.extend(rest[own])
+                            rest = rest[~own]
+            if out:
+                yield _pair_rows(out)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -426,7 +460,7 @@ def decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     both = evenly_joined(evenly_joined(pairs, left, "a"), right, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(run, "a bigint, b bigint"), "similar")
+    return written(both.mapInArrow(frugal(run), "a bigint, b bigint"), "similar")
 
 
 def near_copies(df: DataFrame) -> DataFrame:
@@ -440,23 +474,27 @@ def near_copies(df: DataFrame) -> DataFrame:
     keys = written(prefix_keys(docs, heads, known), "keys")
     released(spark)
     wholes = written(whole_sets(docs, sets, keys), "whole-sets")
-    fps = wholes.select("id", "fp")
-    pairs = written(tree_pairs(keys.join(fps, "id").select("key", "id", "size", "place", "fp")), "pairs")
+    pairs = written(tree_pairs(keys.join(wholes.select("id", "fp"), "id").select("key", "id", "size", "place", "fp")), "pairs")
+    made = [sets, keys, wholes, pairs]
     links = decided(pairs, wholes)
     roots = components(links)
-    # keys whose rows are not all of one component yet
-    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rest = rooted.join(split, "key", "left_semi").join(fps, "id").select("key", "id", "size", "place", "fp", "root")
-    others = written(other_pairs(rest), "pairs")
-    if not others.isEmpty():
+    for tree in (True, False):
+        # keys whose rows are not all of one component yet
+        rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "place", F.coalesce("root", "id").alias("root"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        rest = rooted.join(split, "key", "left_semi").join(wholes.select("id", "fp", "sketch"), "id").select("key", "id", "size", "place", "fp", "root", "sketch")
+        others = written(other_pairs(rest, tree), "pairs")
         more = decided(others, wholes)
-        dropped(roots)
-        roots = components(links.union(more))
-        dropped(more)
+        made += [links, roots, others, more]
+        n, good = others.count(), more.count()
+        if good:
+            links = written(links.union(more), "links")
+            roots = components(links)
+        if n == good:  # all that could be joined is joined
+            break
     ids = written(sets.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")).join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "least", "count", F.coalesce("root", "id").alias("root")), "classes")
     label = evenly_joined(ids.select("id", "root"), ids.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
     out = written(evenly_joined(sets.select("doc_id", "id"), label, "id", ids.select("id", "count")).select("doc_id", "component_id"), "near-copies")
-    dropped(sets, keys, wholes, pairs, links, roots, others, ids)
+    dropped(*made, links, roots, ids)
     released(spark)
     return out
