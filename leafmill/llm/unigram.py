@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANK_OFFSET, MAX_NODES, LONG = 10, 500_000, 4096
+RANK_OFFSET, MAX_NODES, LONG = 10, 1_000_000, 4096
 #: A text is counted in parts of so many pre-tokens.
 PART = 1 << 18
 PRE_TOKEN = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+?(?= [^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
