@@ -87,11 +87,31 @@ def op10_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket4(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import alignment
+
+    found = alignment.align_corpus(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import codebooks
+
+    found, books = codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+
+
+def op13_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import packing
+
+    return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from leafmill.llm import exactdup
+    from leafmill.llm import codebooks, exactdup
 
-    return {"op5_exact_dedup": exactdup.ORACLE_SQL}
+    return {"op5_exact_dedup": exactdup.ORACLE_SQL, "op12_vector_codes": codebooks.oracle_sql()}
