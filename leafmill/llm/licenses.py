@@ -4,11 +4,12 @@ A template's words are aligned with a stretch of a document: words that occur on
 both are anchors, their longest increasing subsequence is kept, and the gaps between
 anchors are aligned the same way; a gap without such words keeps the equal words at
 its two ends.  Coverage is the share of the template's words that were aligned.  A
-license is found where coverage is at least ``COVERAGE``, the words that name it are
-aligned, no word that names another license (``TELLING``) stands in or next to the
-stretch, and it is not denied by the word before it (``DENIALS``).  Of overlapping
-finds the one with the most aligned words stays; of equal ones the one with the better
-coverage, then the first name, then the earlier place.
+license is found where coverage is at least ``COVERAGE``, the words that name it and its version are
+aligned, no word that names another license (``TELLING``) stands in the stretch or next to it in its
+sentence, and no denial (``DENIALS``) stands before its verb or, in a notice of one sentence, inside.  A notice of one
+sentence is looked for within a sentence.  Of overlapping finds the one with the most aligned words stays; of equal ones the one with
+the better coverage, then the first name, then the earlier place.  ``and the X License`` behind a find,
+in the same sentence, is a find of its own (``MORE``).
 
 A template can only be covered where at least one of its ``triggers`` stands: words of
 which more occurrences make up the template than may be missing.  Texts without any
@@ -22,7 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -38,8 +39,8 @@ _WORK = "This work is licensed under the GNU {0}General Public License, version
 
 #: Fixed values: (identifier, words that name the license, public notice text).
 TEMPLATES = (
-    ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0-notice", "apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("Apache-2.0", "apache 2 0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0-notice", "apache 2 0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("MIT", "mit", "Released under the MIT License."),
     ("MIT-line", "mit", "Licensed under the MIT License."),
     ("MIT-text", "", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
@@ -56,24 +57,35 @@ TEMPLATES = (
     ("BSD-2-Clause", "", _BSD_HEAD),
     ("BSD-3-Clause", "endorse", _BSD_HEAD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("EPL-2.0", "eclipse", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "eclipse 2 0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("Unlicense", "", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    ("CC-BY-NC-4.0", "cc by nc", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "cc by sa", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-ND-4.0", "cc by nd", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "cc by nc sa", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-ND-4.0", "cc by nc nd", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC-BY-4.0", "cc by", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "cc by nc 4 0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "cc by sa 4 0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "cc by nd 4 0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "cc by nc sa 4 0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "cc by nc nd 4 0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-4.0", "cc by 4 0", "Licensed under CC BY 4.0."),
     ("All-rights-reserved", "rights reserved", "All rights reserved."),
     *((f"{i}-SPDX", " ".join(re.findall("[a-z0-9]+", i.lower())), f"SPDX-License-Identifier: {i}") for i in ("MIT", "Apache-2.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")),
 )
 #: Words that tell licenses apart; one that a template lacks must not stand in or next to its stretch.
 TELLING = frozenset("apache mit gnu lesser affero mozilla eclipse nc nd sa isc endorse noncommercial noderivatives sharealike".split())
-#: A notice right behind one of these words says the opposite.
-DENIALS = frozenset("not no never without isn aren wasn".split())
+#: A notice behind one of these words says the opposite, also with words of its verb between them.
+DENIALS = frozenset("not no never without neither nor cannot isn aren wasn weren don doesn didn won".split())
+VERB = frozenset("t is are was were be been being has have will longer currently yet ever anymore either both also to this the a licensed released distributed published provided offered available made dual under".split())
+#: What may follow a find in its sentence, behind one of the words of JOINING and words of BETWEEN.
+MORE = (
+    ("Apache-2.0", "apache license version 2 0"), ("Apache-2.0", "apache license 2 0"), ("MIT", "mit license"), ("ISC", "isc license"), ("MPL-2.0", "mozilla public license v 2 0"), ("MPL-2.0", "mozilla public license version 2 0"),
+    ("EPL-2.0", "eclipse public license 2 0"), ("EPL-2.0", "eclipse public license version 2 0"), *((f"{i}-{v}", f"gnu {kind}general public license version {v.removesuffix('.0').replace('.', ' ')}") for i, kind, v in (("GPL", "", "2.0"), ("GPL", "", "3.0"), ("LGPL", "lesser ", "2.1"), ("LGPL", "lesser ", "3.0"), ("AGPL", "affero ", "3.0"))),
+    *((f"CC-{c}-4.0", f"cc {c.lower().replace('-', ' ')} 4 0") for c in ("BY-NC-SA", "BY-NC-ND", "BY-NC", "BY-SA", "BY-ND", "BY")),
+)
+SPDX_MORE = tuple((n, names) for n, names, _ in TEMPLATES if n.endswith("-SPDX"))
+JOINING, BETWEEN = frozenset("and or".split()), frozenset("and or either the under also at your option".split())
 
 _WORD = re.compile(r"[A-Za-z0-9]+")
+#: Where a sentence ends; one letter and a dot is no end.
+_END = re.compile(r"(?<!\b[A-Za-z])[.!?][\"')\]]*(?:\s|$)|\n\s*\n")
 
 
 def longest_rise(values: list[int]) -> list[int]:
@@ -125,8 +137,8 @@ def needed(n: int) -> int:
 
 
 @cache
-def prepared() -> tuple[tuple[str, list[str], frozenset[str], dict[str, list[int]]], ...]:
-    """identifier, words, naming words, and the places of each trigger in the template.
+def prepared() -> tuple[tuple[str, list[str], frozenset[str], dict[str, list[int]], bool], ...]:
+    """identifier, words, naming words, the places of each trigger in the template, and whether it is one sentence.
 
     Triggers are the longest words; without all of them fewer words than needed are left."""
     out = []
@@ -138,20 +150,57 @@ def prepared() -> tuple[tuple[str, list[str], frozenset[str], dict[str, list[int
                 break
             triggers.append(w)
             share += counts[w]
-        out.append((name, words, frozenset(names.split()), {w: [i for i, x in enumerate(words) if x == w] for w in triggers}))
+        one = all(m.end() == len(text) for m in _END.finditer(text))
+        out.append((name, words, frozenset(names.split()), {w: [i for i, x in enumerate(words) if x == w] for w in triggers}, one))
     return tuple(out)
 
 
 @cache
 def triggers() -> tuple[str, ...]:
     """All triggers, without those that hold another one."""
-    found = {w for *_, t in prepared() for w in t}
+    found = {w for *_, t, _ in prepared() for w in t}
     return tuple(sorted(w for w in found if not any(v != w and v in w for v in found)))
 
 
-def denied(text: str, marks: list[re.Match], first: int) -> bool:
-    """Whether the word right before, with nothing but white space between, takes the notice back."""
-    return first > 0 and marks[first - 1].group().lower() in DENIALS and text[marks[first - 1].end() : marks[first].start()].isspace()
+class Words:
+    """The words of a text, and its sentences as ranges of words."""
+
+    def __init__(self, text: str):
+        self.text, self.marks = text, list(_WORD.finditer(text))
+        self.low = [m.group().lower() for m in self.marks]
+        self.starts = [m.start() for m in self.marks]
+        self.ends = [m.end() for m in _END.finditer(text)]
+
+    def sentence(self, i: int) -> tuple[int, int]:
+        """The words from .. to of the sentence that word i stands in."""
+        k = bisect_right(self.ends, self.starts[i])
+        first = bisect_left(self.starts, self.ends[k - 1]) if k else 0
+        return first, bisect_left(self.starts, self.ends[k]) if k < len(self.ends) else len(self.starts)
+
+    def around(self, first: int, last: int) -> list[str]:
+        """The words from first to last, and the one on each side in its sentence."""
+        return self.low[max(self.sentence(first)[0], first - 1) : min(self.sentence(last)[1], last + 2)]
+
+    def denied(self, first: int) -> bool:
+        """Whether a word of the same clause takes back what begins at word ``first``, with nothing but its verb between them."""
+        i, begin = first - 1, self.sentence(first)[0]
+        while i >= begin and not set(",;:") & set(self.text[self.marks[i].end() : self.starts[i + 1]]):
+            if self.low[i] in DENIALS:
+                return self.low[i + 1] != "only"
+            if self.low[i] not in VERB:
+                return False
+            i -= 1
+        return False
+
+    def joined(self, last: int, forms: tuple[tuple[str, str], ...]) -> tuple[str, int, int] | None:
+        """(identifier, first, last word) of a license that is named right behind word ``last``, in its sentence."""
+        end, i = self.sentence(last)[1], last + 1
+        while i < end and self.low[i] in BETWEEN:
+            i += 1
+        if not JOINING & set(self.low[last + 1 : i]):
+            return None
+        fits = [(len(w), name) for name, form in forms if self.low[i : i + len(w := form.split())] == w and i + len(w) <= end]
+        return (max(fits)[1], i, i + max(fits)[0] - 1) if fits else None
 
 
 def scan(text: str) -> list[tuple[str, float, int, int, int, int]]:
@@ -159,47 +208,55 @@ def scan(text: str) -> list[tuple[str, float, int, int, int, int]]:
     low = text.lower()
     if not any(w in low for w in triggers()):
         return []
-    marks = list(_WORD.finditer(text))
-    words = [m.group().lower() for m in marks]
+    t = Words(text)
+    words = t.low
     where: dict[str, list[int]] = {}
-    wanted = {w for *_, t in prepared() for w in t}
+    wanted = {w for *_, mine, _ in prepared() for w in mine}
     for i, w in enumerate(words):
         if w in wanted:
             where.setdefault(w, []).append(i)
     known = set(words)
     finds = []
-    for name, template, names, mine in prepared():
+    for name, template, names, mine, one in prepared():
         if not names <= known:
             continue
         size, own = len(template), frozenset(template)
         slack = size // 4 + 1
-        starts = sorted({p - k for w, places in mine.items() for p in where.get(w, ()) for k in places})
+        # a version counts where the template names it first
+        named = {template.index(w) for w in names if w.isdigit()}
+        starts = sorted({(p - k, *(t.sentence(p) if one else (0, len(words)))) for w, places in mine.items() for p in where.get(w, ()) for k in places})
         tried = None
-        for s in starts:
-            if tried is not None and s - tried < slack:
+        for s, least, most in starts:
+            if tried is not None and s - tried[0] < slack and tried[1] == least:
                 continue
-            tried = s
+            tried = s, least
             # a notice that follows itself has no unique words in the wider stretches
             lo, pairs = 0, []
             for left, right in ((slack, 2 * slack), (0, slack), (0, 0)):
-                begin = max(0, s - left)
-                if len(found := align(template, words[begin : max(0, s + size + right)])) > len(pairs):
+                begin = max(least, s - left)
+                if len(found := align(template, words[begin : min(most, max(0, s + size + right))])) > len(pairs):
                     lo, pairs = begin, found
                 if len(pairs) == size:
                     break
-            if len(pairs) < needed(size) or not names <= {template[i] for i, _ in pairs}:
+            aligned = {i for i, _ in pairs}
+            if len(pairs) < needed(size) or not names <= {template[i] for i in aligned} or not named <= aligned:
                 continue
             first, last = lo + pairs[0][1], lo + pairs[-1][1]
-            around = words[max(0, first - 1) : last + 2]
-            if any(w in TELLING and w not in own for w in around) or denied(text, marks, first):
+            if any(w in TELLING and w not in own for w in t.around(first, last)) or t.denied(first) or one and DENIALS & set(words[first : last + 1]) - own:
                 continue
-            finds.append((name, len(pairs) / size, len(pairs), size, marks[first].start(), marks[last].end()))
+            finds.append((name, len(pairs) / size, len(pairs), size, t.starts[first], t.marks[last].end(), last))
     finds.sort(key=lambda f: (-f[2], -f[1], f[0], f[4]))
     kept: list = []
     for f in finds:
         if all(f[5] <= k[4] or k[5] <= f[4] for k in kept):
             kept.append(f)
-    return sorted(kept, key=lambda f: f[4])
+    for f in kept:  # grows while it is read: what follows a follower counts as well
+        if more := t.joined(f[6], SPDX_MORE if f[0].endswith("-SPDX") else MORE):
+            name, first, last = more
+            if all(t.marks[last].end() <= k[4] or k[5] <= t.starts[first] for k in kept):
+                n = last - first + 1
+                kept.append((name, 1.0, n, n, t.starts[first], t.marks[last].end(), last))
+    return sorted((f[:6] for f in kept), key=lambda f: f[4])
 
 
 def license_finds(df: DataFrame) -> DataFrame:

@@ -254,8 +254,43 @@ def test_words_that_change_the_license():
     assert said("Released under the MIT License. Licensed under the MIT License.") == ["MIT", "MIT-line"]
 
 
+def test_other_versions_are_no_finds():
+    said = lambda t: [f[0] for f in L.scan(t)]
+    for text in (
+        "Licensed under the Apache License, Version 1.0.", "Licensed under CC BY 3.0.", "Licensed under CC BY 2.0.", "Licensed under CC BY-SA 3.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 1.0.", "Licensed under the Apache License, Version 1.0. It has 2 and 0.",
+    ):
+        assert said(text) == [], text
+    for name, names, text in L.TEMPLATES:  # another number in place of each version number is no find of that license
+        for v in (w for w in names.split() if w.isdigit()):
+            assert name not in said(re.sub(rf"\b{v}\b", "7", text)), (name, v)
+
+
+def test_sentences_and_second_licenses():
+    said = lambda t: [f[0] for f in L.scan(t)]
+    assert said("Released under the MIT License. Apache is a trademark.") == ["MIT"]
+    assert said("Apache is a trademark. Released under the MIT License") == ["MIT"]
+    assert said("Released under the MIT License, not the Apache one. ") == ["MIT"]
+    assert said("Licensed under the Apache License, Version 2.0 and the MIT License.") == ["Apache-2.0", "MIT"]
+    assert said("Licensed under the MIT License or the Apache License, Version 2.0, at your option.") == ["MIT-line", "Apache-2.0"]
+    assert said("Licensed under CC BY 4.0 and the MIT License or the Eclipse Public License 2.0.") == ["CC-BY-4.0", "MIT", "EPL-2.0"]
+    assert said("SPDX-License-Identifier: MIT OR Apache-2.0") == ["MIT-SPDX", "Apache-2.0-SPDX"]
+    assert said("Licensed under the MIT License. And the Apache License, Version 2.0 is long.") == ["MIT-line"]
+    finds = L.scan("Licensed under the MIT License and the Apache License, Version 2.0.")
+    assert [(f[4], f[5]) for f in finds] == [(0, 30), (39, 66)]
+
+
+def test_denials_up_to_the_verb():
+    said = lambda t: [f[0] for f in L.scan(t)]
+    for text in ("It is not released under the MIT License.", "No longer released under the MIT License.", "It isn't licensed under the MIT License.", "This was never made available under the MIT License.", "Released not under the MIT License.", "It cannot be licensed under the MIT License and the Apache License, Version 2.0."):
+        assert said(text) == [], text
+    assert said("It is not only released under the MIT License.") == ["MIT"]
+    assert said("If you do not care, it is released under the MIT License.") == ["MIT"]
+    assert said("A tool that does not work is released under the MIT License.") == ["MIT"]
+
+
 def test_triggers_lose_nothing():
-    for _, words, _, mine in L.prepared():
+    for _, words, _, mine, _ in L.prepared():
         assert 5 * (len(words) - sum(map(len, mine.values()))) < 4 * len(words)
         assert all(any(t in w for t in L.triggers()) for w in mine)
 
