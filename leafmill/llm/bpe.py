@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from leafmill.llm.common import frugal
+from leafmill.llm.common import free_name, frugal
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -348,4 +348,4 @@ def encode_documents(df: DataFrame, vocabulary: str, outputs: tuple[str, ...] =
                 i = j
         bpe.forget()  # workers live longer than tasks, next to those of other stages
 
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(frugal(run), schema)
+    return df.select(*keep, df[text].alias(free_name("text", keep))).mapInArrow(frugal(run), schema)

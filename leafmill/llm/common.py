@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{context._leafmill_dir}"
 
 
+#: Paths that ``scratch`` watches, innermost last.
+_WATCHED: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    for made in _WATCHED:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that are taken within, in order; if it fails they are deleted."""
+    made: list[str] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    except BaseException:
+        removed(spark, *made)
+        raise
+    finally:
+        _WATCHED.pop()
+
+
+def free_name(name: str, taken: list[str] | tuple[str, ...]) -> str:
+    """``name``, with underscores before it until no column has it; Spark's names have no case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, written
+from leafmill.llm.common import dropped, free_name, written
 
 WINDOW, SHARE, MIN_WORDS = 20, 0.8, 5
 #: Positions that a mask looks at; the first word always counts.
@@ -124,5 +124,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    name = free_name("bad", docs.columns)
+    bad = contaminated(docs, items).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

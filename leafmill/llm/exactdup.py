@@ -31,7 +31,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACES, dropped, evenly_joined, fresh_path, removed, written
+from leafmill.llm.common import SPACES, dropped, evenly_joined, free_name, fresh_path, removed, written
 
 #: Digests in a broadcast: about 20 MB.
 MAX_HITS = 200_000
@@ -147,17 +147,18 @@ def exact_duplicates(df: DataFrame, digest_bits: int = 256, files_per_batch: int
 def without_duplicates(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     found = exact_duplicates(df)
-    stay = found.where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__of"))
-    same = F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__sha") == F.col("__of"))
-    left = df.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).join(stay, same, "left_semi")
-    again = found.groupBy(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__of")).count().where("count > 1").drop("count")
+    keep, of, sha, place = (free_name(n, df.columns) for n in ("keep", "of", "sha", "place"))
+    stay = found.where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(of))
+    same = F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(of))
+    left = df.withColumn(sha, F.sha2(normalised(F.col("text")), 256)).join(stay, same, "left_semi")
+    again = found.groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(of)).count().where("count > 1").drop("count")
     if again.isEmpty():
-        return left.drop("__sha")
+        return left.drop(sha)
     # equal texts of one doc_id: one row, the longest
     several = left.join(again, same, "left_semi")
-    first = Window.partitionBy("doc_id", "__sha").orderBy(F.desc(F.char_length(F.coalesce("text", F.lit("")))), F.xxhash64(*df.columns))
-    several = several.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return left.join(again, same, "left_anti").unionByName(several).drop("__sha")
+    first = Window.partitionBy("doc_id", sha).orderBy(F.desc(F.char_length(F.coalesce("text", F.lit("")))), F.xxhash64(*df.columns))
+    several = several.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return left.join(again, same, "left_anti").unionByName(several).drop(sha)
 
 
 #: The same result in SQL, for the driver's comparison.

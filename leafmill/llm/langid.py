@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import ngrams
-from leafmill.llm.common import bucket4
+from leafmill.llm.common import bucket4, free_name
 from leafmill.llm.quality import dense, sparse_counts
 
 MAX_ROWS, MAX_TOTAL, MAX_LANGUAGES, RIDGE, LEAD = 512, 4096, 1024, 1.0, 0.1
@@ -133,4 +133,4 @@ def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(close | ~lettered)], [*keep, "lang_pred", "score", "ambiguous"])
 
     schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return df.select(*keep, df["text"].alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, df["text"].alias(free_name("text", keep))).mapInArrow(run, schema)

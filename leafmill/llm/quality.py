@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import ngrams
-from leafmill.llm.common import bucket4, frugal
+from leafmill.llm.common import bucket4, free_name, frugal
 
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS, POWER, THRESHOLD = 4096, 64, 15, 8, 0.7
 
@@ -128,9 +128,7 @@ def score_documents(df: DataFrame, model: Model, keep: list[str] | None = None)
     """``keep`` columns of df (all by default) and ``score``; one pass, no shuffle."""
     keep = keep or df.columns
     shared = df.sparkSession.sparkContext.broadcast(model)
-    name = "score"
-    while name in keep:
-        name = f"_{name}"
+    name = free_name("score", keep)
     schema = df.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +138,4 @@ def score_documents(df: DataFrame, model: Model, keep: list[str] | None = None)
             found = [m.score(ngrams.all_counts(part)) for part in ngrams.slices(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(np.concatenate(found) if found else np.zeros(0))], [*keep, name])
 
-    return df.select(*keep, df["text"].alias("__text")).mapInArrow(frugal(run), schema)
+    return df.select(*keep, df["text"].alias(free_name("text", keep))).mapInArrow(frugal(run), schema)
