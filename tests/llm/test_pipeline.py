@@ -1,6 +1,11 @@
+from pathlib import Path
+
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from leafmill.llm import bpe, langid
+from leafmill.llm.common import shared_dir
 from leafmill.llm.queries import queries, vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -69,4 +74,32 @@ def test_of_similar_documents_the_least_doc_id_stays(spark):
 
 
 def test_every_operator_is_registered():
-    assert [sum(n.startswith(f"op{k}_") for n in queries()) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in queries()) for k in range(1, 14)] == [1] * 13
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    names = ["__text", "__row", "row", "__sha", "sha", "keep", "of", "place", "score", "bad", "TEXT_", "component_id"]
+    odd = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id")) for n in names}).unionByName(docs.limit(3).withColumns({n: F.lit("again") for n in names}))
+    for name, stage in P.STAGES[:-1]:
+        left = stage(spark, odd, DATA)
+        assert left.columns == odd.columns, name
+        rows = left.collect()
+        assert len(rows) > 20 and all(r[n] in (f"{n} of {r.doc_id}", "again") for r in rows for n in names), name
+    assert P.encode(spark, odd, DATA).count() == odd.count()
+
+
+def test_kept_columns_named_like_scratch_columns(spark):
+    docs = spark.createDataFrame([(1, "the oil pump", "x", 1)], "doc_id bigint, text string, __text string, _text int")
+    keep = ("doc_id", "text", "__text", "_text")
+    assert bpe.encode_documents(docs, vocabulary(), keep=keep).first()["__text"] == "x"
+    model = langid.fit(docs.withColumn("lang", F.lit("en")))
+    assert langid.identify(docs, model, keep).first()["_text"] == 1
+
+
+def test_a_run_leaves_its_result_only(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "leafmill"
+    before = set(folder.glob("*"))
+    result = P.run(spark, DATA)
+    left = set(folder.glob("*")) - before
+    assert len(left) == 1 and result.count() > 100 and result.inputFiles()[0].removeprefix("file://").startswith(str(left.pop()))
