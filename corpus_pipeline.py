@@ -16,17 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, decontam, exactdup, quality, simhash
-from leafmill.llm.common import documents, dropped, written
+from leafmill.llm.common import documents, free_name, removed, scratch, written
 from leafmill.llm.queries import vocabulary
 
 #: Of two texts of the near-duplicate stage: words of a shingle, least similarity.
 WORDS, SIMILARITY = 5, 0.8
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``: doc_id where it names one row, else a hash of doc_id and text."""
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of a free name: doc_id where it names one row, else a hash of doc_id and text."""
+    name = free_name("row", docs.columns)
     unique = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
-    return docs.withColumn("__row", F.col("doc_id").cast("bigint") if unique else F.xxhash64("doc_id", "text"))
+    return docs.withColumn(name, F.col("doc_id").cast("bigint") if unique else F.xxhash64("doc_id", "text")), name
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +44,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar texts one document stays, the one with the least doc_id."""
-    rows = with_row_ids(docs)
-    found = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words=WORDS, similarity=SIMILARITY)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").select(docs.columns)
+    rows, row = with_row_ids(docs)
+    found = simhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=WORDS, similarity=SIMILARITY)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return rows.join(stay, row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    rows = with_row_ids(docs)
-    found = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(docs.columns)
+    rows, row = with_row_ids(docs)
+    found = decontam.contaminated(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,11 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage, as a written table; all other tables of the run are deleted."""
     docs, before = documents(spark, sf_dir), []
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = written(docs, f"stage{number}")
-            dropped(*before)  # the table of the stage before
-            before = [docs]
+        with scratch(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage{number}")
+        removed(spark, *made[:-1], *before)  # what the stage has left, and its input
+        before = made[-1:]
     return docs
