@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import parts as P
 from leafmill.operators import readers as D
+from leafmill.operators.matching import figure_matches
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
 
@@ -131,7 +132,7 @@ s AS (SELECT *, coverage + titled::INT + 0.8::DOUBLE * kin::INT + 0.2::DOUBLE *
 n AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY score DESC, turn, list_id) AS n FROM s)
 SELECT figure_id, list_id, round(score, 6) AS score, round(coverage, 2) AS coverage, list_sort(list_filter(callouts, lambda x: NOT list_contains(refs, x))) AS missing FROM n WHERE n = 1"""))
 def parts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.figure_matches(*_figures(spark, sf_dir))
+    return figure_matches(*_figures(spark, sf_dir))
 
 
 _ENTRY = """+x AS (SELECT *, CASE WHEN seq % 4 = 0 THEN '' ELSE 'note ' || CAST(seq AS VARCHAR) END AS remarks, CASE WHEN list_id % 3 = 0 THEN '' WHEN seq % 2 = 0 THEN 'confirmed by both' ELSE 'unconfirmed ' || CAST(seq % 3 AS VARCHAR) END AS "check" FROM v_parts),

@@ -11,6 +11,7 @@ from leafmill.operators import registry as R
 from leafmill.operators import search as S
 from leafmill.operators import tables as G
 from leafmill.operators import text as T
+from leafmill.operators.matching import figure_matches
 
 
 def test_code_evidence():
@@ -143,7 +144,7 @@ def test_figures_meet_lists_of_their_manual(spark):
     figures = spark.createDataFrame([(1, "m", 5, "x", ["1", "2"], ["CA3"], "single"), (2, "m", 5, "The BRAKE, (front)", [], [], "exploded_parts"), (3, "m", 5, "brake", [], [], "single"), (4, "n", 5, "x", ["1"], [], "single")], f)
     l = "list_id int, manual_id string, page int, title string, subtitle string, refs array<string>, families array<string>"
     lists = spark.createDataFrame([(10, "m", 90, "A", "", ["1", "2"], ["CA3"]), (11, "m", 90, "B", "", ["1", "2"], []), (12, "m", 7, "Other", "(Front)", ["8"], []), (13, "o", 5, "x", "", ["1"], [])], l)
-    assert {(r.figure_id, r.list_id, r.score) for r in P.figure_matches(figures, lists).collect()} == {(1, 10, 1.8), (2, 12, 1.2)}
+    assert {(r.figure_id, r.list_id, r.score) for r in figure_matches(figures, lists).collect()} == {(1, 10, 1.8), (2, 12, 1.2)}
 
 
 def test_shown_groups(spark):
