@@ -35,6 +35,9 @@ from leafmill.llm import pieces as P
 from leafmill.llm.bpe import Table
 from leafmill.llm.common import dropped, frugal, written
 
+#: So many bytes of text are aligned at once, or one text.
+SLICE_BYTES = 1_000_000
+
 #: Pairs that may be broadcast, as two numbers and a flag each.
 MAX_PAIRS = 1_000_000
 
@@ -57,39 +60,41 @@ class Slice:
 class Pair:
     """Two tokenizers in a worker."""
 
-    def __init__(self, a: str, b: bytes):
-        self.coders = P.loaded(P.ByteLevel, a, False), P.loaded(P.SentencePiece, b)
-        self.tables = [Table(c.bytes_of) for c in self.coders]
+    def __init__(self, a: str, b: bytes, known: dict[bytes, int] | None):
+        self.coders = P.ByteLevel(a, False, known), P.SentencePiece(b)
         most = max(c.size for c in self.coders)
         #: decimal ids, followed by each separator
         self.most, self.decimals = most, Table([b"%d%c" % (i, s) for s in b",|;" for i in range(most)])
 
-    def forget(self) -> None:
-        for c in self.coders:
-            c.memory.forget()
-
-    def tokens(self, texts: pa.Array) -> Slice:
-        """texts: large binary, each with its space before it, null where there is nothing to align."""
-        some = pc.fill_null(texts, b"")
-        codes, distinct, row_ends = P.pieces(some, np.any([c.whole(some) for c in self.coders], axis=0))
-        data, borders = P.contents(some)
-        ids, ends, spans = [], [], []
-        for coder, table in zip(self.coders, self.tables):
-            found, counts = coder.memory.ids(codes, distinct)
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, Slice]]:
+        """(first row, rows, their tokens) of a block of texts, each with its space before it; empty ones have nothing to align."""
+        p = P.pieces(texts, np.any([c.whole(texts) for c in self.coders], axis=0))
+        coded = [c.encode(p) for c in self.coders]
+        data, borders = P.contents(texts)
+        row_starts, at = np.append(0, p.row_ends), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(borders, borders[at] + SLICE_BYTES, "right")) - 1)
+            codes, ends = p.codes[row_starts[at] : row_starts[to]], row_starts[at + 1 : to + 1] - row_starts[at]
+            yield at, to - at, self.tokens(coded, codes, ends, data, borders[at : to + 1])
+            at = to
+
+    def tokens(self, coded: list[P.Coded], codes: np.ndarray, row_ends: np.ndarray, data: np.ndarray, borders: np.ndarray) -> Slice:
+        ids, ends, good = [], [], np.ones(len(row_ends), bool)
+        for coder, c in zip(self.coders, coded):
+            found, counts = c.of(codes)
+            to = np.append(0, np.cumsum(counts))[row_ends]
             ids.append(found)
-            ends.append(np.append(0, np.cumsum(counts))[row_ends])
-            joined, byte_ends = table.gather(found)
-            cuts = np.append(0, byte_ends)[np.append(0, ends[-1])]
-            same = [joined[x:y] == data[p:q].tobytes() for x, y, p, q in zip(cuts[:-1], cuts[1:], borders[:-1], borders[1:])]
-            spans.append(np.array(same, bool))
-        good = spans[0] & spans[1]
+            ends.append(to)
+            odd = np.append(0, np.cumsum(~c.same[codes]))[row_ends]
+            for row in np.flatnonzero(np.diff(odd, prepend=0)):  # a piece that doesn't come back: the whole text decides
+                good[row] &= coder.table.gather(found[to[row - 1] if row else 0 : to[row]])[0] == data[borders[row] : borders[row + 1]].tobytes()
         for k in (0, 1):
             n = np.diff(ends[k], prepend=0)
             ids[k], ends[k] = ids[k][np.repeat(good, n)], np.cumsum(n * good)
         byte_ends = np.cumsum(np.diff(borders) * good)
         labels = np.zeros(byte_ends[-1] if len(byte_ends) else 0, np.uint8)
         for k in (0, 1):
-            labels[np.cumsum(self.tables[k].len[ids[k]]) - 1] += k + 1
+            labels[np.cumsum(self.coders[k].table.len[ids[k]]) - 1] += k + 1
         return Slice(*ids, *ends, labels, byte_ends)
 
     def groups(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +124,12 @@ class Pair:
         return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cuts[:-1], cuts[1:])]
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """Large binary texts with a space before them; empty ones stay empty."""
+    none = pa.scalar(b"", pa.large_binary())
+    return pc.if_else(pc.equal(pc.binary_length(texts), 0), none, pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), texts, none))
+
+
 def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int32()))
 
@@ -146,36 +157,33 @@ def align_documents(docs: DataFrame, a: str, b: str, outputs: tuple[str, ...] =
 
     a: path of a byte-level BPE file of the tokenizers library; b: path of a sentencepiece BPE model.  Their contents are broadcast."""
     with open(a, encoding="utf-8") as f, open(b, "rb") as g:
-        files = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
+        spec = f.read()
+        files = docs.sparkSession.sparkContext.broadcast((spec, g.read(), P.ranks(spec)))
     kinds = dict(zip(outputs, (t.dataType for t in docs.sparkSession.createDataFrame([], ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).schema)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, row = P.loaded(Pair, *files.value), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at, texts in P.slices(batch.column(1)):
-                spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(None, pa.large_binary()), pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), texts, pa.scalar(b"", pa.large_binary())))
-                s = pair.tokens(spaced)
-                na, nb, group_ends = pair.groups(s)
-                made: dict[str, object] = {"n_a": np.diff(s.a_ends, prepend=0), "n_b": np.diff(s.b_ends, prepend=0), "n_groups": np.diff(group_ends, prepend=0)}
-                made["row"] = row + np.arange(len(texts))
-                row += len(texts)
-                if {"n_links", "pairs", "pair_links"} & set(outputs):
-                    pairs, link_ends = pair.links(s)
-                    made["n_links"] = np.diff(link_ends, prepend=0)
-                    if {"pairs", "pair_links"} & set(outputs):
-                        known, n, ends = tally(pairs, link_ends)
-                        cuts = np.append(0, ends)
-                        made["pairs"] = [known[x:y].astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-                        made["pair_links"] = [n[x:y].astype("<i4").tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-                if "groups_sha256" in outputs:
-                    made["groups_sha256"] = pair.digests(s, na, nb)
-                if "groups" in outputs:
-                    both = pa.StructArray.from_arrays([lists(s.a, np.cumsum(na)), lists(s.b, np.cumsum(nb))], ["a", "b"])
-                    made["groups"] = pa.ListArray.from_arrays(pa.array(np.append(0, group_ends), pa.int32()), both)
-                arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-                columns = [x if isinstance(x := made[o], pa.Array) else pa.array(x, arrow[OUTPUTS[o]]) for o in outputs]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], ["doc_id", *outputs])
-        pair.forget()
+        for batch, at, n_rows, s in ((batch, top + at, n, s) for batch in batches for top, texts in P.blocks(batch.column(1), P.BLOCK_BYTES) for at, n, s in pair.slices(spaced(texts))):
+            na, nb, group_ends = pair.groups(s)
+            made: dict[str, object] = {"n_a": np.diff(s.a_ends, prepend=0), "n_b": np.diff(s.b_ends, prepend=0), "n_groups": np.diff(group_ends, prepend=0)}
+            made["row"] = row + np.arange(n_rows)
+            row += n_rows
+            if {"n_links", "pairs", "pair_links"} & set(outputs):
+                pairs, link_ends = pair.links(s)
+                made["n_links"] = np.diff(link_ends, prepend=0)
+                if {"pairs", "pair_links"} & set(outputs):
+                    known, n, ends = tally(pairs, link_ends)
+                    cuts = np.append(0, ends)
+                    made["pairs"] = [known[x:y].astype("<i8").tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
+                    made["pair_links"] = [n[x:y].astype("<i4").tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
+            if "groups_sha256" in outputs:
+                made["groups_sha256"] = pair.digests(s, na, nb)
+            if "groups" in outputs:
+                both = pa.StructArray.from_arrays([lists(s.a, np.cumsum(na)), lists(s.b, np.cumsum(nb))], ["a", "b"])
+                made["groups"] = pa.ListArray.from_arrays(pa.array(np.append(0, group_ends), pa.int32()), both)
+            arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+            columns = [x if isinstance(x := made[o], pa.Array) else pa.array(x, arrow[OUTPUTS[o]]) for o in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n_rows), *columns], ["doc_id", *outputs])
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     schema = rows.select("doc_id").schema
@@ -184,14 +192,24 @@ def align_documents(docs: DataFrame, a: str, b: str, outputs: tuple[str, ...] =
     return rows.mapInArrow(frugal(run), schema)
 
 
+def parted(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by SLICE_BYTES of a binary column, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES * 8, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
     """pair, b, n (links in the corpus), best (none of B's id has more); from rows with pairs and pair_links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
+        for part in (p for batch in batches for p in parted(batch, 0)):
+            known = np.frombuffer(b"".join(part.column(0).to_pylist()), "<i8")
             if len(known):
-                n = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
+                n = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i4")
                 distinct, place = np.unique(known, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(place, n).astype(np.int64))], ["pair", "n"])
 
@@ -224,7 +242,7 @@ def scored(aligned: DataFrame, counts: DataFrame, max_pairs: int = MAX_PAIRS) ->
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, counted, best = shared.value
-        for batch in batches:
+        for batch in (p for batch in batches for p in parted(batch, len(light))):
             pairs, times, borders = read(batch)
             at, known = lookup(pairs)
             times = times * known
@@ -232,7 +250,7 @@ def scored(aligned: DataFrame, counts: DataFrame, max_pairs: int = MAX_PAIRS) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(light)], *(pa.array(np.diff(w)) for w in worth)], [*light, "n_best", "count_sum"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for batch in batches for p in parted(batch, len(light))):
             pairs, times, borders = read(batch)
             rest = np.flatnonzero(~lookup(pairs)[1])
             row = np.repeat(batch.column(own).to_numpy(), np.diff(borders))

@@ -40,17 +40,18 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str = "
 
     vocabulary: path of a tokenizers file on the driver; its content is broadcast."""
     with open(vocabulary, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = f.read()
+    files = docs.sparkSession.sparkContext.broadcast((spec, True, P.ranks(spec)))
     end = np.array([end_id], "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = P.loaded(P.ByteLevel, spec.value, True)
+        coder = P.loaded(P.ByteLevel, *files.value)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, texts in P.slices(batch.column(1)):
-                codes, distinct, row_ends = P.pieces(texts, coder.whole(texts))
-                ids, counts = coder.memory.ids(codes, distinct)
-                ends = np.append(0, np.cumsum(counts))[row_ends]
+            for at, texts in P.blocks(batch.column(1), P.BLOCK_BYTES):
+                p = P.pieces(texts, coder.whole(texts))
+                ids, counts = coder.encode(p).of(p.codes)
+                ends = np.append(0, np.cumsum(counts))[p.row_ends]
                 n = np.diff(ends, prepend=0) + 1
                 closed = np.insert(ids, ends, end).astype("<i4")  # the end id after each document
                 borders = np.append(0, np.cumsum(n))
@@ -59,7 +60,6 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str = "
                     [batch.column(0).slice(at, len(texts)), pa.array(np.full(len(texts), part)), pa.array(before + borders[:-1]), pa.array(n), blob], ["doc_id", "part", "before", "n_tokens", "ids"]
                 )
                 before += int(borders[-1])
-        coder.memory.forget()
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     schema = rows.select("doc_id").schema.add("part", "long").add("before", "long").add("n_tokens", "long").add("ids", "binary")
