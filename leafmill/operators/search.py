@@ -1,132 +1,23 @@
-"""Vector search and the retrieval rules built on it, for whole tables of queries.
-
-``search`` never pairs all rows with all queries in a shuffle: queries go out in
-blocks of a checked size, each task scores its rows against a block as matrix
-products (a manual's rows only against that manual's queries, where the scope says
-so) and keeps its own k best of each query, and only these meet in a window.
-"""
+"""Vector search and the retrieval rules built on it, for whole tables of queries; see ``vectors`` for the pass over the index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import part_numbers
+from leafmill.operators.vectors import EXACT, Slot, slot_hits
+from leafmill.sources.scratch import held
 
 #: Gates of the retrieval rules; parameters everywhere.
 MIN_FIGURE, MIN_OTHER_MANUAL, MIN_MEMORY = 0.38, 0.55, 0.47
-#: Queries in one broadcast block.
-BLOCK = 4096
+#: Hits up to which what they look up is broadcast.
+MAX_BROADCAST = 500_000
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...] = (), scope: str = "same", key: str = "manual_id") -> DataFrame:
-    """query_id, id, score, rank (1 is best) of the k nearest rows by cosine.
-
-    index(id, embedding, type, <key>); queries(query_id, vector, <key>).  types:
-    empty means all.  scope: rows with the query's key (``same``; a NULL key has no
-    rows), without it (``other``; a NULL key is other) or all rows (``any``).  Ties go
-    to the lower id.  Rows and queries without a vector, with a NULL or NaN in it or of
-    another length are left out; a vector of length zero is like nothing: score 0.
-    """
-    rows = index.where(F.col("type").isin(*types)) if types else index
-    rows = rows.select("id", "embedding", F.col(key).alias("k"))
-    queries = queries.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x))")
-    total = queries.count()
-    parts = []
-    for number in range(max(1, -(-total // BLOCK))):
-        block = queries if total <= BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // BLOCK))) == number)
-        parts.append(_block(rows, block, k, scope))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-#: A task thins out its hits when it holds so many.
-HELD = 1 << 18
-
-
-def _thinned(hits: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
-    """Of (query, score, id) the k best of each query: best score, then lower id."""
-    q, s, i = (np.concatenate(c) for c in zip(*hits))
-    order = np.lexsort((i, -s, q))
-    q, s, i = q[order], s[order], i[order]
-    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-    place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
-    return q[place < k], s[place < k], i[place < k]
-
-
-def _block(rows: DataFrame, queries: DataFrame, k: int, scope: str) -> DataFrame:
-    key = [f for f in queries.columns if f not in ("query_id", "vector")]
-    held = queries.collect()  # about BLOCK rows, however many there are in all
-    if not held:
-        return rows.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("id").cast("bigint").alias("id"), F.lit(0.0).alias("score"))
-    width = len(held[0].vector)
-    held = [r for r in held if len(r.vector) == width]
-    q = np.array([r.vector for r in held], np.float64).reshape(len(held), -1)
-    norms = np.sqrt((q * q).sum(1, keepdims=True))
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-    by_key: dict = {}
-    for n, r in enumerate(held):
-        by_key.setdefault(r[key[0]] if key else None, []).append(n)
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in held], np.int64), {x: np.array(n) for x, n in by_key.items()}, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, of_key, vectors = shared.value
-        hits: list[tuple[np.ndarray, ...]] = []
-        n_held = 0
-
-        def scored(wanted: np.ndarray, at: np.ndarray, v: np.ndarray, ids: np.ndarray) -> int:
-            """Adds the k best rows ``at`` of each query ``wanted``, with all that tie with the last of them."""
-            if not len(at):
-                return 0
-            s = np.round(vectors[wanted] @ v[at].T, 12)  # so that ties don't hang on the order of sums
-            if len(at) > k:
-                least = np.partition(s, len(at) - k, axis=1)[:, len(at) - k, None]
-                x, y = np.nonzero(s >= least)
-            else:
-                x, y = (c.ravel() for c in np.indices(s.shape))
-            hits.append((wanted[x], s[x, y], ids[at[y]]))
-            return len(x)
-
-        for batch in batches:
-            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), width)) if batch.num_rows else batch
-            if not batch.num_rows:
-                continue
-            v = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, width)
-            length = np.sqrt((v * v).sum(1, keepdims=True))
-            fine = np.isfinite(length[:, 0])
-            v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            everyone, everything = np.arange(len(query_ids)), np.flatnonzero(fine)
-            if scope == "any":
-                n_held += scored(everyone, everything, v, ids)
-            else:
-                owner = batch.column(2).dictionary_encode()
-                of = owner.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                names = owner.dictionary.to_pylist()
-                if scope == "same":  # only the queries of a manual meet its rows
-                    for n, name in enumerate(names):
-                        if name is not None and name in of_key:
-                            n_held += scored(of_key[name], np.flatnonzero((of == n) & fine), v, ids)
-                else:
-                    for name, wanted in of_key.items():
-                        own = names.index(name) if name is not None and name in names else -2
-                        n_held += scored(wanted, np.flatnonzero((of != own) & fine), v, ids)
-            if n_held > HELD:
-                hits = [_thinned(hits, k)]
-                n_held = 0
-        if hits:
-            x, s, i = _thinned(hits, k)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[x]), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "id", "score"])
-
-    return rows.where(F.col("embedding").isNotNull()).mapInArrow(run, "query_id bigint, id bigint, score double")
+def search(index: DataFrame, queries: DataFrame, k: int, types: tuple[str, ...] = (), scope: str = "same", key: str = "manual_id", payload: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, id, score, rank (1 is best) and ``payload`` columns of the k nearest rows by cosine; one slot of ``vectors.slot_hits``."""
+    return slot_hits(index, queries, [Slot("", k, types, scope)], payload, key).drop("slot")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -148,18 +39,17 @@ def text_hits(index: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
 
 def figure_hits(index: DataFrame, queries: DataFrame, gate: float = MIN_FIGURE, fetch: int = 12, k: int = 3) -> DataFrame:
     """Over-fetch, gate, one row for each path (the best), the k best."""
-    found = search(index, queries, fetch, ("image",)).where(F.col("score") >= gate).drop("rank")
-    found = found.join(index.select("id", "manual_id", "path", "figure_role", "parent_path"), "id")
+    found = search(index, queries, fetch, ("image",), payload=("manual_id", "path", "figure_role", "parent_path")).where(F.col("score") >= gate).drop("rank")
     return top(first_by(found, ["query_id", "path"], [F.desc("score"), F.col("id")]), ["query_id"], k)
 
 
 def table_hits(index: DataFrame, queries: DataFrame, gate: float = MIN_FIGURE, fetch: int = 4, k: int = 2) -> DataFrame:
-    found = search(index, queries, fetch, ("table",)).drop("rank").join(index.where("render_markdown IS NOT NULL").select("id", "render_markdown"), "id")
+    found = search(index, queries, fetch, ("table",), payload=("render_markdown",)).drop("rank").where("render_markdown IS NOT NULL")
     return top(found.where(F.col("score") >= gate), ["query_id"], k)
 
 
 def other_manual_hits(index: DataFrame, queries: DataFrame, gate: float = MIN_OTHER_MANUAL, fetch: int = 9, k: int = 3) -> DataFrame:
-    found = search(index, queries, fetch, scope="other").where(F.col("score") >= gate).drop("rank").join(index.select("id", "manual_id", "page"), "id")
+    found = search(index, queries, fetch, scope="other", payload=("manual_id", "page")).where(F.col("score") >= gate).drop("rank")
     return top(first_by(found, ["query_id", "manual_id", "page"], [F.desc("score"), F.col("id")]), ["query_id"], k)
 
 
@@ -225,7 +115,7 @@ def code_hits(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def matched_figure(index: DataFrame, queries: DataFrame, confident: float = 0.55, possible: float = MIN_FIGURE, fetch: int = 5) -> DataFrame:
     """The figure of the manual that an uploaded picture's description is most like: query_id, id, path, page,
     band (``confident`` or ``possible``), score; no row below ``possible``.  Figures without a path don't count."""
-    near = search(index, queries, fetch, ("image",)).drop("rank").join(index.where("path IS NOT NULL").select("id", "path", "page"), "id")
+    near = search(index, queries, fetch, ("image",), payload=("path", "page")).drop("rank").where("path IS NOT NULL")
     band = F.when(F.col("score") >= confident, "confident").otherwise("possible")
     return top(near.where(F.col("score") >= possible), ["query_id"], 1).withColumn("band", band).drop("rank")
 
@@ -240,28 +130,43 @@ def retrieve(index: DataFrame, memory: DataFrame, queries: DataFrame, gate: floa
     index as in ``search`` with page, path, figure_role, parent_path, render_markdown, part_numbers;
     memory(id, embedding, machine_id); queries(query_id, vector, manual_id, machine_id, text).
     """
-    asked = queries.select("query_id", "vector", "manual_id")
+    # all that is scored or listed comes from one pass over the index, with the columns that are needed of it
+    asked = queries.select("query_id", "vector", "manual_id", part_numbers(F.col("text")).alias("codes"))
+    rows = index.withColumn("shown", F.col("render_markdown").isNotNull())
+    slots = [Slot("text", 3, ("text", "table", "part")), Slot("image", 12, ("image",)), Slot("table", 4, ("table",)), Slot("other", 9, (), "other")]
+    hits = held(slot_hits(rows, asked, slots, ("manual_id", "type", "path", "figure_role", "parent_path", "page", "shown"), exact=10))
+    slot = lambda name: hits.where(F.col("slot") == name).drop("slot")
     ranked = lambda df: df.withColumnRenamed("rank", "pos")
-    exact = code_hits(index, queries)
-    near = text_hits(index, asked)
-    text = exact_first(exact.where("type <> 'image'"), ranked(near))
+    exact = ranked(slot(EXACT))
+    text = exact_first(exact.where("type <> 'image'"), ranked(slot("text")))
 
+    near = first_by(slot("image").where(F.col("score") >= gate), ["query_id", "path"], [F.desc("score"), F.col("id")])
+    near = top(near.drop("rank"), ["query_id"], 3)
     columns = ["query_id", "id", "path", "parent_path", "figure_role", "score"]
     late = lambda df, n: df.select(*columns, F.lit(n).alias("late"))
     place = lambda df: top(df, ["query_id"], None, [F.col("late"), F.desc("score"), F.col("id")], "pos")
-    hits = figure_hits(index, asked, gate)
-    figures = full_before_parts(place(late(hits, 0).unionByName(late(parents(hits, index), 1))))
-    pulled = part_figures(text, figures, index)
+    # a second pass, without vectors, looks up the figures of parts among the figures and among the texts
+    points = F.max(F.coalesce("score", F.lit(0.0))).alias("score")
+    of = near.where("figure_role = 'part' AND parent_path IS NOT NULL").groupBy("query_id", "manual_id", F.col("parent_path").alias("path")).agg(points)
+    of = of.join(near.select("query_id", "path"), ["query_id", "path"], "left_anti").withColumn("why", F.lit("figure"))
+    parts = hits.where(F.col("slot").isin(EXACT, "text") & (F.col("type") == "part") & F.col("parent_path").isNotNull()).select("query_id", "id", "manual_id", F.col("parent_path").alias("path")).distinct()
+    by = text.select("query_id", "id", "score").join(parts, ["query_id", "id"]).groupBy("query_id", "manual_id", "path").agg(points).withColumn("why", F.lit("text"))
+    wanted = of.unionByName(by)
+    figures_of = index.where("type = 'image'").select("id", "manual_id", "path", "figure_role", "parent_path")
+    found = held((F.broadcast(wanted) if hits.count() <= MAX_BROADCAST else wanted).join(figures_of, ["manual_id", "path"]))
+    figures = full_before_parts(place(late(near, 0).unionByName(late(found.where("why = 'figure'"), 1))))
+    pulled = found.where("why = 'text'").join(figures.select("query_id", "path"), ["query_id", "path"], "left_anti")
     n = figures.groupBy("query_id").agg(F.max("position").alias("n"))  # what is pulled in comes after all others
     after = pulled.select(*columns).join(n, "query_id", "left").withColumn("late", F.coalesce("n", F.lit(0)) + 1).drop("n")
     again = figures.withColumn("late", F.col("position")).select(*columns, "late").unionByName(after)
     ordered = full_before_parts(place(again)).drop("pos").withColumnRenamed("position", "pos")
     image = exact_first(exact.where("type = 'image'"), ordered, "path")
 
-    table = ranked(table_hits(index, asked, gate))
+    table = ranked(top(slot("table").where(F.col("shown") & (F.col("score") >= gate)).drop("rank"), ["query_id"], 2))
     fixes = search(memory.withColumn("type", F.lit("memory")), queries.select("query_id", "vector", "machine_id"), 3, key="machine_id")
     fixes = ranked(fixes.where(F.col("score") >= memory_gate))
-    other = ranked(other_manual_hits(index, asked, other_gate))
+    other = first_by(slot("other").where(F.col("score") >= other_gate), ["query_id", "manual_id", "page"], [F.desc("score"), F.col("id")])
+    other = ranked(top(other.drop("rank"), ["query_id"], 3))
     slots = {"text": text, "image": image, "table": table, "memory": fixes, "other": other}
     found = [df.select("query_id", F.lit(slot).alias("slot"), "pos", "id", "score") for slot, df in slots.items()]
     out = found[0]

@@ -9,6 +9,8 @@ from leafmill.functions import scalars as X
 from leafmill.operators import search as S
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
+from leafmill.sources import vector_index
+from leafmill.sources.scratch import fresh
 
 #: Gates for the near-random vectors of the test tables.
 GATE, OTHER_GATE, MEMORY_GATE = 0.15, 0.2, 0.2
@@ -43,6 +45,15 @@ def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(S.text_hits(index, queries), "query_id", "id", "rank")
 
 
+@query(_sql("""t AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits WHERE type IN ('text', 'table', 'part'))
+SELECT query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM t WHERE rank <= 5"""))
+def vec_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of cells, searched exactly: five nearest texts, from the partitions of the query's manual only."""
+    index, queries = _both(spark, sf_dir)
+    built = vector_index.build(index, fresh(spark, "vector-index"), cells=16, buckets=4)
+    return _out(built.search(queries, 5, ("text", "table", "part")), "query_id", "id", "rank")
+
+
 @query(with_views("v_index v_query", f"""+o AS (SELECT query_id, i.id, i.manual_id, i.page, {_COS} AS score FROM v_query q JOIN v_index i ON q.manual_id <> i.manual_id),
 o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM o),
 o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, manual_id, page ORDER BY score DESC, id) AS r2 FROM o1 WHERE r <= 9 AND score >= {OTHER_GATE}),

@@ -71,14 +71,34 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.chunked(view(spark, sf_dir, "v_page"))
 
 
-@query()
+_WORDS = "[\\p{L}\\p{N}_]"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS chunk_id, source AS manual_id, text AS content, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT code FROM (SELECT regexp_extract(text, '([\\p{{L}}\\p{{N}}]+)', 1) AS code FROM benchmark UNION SELECT CAST(item_id AS VARCHAR) FROM benchmark) WHERE code <> ''),
+h AS (SELECT t.*, code, length(code) AS n, regexp_matches(code, '^[0-9]+$') AS number FROM t JOIN w ON contains(low, lower(code))),
+o AS (SELECT chunk_id, code, n, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k, len(parts) AS parts FROM (SELECT chunk_id, code, n, string_split(low, lower(code)) AS parts FROM h)),
+q AS (SELECT chunk_id, code, k, parts, CAST(sum(length(part)) OVER (PARTITION BY chunk_id, code ORDER BY k) AS BIGINT) + (k - 1) * n + 1 AS i FROM o),
+p AS (SELECT h.*, q.i FROM h JOIN q ON h.chunk_id = q.chunk_id AND h.code = q.code WHERE q.k < q.parts),
+c AS (SELECT *, coalesce(substring(low, i - 1, 1), '') AS before, substring(low, i + n, 1) AS after,
+  CASE WHEN number AND i > 1 THEN length(regexp_extract(substring(low, greatest(i - 40, 1), i - greatest(i - 40, 1)), '(?:^|[^\\p{{L}}\\p{{N}}_])(items?\\s*[:.\\-]?\\s*)$', 1)) ELSE 0 END AS item,
+  CASE WHEN i > 1 AND substring(low, i - 1, 1) IN ('(', '[') THEN 1 ELSE 0 END AS bracket FROM p),
+d AS (SELECT *, CASE WHEN i - 1 - bracket < 1 THEN '' ELSE substring(low, i - 1 - bracket, 1) END AS outer_, CASE WHEN i = 1 THEN '' ELSE before END AS inner_ FROM c),
+m AS (SELECT manual_id, code, chunk_id, i, content,
+  CASE WHEN NOT number THEN CASE WHEN NOT regexp_matches(inner_, '[\\p{{L}}\\p{{N}}_-]') AND NOT regexp_matches(after, '[\\p{{L}}\\p{{N}}_-]') THEN i END
+    WHEN item > 0 AND NOT regexp_matches(after, '{_WORDS}') THEN i - item
+    WHEN regexp_matches(after, '[)\\].:–-]') AND bracket = 1 AND NOT regexp_matches(outer_, '[\\p{{L}}\\p{{N}}_.-]') THEN i - 1
+    WHEN regexp_matches(after, '[)\\].:–-]') AND NOT regexp_matches(inner_, '[\\p{{L}}\\p{{N}}_.-]') THEN i END AS start,
+  CASE WHEN NOT number OR (item > 0 AND NOT regexp_matches(after, '{_WORDS}')) THEN i + n ELSE i + n + 1 END AS stop FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY manual_id, code ORDER BY chunk_id, start) AS k, row_number() OVER (PARTITION BY manual_id, code, chunk_id ORDER BY start) AS nth FROM m WHERE start IS NOT NULL)
+SELECT manual_id, code, chunk_id, CAST(nth - 1 AS INT) AS nth, trim(regexp_replace(substring(content, greatest(start - 160, 1), stop + 160 - greatest(start - 160, 1)), '\\s+', ' ', 'g')) AS snippet FROM r WHERE k <= 4""")
 def code_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of the documents around the first word of each benchmark item and around numbers."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    """Snippets of each source's documents around the first word of each benchmark item and around numbers."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("manual_id"), F.col("text").alias("content"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     words = items.select(F.regexp_extract("text", r"([\p{L}\p{N}]+)", 1).alias("code")).union(items.select(F.col("item_id").cast("string"))).where("code <> ''").distinct()
-    # the corpus is one manual here: every document may hold every code
-    return K.evidence(words.withColumn("manual_id", F.lit("all")), docs.withColumn("manual_id", F.lit("all")))
+    manuals = docs.select("manual_id").distinct()
+    return K.evidence(words.withColumn("all", F.lit(1)).join(manuals.withColumn("all", F.lit(1)), "all").drop("all"), docs)
 
 
 @query(with_views("v_parts", "+f AS (SELECT list_id, arg_min(description, (ref, seq)) AS d, arg_min(ref, (ref, seq)) AS r, list(DISTINCT ref) AS refs FROM v_parts WHERE ref <> '' GROUP BY 1),\n" + """c AS (SELECT list_id, d, r, refs FROM f),
