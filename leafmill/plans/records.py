@@ -11,6 +11,7 @@ from leafmill.operators import sessions as C
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
 from leafmill.streaming import ingest as I
+from leafmill.streaming.watch import outcomes
 
 
 @query(with_views("v_page", "SELECT manual_id, count(*) AS n_chunks FROM v_page WHERE manual_id <> '' GROUP BY 1"))
@@ -142,6 +143,21 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.latest_status(view(spark, sf_dir, "v_job"))
 
 
+_POLLS = "SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(floor(event_id % 5000 / 500) AS INT) AS STRING) AS manual_id, ts AS polled, event_id AS seq, CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'processing' END WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'unknown' END WHEN 'signup' THEN 'unknown' ELSE 'processing' END AS status FROM {events}"
+
+
+@query("WITH p AS (" + _POLLS.replace("STRING", "VARCHAR").replace("{events}", "events") + """),
+l AS (SELECT *, min(polled) OVER (PARTITION BY manual_id) + INTERVAL 1440 MINUTE AS stop FROM p),
+s AS (SELECT *, row_number() OVER w AS place, sum(CASE WHEN status = 'unknown' THEN 0 ELSE 1 END) OVER w AS run FROM l WHERE polled < stop WINDOW w AS (PARTITION BY manual_id ORDER BY polled, seq)),
+t AS (SELECT *, CASE WHEN status IN ('success', 'failed') THEN status WHEN status = 'unknown' AND row_number() OVER (PARTITION BY manual_id, run, status = 'unknown' ORDER BY place) >= 3 THEN 'lost' END AS says FROM s),
+f AS (SELECT manual_id, max(stop) AS stop, count(*) AS n, min(place) FILTER (WHERE says IS NOT NULL) AS place, arg_min(says, place) FILTER (WHERE says IS NOT NULL) AS says, min(polled) FILTER (WHERE says IS NOT NULL) AS polled FROM t GROUP BY 1)
+SELECT manual_id, coalesce(says, CASE WHEN (SELECT max(polled) FROM p) >= stop THEN 'overdue' ELSE 'processing' END) AS outcome, coalesce(place, n) AS polls, coalesce(polled, CASE WHEN (SELECT max(polled) FROM p) >= stop THEN stop END) AS ended FROM f""")
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as polls of jobs that may take a day: how each job ends, and after how many polls."""
+    polls = spark.sql(_POLLS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return outcomes(polls.withColumnRenamed("polled", "at"), minutes=1440)
+
+
 @query(with_views("v_job", """SELECT manual_id, count(*) FILTER (WHERE status = 'success') AS stored, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'unknown') AS empty,
   coalesce(list(seq ORDER BY seq) FILTER (WHERE status = 'failed'), [])[1:5] AS samples, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial' ELSE 'success' END AS state FROM v_job GROUP BY 1"""))
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
