@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import DRAWING, clean
+from leafmill.operators.spatial import boxes_meet
 
 #: Kinds that are never figures; page kinds by what is read from them.
 NO_FIGURE = ("text", "icon", "logo", "decoration", "blank")
@@ -61,18 +62,15 @@ def page_route(kind: Column) -> Column:
 
 
 def figure_callouts(words: DataFrame, figures: DataFrame, least: float = 0.5) -> DataFrame:
-    """(figure_id, callout): numbers 1 to 999 read well enough whose box meets the figure; joined by page."""
+    """(figure_id, callout): numbers 1 to 999 read well enough whose box meets the figure."""
     numbers = words.where(F.col("text").rlike(r"^\d{1,3}$") & (F.col("conf") >= least)).withColumn("no", F.col("text").cast("int")).where("no BETWEEN 1 AND 999")
-    w, f = numbers.alias("w"), figures.alias("f")
-    meets = (F.col("w.page") == F.col("f.page")) & (F.col("w.x0") < F.col("f.x1")) & (F.col("w.x1") > F.col("f.x0")) & (F.col("w.y0") < F.col("f.y1")) & (F.col("w.y1") > F.col("f.y0"))
-    return w.join(f, meets).select("f.figure_id", F.col("w.no").alias("callout")).distinct()
+    return boxes_meet(numbers, figures).select("b.figure_id", F.col("a.no").alias("callout")).distinct()
 
 
 def corner_code(words: DataFrame, figures: DataFrame) -> DataFrame:
     """The first word in a figure that is a drawing code, with double hyphens made plain."""
-    w, f = words.where(F.col("text").rlike(DRAWING)).alias("w"), figures.alias("f")
-    inside = (F.col("w.page") == F.col("f.page")) & (F.col("w.x0") < F.col("f.x1")) & (F.col("w.x1") > F.col("f.x0")) & (F.col("w.y0") < F.col("f.y1")) & (F.col("w.y1") > F.col("f.y0"))
-    return w.join(f, inside).groupBy("f.figure_id").agg(F.min_by(F.replace("w.text", F.lit("--"), F.lit("-")), F.struct("w.y0", "w.x0")).alias("code"))
+    met = boxes_meet(words.where(F.col("text").rlike(DRAWING)), figures)
+    return met.groupBy(F.col("b.figure_id").alias("figure_id")).agg(F.min_by(F.replace("a.text", F.lit("--"), F.lit("-")), F.struct("a.y0", "a.x0")).alias("code"))
 
 
 def merged_rules(rules: DataFrame, least: float = 8.0, share: float = 0.6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import captions as C
 from leafmill.operators import layout as L
+from leafmill.operators.spatial import points_outside
 from leafmill.operators import search as S
 from leafmill.plans.registry import query
 from leafmill.plans.retrieval import _FIGS, _HITS, GATE
@@ -45,6 +46,17 @@ def figure_callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.figure_callouts(words, figures)
 
 
+@query("""WITH w AS (SELECT event_id, event_id % 200 AS page, CAST(event_id % 977 AS DOUBLE) AS x, CAST(event_id % 891 AS DOUBLE) AS y FROM events),
+f AS (SELECT s_suppkey % 200 AS page, CAST(s_suppkey % 500 AS DOUBLE) AS x, CAST(s_suppkey % 400 AS DOUBLE) AS y FROM supplier)
+SELECT event_id, page FROM w WHERE NOT EXISTS (SELECT 1 FROM f WHERE w.page = f.page AND w.x BETWEEN f.x AND f.x + 300 AND w.y BETWEEN f.y AND f.y + 250)""")
+def words_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circled numbers that lie in no figure of their page."""
+    d = lambda c: F.expr(c).cast("double")
+    points = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 200).alias("page"), d("event_id % 977").alias("x"), d("event_id % 891").alias("y"))
+    boxes = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 200).alias("page"), d("s_suppkey % 500").alias("x0"), d("s_suppkey % 400").alias("y0"), d("s_suppkey % 500 + 300").alias("x1"), d("s_suppkey % 400 + 250").alias("y1"))
+    return points_outside(points, boxes).select("event_id", "page")
+
+
 @query("""WITH p AS (SELECT user_id AS figure_id, event_id AS row, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS ink FROM events),
 n AS (SELECT *, CASE WHEN row - lag(row) OVER (PARTITION BY figure_id ORDER BY row) - 1 < 300 THEN 0 ELSE 1 END AS new FROM p WHERE ink > 0),
 b AS (SELECT *, sum(new) OVER (PARTITION BY figure_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS band FROM n)

@@ -10,6 +10,8 @@ from leafmill.operators import registry as R
 from leafmill.operators import sessions as C
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
+from leafmill.sources import uploads
+from leafmill.sources.scratch import fresh
 from leafmill.streaming import ingest as I
 from leafmill.streaming.watch import outcomes
 
@@ -250,3 +252,21 @@ def recordable_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = m.select(F.col("session_id").alias("id")).distinct()
     s = s.select("id", F.when(k % 3 != 0, "S1").alias("machine_id"), F.when(k % 4 == 0, "learn").when(k % 4 == 1, "troubleshoot").alias("intent"))
     return C.can_record_fix(s, m)
+
+
+_UPLOADS = """SELECT 'N' || CAST(doc_id % 30 AS STRING) AS manual_id, CAST(1 + floor(doc_id / 30.0) % 3 AS BIGINT) AS upload_id, doc_id, text AS content,
+  (doc_id % 30 + 1 + floor(doc_id / 30.0) % 3) % 4 <> 0 AS ended, floor(doc_id / 30.0) % 3 = 2 AND doc_id % 5 = 0 AS blank FROM {documents}"""
+
+
+@query("WITH p AS (" + _UPLOADS.replace("STRING", "VARCHAR").replace("{documents}", "documents") + """),
+l AS (SELECT manual_id, max(upload_id) FILTER (WHERE ended) AS upload_id FROM p GROUP BY 1)
+SELECT p.manual_id, p.upload_id, doc_id, CAST(length(content) AS INT) AS n_chars FROM p JOIN l ON p.manual_id = l.manual_id AND p.upload_id = l.upload_id WHERE NOT blank""")
+def live_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads of thirty manuals, stored in two batches: of each manual the last upload that has ended; some of
+    these hold no text, and some never end."""
+    pages, path = spark.sql(_UPLOADS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet")), fresh(spark, "uploads")
+    items = pages.where("NOT blank").select("manual_id", "upload_id", "doc_id", "content")
+    for k in range(2):
+        uploads.store(items.where(F.col("doc_id") % 2 == k), path, f"batch-{k}")
+    uploads.finish(pages.where("ended"), path)
+    return uploads.live(spark, path, "manual_id string, upload_id bigint, doc_id bigint, content string").select("manual_id", "upload_id", "doc_id", F.char_length("content").alias("n_chars"))

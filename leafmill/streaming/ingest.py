@@ -6,33 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.text import chunked
+from leafmill.sources import uploads
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+#: A chunk as it is stored.
+STORED = "manual_id string, upload_id bigint, page int, doc_id bigint, chunk_no int, content string"
+
+
 def ingest(source: DataFrame, target: str, checkpoint: str):
-    """Chunks every arriving batch of pages(manual_id, upload_id, page, doc_id, content) and appends it to
-    ``target``, a folder for each batch: a repeated batch replaces itself and nothing else.  Which upload of
-    a manual counts is decided when the chunks are read (``stored``), so the files of one upload may come in
-    any number of batches."""
+    """Chunks arriving pages(manual_id, upload_id, page, doc_id, content, ended) into the snapshots of ``target``.
+
+    The pages of an upload may come in any number of batches; a row with ``ended`` says that it is complete, and holds no page
+    itself if its page is NULL.  A repeated batch changes nothing, and readers (``stored``) see an upload when it has ended."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        chunks = chunked(batch, keep=("manual_id", "upload_id", "page", "doc_id"))
-        chunks.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunks = chunked(batch.where("page IS NOT NULL"), keep=("manual_id", "upload_id", "page", "doc_id"))
+        uploads.store(chunks, target, f"ingest-{number}")
+        uploads.finish(batch.where("ended"), target)
 
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
-STORED = "manual_id string, upload_id bigint, page int, doc_id bigint, chunk_no int, content string, batch bigint"
-
-
 def stored(spark: SparkSession, target: str) -> DataFrame:
-    """The chunks that count: of each manual those of its latest upload, from all its batches."""
-    rows = spark.read.schema(STORED).parquet(target)
-    latest = rows.groupBy("manual_id").agg(F.max("upload_id").alias("upload_id"))
-    return rows.join(latest, ["manual_id", "upload_id"], "left_semi").drop("batch")
+    """The chunks that count: of each manual those of its last ended upload."""
+    return uploads.live(spark, target, STORED)
 
 
 def latest_status(updates: DataFrame) -> DataFrame:

@@ -6,20 +6,25 @@ from leafmill.streaming import ingest as I
 
 def test_ingest_keeps_an_upload_and_replaces_older_ones(spark, tmp_path):
     source, target, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
-    ddl = "manual_id string, upload_id bigint, page int, doc_id bigint, content string"
+    ddl = "manual_id string, upload_id bigint, page int, doc_id bigint, content string, ended boolean"
     add = lambda rows: spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
 
     def run():
         I.ingest(I.arriving(spark, source, ddl, files_per_batch=1), target, mark).awaitTermination()
         return {(r.manual_id, r.page, r.content) for r in I.stored(spark, target).collect()}
 
-    add([("a", 1, 1, 1, "old text"), ("b", 1, 1, 2, "kept")])
-    add([("a", 1, 2, 3, "old too")])  # another file of the same upload, in a batch of its own
-    assert run() == {("a", 1, "old text"), ("a", 2, "old too"), ("b", 1, "kept")}
-    add([("a", 2, 1, 4, "new text")])
-    add([("a", 2, 2, 5, "new too")])
+    add([("a", 1, 1, 1, "old text", None), ("b", 1, 1, 2, "kept", True)])
+    assert run() == {("b", 1, "kept")}  # the upload of a has not ended
+    add([("a", 1, 2, 3, "old too", None), ("a", 1, None, None, None, True)])  # another file of the same upload
+    old = {("a", 1, "old text"), ("a", 2, "old too"), ("b", 1, "kept")}
+    assert run() == old
+    add([("a", 2, 1, 4, "new text", False)])
+    assert run() == old  # half of the new upload
+    add([("a", 2, 2, 5, "new too", True)])
     wanted = {("a", 1, "new text"), ("a", 2, "new too"), ("b", 1, "kept")}
     assert run() == wanted and run() == wanted
+    add([("a", 3, 1, 6, "   ", None), ("a", 3, None, None, None, True)])  # a replacing upload without text
+    assert run() == {("b", 1, "kept")}
 
 
 def test_job_fields(spark):
