@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import fallback_summary, needs_translation, tail, without_manual_flag, without_reasoning
@@ -82,8 +82,6 @@ def relevant(rows: DataFrame, verdicts: DataFrame, keys: list[str], least: int =
 
     With ``least`` and ``group``, a group is topped up by rank from the rejected rows.
     """
-    from pyspark.sql import Window
-
     both = rows.join(verdicts, keys, "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
     if not least:
         return both.where("keep").drop("keep")
@@ -149,15 +147,19 @@ def translated(rows: DataFrame, provider: Callable[[], Provider] = Offline) -> D
     return rows.join(found, "description", "left").withColumn("description", F.coalesce(said, "description")).drop("english").select(rows.columns)
 
 
-def named_codes(snippets: DataFrame, provider: Callable[[], Provider] = Offline) -> DataFrame:
-    """manual_id, code, name: what the texts around a manual's callouts say that they are, asked once a manual.
+def named_codes(snippets: DataFrame, provider: Callable[[], Provider] = Offline, most: int = 12_000) -> DataFrame:
+    """manual_id, code, name: what the texts around a manual's callouts say that they are.
 
-    snippets(manual_id, code, nth, snippet) as of ``callouts.evidence``: a code without evidence gets no name,
-    whatever the model says, and neither does one that the model leaves blank."""
-    line = F.struct("code", "nth", F.concat(F.col("code"), F.lit(": "), F.col("snippet")).alias("line"))
-    asked = snippets.groupBy("manual_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("prompt"))
-    said = asked.select("manual_id", F.explode(F.from_json(tolerant_json_column(chat_column(F.col("prompt"), provider)), "map<string,string>")).alias("code", "name"))
-    return said.where(F.trim(F.coalesce("name", F.lit(""))) != "").join(snippets.select("manual_id", "code").distinct(), ["manual_id", "code"], "left_semi").select("manual_id", "code", F.trim("name").alias("name"))
+    snippets(manual_id, code, nth, snippet) as of ``callouts.evidence``.  A manual is asked about in prompts of about ``most`` characters,
+    a code's snippets in one of them.  A code without evidence gets no name, whatever the model says, and neither does one that
+    the model leaves blank; a name that several prompts give is that of the code's own prompt."""
+    line = F.struct("nth", F.concat(F.col("code"), F.lit(": "), F.col("snippet")).alias("line"))
+    lines = snippets.groupBy("manual_id", "code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
+    w = Window.partitionBy("manual_id").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("part", F.floor(F.coalesce(F.sum(F.length("lines") + 1).over(w), F.lit(0)) / most))
+    asked = lines.groupBy("manual_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "lines"))), lambda x: x["lines"]), "\n").alias("prompt"))
+    said = asked.select("manual_id", "part", F.explode(F.from_json(tolerant_json_column(chat_column(F.col("prompt"), provider)), "map<string,string>")).alias("code", "name"))
+    return said.where(F.trim(F.coalesce("name", F.lit(""))) != "").join(lines.select("manual_id", "part", "code"), ["manual_id", "part", "code"], "left_semi").select("manual_id", "code", F.trim("name").alias("name"))
 
 
 def incident_summary(history: Column, symptom: Column, cause: Column, actions: Column, parts: Column, provider: Callable[[], Provider] | None = None) -> Column:
