@@ -197,7 +197,7 @@ def skew(angles: DataFrame, least: int = 3, most: float = 8.0) -> DataFrame:
 def natural_order(c: Column) -> list[Column]:
     """Sort keys: numbers first by value, then texts."""
     number = c.rlike(r"^\d+$")
-    return [F.when(number, 0).otherwise(1), F.when(number, c.cast("bigint")), c]
+    return [F.when(number, 0).otherwise(1), F.when(number, c.try_cast("bigint")), c]
 
 
 def valid_upload(kind: Column, length: Column, query: Column, most: int = 10 * 1024 * 1024) -> Column:

@@ -111,8 +111,3 @@ def delete_sessions(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, D
     """memory, messages and sessions without those of ``ids(session_id)``."""
     drop = lambda df, c: df.join(ids.select(F.col("session_id").alias(c)), c, "left_anti")
     return tables | {"memory": drop(tables["memory"], "session_id"), "messages": drop(tables["messages"], "session_id"), "sessions": drop(tables["sessions"], "id")}
-
-
-def migrated(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Idempotent: source ids are kept, rows without an embedding stay behind."""
-    return upsert(target, source.where("embedding IS NOT NULL"), "id")

@@ -82,7 +82,9 @@ def blocks(queries: DataFrame, key: str) -> Iterator[Block]:
                 by_key.setdefault(r[key], []).append(i)
             for code in (r["codes"] or ()) if "codes" in queries.columns else ():
                 by_code.setdefault((r[key], code), []).append(i)
-        yield Block(np.array([r["query_id"] for r in rows], np.int64), unit(q), {x: np.array(i) for x, i in by_key.items()}, by_code)
+        q = unit(q)
+        q[~np.array(fits, bool)] = np.nan
+        yield Block(np.array([r["query_id"] for r in rows], np.int64), q, {x: np.array(i) for x, i in by_key.items()}, by_code)
 
 
 def unit(v: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import layout as L
 from leafmill.operators import parts as P
 from leafmill.operators import readers as D
 from leafmill.operators.matching import figure_matches
@@ -57,7 +58,7 @@ def best_item_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _READ = """SELECT l_orderkey % 997 AS table_id, CAST(l_linenumber AS INT) AS no, l_partkey * 10 + l_linenumber AS pos,
   CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1O-' || CAST(l_orderkey % 997 AS STRING) ELSE '10-' || CAST(l_orderkey % 997 AS STRING) END AS model,
-  CASE l_suppkey % 3 WHEN 0 THEN '' ELSE 'Bolt' END AS name, CASE l_suppkey % 5 WHEN 0 THEN 'many' WHEN 1 THEN '3' ELSE '2' END AS qty, '' AS remarks FROM {lineitem} WHERE l_orderkey % 3 = 0"""
+  CASE l_suppkey % 3 WHEN 0 THEN '' ELSE 'Bolt' END AS name, CASE l_suppkey % 5 WHEN 0 THEN 'many' WHEN 1 THEN '3' ELSE '2' END AS qty, '' AS remarks FROM {lineitem}"""
 
 
 @query("WITH r AS (" + _READ.replace("STRING", "VARCHAR").replace("{lineitem}", "lineitem") + """),
@@ -123,6 +124,16 @@ def _figures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return figures, l.where("list_id % 2 = 1").select("list_id", "manual_id", "page", F.when(odd, "").otherwise(F.col("title")).alias("title"), F.when(odd, F.col("title")).otherwise("(Front)").alias("subtitle"), "refs", "families")
 
 
+@query(with_views("v_parts", """+c AS (SELECT list_id, seq, CASE WHEN ref <> '' THEN ref ELSE part_number END AS code FROM v_parts)
+SELECT list_id, code, CAST(row_number() OVER (PARTITION BY list_id ORDER BY CASE WHEN regexp_matches(code, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(code AS BIGINT), code, seq) AS INT) AS place FROM c"""))
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refs and codes of a list as they are shown: numbers first, by value."""
+    code = F.when(F.col("ref") != "", F.col("ref")).otherwise(F.col("part_number"))
+    rows = view(spark, sf_dir, "v_parts").select("list_id", "seq", code.alias("code"))
+    w = Window.partitionBy("list_id").orderBy(*L.natural_order(F.col("code")), "seq")
+    return rows.select("list_id", "code", F.row_number().over(w).alias("place"))
+
+
 _KEYED = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 

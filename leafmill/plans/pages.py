@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.scalars import DRAWING
 from leafmill.operators import captions as C
 from leafmill.operators import layout as L
 from leafmill.operators.spatial import points_outside
@@ -46,6 +47,21 @@ def figure_callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.figure_callouts(words, figures)
 
 
+_CODED = "CASE WHEN event_id % 3 = 0 THEN 'CA--' || CAST(event_id % 9000 + 1000 AS STRING) WHEN event_id % 3 = 1 THEN 'B-' || CAST(event_id % 9000 + 1000 AS STRING) ELSE 'word' END"
+
+
+@query("WITH w AS (SELECT event_id, event_id % 200 AS page, CAST(event_id % 97 AS DOUBLE) AS x0, CAST(event_id % 89 AS DOUBLE) AS y0, " + _CODED.replace("STRING", "VARCHAR") + """ AS text FROM events),
+f AS (SELECT s_suppkey AS figure_id, s_suppkey % 200 AS page, CAST(s_suppkey % 50 AS DOUBLE) AS x0, CAST(s_suppkey % 40 AS DOUBLE) AS y0 FROM supplier),
+m AS (SELECT figure_id, text, w.x0, w.y0 FROM w JOIN f ON w.page = f.page AND w.x0 < f.x0 + 30 AND w.x0 + 5 > f.x0 AND w.y0 < f.y0 + 30 AND w.y0 + 5 > f.y0 WHERE regexp_matches(text, '{DRAWING}'))
+SELECT figure_id, replace(arg_min(text, (y0, x0)), '--', '-') AS code FROM m GROUP BY 1""".replace("{DRAWING}", DRAWING))
+def corner_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing code that is printed first in each figure."""
+    d = lambda c: F.expr(c).cast("double")
+    words = _table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("page"), d("event_id % 97").alias("x0"), d("event_id % 89").alias("y0"), d("event_id % 97 + 5").alias("x1"), d("event_id % 89 + 5").alias("y1"), F.expr(_CODED).alias("text"))
+    figures = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("figure_id"), (F.col("s_suppkey") % 200).alias("page"), d("s_suppkey % 50").alias("x0"), d("s_suppkey % 40").alias("y0"), d("s_suppkey % 50 + 30").alias("x1"), d("s_suppkey % 40 + 30").alias("y1"))
+    return L.corner_code(words, figures)
+
+
 @query("""WITH w AS (SELECT event_id, event_id % 200 AS page, CAST(event_id % 977 AS DOUBLE) AS x, CAST(event_id % 891 AS DOUBLE) AS y FROM events),
 f AS (SELECT s_suppkey % 200 AS page, CAST(s_suppkey % 500 AS DOUBLE) AS x, CAST(s_suppkey % 400 AS DOUBLE) AS y FROM supplier)
 SELECT event_id, page FROM w WHERE NOT EXISTS (SELECT 1 FROM f WHERE w.page = f.page AND w.x BETWEEN f.x AND f.x + 300 AND w.y BETWEEN f.y AND f.y + 250)""")
@@ -109,9 +125,14 @@ def table_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", C.table_title(caption, F.col("p_partkey") % 8 < 4, header, F.lit("Section")).alias("title"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey % 500 AS query_id, CAST(l_linenumber AS BIGINT) AS figure_id, CAST(l_partkey % 9 AS BIGINT) AS table_id, count(*) AS score FROM lineitem GROUP BY ALL),
+f AS (SELECT query_id, figure_id, list(table_id ORDER BY score DESC, table_id) AS t, row_number() OVER (PARTITION BY query_id ORDER BY figure_id) AS n FROM p GROUP BY 1, 2),
+s AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS figure_id, CAST(NULL AS BIGINT) AS pick FROM f GROUP BY 1
+  UNION ALL SELECT s.query_id, f.n, CASE WHEN len(list_filter(f.t, lambda x: NOT list_contains(s.taken, x))) > 0 THEN list_append(s.taken, list_filter(f.t, lambda x: NOT list_contains(s.taken, x))[1]) ELSE s.taken END,
+    f.figure_id, list_filter(f.t, lambda x: NOT list_contains(s.taken, x))[1] FROM s JOIN f ON f.query_id = s.query_id AND f.n = s.n + 1)
+SELECT query_id, figure_id, pick AS table_id FROM s WHERE pick IS NOT NULL""")
 def legend_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy pairing of figures and tables within a group; checked in the tests."""
+    """Figures of a group in order, each with its best table that no earlier figure took."""
     l = _table(spark, sf_dir, "lineitem")
     pairs = l.groupBy((F.col("l_orderkey") % 500).alias("query_id"), F.col("l_linenumber").cast("bigint").alias("figure_id"), (F.col("l_partkey") % 9).alias("table_id")).agg(F.count("*").alias("score"))
     return C.attached_legends(pairs.withColumn("figure_pos", F.col("figure_id")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from leafmill.operators import registry as R
 from leafmill.operators import sessions as C
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
+from leafmill.sources import answers as A
 from leafmill.sources import uploads
+from leafmill.sources.migration import migrate
 from leafmill.sources.scratch import fresh
 from leafmill.streaming import ingest as I
 from leafmill.streaming.watch import outcomes
@@ -270,3 +274,34 @@ def live_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         uploads.store(items.where(F.col("doc_id") % 2 == k), path, f"batch-{k}")
     uploads.finish(pages.where("ended"), path)
     return uploads.live(spark, path, "manual_id string, upload_id bigint, doc_id bigint, content string").select("manual_id", "upload_id", "doc_id", F.char_length("content").alias("n_chars"))
+
+
+@query(with_views("v_message", """+t AS (SELECT 'sessions' AS kind, session_id AS id, session_id FROM v_message GROUP BY ALL UNION ALL SELECT 'messages', id, session_id FROM v_message
+  UNION ALL SELECT 'memory', id, session_id FROM v_message WHERE role = 'agent') SELECT kind, id FROM t WHERE session_id % 3 <> 0"""))
+def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third conversation is deleted: what is left of sessions, messages and past fixes."""
+    m = view(spark, sf_dir, "v_message")
+    tables = {"sessions": m.select(F.col("session_id").alias("id")).distinct(), "messages": m.select("id", "session_id"), "memory": m.where("role = 'agent'").select("id", "session_id")}
+    left = R.delete_sessions(tables, tables["sessions"].where("id % 3 = 0").select(F.col("id").alias("session_id")))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), "id") for kind, df in left.items()))
+
+
+@query("""WITH p AS (SELECT item_id, text, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t FROM benchmark)
+SELECT item_id, nullif(left(string_split(t, chr(10))[-1], 500), '') AS answer FROM p""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as prompts, asked in two runs of which the second finds the answers of the first."""
+    items, folder = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), fresh(spark, "answers")
+    A.ask(items.where("item_id % 2 = 0"), folder, "echo", "text")
+    return A.ask(items.select("item_id", "text"), folder, "echo", "text").select("item_id", "answer")
+
+
+@query("""SELECT 'N' || CAST(doc_id % 7 AS VARCHAR) AS manual_id, doc_id AS id, CAST(length(text) AS INT) AS n_chars FROM documents WHERE doc_id % 11 <> 0""")
+def migrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents moved in ranges of their ids, in two runs; some have no vector."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("'N' || CAST(doc_id % 7 AS STRING) AS manual_id", "doc_id AS id", "text", "CASE WHEN doc_id % 11 <> 0 THEN 'v' END AS embedding"), fresh(spark, "migration")
+    low, high = docs.agg(F.min("id"), F.max("id") + 1).first()
+    step = -(-(high - low) // 4)
+    for most in (2, None):
+        migrate(spark, lambda a, b: docs.where((F.col("id") >= a) & (F.col("id") < b)), path, low, high, step, most=most)
+    uploads.finish(uploads.files(spark, path), path)
+    return uploads.live(spark, path, "manual_id string, id bigint, text string").select("manual_id", "id", F.char_length("text").alias("n_chars"))

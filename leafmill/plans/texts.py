@@ -134,9 +134,14 @@ def scalar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", X.part_key(F.concat(F.lit("1O-"), "p_name", F.lit("-"), F.col("p_partkey").cast("string"))).alias("part_key"), X.lookalike_key(F.col("p_name")).alias("lookalike"), X.title_key(F.col("p_type")).alias("title_key"), X.drawing_family(drawing).alias("family"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, {'x0': CAST(event_id % 7 AS DOUBLE), 'y0': CAST(event_id % 5 AS DOUBLE), 'x1': CAST(event_id % 7 + 2 + event_id % 3 AS DOUBLE), 'y1': CAST(event_id % 5 AS DOUBLE) + 2} AS b FROM events),
+s AS (SELECT user_id, n, [b] AS kept FROM b WHERE n = 1
+  UNION ALL SELECT s.user_id, b.n, CASE WHEN len(list_filter(s.kept, lambda k:
+      greatest(least(k.x1, b.b.x1) - greatest(k.x0, b.b.x0), 0) * greatest(least(k.y1, b.b.y1) - greatest(k.y0, b.b.y0), 0) / least((k.x1 - k.x0) * (k.y1 - k.y0), (b.b.x1 - b.b.x0) * (b.b.y1 - b.b.y0)) > 0.8)) > 0 THEN s.kept ELSE list_append(s.kept, b.b) END
+    FROM s JOIN b ON b.user_id = s.user_id AND b.n = s.n + 1)
+SELECT user_id, CAST(max(n) AS INT) AS n, CAST(max(len(kept)) AS INT) AS kept FROM s GROUP BY 1""")
 def figure_box_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figure boxes of a page in order, without those that lie in an earlier one (sequential, so not SQL)."""
+    """Figure boxes of a page in order, without those that lie in an earlier one."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
     box = F.struct((F.col("event_id") % 7).cast("double").alias("x0"), (F.col("event_id") % 5).cast("double").alias("y0"), (F.col("event_id") % 7 + 2 + F.col("event_id") % 3).cast("double").alias("x1"), (F.col("event_id") % 5 + 2.0).alias("y1"))
     per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", box.alias("b")))), lambda x: x["b"]).alias("boxes"))

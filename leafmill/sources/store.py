@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,37 +134,3 @@ def payload(chunks: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in schema.struct(schema.CHUNKS) if f.name != "embedding"}
     have = [F.col(n).cast(t).alias(n) if n in chunks.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
     return chunks.select(*have).withColumn("part_numbers", F.coalesce("part_numbers", F.array().cast("array<string>")))
-
-
-def paged(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A relational table, read in ``parts`` ranges of its numeric key at once instead of page after page."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
-    return reader.options(**options).load()
-
-
-def flushed(items: DataFrame, store: Callable[[list[dict]], None], size: int = 32) -> DataFrame:
-    """Sends items(page, type, ...) to ``store`` in batches of ``size`` from every task; a batch that fails is
-    tried again item by item.  Gives one row an item: page, type, reason (NULL: stored).
-
-    ``store`` is called on the executors and must be idempotent: a task that is run again sends its items again.
-    The result must be written once before anything else reads it."""
-    schema_ = items.select("page", "type").schema.add("reason", "string")
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            for at in range(0, len(rows), size):
-                part = rows[at : at + size]
-                reasons: list[str | None] = [None] * len(part)
-                try:
-                    store(part)
-                except Exception:  # noqa: BLE001  a single bad item must not take the others with it
-                    for i, row in enumerate(part):
-                        try:
-                            store([row])
-                        except Exception as e:  # noqa: BLE001
-                            reasons[i] = str(e)[:200]
-                kept = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([kept.column("page"), kept.column("type"), pa.array(reasons, pa.string())], ["page", "type", "reason"])
-
-    return items.mapInArrow(run, schema_)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leafmill.sources.store import Table, conditions, flushed, payload, text_pages, uploads
+from leafmill.sources.store import Table, conditions, payload, text_pages, uploads
 from leafmill.streaming import ingest as I
 
 
@@ -35,16 +35,6 @@ def test_job_fields(spark):
     assert {(r.manual_id, r.status) for r in I.status_of(asked, jobs).collect()} == {("j", "done"), ("k", "unknown"), ("z", "unknown")}
 
 
-def test_flush_retries_items_one_by_one(spark, tmp_path):
-    def store(rows):
-        if any(r["page"] == 5 for r in rows):
-            raise ValueError("bad page")
-
-    items = spark.createDataFrame([(i, "text", "x") for i in range(10)], "page int, type string, content string").coalesce(1)
-    got = flushed(items, store, 4).collect()
-    assert [(r.page, r.reason) for r in got if r.reason] == [(5, "bad page")] and len(got) == 10
-
-
 def test_payload_and_uploads(spark, tmp_path):
     old = spark.createDataFrame([("1", "m", 3)], "id string, manual_id string, page int")
     row = payload(old).first()

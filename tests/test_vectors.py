@@ -17,7 +17,8 @@ def some(rnd, n, queries):
     codes = lambda: [None, [], ["P1"], ["P2", "P1"], ["P3"]][rnd.randint(5)]
     floats = lambda v: v and [None if x is None else float(x) for x in v]
     rows = [(i, floats(vector()), kinds[rnd.randint(3)], manuals[rnd.randint(4)], codes(), int(i)) for i in rnd.permutation(n).tolist()]
-    return rows, [(q, floats(rnd.choice(5, 4).tolist()), manuals[rnd.randint(4)], codes()) for q in range(queries)]
+    asked = [(q, floats(rnd.choice(5, 4).tolist()), manuals[rnd.randint(4)], codes()) for q in range(queries)]
+    return rows, [*asked, (queries, None, "a", ["P1"]), (queries + 1, [1.0, None, 1.0, 1.0], "b", ["P2"]), (queries + 2, [1.0], None, ["P1"])]
 
 
 def plain(rows, asked, slots, exact):
@@ -28,7 +29,7 @@ def plain(rows, asked, slots, exact):
             found = []
             for i, e, kind, owner, _, page in rows:
                 own = owner is not None and owner == manual
-                if good(e) and (not s.types or kind in s.types) and (own if s.scope == "same" else not own if s.scope == "other" else True):
+                if good(v) and good(e) and (not s.types or kind in s.types) and (own if s.scope == "same" else not own if s.scope == "other" else True):
                     a, b = np.array(v), np.array(e)
                     n = np.sqrt((a @ a) * (b @ b))
                     found.append((-round(float(a @ b / n) if n else 0.0, 9), i, page))
