@@ -1,7 +1,8 @@
 """Which parts list explains which figure, as set joins between groups of lists and figures.
 
 A figure meets the lists of its page band (near), of its drawing sets (kin), and of both.  Each of these is a
-group: a key that figures and lists share, with the points that it is worth.  Within a group lists of equal refs
+group: a key that figures and lists share, with the points that it is worth.  In a group of few lists each figure is compared
+with each list, which is linear in the figures.  Within a larger group lists of equal refs
 are one set (the least list_id speaks for it), figures of equal callouts are one question, so copies cost nothing.
 A question meets a set only through its rarest callouts: of n callouts, k of which must be covered, any n - k + 1
 have one that the set holds.  Titles meet pages through their rarest run of letters.  Only the best answer of a
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import title_key
 from leafmill.operators.parts import _natural
+from leafmill.sources.scratch import held
 
 #: Letters of the runs by which titles and pages meet; a shorter title is a run of its own.
 RUN = 6
 
+#: A group of at most so many lists is small.
+FEW = 32
+
 #: Kinds of groups.
 NEAR, KIN, BOTH = 0, 1, 2
 
@@ -121,21 +126,30 @@ def figure_matches(figures: DataFrame, lists: DataFrame, band: int = 2, coverage
     callouts (or there are none), or if it covers ``strong`` of them.  Score: coverage + title + 0.8 kin + 0.2 near;
     ties by turn and list_id.  Nulls in arrays are no callouts, refs or families; rows without a manual match nothing.
     """
-    asked, known = figure_groups(figures, band), list_groups(lists)
+    figures, lists = held(figures), held(lists)  # both are read several times
+    printed = printed_titles(figures, lists).groupBy("manual_id", "print").agg(F.collect_set("title").alias("shown"))
+    asked = figure_groups(figures, band).join(printed, ["manual_id", "print"], "left").select("figure_id", "g", "turn", "callouts", F.coalesce("shown", F.array().cast("array<string>")).alias("shown"))
+    known = list_groups(lists)
+    sizes = known.groupBy("g").agg(F.count("*").alias("n"))
+    few, many = (known.join(sizes.where(f"n {sign} {FEW}").select("g"), "g", "left_semi") for sign in ("<=", ">"))
     covered = F.size("callouts") > 0
-    # without a title: the best set of a group
-    sets = known.groupBy("g", "refs").agg(F.min("list_id").alias("list_id"))
+    # small groups: all pairs
+    pairs = asked.join(few, "g").withColumns({"coverage": F.when(covered, F.size(F.array_intersect("callouts", "refs")) / F.size("callouts")).otherwise(0.0), "titled": F.arrays_overlap("titles", "shown")})
+    pairs = pairs.where((F.col("titled") & (~covered | (F.col("coverage") >= coverage))) | (covered & (F.col("coverage") >= strong)))
+    # large groups, without a title: the best set
+    asked = asked.join(sizes.where(F.col("n") > FEW).select("g"), "g", "left_semi")
+    sets = many.groupBy("g", "refs").agg(F.min("list_id").alias("list_id"))
     plain = best_covering(asked.where(covered).select("g", "callouts").distinct(), sets, ["g"], strong)
     plain = asked.join(plain, ["g", "callouts"]).withColumn("titled", F.lit(False))
-    # with a title that is printed on the page: the best set of a group and title
-    named = known.select("g", "refs", "list_id", F.explode("titles").alias("title")).groupBy("g", "title", "refs").agg(F.min("list_id").alias("list_id"))
-    under = asked.join(printed_titles(figures, lists), ["manual_id", "print"])
+    # large groups, with a title that is printed on the page: the best set of the title
+    named = many.select("g", "refs", "list_id", F.explode("titles").alias("title")).groupBy("g", "title", "refs").agg(F.min("list_id").alias("list_id"))
+    under = asked.withColumn("title", F.explode("shown"))
     with_title = best_covering(under.where(covered).select("g", "title", "callouts").distinct(), named, ["g", "title"], coverage)
     with_title = under.join(with_title, ["g", "title", "callouts"])
     bare = named.groupBy("g", "title").agg(F.min(F.struct("list_id", "refs")).alias("x")).select("g", "title", "x.list_id", "x.refs")
     bare = under.where(~covered).join(bare, ["g", "title"]).withColumn("coverage", F.lit(0.0))
     columns = ["figure_id", "g", "turn", "callouts", "refs", "list_id", "coverage", "titled"]
-    both = plain.select(columns).unionByName(with_title.withColumn("titled", F.lit(True)).select(columns)).unionByName(bare.withColumn("titled", F.lit(True)).select(columns))
+    both = pairs.select(columns).unionByName(plain.select(columns)).unionByName(with_title.withColumn("titled", F.lit(True)).select(columns)).unionByName(bare.withColumn("titled", F.lit(True)).select(columns))
     kin, near = (F.col("g.kind") != NEAR).cast("double"), (F.col("g.kind") != KIN).cast("double")
     score = F.col("coverage") + F.col("titled").cast("double") + kin * 0.8 + near * 0.2
     best = both.groupBy("figure_id").agg(F.min(F.struct((-score).alias("less"), "turn", "list_id", "coverage", "callouts", "refs")).alias("b"))

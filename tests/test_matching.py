@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import matching as M
@@ -50,7 +51,9 @@ def some(rnd, n):
     return figures, [(i, manual(), page(), name(2), rnd.choice([None, "", "(Front)", name(1)]), refs(), fams()) for i in range(n)]
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("size", [0, 3, 1000])
+def test_against_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(M, "FEW", size)
     figures, lists = some(random.Random(4), 150)
     wanted = plain(figures, lists)
     found = M.figure_matches(spark.createDataFrame(figures, FIGURES), spark.createDataFrame(lists, LISTS)).collect()
