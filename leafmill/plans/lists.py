@@ -11,6 +11,7 @@ from leafmill.operators import readers as D
 from leafmill.operators.matching import figure_matches
 from leafmill.plans.registry import query
 from leafmill.plans.views import view, with_views
+from leafmill.sources.scratch import held
 
 _GROUPED = "+g AS (SELECT *, CAST(sum(CASE WHEN ref <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY list_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INT) AS grp FROM v_parts)\n"
 
@@ -113,7 +114,7 @@ def _figures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Even lists play figures with their refs as callouts, odd ones the lists; ten lists are a page of three
     manuals, some lists belong to drawing sets."""
     ref, k = F.when(F.col("ref") != "", F.col("ref")), F.col("list_id")
-    l = view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.array_sort(F.collect_set(ref)).alias("refs"), F.min("description").alias("title"))
+    l = held(view(spark, sf_dir, "v_parts").groupBy("list_id").agg(F.array_sort(F.collect_set(ref)).alias("refs"), F.min("description").alias("title")))
     l = l.withColumns({
         "page": F.floor(k / 10).cast("int") + 1, "manual_id": F.floor(k % 6 / 2).cast("string"),
         "families": F.when(k % 11 < 2, F.array(F.floor(k / 60).cast("string"), F.lit("none"))).otherwise(F.array().cast("array<string>")),
