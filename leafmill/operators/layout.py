@@ -67,10 +67,13 @@ def figure_callouts(words: DataFrame, figures: DataFrame, least: float = 0.5) ->
     return boxes_meet(numbers, figures).select("b.figure_id", F.col("a.no").alias("callout")).distinct()
 
 
-def corner_code(words: DataFrame, figures: DataFrame) -> DataFrame:
-    """The first word in a figure that is a drawing code, with double hyphens made plain."""
+def corner_code(words: DataFrame, figures: DataFrame, order: str | None = None) -> DataFrame:
+    """The first word in a figure that is a drawing code, with double hyphens made plain.
+
+    Of words at the same place the first by the column ``order`` counts, then by text."""
     met = boxes_meet(words.where(F.col("text").rlike(DRAWING)), figures)
-    return met.groupBy(F.col("b.figure_id").alias("figure_id")).agg(F.min_by(F.replace("a.text", F.lit("--"), F.lit("-")), F.struct("a.y0", "a.x0")).alias("code"))
+    first = F.struct(*(F.col(f"a.{c}") for c in ("y0", "x0", *([order] if order else []), "text")))
+    return met.groupBy(F.col("b.figure_id").alias("figure_id")).agg(F.min_by(F.replace("a.text", F.lit("--"), F.lit("-")), first).alias("code"))
 
 
 def merged_rules(rules: DataFrame, least: float = 8.0, share: float = 0.6) -> DataFrame:

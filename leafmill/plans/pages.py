@@ -55,11 +55,11 @@ f AS (SELECT s_suppkey AS figure_id, s_suppkey % 200 AS page, CAST(s_suppkey % 5
 m AS (SELECT figure_id, text, w.x0, w.y0 FROM w JOIN f ON w.page = f.page AND w.x0 < f.x0 + 30 AND w.x0 + 5 > f.x0 AND w.y0 < f.y0 + 30 AND w.y0 + 5 > f.y0 WHERE regexp_matches(text, '{DRAWING}'))
 SELECT figure_id, replace(arg_min(text, (y0, x0)), '--', '-') AS code FROM m GROUP BY 1""".replace("{DRAWING}", DRAWING))
 def corner_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawing code that is printed first in each figure."""
+    """The drawing code that is printed first in each figure; of words at the same place, the one read first."""
     d = lambda c: F.expr(c).cast("double")
-    words = _table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("page"), d("event_id % 97").alias("x0"), d("event_id % 89").alias("y0"), d("event_id % 97 + 5").alias("x1"), d("event_id % 89 + 5").alias("y1"), F.expr(_CODED).alias("text"))
+    words = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 200).alias("page"), d("event_id % 97").alias("x0"), d("event_id % 89").alias("y0"), d("event_id % 97 + 5").alias("x1"), d("event_id % 89 + 5").alias("y1"), F.expr(_CODED).alias("text"))
     figures = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("figure_id"), (F.col("s_suppkey") % 200).alias("page"), d("s_suppkey % 50").alias("x0"), d("s_suppkey % 40").alias("y0"), d("s_suppkey % 50 + 30").alias("x1"), d("s_suppkey % 40 + 30").alias("y1"))
-    return L.corner_code(words, figures)
+    return L.corner_code(words, figures, "event_id")
 
 
 @query("""WITH w AS (SELECT event_id, event_id % 200 AS page, CAST(event_id % 977 AS DOUBLE) AS x, CAST(event_id % 891 AS DOUBLE) AS y FROM events),

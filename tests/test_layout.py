@@ -113,3 +113,13 @@ def test_drawing_rules(spark):
     frames = F.array(box(0, 0, 1000, 1000), box(95, 95, 215, 215), box(98, 98, 204, 204))
     assert tuple(one(L.framed(box(100, 100, 200, 200), frames, F.lit(1000), F.lit(1000)))) == (94, 94, 208, 208)
     assert tuple(one(L.framed(box(5, 100, 200, 200), F.filter(frames, lambda f: F.lit(False)), F.lit(1000), F.lit(400)))) == (0, 94, 215, 206)
+
+
+def test_corner_code_of_words_at_one_place_is_the_first_one_read(spark):
+    # texts that fall in the order of reading, so that neither the text nor the place decides
+    words = [(k, 1, 5.0, 5.0, 9.0, 9.0, f"B-{9999 - k}") for k in range(40)]
+    figures = spark.createDataFrame([(7, 1, 0.0, 0.0, 30.0, 30.0)], "figure_id int, page int, x0 double, y0 double, x1 double, y1 double")
+    for rows in (words, words[::-1], words[20:] + words[:20]):
+        df = spark.createDataFrame(rows, "no int, page int, x0 double, y0 double, x1 double, y1 double, text string").coalesce(1)
+        assert [r.code for r in L.corner_code(df, figures, "no").collect()] == ["B-9999"]
+        assert [r.code for r in L.corner_code(df, figures).collect()] == ["B-9960"]
