@@ -1,25 +1,24 @@
 """Chat formatting by prefix-target expansion (operator 3).
 
 Every assistant turn becomes an example of its own: all preceding turns of the conversation
-are context, and only that reply is trainable.  The context of a reply is the context of the
-reply before it, that reply, and what was said since; so an example is stored as what it adds:
+are context, and only that reply is trainable.
 
-* ``expand``: one row an assistant turn (and, where the text since the last one is long or no
-  reply follows, rows that only add context): ``fresh``, the formatted turns since the previous
-  row, ``reply``, the formatted reply, ``context_chars``, the length of its whole context, and
-  the span of the loss mask in context and reply together;
-* ``examples``: the same with whole contexts, for writing training files;
-* ``read_back``: reads conversations and loss masks back from the examples.
+* ``expand``: one row an assistant turn: ``context``, all formatted turns before it, ``reply``, the
+  formatted reply, and the span of the loss mask in both together; ``fresh`` is the end of the
+  context that no earlier row of the conversation has.  Where no reply follows the last turns, a row
+  without one has the whole conversation as its context;
+* ``examples``: the rows with a reply, for writing training files;
+* ``read_back``: reads conversations and loss masks back from these contexts and replies.
 
-The first and the last grow with the turns, however long a conversation gets; only the second,
-which has to repeat the contexts, grows with the square of a conversation.
+Rows grow with the turns.  Their characters grow with the replies of a conversation times its length,
+because every example repeats its context; that is what the expansion is for.
 
 The template marks turns by control strings.  A backslash after the first character of
 every control string inside a text, and before every backslash, takes their meaning
 away.  ``Reader`` finds turns, roles and texts by the control strings alone.
 
 One conversation is read by one task, because its digest is sequential, but as a stream: a
-task holds one turn and less than ``FRESH`` characters of context.
+task holds one example, a batch of them has less than ``FRESH`` characters or is one example.
 
 Defined cases: null texts are empty; a null role is read back as an empty one; roles
 other than user, assistant and system get a marker with their name; turns are ordered
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Context that a row adds before it is given out without a reply, in characters.
+#: Characters from which on a batch of examples is given out.
 FRESH = 1 << 20
 
 #: The control strings of the template.
@@ -100,8 +99,8 @@ class Reader:
         return None
 
 
-_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("target", pa.int64()), ("context_chars", pa.int64()), ("fresh", pa.string()), ("reply", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-_EXAMPLE_DDL = "conv_id bigint, target bigint, context_chars bigint, fresh string, reply string, loss_start bigint, loss_end bigint"
+_EXAMPLE = pa.schema([("conv_id", pa.int64()), ("target", pa.int64()), ("context", pa.string()), ("fresh", pa.string()), ("reply", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+_EXAMPLE_DDL = "conv_id bigint, target bigint, context string, fresh string, reply string, loss_start bigint, loss_end bigint"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
@@ -120,33 +119,29 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
 def expand(df: DataFrame) -> DataFrame:
     """df(conv_id, turn, role, text) -> the examples, those of a conversation in order in one partition.
 
-    target is the place of the reply among the turns; rows without a reply have none."""
+    target is the place of the reply among the turns; the row of last turns without a reply has none."""
 
     def examples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        conv, place, chars, fresh, size = None, -1, 0, [], 0
+        conv, place, context, fresh = None, -1, "", []
         for batch in batches:
             for conv_id, is_reply, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if place >= 0 and conv_id != conv:
                     if fresh:
-                        yield conv, None, chars + size, "".join(fresh), None, None, None
-                    place, chars, fresh, size = -1, 0, [], 0
+                        yield conv, None, context + "".join(fresh), "".join(fresh), None, None, None
+                    place, context, fresh = -1, "", []
                 conv, place = conv_id, place + 1
                 if is_reply:
-                    chars += size
-                    yield conv, place, chars, "".join(fresh), piece, chars + len(REPLY), chars + len(piece) - len(REPLY_END)
-                    chars, fresh, size = chars + len(piece), [], 0
+                    added = "".join(fresh)
+                    context += added
+                    yield conv, place, context, added, piece, len(context) + len(REPLY), len(context) + len(piece) - len(REPLY_END)
+                    context, fresh = context + piece, []
                 else:
                     fresh.append(piece)
-                    size += len(piece)
-                    if size >= FRESH:
-                        chars += size
-                        yield conv, None, chars, "".join(fresh), None, None, None
-                        fresh, size = [], 0
         if fresh:
-            yield conv, None, chars + size, "".join(fresh), None, None, None
+            yield conv, None, context + "".join(fresh), "".join(fresh), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(examples_of(batches), _EXAMPLE, lambda r: len(r[3]) + len(r[4] or ""))
+        yield from _batches(examples_of(batches), _EXAMPLE, lambda r: len(r[2]) + len(r[3]) + len(r[4] or ""))
 
     rows = df.select("conv_id", "turn", "role", "text", formatted(F.col("role"), F.col("text")).alias("piece"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -154,35 +149,24 @@ def expand(df: DataFrame) -> DataFrame:
 
 
 def examples(expanded: DataFrame) -> DataFrame:
-    """conv_id, target, context, reply, loss_start, loss_end: the examples of ``expand`` with whole contexts."""
-    schema = pa.schema([("conv_id", pa.int64()), ("target", pa.int64()), ("context", pa.string()), ("reply", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for conv_id, target, context_chars, fresh, reply, start, end, begins in _rows(batches):
-            context = fresh if begins else context + fresh
-            if target is not None:
-                yield conv_id, target, context, reply, start, end
-                context += reply
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(whole(batches), schema, lambda r: len(r[2]) + len(r[3]))
-
-    return expanded.mapInArrow(run, "conv_id bigint, target bigint, context string, reply string, loss_start bigint, loss_end bigint")
+    """conv_id, target, context, reply, loss_start, loss_end: the training examples among the rows of ``expand``."""
+    return expanded.where(F.col("target").isNotNull()).select("conv_id", "target", "context", "reply", "loss_start", "loss_end")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of ``expand`` with whether a conversation begins: its first row adds all the context it has."""
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            yield *row, row[2] == len(row[3])
+        for k in range(batch.num_rows):
+            row = [c[k].as_py() for c in batch.columns]
+            yield *row, len(row[2]) == len(row[3])
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
     """Digests of what the examples say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Takes the rows of ``expand`` as they come.  Turns are found by the control strings in context and
-    reply, the trainable text by the loss span of each example; a context whose length is not what the
-    examples before it add up to is an error."""
+    reply, the trainable text by the loss span of each example; a context that is not what the example before it
+    says, and what is fresh, is an error."""
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
@@ -190,25 +174,26 @@ def read_back(expanded: DataFrame) -> DataFrame:
         state: list | None = None
 
         def result() -> tuple:
-            conv, n, turns, loss, losses, chars, reader = state
+            conv, n, turns, loss, losses, whole, reader = state
             if reader.tail:
                 raise ValueError(f"conversation {conv} ends within a turn")
-            return conv, n, turns.hexdigest(), loss, losses.hexdigest(), chars
+            return conv, n, turns.hexdigest(), loss, losses.hexdigest(), len(whole)
 
-        for conv_id, target, context_chars, fresh, reply, start, end, begins in _rows(batches):
+        for conv_id, target, context, fresh, reply, start, end, begins in _rows(batches):
             if begins:
                 if state is not None:
                     yield result()
-                state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
-            if state[5] + len(fresh) != context_chars:
-                raise ValueError(f"conversation {conv_id}: context of {context_chars} characters, {state[5] + len(fresh)} were read")
-            for text in (fresh, reply or ""):
-                for role, body in state[6].feed(text):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{body}\n".encode())
-            state[5] = context_chars + len(reply or "")
+                state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), "", Reader()]
+            before = len(state[5])
+            if before + len(fresh) != len(context) or not context.startswith(state[5]) or not context.endswith(fresh):
+                raise ValueError(f"conversation {conv_id}: context of {len(context)} characters, {before} were read and {len(fresh)} are fresh")
+            whole = context + (reply or "")
+            for role, body in state[6].feed(whole[before:]):
+                state[1] += 1
+                state[2].update(f"{role}\n{body}\n".encode())
+            state[5] = whole
             if target is not None:
-                trained = unescaped(reply[start - context_chars : end - context_chars])
+                trained = unescaped(whole[start:end])
                 state[3] += len(trained)
                 state[4].update(trained.encode())
         if state is not None:

@@ -301,3 +301,14 @@ def test_license_rows(spark):
     got = L.license_finds(df).orderBy("doc_id", "start").collect()
     assert [(r.doc_id, r.license_id, r.found_text) for r in got] == [(3, "MIT", mit[:-1])] * 2 + [(4, "MIT", mit[:-1])] * 2
     assert L.license_finds(df.where(F.lit(False))).count() == 0
+
+
+def test_expanded_rows_hold_all_preceding_turns(spark):
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], SCHEMA)
+    pieces = [r.p for r in df.orderBy("turn").select(C.formatted(F.col("role"), F.col("text")).alias("p")).collect()]
+    got = [(r.target, r.context, r.reply) for r in C.expand(df).collect()]
+    assert got == [(1, pieces[0], pieces[1]), (3, "".join(pieces[:3]), pieces[3]), (None, "".join(pieces), None)]
+    changed = C.expand(df).withColumn("context", F.when(F.col("target") == 3, F.replace("context", F.lit("a"), F.lit("x"))).otherwise(F.col("context")))
+    with pytest.raises(Exception, match="characters"):
+        C.read_back(changed).collect()
