@@ -24,6 +24,9 @@ RUN = 6
 #: A group of at most so many lists is small.
 FEW = 32
 
+#: Up to so many large groups are sent to all tasks; more meet their rows in a join.
+MAX_SENT = 1 << 16
+
 #: Kinds of groups.
 NEAR, KIN, BOTH = 0, 1, 2
 
@@ -130,14 +133,16 @@ def figure_matches(figures: DataFrame, lists: DataFrame, band: int = 2, coverage
     printed = printed_titles(figures, lists).groupBy("manual_id", "print").agg(F.collect_set("title").alias("shown"))
     asked = figure_groups(figures, band).join(printed, ["manual_id", "print"], "left").select("figure_id", "g", "turn", "callouts", F.coalesce("shown", F.array().cast("array<string>")).alias("shown"))
     known = list_groups(lists)
-    sizes = known.groupBy("g").agg(F.count("*").alias("n"))
-    few, many = (known.join(sizes.where(f"n {sign} {FEW}").select("g"), "g", "left_semi") for sign in ("<=", ">"))
+    # large groups are few: they pick their rows before anything is shuffled, and these are held
+    large = held(known.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("g"))
+    large = F.broadcast(large) if large.count() <= MAX_SENT else large
+    few, many = known.join(large, "g", "left_anti"), held(known.join(large, "g", "left_semi"))
     covered = F.size("callouts") > 0
     # small groups: all pairs
     pairs = asked.join(few, "g").withColumns({"coverage": F.when(covered, F.size(F.array_intersect("callouts", "refs")) / F.size("callouts")).otherwise(0.0), "titled": F.arrays_overlap("titles", "shown")})
     pairs = pairs.where((F.col("titled") & (~covered | (F.col("coverage") >= coverage))) | (covered & (F.col("coverage") >= strong)))
     # large groups, without a title: the best set
-    asked = asked.join(sizes.where(F.col("n") > FEW).select("g"), "g", "left_semi")
+    asked = held(asked.join(large, "g", "left_semi"))
     sets = many.groupBy("g", "refs").agg(F.min("list_id").alias("list_id"))
     plain = best_covering(asked.where(covered).select("g", "callouts").distinct(), sets, ["g"], strong)
     plain = asked.join(plain, ["g", "callouts"]).withColumn("titled", F.lit(False))

@@ -93,3 +93,16 @@ def test_pairs_grow_with_the_input(spark):
     all_in_one = lambda df: df.withColumn("families", F.array(F.lit("none")))
     a, b = (met(*map(all_in_one, t)) for t in (small, large))
     assert b < 15 * a and b < 40 * large[0].count()
+
+
+def test_large_groups_meet_alike_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    from leafmill.operators import matching
+
+    figures = spark.createDataFrame([(k, "m", k % 3, "Drawing of Pump", [str(k % 4), "9"], ["s"], "single") for k in range(12)], "figure_id int, manual_id string, page int, page_text string, callouts array<string>, families array<string>, layout string")
+    lists = spark.createDataFrame([(k, "m", k % 3, "Pump" if k % 2 else "Valve", "", [str(k % 5), "9"], ["s"]) for k in range(15)], "list_id int, manual_id string, page int, title string, subtitle string, refs array<string>, families array<string>")
+    found = []
+    for few, sent in ((32, 0), (2, 0), (2, 1 << 16)):
+        monkeypatch.setattr(matching, "FEW", few)
+        monkeypatch.setattr(matching, "MAX_SENT", sent)
+        found.append(sorted(map(tuple, matching.figure_matches(figures, lists).select("figure_id", "list_id", "score", "coverage").collect())))
+    assert len(found[0]) == 12 and found[0] == found[1] == found[2]
