@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import furniture_key, trimmed
+from leafmill.sources.scratch import held
 
 #: Separators of the recursive splitter, from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Characters of chunks after which a task gives them out.
+SLICE = 1 << 20
+#: Up to so many running lines are sent to all tasks; more meet the items in a join.
+MAX_SENT = 1 << 16
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -61,11 +66,21 @@ def furniture(lines: DataFrame, share: float = 0.30, least: int = 3) -> DataFram
 
 
 def without_furniture(items: DataFrame, running: DataFrame) -> DataFrame:
-    """Items(manual_id, item_id, content) of which something is neither furniture nor a page number."""
-    pieces = items.select("manual_id", "item_id", F.explode(F.split(F.replace("content", F.lit("Page contents:"), F.lit("")), r"\n| \| ")).alias("piece"))
+    """Items(manual_id, item_id, content) of which something is neither furniture nor a page number.
+
+    A manual has few running lines, each is on a share of its pages; they go to the items, which stay where they are."""
+    running = held(running.select("manual_id", "key"))
+    text = F.replace("content", F.lit("Page contents:"), F.lit(""))
+    if running.count() <= MAX_SENT:
+        per = running.groupBy("manual_id").agg(F.collect_set("key").alias("__running"))
+        both = items.join(F.broadcast(per), "manual_id", "left")
+        keys = F.transform(F.filter(F.split(text, r"\n| \| "), lambda p: trimmed(p) != ""), furniture_key)
+        real = F.exists(keys, lambda k: ~F.coalesce(F.array_contains("__running", k), F.lit(False)) & ~k.rlike("^#+$"))
+        return both.where((trimmed(F.coalesce(text, F.lit(""))) == "") | real).select(items.columns)
+    pieces = items.select("manual_id", "item_id", F.explode(F.split(text, r"\n| \| ")).alias("piece"))
     pieces = pieces.where(trimmed(F.col("piece")) != "").withColumn("key", furniture_key(F.col("piece")))
-    real = pieces.join(running.select("manual_id", "key"), ["manual_id", "key"], "left_anti").where(~F.col("key").rlike("^#+$")).select("manual_id", "item_id").distinct()
-    blank = items.where(trimmed(F.coalesce(F.replace("content", F.lit("Page contents:"), F.lit("")), F.lit(""))) == "").select("manual_id", "item_id")
+    real = pieces.join(running, ["manual_id", "key"], "left_anti").where(~F.col("key").rlike("^#+$")).select("manual_id", "item_id").distinct()
+    blank = items.where(trimmed(F.coalesce(text, F.lit(""))) == "").select("manual_id", "item_id")
     return items.join(real.unionByName(blank), ["manual_id", "item_id"], "left_semi")
 
 
@@ -113,15 +128,27 @@ def split_text(text: str, size: int = 800, overlap: int = 100, separators: tuple
 
 
 def chunked(items: DataFrame, size: int = 800, overlap: int = 100, keep: tuple[str, ...] = ("manual_id", "page", "doc_id")) -> DataFrame:
-    """items(<keep>, content) -> the columns ``keep``, chunk_no and content, one row a chunk; one Arrow pass, no shuffle."""
+    """items(<keep>, content) -> the columns ``keep``, chunk_no and content, one row a chunk; one Arrow pass, no shuffle.
+
+    Chunks are given out as soon as they have SLICE characters, so a task holds few texts beside its batch, however many it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(b: pa.RecordBatch, row: list[int], no: list[int], chunks: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row, pa.int64())) for k in range(len(keep))), pa.array(no, pa.int32()), pa.array(chunks, pa.string())], [*keep, "chunk_no", "content"])
+
         for b in batches:
-            parts = [split_text(c or "", size, overlap) for c in b.column(len(keep)).to_pylist()]
-            row = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
-            columns = [b.column(k).take(row) for k in range(len(keep))]
-            columns += [pa.array([n for p in parts for n in range(len(p))], pa.int32()), pa.array([c for p in parts for c in p], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "chunk_no", "content"])
+            row, no, chunks, weight = [], [], [], 0
+            for i in range(b.num_rows):
+                parts = split_text(b.column(len(keep))[i].as_py() or "", size, overlap)
+                row += [i] * len(parts)
+                no += range(len(parts))
+                chunks += parts
+                weight += sum(map(len, parts))
+                if weight >= SLICE:
+                    yield given(b, row, no, chunks)
+                    row, no, chunks, weight = [], [], [], 0
+            if row:
+                yield given(b, row, no, chunks)
 
     schema = items.select(*keep).schema.add("chunk_no", "integer").add("content", "string")
     return items.select(*keep, "content").mapInArrow(run, schema)
