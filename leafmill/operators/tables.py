@@ -165,12 +165,23 @@ def legend_pairs(figures: DataFrame, grids: DataFrame, band: int = 2, best: bool
 
 
 def legend_sweep(figures: DataFrame, grids: DataFrame, share: float = 0.6, least: int = 4) -> DataFrame:
-    """Over all tables of the manual: figures of four codes or more, most hits, at least max(4, int(share * codes))."""
-    enough = figures.where(F.size("codes") >= least)
-    hits = legend_scores(enough, grids, None).join(enough.select("figure_id", F.size("codes").alias("n_codes")), "figure_id")
-    good = hits.where(F.col("hits") >= F.greatest(F.lit(least), F.floor(F.col("n_codes") * F.lit(share))))
-    w = Window.partitionBy("figure_id").orderBy(F.desc("hits"), "table_id")
-    return good.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "n_codes")
+    """Over all tables of the manual: figures of four codes or more, most hits, at least max(4, int(share * codes)).
+
+    Of n codes, h of which must be cells, any n - h + 1 have one that the table holds: a figure meets tables
+    only through its rarest codes, and whole lists are compared then."""
+    wanted = F.greatest(F.lit(least), F.floor(F.size("codes") * F.lit(share)))
+    enough = figures.where(F.size("codes") >= least).select("figure_id", "manual_id", "codes", wanted.alias("wanted"))
+    cells = grids.select("table_id", "manual_id", F.array_distinct("cells").alias("cells"))
+    posted = cells.select("table_id", "manual_id", "cells", F.explode("cells").alias("code"))
+    often = posted.groupBy("manual_id", "code").agg(F.count("*").alias("often"))
+    each = enough.select("figure_id", "manual_id", "codes", "wanted", F.posexplode("codes").alias("pos", "code")).join(often, ["manual_id", "code"], "left")
+    place = F.row_number().over(Window.partitionBy("figure_id", "manual_id", "codes").orderBy(F.coalesce("often", F.lit(0)), "code", "pos"))
+    asked = each.withColumn("place", place).where((F.col("place") <= F.size("codes") - F.col("wanted") + 1) & F.col("often").isNotNull())
+    asked = asked.select("figure_id", "manual_id", "codes", "wanted", "code").distinct()
+    hits = F.size(F.filter("codes", lambda c: F.array_contains("cells", c))).cast("bigint")
+    good = asked.join(posted, ["manual_id", "code"]).withColumn("hits", hits).where(F.col("hits") >= F.col("wanted"))
+    best = good.groupBy("figure_id").agg(F.min(F.struct((-F.col("hits")).alias("less"), "table_id")).alias("best"))
+    return best.select("figure_id", "best.table_id", (-F.col("best.less")).alias("hits"))
 
 
 def legends(figures: DataFrame, tables: DataFrame) -> DataFrame:

@@ -106,3 +106,15 @@ def test_large_groups_meet_alike_by_broadcast_and_by_shuffle(spark, monkeypatch)
         monkeypatch.setattr(matching, "MAX_SENT", sent)
         found.append(sorted(map(tuple, matching.figure_matches(figures, lists).select("figure_id", "list_id", "score", "coverage").collect())))
     assert len(found[0]) == 12 and found[0] == found[1] == found[2]
+
+
+def test_a_sweep_meets_tables_by_rare_codes(spark):
+    from leafmill.operators import tables as G
+
+    figures = spark.createDataFrame([(k, "m", 1, ["x", f"a{k}", f"b{k}", f"c{k}", f"d{k % 2}"]) for k in range(6)], "figure_id int, manual_id string, page int, codes array<string>")
+    grids = spark.createDataFrame([(t, "m", 9, ["x", f"a{t % 6}", f"b{t % 6}", f"c{t % 6}", f"d{t % 4}"]) for t in range(12)], "table_id int, manual_id string, page int, cells array<string>")
+    found = G.legend_sweep(figures, grids)
+    hits = {(f, t): len({"x", f"a{f}", f"b{f}", f"c{f}", f"d{f % 2}"} & {"x", f"a{t % 6}", f"b{t % 6}", f"c{t % 6}", f"d{t % 4}"}) for f in range(6) for t in range(12)}
+    best = {f: min((-hits[f, t], t) for t in range(12) if hits[f, t] >= 4) for f in range(6)}
+    assert {r.figure_id: (-r.hits, r.table_id) for r in found.collect()} == best
+    assert "array_contains" in found._jdf.queryExecution().optimizedPlan().toString()
