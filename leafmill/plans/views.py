@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ID4 = "CAST(floor(vec_id / 4.0) AS INT)"
 #: Text that both engines read.
@@ -38,6 +39,29 @@ ORACLE = SQL | {
     "v_query": "SELECT vec_id AS query_id, embedding AS vector, 'M' || CAST(label AS STRING) AS manual_id FROM embeddings WHERE vec_id % 50 = 0",
 }
 _NEEDS = {"v_line": ("v_page",)}
+#: Rows of documents and of lineitem that a block of pages and a partition of lists hold, about.
+PAGES, LINES = 20_000, 200_000
+
+
+def _pages(docs: DataFrame) -> DataFrame:
+    """v_page of any number of documents: a source is numbered in blocks of ids, so none of its tasks holds all its texts."""
+    n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    width = (hi - lo) // (n // PAGES + 1) + 1 if lo is not None else 1
+    block = F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width), F.lit(-1))  # null ids come first
+    docs = docs.select("source", "doc_id", "text", F.struct("source", block.alias("block")).alias("k"))
+    counts = docs.groupBy("k").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("k.source").orderBy("k.block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("k", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))
+    return docs.join(before, "k").select(F.col("source").alias("manual_id"), (F.col("before") + place).cast("int").alias("page"), "doc_id", F.col("text").alias("content"))
+
+
+def _parts(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """v_parts of any number of lines: the partitions are as many as the lines need, however small their shuffled bytes are."""
+    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "p_partkey", "p_name")
+    rows = rows.repartition(lineitem.count() // LINES + 1, "l_orderkey")
+    return rows.sparkSession.sql(SQL["v_parts"].replace("lineitem JOIN part ON l_partkey = p_partkey", "{rows}"), rows=rows)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +71,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return view(spark, sf_dir, "v_page").selectExpr("manual_id", "page", "posexplode(split(content, '\\n')) AS (line_no, line)")
     if name == "v_query":
         return read("embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector", "'M' || CAST(label AS STRING) AS manual_id")
+    if name == "v_page" and (docs := read("documents")).count() > PAGES:
+        return _pages(docs)
+    if name == "v_parts" and (lines := read("lineitem")).count() > 10 * LINES:
+        return _parts(lines, read("part"))
     text = SQL[name]
     used = {t: read(t) for t in ("embeddings", "documents", "lineitem", "part", "conversations", "supplier", "nation", "events") if f" {t}" in text.replace("\n", " ")}
     for t in used:

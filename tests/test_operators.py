@@ -241,3 +241,30 @@ def test_resolved_figures(spark):
     names = spark.createDataFrame([("m", "1", "cap"), ("m", "2", "nut")], "manual_id string, code string, name string")
     got = {r.figure_id: r.content for r in K.resolved(figures, names).collect()}
     assert got == {1: "x\n\nParts shown in this diagram: 2 = nut; 1 = cap.", 2: rows[1][2], 3: "s", 4: "x"}
+
+
+def test_parts_lists_have_as_many_partitions_as_their_lines_need(spark, monkeypatch):
+    from leafmill.plans import views
+
+    plain = sorted(map(tuple, views.view(spark, "/root/testdata/sf0.001", "v_parts").collect()))
+    monkeypatch.setattr(views, "LINES", 500)
+    got = views.view(spark, "/root/testdata/sf0.001", "v_parts")
+    assert got.rdd.getNumPartitions() > 4 and sorted(map(tuple, got.collect())) == plain
+
+
+def test_pages_are_numbered_alike_in_blocks(spark, monkeypatch):
+    from leafmill.plans import views
+
+    plain = sorted(map(tuple, views.view(spark, "/root/testdata/sf0.001", "v_page").select("manual_id", "page", "doc_id").collect()))
+    monkeypatch.setattr(views, "PAGES", 20)
+    got = views.view(spark, "/root/testdata/sf0.001", "v_page")
+    assert sorted(map(tuple, got.select("manual_id", "page", "doc_id").collect())) == plain
+
+
+def test_chunks_are_alike_however_few_are_given_out_at_once(spark, monkeypatch):
+    from leafmill.operators import text as T
+
+    df = spark.createDataFrame([("m", k, k, "word " * 400 * k) for k in range(6)], "manual_id string, page int, doc_id bigint, content string").coalesce(1)
+    monkeypatch.setattr(T, "SLICE", 1000)
+    got = sorted((r.doc_id, r.chunk_no, r.content) for r in T.chunked(df).collect())
+    assert got == [(k, n, c) for k in range(6) for n, c in enumerate(T.split_text("word " * 400 * k))]
