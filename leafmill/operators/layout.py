@@ -70,10 +70,15 @@ def figure_callouts(words: DataFrame, figures: DataFrame, least: float = 0.5) ->
 def corner_code(words: DataFrame, figures: DataFrame, order: str | None = None) -> DataFrame:
     """The first word in a figure that is a drawing code, with double hyphens made plain.
 
-    Of words at the same place the first by the column ``order`` counts, then by text."""
-    met = boxes_meet(words.where(F.col("text").rlike(DRAWING)), figures)
-    first = F.struct(*(F.col(f"a.{c}") for c in ("y0", "x0", *([order] if order else []), "text")))
-    return met.groupBy(F.col("b.figure_id").alias("figure_id")).agg(F.min_by(F.replace("a.text", F.lit("--"), F.lit("-")), first).alias("code"))
+    Of words at the same place the first by the column ``order`` counts, then by text.  Figures with the same box are
+    one question; pairs grow with the words and the different boxes of a page, not with their copies."""
+    box = ["page", "x0", "y0", "x1", "y1"]
+    met = boxes_meet(words.where(F.col("text").rlike(DRAWING)), figures.select(*box).distinct())
+    at = F.struct(*(F.col(f"a.{c}") for c in ("y0", "x0", *([order] if order else []))))
+    first = F.min(F.struct(at.alias("at"), F.col("a.text").alias("text"))).alias("first")
+    found = met.groupBy(*(F.col(f"b.{c}").alias(c) for c in box)).agg(first)
+    code = F.replace("first.text", F.lit("--"), F.lit("-"))
+    return figures.select("figure_id", *box).join(found, box).groupBy("figure_id").agg(F.min_by(code, "first").alias("code"))
 
 
 def merged_rules(rules: DataFrame, least: float = 8.0, share: float = 0.6) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,35 @@ def test_corner_code_of_words_at_one_place_is_the_first_one_read(spark):
         df = spark.createDataFrame(rows, "no int, page int, x0 double, y0 double, x1 double, y1 double, text string").coalesce(1)
         assert [r.code for r in L.corner_code(df, figures, "no").collect()] == ["B-9999"]
         assert [r.code for r in L.corner_code(df, figures).collect()] == ["B-9960"]
+
+
+def test_corner_code_asks_once_for_figures_with_the_same_box(spark, monkeypatch):
+    met, pairs = L.boxes_meet, []
+    monkeypatch.setattr(L, "boxes_meet", lambda *a: pairs.append(met(*a)) or pairs[-1])
+    words = spark.range(500).select(F.lit(1).alias("page"), (F.col("id") % 20).cast("double").alias("x0"), (F.col("id") % 25).cast("double").alias("y0"), F.format_string("B-%d", F.col("id") + 1000).alias("text"))
+    words = words.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 5})
+    figures = spark.range(300).select(F.col("id").alias("figure_id"), F.lit(1).alias("page"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 30.0), ("y1", 30.0))))
+    assert {r.figure_id: r.code for r in L.corner_code(words, figures).collect()} == dict.fromkeys(range(300), "B-1000")
+    assert pairs[0].count() == 500
+
+
+@pytest.mark.parametrize("order", [None, "no", "text"])
+def test_corner_code_against_all_pairs(spark, order):
+    rnd = random.Random(4)
+    place = lambda most: float(rnd.randrange(0, most, 10))
+    word, figure = "no int, page int, x0 double, y0 double, x1 double, y1 double, text string", "figure_id int, page int, x0 double, y0 double, x1 double, y1 double"
+    words = [(no, rnd.randint(1, 3), x := place(100), y := place(100), x + 5, y + 5, rnd.choice(["CA--{}", "B-{}", "word {}"]).format(rnd.randint(1000, 1009))) for no in range(400)]
+    words += [(None, 1, 0.0, 0.0, 5.0, 5.0, "B-2000"), (500, None, 0.0, 0.0, 5.0, 5.0, "B-2001"), (501, 1, float("nan"), 0.0, 5.0, 5.0, "B-2002")]
+    # few places, so that boxes come again; a figure may have several boxes, also on several pages
+    figures = [(None if i % 13 == 0 else i % 40, rnd.randint(1, 4), x := rnd.choice([0.0, -0.0, 20.0, 90.0]), y := place(90), x + rnd.choice([0.0, 15.0, 40.0]), y + 20) for i in range(120)]
+    figures += [(60, 1, None, 0.0, 9.0, 9.0), (61, None, 0.0, 0.0, 9.0, 9.0), (62, 1, 0.0, 0.0, float("nan"), 9.0), (63, 1, 30.0, 0.0, 10.0, 30.0)]
+    good = lambda r: None not in r and r[2] == r[2] and r[4] == r[4]
+    wanted = {}
+    for no, page, x0, y0, x1, y1, text in (w for w in words if good(w[1:2] + w[1:]) and not w[6].startswith("word")):
+        key = (y0, x0, *((-1 if no is None else no,) if order == "no" else ()), text)
+        for k, *b in (f for f in figures if good((0, *f[1:]))):
+            if b[0] == page and x0 < b[3] and x1 > b[1] and y0 < b[4] and y1 > b[2]:
+                wanted[k] = min(wanted.get(k, key), key)
+    got = L.corner_code(spark.createDataFrame(words, word), spark.createDataFrame(figures, figure), order).collect()
+    assert len(got) == len(wanted) > 30 and None in wanted
+    assert {r.figure_id: r.code for r in got} == {k: v[-1].replace("--", "-") for k, v in wanted.items()}
